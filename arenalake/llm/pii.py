@@ -225,5 +225,6 @@ def digest(docs: DataFrame) -> DataFrame:
     kind = F.array(*[F.lit(k) for k in KINDS])
     listed = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", kind[x["kind"]], x["s"], x["e"])), ",")
     found = find(docs.select("doc_id", "text"), to="spans").select("doc_id", "spans", F.filter("spans", lambda x: x["base"]).alias("base"))
-    counts = [F.size(F.filter("base", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    of = lambda i: F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long")
+    counts = [of(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
