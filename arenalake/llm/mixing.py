@@ -90,7 +90,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", seed: int =
     # each document meets the blocks it touches; the shared part counts as often as the block is taken
     parts = spots.select("key", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("b"))
     shared = F.least(F.col("start") + F.col("size"), (F.col("b") + 1) * block) - F.greatest("start", F.col("b") * block)
-    taken = parts.join(chosen, ["key", "b"]).groupBy("key", "start").agg(F.sum(shared * F.col("times")).alias("taken"))
+    taken = parts.join(chosen.hint("merge"), ["key", "b"]).groupBy("key", "start").agg(F.sum(shared * F.col("times")).alias("taken"))
 
     empty = sized.filter("size = 0").select("key", "doc_id", "source", "size", F.lit(0).cast("long").alias("taken"))
     every = spots.join(taken, ["key", "start"], "left").select("key", "doc_id", "source", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
