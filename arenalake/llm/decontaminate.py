@@ -20,7 +20,7 @@ from .common import let, materialize, table_bytes
 
 WINDOW = 13
 SHARE = 20  #: contaminated from one hit word in so many on
-BROADCAST_BYTES = 64 << 20  #: hash sets and hit lists beyond this are joined by a shuffle
+BROADCAST_BYTES = 8 << 20  #: lists whose Parquet files are larger are joined by a shuffle
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
