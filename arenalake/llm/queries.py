@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, lm, mixing, pii, quality, secrets, urls
+from . import decontaminate, jaccard, lm, mixing, pii, quality, secrets, superkmer, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmer.digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.digest(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_mixing, op5_jaccard, op6_decontaminate, op8_urls, op9_lm, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_mixing, op5_jaccard, op6_decontaminate, op7_superkmer, op8_urls, op9_lm, op10_secrets)}
 ORACLES: dict[str, str] = {"op2_quality": quality.SQL, "op6_decontaminate": decontaminate.SQL}
