@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, lm, mixing, pii, quality, secrets, superkmer, urls
+from . import decontaminate, jaccard, lm, mixing, pii, quality, secrets, suffix, superkmer, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(_table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_mixing, op5_jaccard, op6_decontaminate, op7_superkmer, op8_urls, op9_lm, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_mixing, op4_suffix, op5_jaccard, op6_decontaminate, op7_superkmer, op8_urls, op9_lm, op10_secrets)}
 ORACLES: dict[str, str] = {"op2_quality": quality.SQL, "op6_decontaminate": decontaminate.SQL}
