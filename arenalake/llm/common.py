@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -31,23 +32,36 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_written: list[str] = []  #: folders that ``materialize`` wrote, oldest first
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet below the shared folder and read it back.
 
-    The files outlive lost executors. They go when the driver's JVM ends, or earlier with ``clear_scratch``.
+    The files outlive lost executors. They go when the driver's JVM ends, or earlier with ``drop``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/arenalake-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _path(spark, path, lambda fs, p: fs.deleteOnExit(p))
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession, docs: DataFrame | None = None) -> None:
-    """Delete what ``materialize`` wrote in this application. Nothing happens if ``docs`` still reads from there."""
-    root = f"{shared_dir(spark)}/arenalake-{spark.sparkContext.applicationId}"
-    if docs is None or not any("/arenalake-" in f for f in docs.inputFiles()):
-        _path(spark, root, lambda fs, p: fs.delete(p, True))
+@contextlib.contextmanager
+def written():
+    """Collects the folders that ``materialize`` writes meanwhile."""
+    begin, found = len(_written), []
+    yield found
+    found += _written[begin:]
+
+
+def drop(spark: SparkSession, paths: list[str], reader: DataFrame) -> None:
+    """Delete folders of ``materialize`` that ``reader`` doesn't read from."""
+    files = reader.inputFiles()
+    for path in paths:
+        if not any(path.rpartition("/")[2] in f for f in files):
+            _path(spark, path, lambda fs, p: fs.delete(p, True))
 
 
 def table_bytes(spark: SparkSession, df: DataFrame) -> int:
