@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import frags, movement, texts, timeline
+from . import boards, frags, movement, texts, timeline
 
-_MODULES = (timeline, movement, frags, texts)
+_MODULES = (timeline, movement, frags, texts, boards)
 QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
 

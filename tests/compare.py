@@ -20,7 +20,7 @@ def _plain(df: pd.DataFrame) -> list:
         if isinstance(v, bool) or type(v).__name__ == "bool_":
             return str(bool(v))
         if isinstance(v, float) or type(v).__name__.startswith("float"):
-            return f"{float(v):.6g}"
+            return str(int(v)) if v == int(v) else f"{float(v):.9g}"
         return str(v)
 
     df = df[sorted(df.columns)]
