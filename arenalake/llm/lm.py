@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .batches import small
+from .common import materialize, most_frequent
 
 SINGLE = 127  #: units that are one frequent word each
 SHARED = 64  #: units for all other words
@@ -31,7 +32,7 @@ UNITS = SINGLE + SHARED + 1  #: the last stands before a text
 KNOWN = 1 << 18  #: most frequent words whose counts every task holds (2 MB)
 WIDTH, NOISE, ROUNDS, STEPS, SHARES, RATE = 24, 10.0, 4, 30, 12, 0.05
 END = b"\n"  #: no word holds it
-_CACHE = 400_000
+_CACHE = 200_000
 
 
 def _hash(word: bytes) -> int:
@@ -77,7 +78,7 @@ def word_counts(train: DataFrame) -> DataFrame:
         def rows() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"h": np.array(words.h, np.int64), "unit": np.array(words.unit, np.int32), "n": n})
 
-        for batch in batches:
+        for batch in small(batches, 0):
             ids, _ = _tokens(batch, 0, words)
             fresh = np.bincount(ids, minlength=len(words.h)).astype(np.int64)
             fresh[: len(n)] += n
@@ -115,10 +116,10 @@ def triples(train: DataFrame, single: dict[int, int]) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, total = _Words(), np.zeros(UNITS**3, np.int32)
-        for batch in batches:
+        for batch in small(batches, 0):
             ids, offsets = _tokens(batch, 0, words)
             units = _units(words, single)[ids]
-            total += np.bincount(_contexts(units, offsets) * UNITS + units, minlength=UNITS**3).astype(np.int32)
+            np.add.at(total, _contexts(units, offsets) * UNITS + units, 1)
             if len(words.h) > _CACHE:
                 words = _Words()
         at = np.flatnonzero(total)
@@ -199,22 +200,22 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
     train = docs.filter(~F.col("held_out")).select("text")
     counts = materialize(word_counts(train), "words")
     n_tokens, n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "h").limit(KNOWN).collect()  # at most KNOWN rows
-    single = {r["h"]: i for i, r in enumerate(top[:SINGLE])}
+    top = most_frequent(counts, "n", KNOWN).toPandas().sort_values(["n", "h"], ascending=[False, True])  # at most KNOWN rows
+    single = {int(h): i for i, h in enumerate(top["h"][:SINGLE])}
     by_unit = {r["unit"]: r for r in counts.groupBy("unit").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}  # SHARED rows
     mass, kinds = np.zeros(UNITS), np.zeros(UNITS)
     for u, r in by_unit.items():
         mass[u], kinds[u] = r["n"], r["v"]
-    for i, r in enumerate(top[:SINGLE]):
-        mass[r["unit"]] -= r["n"]
-        kinds[r["unit"]] -= 1
-        mass[i] = r["n"]
+    for i, (unit, n) in enumerate(zip(top["unit"][:SINGLE], top["n"][:SINGLE], strict=True)):
+        mass[unit] -= n
+        kinds[unit] -= 1
+        mass[i] = n
     inside = np.log10(mass + 0.5 * (kinds + 1))  # of shared units
     p = train_units(triples(train, single), mass)
-    order = np.argsort([r["h"] for r in top])
+    top = top.sort_values("h")
     model = spark.sparkContext.broadcast({
         "single": single, "p": p, "inside": inside,
-        "h": np.array([r["h"] for r in top], np.int64)[order], "n": np.array([r["n"] for r in top], np.float64)[order],
+        "h": top["h"].to_numpy(np.int64), "n": top["n"].to_numpy(np.float64),
     })
     base_total = float(np.log10(n_tokens + 0.5 * (n_words + 1)))
 
@@ -222,10 +223,9 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
         m = model.value
         table = log_table(m["p"])
         words = _Words()
-        for batch in batches:
+        for batch in small(batches, 1):
             ids, offsets = _tokens(batch, 1, words)
-            unit_of = _units(words, m["single"])
-            h = np.array(words.h, np.int64)
+            unit_of, h = _units(words, m["single"]), np.array(words.h, np.int64)
             at = np.minimum(np.searchsorted(m["h"], h), max(0, len(m["h"]) - 1))
             known = m["h"][at] == h if len(m["h"]) else np.zeros(len(h), bool)
             share = np.where(known, np.log10(np.where(known, m["n"][at] if len(m["h"]) else 0, 0) + 0.5), 0.0)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, most_frequent
+
 #: (verdict, host, path): fits the host and its subdomains where the path starts so; the longest that fits wins.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 VOCABULARY = 50_000  #: words of the unigram model
@@ -64,7 +66,7 @@ def unigrams(corpus: DataFrame, text: str = "text", size: int = VOCABULARY) -> d
         yield rows()
 
     counts = corpus.select(text).mapInArrow(count, "word string, n long").filter(F.length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()  # at most ``size`` rows
+    top = most_frequent(materialize(counts, "unigrams"), "n", size).collect()  # at most ``size`` rows
     total = sum(r["n"] for r in top) or 1
     return {r["word"]: math.log10(r["n"] / total) for r in top} | {"": math.log10(total)}
 
@@ -116,7 +118,8 @@ def judge(pages: DataFrame, corpus: DataFrame, url: str = "url", text: str = "te
     priors = {r[0]: r[1] for r in train.groupBy("verdict").count().collect()}
     counts = train.select(F.explode(tokenized("host", "path")).alias("token"), (F.col("verdict") == "block").alias("bad"))
     counts = counts.groupBy("token").agg(F.count_if("bad").alias("block"), F.count_if(~F.col("bad")).alias("allow"))
-    top = counts.orderBy((F.col("block") + F.col("allow")).desc(), "token").limit(FEATURES).collect()  # at most FEATURES rows
+    counts = materialize(counts.withColumn("n", F.col("block") + F.col("allow")), "tokens")
+    top = most_frequent(counts, "n", FEATURES).collect()  # at most FEATURES rows
     sums = {k: sum(r[k] for r in top) + len(top) + 1 for k in ("block", "allow")}
     rest = math.log(sums["allow"] / sums["block"])  # an unseen token, with add-one smoothing
     odds = sc.broadcast({r["token"]: math.log((r["block"] + 1) / (r["allow"] + 1)) + rest for r in top})
