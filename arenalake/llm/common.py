@@ -48,6 +48,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """``materialize`` into ``n`` buckets by ``key``: later joins on the key move only their other side."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/arenalake-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    table = f"arenalake_{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
+    _path(spark, path, lambda fs, p: fs.deleteOnExit(p))
+    _written.append(path)
+    return spark.table(table)
+
+
 @contextlib.contextmanager
 def written():
     """Collects the folders that ``materialize`` writes meanwhile."""
@@ -72,6 +83,22 @@ def table_bytes(spark: SparkSession, df: DataFrame) -> int:
     return total
 
 
+def most_frequent(counts: DataFrame, n: str, limit: int) -> DataFrame:
+    """The rows with the highest counts, at most ``limit`` of them: all above the level (in steps of log2 / 16) that fits.
+
+    Unlike a sorted limit, no task sends more to the driver than it has among these rows.  ``counts`` should be materialized.
+    """
+    level = F.floor(F.log2(n) * 16).cast("int")
+    rows = counts.groupBy(level.alias("level")).count().collect()  # at most some 1,000 levels
+    cut, total = None, 0
+    for r in sorted(rows, reverse=True):
+        total += r["count"]
+        if total > limit:
+            break
+        cut = r["level"]
+    return counts.filter(level >= cut) if cut is not None else counts.limit(0)
+
+
 def _path(spark: SparkSession, path: str, use):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return use(p.getFileSystem(spark._jsc.hadoopConfiguration()), p)
