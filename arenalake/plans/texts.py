@@ -58,8 +58,8 @@ def settings_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def directives(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = Lens(spark, sf_dir).table("lineitem")
-    text = F.concat(F.lit("//ktx took "), F.col("l_partkey").cast("string"), F.lit(" "), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_suppkey").cast("string")).otherwise("x"), F.lit(" 7\n"))
-    return li.select("l_orderkey", "l_linenumber", X.directive(text, "//ktx took ", ("ent", "respawn", "player")).alias("d")).filter("d is not null").select("l_orderkey", "l_linenumber", "d.ent", "d.respawn", "d.player")
+    text = F.concat(F.lit("//took "), F.col("l_partkey").cast("string"), F.lit(" "), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_suppkey").cast("string")).otherwise("x"), F.lit(" 7\n"))
+    return li.select("l_orderkey", "l_linenumber", X.directive(text, "//took ", ("ent", "respawn", "player")).alias("d")).filter("d is not null").select("l_orderkey", "l_linenumber", "d.ent", "d.respawn", "d.player")
 
 
 def message_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
