@@ -167,9 +167,6 @@ def victim(message: Column) -> Column:
     return obituary(message)["victim"]
 
 
-SPAWNS = {"KT": "2", "KT2": "4", "KTX": "1", "KTS": "3", "QW": "0"}  #: labels of spawn models
-
-
 def settings(text: Column) -> Column:
     """A countdown table's lines as a map: first word -> the rest without inner runs of spaces; headings are left out."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.startswith(x, F.lit("Countdown:")) & ~F.startswith(x, F.lit("no matchtag")))
