@@ -2,7 +2,8 @@
 
 A window is 13 consecutive words; its minimiser is the smallest hash among its three-word grams.  Consecutive windows
 that share a minimiser travel as one packed string to the minimiser's bucket, so equal windows meet in one bucket, where
-sorting groups them exactly: by a fingerprint first, then word by word.  A window whose words start in a document with a
+sorting groups them exactly: by a fingerprint first, then word by word.  Minimisers are counted beforehand, so that only
+strings travel whose minimiser also occurs in another row.  A window whose words start in a document with a
 smaller id is repeated, and every word it covers goes.
 
 Each row is a document; null and blank texts have no words; rows that share a doc_id are no smaller than each other, and
@@ -12,7 +13,6 @@ a null doc_id is larger than any other.  Windows never cross rows.  Long texts a
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +21,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table_bytes
+from .batches import SLICE, buckets, deal, small
+from .common import materialize, materialize_by
 from .jaccard import _Hashes, _mix
 
 WINDOW, GRAM = 13, 3
 BUCKET_CHARS = 6 << 20  #: characters of input whose windows make a bucket, about
-BROADCAST_BYTES = 8 << 20  #: lists whose Parquet files are larger are joined by a shuffle
 _LAST = (1 << 63) - 1
 _ODD = _mix(np.arange(1, WINDOW + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -43,39 +43,33 @@ def super_kmers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return gram[at[first]], first, np.diff(np.append(first, n))
 
 
-def _pack(sets: DataFrame, n_buckets: int) -> DataFrame:
-    """(bucket, payload): the super-k-mers of a batch of texts for one bucket, compressed together."""
+def _count_minimisers(read: DataFrame, n_buckets: int) -> DataFrame:
+    """(row, first, n, key) of the super-k-mers whose minimiser (48 bits of it) occurs in more than one row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, unpack, pack = _Hashes(), zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            keys, docs, rows, firsts, sizes, strings = [], [], [], [], [], []
-            for doc, row, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = unpack.decompress(z)
-                words = raw.split()
-                key, first, count = super_kmers(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-                keys.append(key)
-                docs.append(np.full(len(key), _LAST if doc is None else doc))
-                rows.append(np.full(len(key), row))
-                firsts.append(first)
-                sizes.append(count + WINDOW - 1)
-                lo = (ends[first] - np.fromiter((len(words[i]) + 1 for i in first), np.int64, len(first))).tolist()
-                hi = (ends[first + count + WINDOW - 2] - 1).tolist() if len(first) else []
-                strings += [raw[a:b] for a, b in zip(lo, hi, strict=True)]
-            if not strings:
-                continue
-            bucket = (np.concatenate(keys) % np.uint64(n_buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cols = [np.concatenate(x)[order] for x in (docs, rows, firsts, sizes)]
-            names, starts = np.unique(bucket[order], return_index=True)
-            payloads = []
-            for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True):
-                text = b"\n".join([strings[i] for i in order[a:b].tolist()])
-                payloads.append(pack.compress(struct.pack("<q", b - a) + b"".join(c[a:b].astype(np.int64).tobytes() for c in cols) + text))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(payloads, pa.binary())], names=["bucket", "payload"])
-
-    return sets.select("doc_id", "row", "packed").mapInArrow(run, "bucket long, payload binary")
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, unpack = _Hashes(), zstandard.ZstdDecompressor()
+        for batch in small(batches, 2, SLICE // 3):
+            got = []
+            for row, z in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
+                words = unpack.decompress(z).split()
+                key, first, n = super_kmers(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
+                got.append((key >> np.uint64(16), first, n, np.full(len(key), row)))
+            key, first, n, row = (np.concatenate(c) for c in zip(*got, strict=True))
+            if len(key):
+                yield deal(key % np.uint64(n_buckets), [key, row, first, n])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, row, first, n), _ in buckets(batches, 4):
+            order = np.argsort(key, kind="stable")
+            k, d = key[order], row[order]
+            new = np.append(True, k[1:] != k[:-1])
+            begin = np.flatnonzero(new)
+            several = np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
+            keep = order[several[np.cumsum(new) - 1]]
+            yield pa.RecordBatch.from_pydict({"row": row[keep], "first": first[keep].astype(np.int32), "n": n[keep].astype(np.int32), "key": key[keep]})
+
+    dealt = read.select("doc_id", "row", "packed").mapInArrow(out, "bucket long, payload binary")
+    return dealt.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "row long, first int, n int, key long")
 
 
 def repeated(doc: np.ndarray, row: np.ndarray, first: np.ndarray, size: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -108,7 +102,7 @@ def repeated(doc: np.ndarray, row: np.ndarray, first: np.ndarray, size: np.ndarr
         again: dict[tuple, int] = {}
         clash = np.isin(mark, mark[order[wrong]])
         for i in np.flatnonzero(clash):
-            mark[i] = _mix(np.array([again.setdefault(tuple(ids[at[i] : at[i] + WINDOW]), len(again))], np.uint64) + mark[i])[0]
+            mark[i] = again.setdefault(tuple(ids[at[i] : at[i] + WINDOW]), len(again))
         order = np.lexsort((rank[owner], mark))
     gone = np.zeros(len(at), bool)
     gone[order] = doc[owner[order]] > doc[owner[head]]
@@ -122,30 +116,32 @@ def repeated(doc: np.ndarray, row: np.ndarray, first: np.ndarray, size: np.ndarr
     return row[owner[lo]], place(lo), place(hi) + WINDOW
 
 
-def _sort_buckets(packed: DataFrame, n_buckets: int) -> DataFrame:
+def _sort_windows(read: DataFrame, again: DataFrame, n_buckets: int) -> DataFrame:
     """(row, lo, hi): word runs to remove, which may overlap."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        bucket, cols, words = None, [], []
+        for batch in small(batches, 2, SLICE // 3):
+            got, strings = [], []
+            for doc, row, z, first, n, key in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                raw = unpack.decompress(z)
+                starts = np.append(0, np.flatnonzero(np.frombuffer(raw, np.uint8) == 32) + 1)
+                starts = np.append(starts, len(raw) + 1)
+                first, n = np.array(first), np.array(n) + WINDOW - 1
+                got.append((key, np.full(len(key), _LAST if doc is None else doc), np.full(len(key), row), first, n))
+                strings += [raw[a:b] for a, b in zip(starts[first].tolist(), (starts[first + n] - 1).tolist(), strict=True)]
+            key, *cols = (np.concatenate(c).astype(np.int64) for c in zip(*got, strict=True))
+            yield deal(key.view(np.uint64) % np.uint64(n_buckets), cols, strings, b"\n")
 
-        def done() -> pa.RecordBatch:
-            row, lo, hi = repeated(*(np.concatenate(c) for c in zip(*cols, strict=True)), words)
-            return pa.RecordBatch.from_pydict({"row": row, "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)})
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (doc, row, first, size), text in buckets(batches, 4):
+            r, lo, hi = repeated(doc, row, first, size, text.split())
+            yield pa.RecordBatch.from_pydict({"row": r, "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)})
 
-        for batch in batches:
-            for b, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if b != bucket and cols:
-                    yield done()
-                    cols, words = [], []
-                bucket, raw = b, unpack.decompress(z)
-                (n,) = struct.unpack_from("<q", raw)
-                cols.append([np.frombuffer(raw, np.int64, n, 8 + 8 * n * i) for i in range(4)])
-                words += raw[8 + 32 * n :].split()
-        if cols:
-            yield done()
-
-    return packed.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "row long, lo int, hi int")
+    own = again.groupBy("row").agg(F.collect_list(F.struct("first", "n", "key")).alias("x"))
+    own = own.select("row", F.col("x.first").alias("first"), F.col("x.n").alias("n"), F.col("x.key").alias("key"))
+    dealt = read.join(own.hint("merge"), "row").select("doc_id", "row", "packed", "first", "n", "key").mapInArrow(out, "bucket long, payload binary")
+    return dealt.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(sort, "row long, lo int, hi int")
 
 
 def runs(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -153,15 +149,16 @@ def runs(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in small(batches, 1):
             packed = [pack.compress(b" ".join((t or "").encode().split())) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
 
     read = docs.select(F.col("doc_id").cast("long"), text).mapInArrow(words_of, "doc_id long, packed binary")
-    read = materialize(read.withColumn("row", F.monotonically_increasing_id()), "words")
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     n_buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-chars // BUCKET_CHARS))
-    found = _sort_buckets(_pack(read, n_buckets), n_buckets)
+    read = materialize_by(read.withColumn("row", F.monotonically_increasing_id()), "words", "row", max(8, n_buckets // 4))
+    again = materialize(_count_minimisers(read, n_buckets), "minimisers")
+    found = _sort_windows(read, again, n_buckets)
     return read, materialize(found.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "runs")
 
 
@@ -176,7 +173,6 @@ def kept_words(words: list[bytes], spans: list) -> list[bytes]:
 def digest(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of op7, one row a document."""
     read, found = runs(docs, text)
-    found = F.broadcast(found) if table_bytes(docs.sparkSession, found) <= BROADCAST_BYTES else found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -191,4 +187,4 @@ def digest(docs: DataFrame, text: str = "text") -> DataFrame:
                 sha.append(hashlib.sha256(b" ".join(left)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return read.join(found, "row", "left").select("doc_id", "packed", "runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return read.join(found.hint("merge"), "row", "left").select("doc_id", "packed", "runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
