@@ -5,8 +5,11 @@ band partition the shingle domain alike; a set's signatures are its nonempty par
 Every difference spoils one part at most, so similar sets agree in all nonempty parts but (|A| + |B|) / 7, and of the
 parts in one order for all sets each set needs to emit only one more than |A| / 3.  The order puts parts that many
 documents share last (shared passages), which changes the work but never the result: the lemma holds for any order.
-Bands overlap so that every pair within the size ratio has a band in common, and each band gets so many parts that none of
-its sets has too few nonempty ones.
+Bands overlap so that every pair within the size ratio has a band in common; the sets of the smallest bands have every
+shingle as a part, the others so many parts that none of their sets has too few nonempty ones.
+
+Parities of the shingle counts in some cells bound the difference of two sets from below; a candidate that the bound
+rules out is dropped before any words travel.
 
 Sets that share a signature are candidates; equal sets are one node from the start.  First every member of a group is
 verified against the group's first member (of about its size), which joins groups of near copies by stars.  Then members
@@ -26,20 +29,22 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table_bytes
+from .batches import SLICE, small
+from .common import materialize, most_frequent, table_bytes
 from .graph import components
 
 SHINGLE = 5
 BAND = 8.0  #: each band starts at so many times the start of the one before
 RATIO = 4 / 3  #: largest size ratio of similar sets
+FINE = 2  #: the sets of so many smallest bands have their shingles as parts
 SAMPLE = 8  #: one document in so many helps to find much-shared parts (for their order only)
 SHARED = 400_000  #: much-shared parts that every task knows (3 MB)
 ROWS = 1 << 20  #: signatures in a partition, about
 BROADCAST_BYTES = 8 << 20  #: lists whose Parquet files are larger are joined by a shuffle
-_CACHE = 400_000
+_CACHE = 200_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -57,13 +62,23 @@ class _Hashes(dict):
         return h
 
 
-def shingles(words: list[bytes], hashes: dict) -> np.ndarray:
-    """Sorted distinct shingle hashes of a word sequence."""
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    if len(h) < SHINGLE:
-        return _mix((h * _ODD[: len(h)]).sum(keepdims=True) + np.uint64(len(h))) if len(h) else h
-    n = len(h) - SHINGLE + 1
-    return np.unique(_mix(sum(h[i : i + n] * _ODD[i] for i in range(SHINGLE))))
+def shingle_sets(texts: list[bytes], hashes: dict) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    split = [t.split() for t in texts]
+    flat = [w for words in split for w in words]
+    h = np.fromiter(map(hashes.__getitem__, flat), np.uint64, len(flat))
+    n = max(0, len(h) - SHINGLE + 1)
+    fives = _mix(sum((h[i : i + n] * _ODD[i] for i in range(SHINGLE)), np.zeros(n, np.uint64)))
+    out, at = [], 0
+    for words in split:
+        end = at + len(words)
+        if len(words) >= SHINGLE:
+            out.append(np.unique(fives[at : end - SHINGLE + 1]))
+        else:
+            own = h[at:end]
+            out.append(_mix((own * _ODD[: len(own)]).sum(keepdims=True) + np.uint64(len(own))) if len(own) else own)
+        at = end
+    return out
 
 
 def bands(size: int) -> list[int]:
@@ -73,19 +88,12 @@ def bands(size: int) -> list[int]:
     return [first - 1, first] if first and size <= RATIO * BAND**first + 1e-6 else [first]
 
 
-def _parts(h: np.ndarray, band: int, doubled: int) -> tuple[np.ndarray, np.ndarray]:
-    """(part of each shingle, distinct parts) with twice as many parts as the band's largest set has shingles, doubled so often."""
-    n = np.uint64(min(int(2 * RATIO * BAND ** (band + 1)) << doubled, 1 << 62))
-    part = (_mix(h + np.uint64(band + 1)) >> np.uint64(1)) % n
-    return part, np.unique(part)
-
-
 def differences(size: int) -> int:
     """Elements in which a set can differ from a similar one at most: (size + RATIO * size) / 7."""
     return size // 3
 
 
-def signatures(h: np.ndarray, doubled: dict[int, int], shared: np.ndarray | None) -> np.ndarray:
+def signatures(h: np.ndarray, shared: np.ndarray | None) -> np.ndarray:
     """Signatures of a set; with ``shared`` (sorted) only as many as needed, those that are not shared first.
 
     The low six bits hold the size class, the others the band's part and all the set's shingles in it.
@@ -93,62 +101,74 @@ def signatures(h: np.ndarray, doubled: dict[int, int], shared: np.ndarray | None
     out = []
     k = differences(len(h)) + 1
     for band in bands(len(h)):
-        part, names = _parts(h, band, doubled.get(band, 0))
-        at = np.argsort(part, kind="stable")
-        starts = np.searchsorted(part[at], names)
-        sig = _mix(np.add.reduceat(_mix(h[at] + np.uint64(977)), starts) + names * _ODD[0] + np.uint64(band)) & ~np.uint64(63)
-        if shared is not None:
+        if band < FINE:
+            sig = _mix(h + np.uint64(band + 1))
+        else:  # twice as many parts as the band's largest set has shingles
+            part = (_mix(h + np.uint64(band + 1)) >> np.uint64(1)) % np.uint64(2 * RATIO * BAND ** (band + 1))
+            at = np.argsort(part, kind="stable")
+            p = part[at]
+            starts = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+            sig = _mix(np.add.reduceat(h[at] * _ODD[1], starts) + p[starts] * _ODD[0] + np.uint64(band))
+        if len(sig) < k:  # at half a shingle a part, this has no chance worth a number
+            raise ArithmeticError("a set has too few nonempty parts")
+        sig &= ~np.uint64(63)
+        if shared is not None and len(sig) > k:
             spot = np.minimum(np.searchsorted(shared, sig), max(0, len(shared) - 1))
             hot = shared[spot] == sig if len(shared) else np.zeros(len(sig), bool)
-            sig = sig[np.lexsort((sig, hot))][:k]
+            sig = np.concatenate([np.sort(sig[~hot]), np.sort(sig[hot])])[:k]
         out.append(sig)
     return np.concatenate(out) | np.uint64(min(63, int(np.log(len(h)) / np.log(RATIO))))
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Parities of the shingle counts in 64 * 2**i cells, at least as many as shingles.
+
+    Two sets differ in no fewer shingles than cells; a sketch of twice the cells folds to the smaller one.
+    """
+    words = 1 << max(2, int(np.ceil(np.log2(max(1, len(h)) / 64))))
+    cell = h % np.uint64(64 * words)
+    odd = np.bincount(cell.astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)  # its halves, word by word, make the sketch of half the cells
+
+
 def _signed(h: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(h).view(np.int64)
 
 
-def read_sets(docs: DataFrame, text: str) -> DataFrame:
-    """(doc_id, n, node, packed, band_parts): set size, key of the set, compressed words, and the doublings each band needs."""
-    doc_type = docs.schema["doc_id"].dataType.simpleString()
+def _sampled(docs: DataFrame, text: str) -> DataFrame:
+    """All signatures of one distinct text in SAMPLE, chosen by its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, packer = _Hashes(), zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            n, node, packed, need = [], [], [], []
-            for t in batch.column(1).to_pylist():
-                words = (t or "").encode().lower().split()
-                h = shingles(words, hashes)
-                n.append(len(h))
-                node.append(int(_signed(_mix(_mix(h).sum(keepdims=True) + np.uint64(len(h))))[0]) if len(h) else None)
-                packed.append(packer.compress(b" ".join(words)))
-                own = []
-                for band in bands(len(h)) if len(h) else []:
-                    doubled = 0
-                    while len(_parts(h, band, doubled)[1]) <= min(len(h) - 1, differences(len(h))):
-                        doubled += 1
-                    own.append(band << 8 | doubled)
-                need.append(own)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(packed, pa.binary()), pa.array(need, pa.list_(pa.int32()))], names=["doc_id", "n", "node", "packed", "need"]
-            )
-
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {doc_type}, n long, node long, packed binary, need array<int>")
-
-
-def _emit(sets: DataFrame, doubled: dict[int, int], shared) -> DataFrame:
-    """(sig, node) of each set; ``shared``: a broadcast of the parts to put last, or None for all signatures."""
+        hashes = _Hashes()
+        for batch in small(batches, 0):
+            sets = shingle_sets([t.encode().lower() for t in batch.column(0).to_pylist()], hashes)
+            sigs = [signatures(h, None) for h in sets if len(h)]
+            if sigs:
+                yield pa.RecordBatch.from_pydict({"sig": _signed(np.concatenate(sigs) & ~np.uint64(63))})
+
+    chosen = docs.select(text).filter(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0).filter(F.col(text).isNotNull())
+    return chosen.dropDuplicates([text]).mapInArrow(run, "sig long")
+
+
+def read_sets(docs: DataFrame, text: str, shared) -> DataFrame:
+    """(doc_id, n, node, packed, sketch, sigs): set size, key of the set, compressed words, parities and signatures.
+
+    ``shared``: a broadcast of the signatures to put last.
+    """
+    doc_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, unpacker = _Hashes(), zstandard.ZstdDecompressor()
-        for batch in batches:
-            nodes = batch.column(0).to_numpy(zero_copy_only=False)
-            sigs = [signatures(shingles(unpacker.decompress(z).split(), hashes), doubled, None if shared is None else shared.value) for z in batch.column(1).to_pylist()]
-            if sigs:
-                yield pa.RecordBatch.from_pydict({"sig": _signed(np.concatenate(sigs)), "node": np.repeat(nodes, [len(s) for s in sigs])})
+        hashes, packer = _Hashes(), zstandard.ZstdCompressor(level=3)
+        for batch in small(batches, 1):
+            texts = [(t or "").encode().lower() for t in batch.column(1).to_pylist()]
+            sets = shingle_sets(texts, hashes)
+            node = [int(_signed(_mix(_mix(h).sum(keepdims=True) + np.uint64(len(h))))[0]) if len(h) else None for h in sets]
+            lists = [[_signed(signatures(h, shared.value)) if len(h) else np.zeros(0, np.int64) for h in sets], [sketch(h) for h in sets]]
+            sigs, parities = (pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in a]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *a]), pa.int64())) for a in lists)
+            columns = [batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(node, pa.int64()), pa.array([packer.compress(t) for t in texts], pa.binary()), parities, sigs]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "node", "packed", "sketch", "sigs"])
 
-    return sets.select("node", "packed").mapInArrow(run, "sig long, node long")
+    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {doc_type}, n long, node long, packed binary, sketch array<long>, sigs array<long>")
 
 
 def _groups(sigs: DataFrame, partitions: int) -> DataFrame:
@@ -172,12 +192,33 @@ def _groups(sigs: DataFrame, partitions: int) -> DataFrame:
     return sigs.repartition(partitions, F.shiftright("sig", 6)).mapInArrow(run, "sig long, node long, hub long")
 
 
+def _near(s_a: Column, s_b: Column, n_a: Column, n_b: Column) -> Column:
+    """Sizes fit, and the sketches differ in no more cells than similar sets can differ in shingles."""
+
+    def half(x: Column) -> Column:
+        n = F.floor(F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseXOR(q))
+
+    a = F.when(F.size(s_a) > F.size(s_b), half(s_a)).otherwise(s_a)
+    b = F.when(F.size(s_b) > F.size(s_a), half(s_b)).otherwise(s_b)
+    apart = F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, q: t + q)
+    return (4 * F.least(n_a, n_b) >= 3 * F.greatest(n_a, n_b)) & (7 * apart <= n_a + n_b)
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) that ``_near`` doesn't rule out."""
+    own = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    both = pairs.select("a", "b").join(own("a"), "a").join(own("b"), "b")
+    return both.filter(_near(F.col("s_a"), F.col("s_b"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets have 100 * intersection >= 75 * union, counted on the shingles themselves.
 
     The words of b travel to a; where a has many partners, they are split and a's words are sent along with each part.
     """
     spark = pairs.sparkSession
+    pairs = materialize(pairs, "plausible")
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / 200).alias("splits"))
     pairs = materialize(pairs.join(many, "a").select("a", "b", F.pmod(F.hash("b"), F.col("splits")).cast("int").alias("salt")), "pairs")
     nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
@@ -190,10 +231,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, unpacker = _Hashes(), zstandard.ZstdDecompressor()
         at, mine = None, None
-        for batch in batches:
+        for batch in small(batches, 2, SLICE // 3):
             a_, b_ = [], []
-            for a, b, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                other = shingles(unpacker.decompress(z).split(), hashes)
+            sets_ = shingle_sets([unpacker.decompress(z) for z in batch.column(2).to_pylist()], hashes)
+            for a, b, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets_, strict=True):
                 if b is None:
                     at, mine = a, other
                     continue
@@ -211,24 +252,21 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def join(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links), one row a document."""
     spark = docs.sparkSession
-    read = materialize(read_sets(docs, text).withColumn("row", F.monotonically_increasing_id()), "sets")
+    often = materialize(_sampled(docs, text).groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+    often = most_frequent(often, "n", SHARED).select("sig").toPandas()["sig"].to_numpy(np.int64)  # at most SHARED rows
+    shared = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
+
+    read = materialize(read_sets(docs, text, shared).withColumn("row", F.monotonically_increasing_id()), "sets")
     nodes = materialize(read.filter("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"), F.first("n").alias("n")), "nodes")
     firsts = nodes.select("row")
     firsts = F.broadcast(firsts) if table_bytes(spark, nodes) <= BROADCAST_BYTES else firsts
-    sets = read.join(firsts, "row", "left_semi").select(F.col("row").alias("node"), "packed", "n")
-
-    doubled: dict[int, int] = {}
-    for (x,) in read.select(F.explode("need")).distinct().collect():  # a few values a band
-        doubled[x >> 8] = max(doubled.get(x >> 8, 0), x & 255)
-    sample = _emit(sets.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0), doubled, None)
-    often = sample.groupBy(F.col("sig").bitwiseAND(~63).alias("sig")).agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "sig").limit(SHARED)
-    often = often.select("sig").toPandas()["sig"].to_numpy(np.int64)  # at most SHARED rows
-    shared = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
+    sets = read.join(firsts, "row", "left_semi").select(F.col("row").alias("node"), "packed", "n", "sketch", "sigs")
 
     total = nodes.agg(F.sum(F.floor(F.col("n") / 3) + 1)).first()[0] or 0
-    groups = materialize(_groups(_emit(sets, doubled, shared), max(spark.sparkContext.defaultParallelism, -(-total // ROWS))), "groups")
+    sigs = sets.select(F.explode("sigs").alias("sig"), "node")
+    groups = materialize(_groups(sigs, max(spark.sparkContext.defaultParallelism, -(-total // ROWS))), "groups")
     stars = materialize(groups.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = materialize(verified(stars, sets), "links")
+    links = materialize(verified(_plausible(stars, sets), sets), "links")
 
     # what the stars left apart: pairs of different components that share a signature and have fitting sizes
     comps = components(links)
@@ -236,12 +274,16 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     known = materialize(known, "comps")
     known = F.broadcast(known) if table_bytes(spark, known) <= BROADCAST_BYTES else known
     members = groups.select(F.shiftright("sig", 6).alias("key"), "node").join(known, "node")
-    apart = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    members = materialize(members.join(apart, "key"), "members")
-    one = members.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
-    two = members.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-    fits = (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))
-    rest = one.join(two, "key").filter(fits).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    same = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("all")]
+    apart = members.groupBy("key").agg(*same).filter("lo < hi")
+    apart = apart.groupBy("lo", "hi", "m", "all").agg(F.min("key").alias("key")).select("key")  # of groups with the same members one
+    members = members.join(apart, "key").join(sets.select("node", "sketch"), "node")
+    members = materialize(members.select("key", "node", "n", "comp", "sketch"), "members")
+    one, two = (members.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp", "sketch")]) for s in "ab")
+    # the bound stands in the join's condition: pairs that it rules out are never made
+    fits = (one["key"] == two["key"]) & (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b"))
+    fits = fits & _near(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"))
+    rest = one.join(two, fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     links = materialize(links.unionByName(verified(rest, sets)), "links")
 
     comps = components(links).withColumnRenamed("node", "row")
