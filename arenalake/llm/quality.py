@@ -1,9 +1,10 @@
 """Quality rules on cross-document line frequency, in DataFrame expressions only.
 
 Lines are normalised (lower case, digit runs as one 0, white space runs as one space) and hashed.  For every host the
-number of distinct documents that hold a line is counted; copies and near copies of a document, told by the smallest
-of their line hashes, count once, so a much-copied document does not turn its own lines into boilerplate.  Lines in
-more documents than the host's limit are removed, and documents that lose most of their words are rejected.
+number of distinct documents that hold a line is counted; copies of a document, told by a hash of all their normalised
+lines in order, count once, so a much-copied document does not turn its own lines into boilerplate.  Lines in more
+documents than the host's limit, a share of its distinct documents, are removed, and documents that lose most of their
+words are rejected.
 
 Each row is a document.  Null or blank texts have no words and fail the base rule; a null host is a host of its own;
 repeated rows and ids get their own verdicts; extra columns pass through ``clean`` untouched.
@@ -73,8 +74,10 @@ def measure(docs: DataFrame, text: str = "text", host: str = "source") -> DataFr
 
 def boilerplate(measured: DataFrame) -> DataFrame:
     """(host, h) of lines above their host's limit."""
-    hosts = measured.groupBy("host").agg(F.greatest(F.lit(MIN_DOCS), DOC_SHARE * F.count("*")).alias("limit"))
-    seen = measured.filter(F.size("lines") > 0).select("host", F.array_min(F.transform("lines", lambda x: x["h"])).alias("doc"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    hashes = F.transform("lines", lambda x: x["h"])
+    docs = measured.select("host", F.xxhash64(hashes).alias("doc"), F.array_distinct(hashes).alias("hashes"))
+    hosts = docs.groupBy("host").agg(F.greatest(F.lit(MIN_DOCS), DOC_SHARE * F.countDistinct("doc")).alias("limit"))
+    seen = docs.select("host", "doc", F.explode("hashes").alias("h"))
     counts = seen.groupBy("host", "h").agg(F.countDistinct("doc").alias("n_docs")).filter(F.col("n_docs") > MIN_DOCS)
     return counts.join(hosts, "host").filter(F.col("n_docs") > F.col("limit")).select("host", "h")
 

@@ -137,6 +137,19 @@ def test_quality_removes_boilerplate(spark):
     assert set(out) == {*range(40), 101} and not any(notice[:30] in t for t in out.values()) and out[101] == rows[41][1]
 
 
+def test_quality_counts_every_document_that_holds_a_line(spark):
+    rnd = random.Random(4)
+    line = lambda: " ".join("".join(rnd.choices("abcdef", k=6)) for _ in range(12))
+    shared, copied = [line() for _ in range(9)], "\n".join(line() for _ in range(10))
+    rows = [(i, "\n".join([*shared, line()]), "h") for i in range(20)]
+    rows += [(100 + i, copied.replace(" ", "  " if i % 2 else " "), "h") for i in range(30)]
+    rows += [(200 + i, "\n".join([shared[0], *(line() for _ in range(8))]), "few") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    judged = {r.doc_id: (r.n_words - r.n_kept_words, r.kept) for r in quality.judge(docs).collect()}
+    assert judged == {i: (108, False) if i < 20 else (0, True) for i, *_ in rows}
+    assert {r.doc_id for r in quality.clean(docs).collect()} == {i for i, *_ in rows if i >= 100}
+
+
 def test_mixing(docs, rows):
     got = mixing.mix(docs, block=8).collect()
     assert len(got) == len(rows)
