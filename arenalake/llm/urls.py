@@ -1,11 +1,12 @@
 """URL filters: rules first, then host segmentation and naive Bayes.
 
-A unigram model from a corpus (the most frequent VOCABULARY words of all its texts) lets a Viterbi search split the
-labels of a host into words.  Multinomial naive Bayes over those words and the path's tokens is trained on every url
-that a rule decides, and judges the others.
+A unigram model from a corpus (all words of all its texts) lets a Viterbi search split the labels of a host into words.
+Multinomial naive Bayes over those words and the path's tokens is trained on every url that a rule decides, and judges
+the others.  Words and tokens stay in tables: what labels and urls use most is looked up by broadcast, the rest by a
+shuffle, and equal urls, hosts and labels are handled once.
 
 Each row of ``pages`` is a page.  A null url, or one without ``://``, has an empty host and path, fits no rule and is
-judged by the class priors.  Repeated rows are judged one by one; extra columns pass through ``judge``.
+judged by the class priors; an empty host with a path is judged by its path.  Repeated rows are judged one by one; extra columns pass through ``judge``.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, most_frequent
+from .common import materialize, most_frequent, table_bytes
 
 #: (verdict, host, path): fits the host and its subdomains where the path starts so; the longest that fits wins.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-VOCABULARY = 50_000  #: words of the unigram model
+VOCABULARY = 50_000  #: parts of labels that are looked up by broadcast, the most used ones
 LONGEST = 24  #: letters of a word at most
-FEATURES = 100_000  #: tokens of the naive Bayes model, the most frequent ones
+FEATURES = 100_000  #: tokens that are looked up by broadcast, the most used ones
+BROADCAST_BYTES = 8 << 20  #: lists whose Parquet files are larger are joined by a shuffle
+UNIT = 10**9  #: scores are whole numbers of this part, so that sums don't depend on their order
 _FLUSH = 300_000
 
 
@@ -47,8 +50,8 @@ def match(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def unigrams(corpus: DataFrame, text: str = "text", size: int = VOCABULARY) -> dict[str, float]:
-    """log10 probability of the ``size`` most frequent words of a-z in all texts; every text is counted whole."""
+def unigrams(corpus: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n) of all words of a-z, up to LONGEST letters, in all texts; every text is counted whole."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -66,9 +69,23 @@ def unigrams(corpus: DataFrame, text: str = "text", size: int = VOCABULARY) -> d
         yield rows()
 
     counts = corpus.select(text).mapInArrow(count, "word string, n long").filter(F.length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
-    top = most_frequent(materialize(counts, "unigrams"), "n", size).collect()  # at most ``size`` rows
-    total = sum(r["n"] for r in top) or 1
-    return {r["word"]: math.log10(r["n"] / total) for r in top} | {"": math.log10(total)}
+    return materialize(counts, "unigrams")
+
+
+def _looked_up(rows: DataFrame, key: str, table: DataFrame, limit: int) -> DataFrame:
+    """``rows`` that have a row in ``table``, with its columns; the ``limit`` keys that rows use most, in the table or not,
+    are broadcast, so none of them meets in one task."""
+    used = rows.groupBy(key).agg(F.count("*").alias("_uses")).join(table.withColumn("_found", F.lit(True)), key, "left")
+    used = materialize(used, "used")
+    head = F.broadcast(most_frequent(used, "_uses", limit))
+    often = rows.join(head, key).filter("_found")
+    seldom = rows.join(head.select(key), key, "left_anti").join(used.filter("_found"), key)
+    return often.unionByName(seldom).drop("_uses", "_found")
+
+
+def _joined(left: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    small = table_bytes(left.sparkSession, table) <= BROADCAST_BYTES
+    return left.join(F.broadcast(table) if small else table, keys, "left")
 
 
 def segment(name: str, model: dict[str, float]) -> list[str]:
@@ -88,50 +105,78 @@ def segment(name: str, model: dict[str, float]) -> list[str]:
     return words[::-1]
 
 
-def tokens(host: str, path: str, model: dict[str, float], known: dict[str, list[str]]) -> list[str]:
-    """Segmented words of the host's labels, its last label, and the path's words; digit runs count by their length."""
-    if host not in known:
-        if len(known) > _FLUSH:
-            known.clear()
-        *labels, last = host.split(".")
-        words = [w for label in labels for part in re.findall("[a-z]+|[0-9]+", label) for w in (segment(part, model) if part.isalpha() else [f"#{len(part)}"])]
-        known[host] = [f"h:{w}" for w in words] + [f"t:{last}"]
-    return known[host] + [f"p:#{len(w)}" if w.isdigit() else f"p:{w.lower()}" for w in re.findall(r"[^\W_]+", path)]
+def host_tokens(hosts: DataFrame, corpus_words: DataFrame) -> DataFrame:
+    """(host, of_host) of distinct hosts: the segmented words of the labels, and the last label; digit runs count by their
+    length."""
+    total = math.log10(corpus_words.agg(F.sum("n")).first()[0] or 1)
 
+    @F.pandas_udf("array<string>")
+    def pieces(names: pd.Series) -> pd.Series:
+        return names.map(lambda s: sorted({s[a:b] for a in range(len(s)) for b in range(a + 1, min(len(s), a + LONGEST) + 1)}))
 
-def judge(pages: DataFrame, corpus: DataFrame, url: str = "url", text: str = "text", rules=RULES) -> DataFrame:
-    """``pages`` with host, path, rule and verdict (replaced where such columns are there)."""
-    sc = pages.sparkSession.sparkContext
-    vocabulary = sc.broadcast(unigrams(corpus, text))
+    @F.pandas_udf("array<string>")
+    def segmented(names: pd.Series, known: pd.Series) -> pd.Series:
+        models = ({w["word"]: math.log10(w["n"]) - total for w in (k if k is not None else ())} for k in known)
+        return pd.Series([segment(s, m | {"": total}) for s, m in zip(names, models, strict=True)])
+
+    @F.pandas_udf("array<string>")
+    def together(names: pd.Series, parts: pd.Series) -> pd.Series:
+        def one(host: str, split: dict[str, list[str]]) -> list[str]:
+            *labels, last = host.split(".")
+            runs = [r for label in labels for r in re.findall("[a-z]+|[0-9]+", label)]
+            return [f"h:{w}" for r in runs for w in (split[r] if r.isalpha() else [f"#{len(r)}"])] + [f"t:{last}"]
+
+        return pd.Series([one(h, {x["part"]: list(x["words"]) for x in (p if p is not None else ())}) for h, p in zip(names, parts, strict=True)])
+
+    runs = F.array_distinct(F.regexp_extract_all(F.regexp_replace("host", r"(^|\.)[^.]*$", ""), F.lit("[a-z]+"), F.lit(0)))
+    parts = materialize(hosts.select("host", F.explode(runs).alias("part")), "parts")
+    names = parts.select("part").distinct()
+    found = _looked_up(names.select("part", F.explode(pieces("part")).alias("word")), "word", corpus_words, VOCABULARY)
+    found = found.groupBy("part").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    words = materialize(names.join(found, "part", "left").select("part", segmented("part", "known").alias("words")), "segments")
+    split_hosts = _joined(parts, words, ["part"]).groupBy("host").agg(F.collect_list(F.struct("part", "words")).alias("parts"))
+    return hosts.join(split_hosts, "host", "left").select("host", together("host", "parts").alias("of_host"))
+
+
+def path_tokens(path: Column) -> Column:
+    """The path's words; digit runs count by their length."""
 
     @F.pandas_udf("array<string>")
-    def tokenized(hosts: pd.Series, paths: pd.Series) -> pd.Series:
-        known: dict[str, list[str]] = {}
-        return pd.Series([tokens(h, p, vocabulary.value, known) for h, p in zip(hosts, paths, strict=True)])
+    def found(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: [f"p:#{len(w)}" if w.isdigit() else f"p:{w.lower()}" for w in re.findall(r"[^\W_]+", p)])
 
+    return found(path)
+
+
+def judge(pages: DataFrame, corpus: DataFrame, url: str = "url", text: str = "text", rules=RULES) -> DataFrame:
+    """``pages`` with host, path, rule and verdict (replaced where such columns are there)."""
     host, path = split(F.col(url))
     parsed = pages.withColumns({"host": host, "path": path})
     rule, verdict = match(F.col("host"), F.col("path"), rules)
     decided = parsed.withColumns({"rule": rule, "verdict": verdict})
 
-    train = decided.select("host", "path", "verdict").filter(F.col("verdict").isNotNull())
-    priors = {r[0]: r[1] for r in train.groupBy("verdict").count().collect()}
-    counts = train.select(F.explode(tokenized("host", "path")).alias("token"), (F.col("verdict") == "block").alias("bad"))
-    counts = counts.groupBy("token").agg(F.count_if("bad").alias("block"), F.count_if(~F.col("bad")).alias("allow"))
-    counts = materialize(counts.withColumn("n", F.col("block") + F.col("allow")), "tokens")
-    top = most_frequent(counts, "n", FEATURES).collect()  # at most FEATURES rows
-    sums = {k: sum(r[k] for r in top) + len(top) + 1 for k in ("block", "allow")}
-    rest = math.log(sums["allow"] / sums["block"])  # an unseen token, with add-one smoothing
-    odds = sc.broadcast({r["token"]: math.log((r["block"] + 1) / (r["allow"] + 1)) + rest for r in top})
-    prior = math.log((priors.get("block", 0) + 1) / (priors.get("allow", 0) + 1))
-
-    @F.pandas_udf("double")
-    def scored(hosts: pd.Series, paths: pd.Series) -> pd.Series:
-        known: dict[str, list[str]] = {}
-        return pd.Series([prior + sum(odds.value.get(t, rest) for t in tokens(h, p, vocabulary.value, known)) for h, p in zip(hosts, paths, strict=True)], dtype="float64")
-
-    score = F.when(F.col("verdict").isNull(), F.when(F.col("host") == "", F.lit(prior)).otherwise(scored("host", "path")))
-    return decided.withColumn("verdict", F.coalesce("verdict", F.when(score > 0, "block").otherwise("allow")))
+    urls = materialize(decided.groupBy("host", "path", "verdict").agg(F.count("*").alias("n")), "urls")
+    hosts = materialize(urls.filter("host <> ''").select("host").distinct(), "hosts")
+    split_hosts = materialize(host_tokens(hosts, unigrams(corpus, text)), "split")
+    words = F.concat(F.coalesce("of_host", F.array().cast("array<string>")), path_tokens(F.col("path")))
+    urls = materialize(_joined(urls, split_hosts, ["host"]).select("host", "path", "verdict", "n", words.alias("tokens")), "tokens")
+
+    priors = {r[0]: r[1] for r in urls.groupBy("verdict").agg(F.sum("n")).collect()}
+    counts = urls.filter("verdict is not null").select(F.explode("tokens").alias("token"), (F.col("verdict") == "block").alias("bad"), "n")
+    counts = counts.groupBy("token").agg(*(F.sum(F.when(F.col("bad") == bad, F.col("n")).otherwise(0)).alias(k) for k, bad in (("block", True), ("allow", False))))
+    counts = materialize(counts, "counts")
+    sums = counts.agg(F.count("*").alias("size"), *(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("block", "allow"))).first()
+    rest = round(UNIT * math.log((sums["allow"] + sums["size"] + 1) / (sums["block"] + sums["size"] + 1)))  # a token without evidence, with add-one smoothing
+    prior = round(UNIT * math.log((priors.get("block", 0) + 1) / (priors.get("allow", 0) + 1)))
+
+    open_ = urls.filter("verdict is null and size(tokens) > 0")
+    odds = counts.select("token", F.round(UNIT * (F.log(F.col("block") + 1) - F.log(F.col("allow") + 1))).cast("long").alias("odds"))
+    seen = _looked_up(open_.select("host", "path", F.explode("tokens").alias("token")), "token", odds, FEATURES).select("host", "path", "odds")
+    unseen = open_.select("host", "path", (F.size("tokens").cast("long") * F.lit(rest)).alias("odds"))
+    scores = materialize(seen.unionByName(unseen).groupBy("host", "path").agg(F.sum("odds").alias("_score")), "scores")
+    out = _joined(decided, scores, ["host", "path"])
+    judged = F.when(F.coalesce("_score", F.lit(0)) + F.lit(prior) > 0, "block").otherwise("allow")
+    return out.withColumn("verdict", F.coalesce("verdict", judged)).select(*decided.columns)
 
 
 def digest(pages: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -326,6 +326,19 @@ def test_urls(spark, docs):
     assert urls.segment("spamfarm", model) == ["spam", "farm"] and urls.segment("", model) == [] and urls.segment("qqspam", model) == ["qq", "spam"]
 
 
+def test_urls_keep_all_evidence(spark, monkeypatch):
+    corpus = spark.createDataFrame([("rare farm " + "the " * 50,), ("common " * 30 + "farm site",)], "text string")
+    made = [f"http://{w}site.shop.com/en/{i}" for w in ("the", "common") for i in range(20)] + [f"http://{w}site.shop.net/de/{i}" for w in ("the", "common") for i in range(20)]
+    made += ["http://rarefarm.x.com/en/bad"] * 3 + ["http://x.net/de/fine"] * 3
+    asked = ["http://rarefarm.q.info/", "http://q.info/fr/bad", "http://q.info/fr/fine", "x:///bad", "x:///fine", None]
+    pages = spark.createDataFrame(list(enumerate(made + asked)), "page_id long, url string")
+    for size in (1, 100_000):
+        monkeypatch.setattr(urls, "FEATURES", size)
+        monkeypatch.setattr(urls, "VOCABULARY", size)
+        got = {r.page_id - len(made): r.verdict for r in urls.digest(pages, corpus).collect()}
+        assert [got[i] for i in range(6)] == ["block", "block", "allow", "block", "allow", "allow"]
+
+
 def test_lm(docs, rows):
     got = lm.score(docs).collect()
     tokens = lambda t: (t or "").encode().lower().split() + [b"\n"]
