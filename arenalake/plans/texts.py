@@ -64,7 +64,7 @@ def directives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def message_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Lens(spark, sf_dir).messages
-    marked = F.when(F.col("seq") == 1, F.concat(F.lit("The match has begun! "), "message")).when(F.col("seq") == 3, F.concat("message", F.lit(" the MATCH IS OVER"))).otherwise(F.substring("message", 1, 3))
+    marked = F.when(F.col("seq") == 1, F.concat(F.lit("The match has begun! "), "message")).when(F.col("seq") == 3, F.concat("message", F.lit(" the MATCH IS OVER"))).otherwise(F.col("message"))
     return K.match_bounds(m.select("match_id", (F.col("seq") * 1000).cast("int").alias("t_ms"), "seq", marked.alias("message")))
 
 

@@ -8,6 +8,7 @@ from arenalake.operators import buckets as B
 from arenalake.operators import identity as I
 from arenalake.operators import kills as K
 from arenalake.operators import pickups as U
+from arenalake.plans import texts
 from arenalake.sources import files
 
 
@@ -95,3 +96,9 @@ def test_files(spark, tmp_path):
     assert {(r.loc_id, r.region) for r in files.loc_regions(points, regions).collect()} == {(0, "A"), (1, "B")}
     blocks = spark.createDataFrame([("m", 0, "2}"), ("m", 1, '{"a":'), ("n", 1, "{")], "match_id string, num int, content string")
     assert {r.match_id: r.board and r.board.a for r in files.join_blocks(blocks, "a int").collect()} == {"m": 2, "n": None}
+
+
+def test_message_bounds_reads_whole_messages(spark, tmp_path):
+    rows = [(1, 1, "user", "hello"), (1, 2, "user", "now the match is over"), (1, 3, "user", "bye"), (2, 2, "user", "The match has begun!")]
+    spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {tuple(r) for r in texts.message_bounds(spark, str(tmp_path)).select("match_id", "start_ms", "end_ms").collect()} == {(1, 1000, 2000), (2, 2000, None)}
