@@ -39,15 +39,14 @@ def _stride(length: Column) -> Column:
 def hash_set(benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
     """(h, back, item, window): gram hashes, how far before the gram its window starts, and the window's words.
 
-    Hashes are taken after full lower-casing, which merges whatever A-Z lower-casing merges and maybe more; the
-    verification compares words lower-cased in A-Z only.
+    Hashes are taken of the words that the verification compares, lower-cased in A-Z only.
     """
-    both = benchmark.filter(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), _words(_lowered(F.col(text))).alias("w"), _words(F.lower(text)).alias("v"))
+    both = benchmark.filter(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), _words(_lowered(F.col(text))).alias("w"))
     size = F.least(F.lit(WINDOW), F.size("w"))
-    windows = both.filter(F.size("w") > 0).select("item", "w", "v", size.alias("size"), F.explode(F.sequence(F.lit(1), F.size("w") - size + 1)).alias("at"))
+    windows = both.filter(F.size("w") > 0).select("item", "w", size.alias("size"), F.explode(F.sequence(F.lit(1), F.size("w") - size + 1)).alias("at"))
     s = _stride(F.col("size"))
-    grams = windows.select("item", "size", F.slice("w", F.col("at"), F.col("size")).alias("window"), "v", "at", s.alias("s"), F.explode(F.sequence(F.lit(0), s - 1)).alias("back"))
-    gram = F.slice("v", F.col("at") + F.col("back"), F.col("size") - F.col("s") + 1)
+    grams = windows.select("item", "size", F.slice("w", F.col("at"), F.col("size")).alias("window"), "w", "at", s.alias("s"), F.explode(F.sequence(F.lit(0), s - 1)).alias("back"))
+    gram = F.slice("w", F.col("at") + F.col("back"), F.col("size") - F.col("s") + 1)
     return grams.select(F.xxhash64("size", gram).alias("h"), "back", "item", "window").distinct()
 
 
@@ -65,7 +64,7 @@ def _candidates(docs: DataFrame, grams: DataFrame, text: str) -> DataFrame:
     none = F.expr("cast(array() as array<struct<at:int,h:bigint>>)")
     probes = lambda w: F.concat(none, *(grams_of(w, size) for size in sizes))
     # generated once a text: the words live in a lambda variable
-    rows = docs.select("doc_id", F.explode(let(_words(F.lower(text)), probes)).alias("p")).select("doc_id", "p.at", "p.h")
+    rows = docs.select("doc_id", F.explode(let(_words(_lowered(F.col(text))), probes)).alias("p")).select("doc_id", "p.at", "p.h")
     small = table_bytes(docs.sparkSession, grams) <= BROADCAST_BYTES
     hits = rows.join(F.broadcast(grams) if small else grams, "h")
     one = F.struct((F.col("at") - F.col("back")).alias("at"), "item", "window")

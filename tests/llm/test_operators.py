@@ -314,6 +314,13 @@ def test_decontaminate(docs, rows, benchmark):
     assert out.columns == docs.columns and out.count() == sum(n for k, n in want.items() if not k[5])
 
 
+def test_decontaminate_lowers_a_to_z_only(spark):
+    item = "ΟΔΟΣ Alpha Beta"
+    docs = spark.createDataFrame([(1, item.replace("Σ ", "Σ.Χ ", 1)), (2, item.replace("Σ ", "Σ'", 1)), (3, item.upper())], "doc_id long, text string")
+    marks = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontaminate.judge(docs, marks).collect()} == {1: 0, 2: 3, 3: 3}
+
+
 def test_urls(spark, docs):
     made = ["https://Blog.Example.com/en/7x?q#y", "http://a.example.com/en/8", "http://example.com", "x.com/en/", None, "http://net/de/1", "http://x.example.net/de/8", "http://notnet/de/1", "https://spamfarm.example.org/es/1", "ftp://u/en/://b/c", "http://goodsite.example.info/fr/2"] + [f"http://spam.shop{i}.com/en/{i}" for i in range(20)] + [f"http://good.site{i}.net/de/{i}" for i in range(20)]
     pages = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
