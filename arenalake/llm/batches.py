@@ -25,6 +25,26 @@ def small(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE) ->
             at = to
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """The rows of each key (the first ``n_keys`` integer columns) of a partition that is sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = [batch.column(i).to_numpy() for i in range(n_keys)]
+        new = np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
+        for a, b in zip(new.tolist(), np.append(new[1:], len(batch)).tolist(), strict=True):
+            key = tuple(k[a] for k in keys)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def deal(bucket: np.ndarray, columns: list[np.ndarray], strings: list[bytes] | None = None, gap: bytes = b"") -> pa.RecordBatch:
     """(bucket, payload): the columns and strings of each bucket, compressed together."""
     pack = zstandard.ZstdCompressor(level=3 if strings else 1)

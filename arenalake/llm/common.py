@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space between words; everything else belongs to a word.
 WORD_GAP = r"[\x20\x09-\x0D]+"
+BROADCAST_BYTES = 32 << 20  #: what a broadcast table may hold in memory, by its rows and their width
 
 
 def words(text: Column) -> Column:
@@ -75,6 +76,11 @@ def drop(spark: SparkSession, paths: list[str], reader: DataFrame) -> None:
             _path(spark, path, lambda fs, p: fs.delete(p, True))
 
 
+def few(table: DataFrame, width: int = 64) -> DataFrame:
+    """A materialized table, to be broadcast if its rows, of about ``width`` bytes in memory, are bounded."""
+    return F.broadcast(table) if table.count() * width <= BROADCAST_BYTES else table
+
+
 def table_bytes(spark: SparkSession, df: DataFrame) -> int:
     """Bytes of the files that a materialized table reads."""
     total = 0

@@ -1,21 +1,23 @@
 """N-gram Jaccard self-join by PartEnum signatures.
 
-Sets of five-word shingles with |A & B| / |A | B| >= 0.75 differ in at most (|A| + |B|) / 7 elements.  Sets of one size
-band partition the shingle domain alike; a set's signatures are its nonempty parts, each with all the shingles in it.
-Every difference spoils one part at most, so similar sets agree in all nonempty parts but (|A| + |B|) / 7, and of the
-parts in one order for all sets each set needs to emit only one more than |A| / 3.  The order puts parts that many
-documents share last (shared passages), which changes the work but never the result: the lemma holds for any order.
-Bands overlap so that every pair within the size ratio has a band in common; the sets of the smallest bands have every
-shingle as a part, the others so many parts that none of their sets has too few nonempty ones.
+Sets of five-word shingles with |A & B| / |A | B| >= 0.75 differ in at most (|A| + |B|) / 7 elements.  The first pass has
+PartEnum's smallest parameters, one second-level part: sets of one size band partition the shingle domain alike, and a
+signature is a nonempty part with all the set's shingles in it.  Every difference spoils one part at most, so of the
+parts in one order for all sets each set emits one more than |A| / 3.  The order puts parts that many documents share
+last (shared passages), which changes the work but never the result: the lemma holds for any order.  Bands overlap so
+that every pair within the size ratio has a band in common.
+
+Sets that share a signature are candidates; equal sets are one node from the start.  First every member of a group is
+verified against the group's first member (of about its size), which joins groups of near copies by stars.  Groups of up
+to HOT members that still hold several components are compared where they meet.  The sets of larger groups, whatever
+their number, are joined through more hubs and then signed again, with second-level parts and all their subsets
+(``enumerated``), which tells sets apart that have a passage in common.  What then still crowds, near copies about the
+threshold, is signed by its rarest shingles (``prefixes``).  Every pass is exact: no pair at the threshold is lost, and
+members of one component are never paired.
 
 Parities of the shingle counts in some cells bound the difference of two sets from below; a candidate that the bound
 rules out is dropped before any words travel.
 
-Sets that share a signature are candidates; equal sets are one node from the start.  First every member of a group is
-verified against the group's first member (of about its size), which joins groups of near copies by stars.  Then members
-of different components that still share a signature are verified against each other.  Only then are links complete
-enough for the components to be exact, and never are all pairs inside a known component made.
-
 Each row is a document.  Null and blank texts have the empty set, which is linked with nothing; with fewer than five
 words the whole sequence is the one shingle.  Repeated rows and ids are documents of equal sets.  Long texts are whole.
 """
@@ -23,17 +25,17 @@ words the whole sequence is the one shingle.  Repeated rows and ids are document
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import SLICE, small
-from .common import materialize, most_frequent, table_bytes
+from .batches import SLICE, runs_of, small
+from .common import few, materialize, most_frequent
 from .graph import components
 
 SHINGLE = 5
@@ -43,7 +45,11 @@ FINE = 2  #: the sets of so many smallest bands have their shingles as parts
 SAMPLE = 8  #: one document in so many helps to find much-shared parts (for their order only)
 SHARED = 400_000  #: much-shared parts that every task knows (3 MB)
 ROWS = 1 << 20  #: signatures in a partition, about
-BROADCAST_BYTES = 8 << 20  #: lists whose Parquet files are larger are joined by a shuffle
+HOT = 64  #: members of a group that are compared where they meet; sets of larger groups are enumerated
+HUBS = 8  #: stars of a family of sets that share large groups
+SECOND, SPOILT = 4, 2  #: enumeration: second-level parts, and how many of them may differ
+STEP = 1.1  #: ratio of neighbouring size steps of the prefixes
+BLOCK = 1024  #: members of a large group that are compared together
 _CACHE = 200_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -131,6 +137,78 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)  # its halves, word by word, make the sketch of half the cells
 
 
+def enumerated(h: np.ndarray) -> np.ndarray | None:
+    """Enumerated subsets: FIRST-level parts of SECOND parts each, of which any SECOND - SPOILT form a signature.
+
+    Sets sign in their own size class and the next one.  A pair differs in k elements at most, so of any k // (SPOILT + 1)
+    + 1 first-level parts one is spoilt in SPOILT second-level parts at most, and one of its subsets is equal in both
+    sets.  Empty subsets are left out; so a set takes more first-level parts, until those without an empty subset decide.
+    Where they can't, the answer is None: such a set needs another way.
+    """
+    n, out = len(h), []
+    own = int(np.floor(np.log(n) / np.log(RATIO) + 1e-9))
+    for size_class in (own, own + 1):
+        top = RATIO ** (size_class + 1)
+        k = int((n + min(top, RATIO * n)) / 7 + 1e-9)
+        parts = int(2 * top / 7) // (SPOILT + 1) + 1
+        code = _mix(h + np.uint64(size_class + 101)) >> np.uint64(1)
+        cell = ((code % np.uint64(parts)) * np.uint64(SECOND) + (code // np.uint64(parts)) % np.uint64(SECOND)).astype(np.int64)
+        sums = np.zeros(parts * SECOND, np.uint64)
+        np.add.at(sums, cell, h * _ODD[1])
+        subsets = np.array(list(combinations(range(SECOND), SECOND - SPOILT)))
+        full = np.bincount(cell, minlength=parts * SECOND).reshape(parts, SECOND)[:, subsets].sum(axis=2) > 0
+        enough = np.flatnonzero(np.arange(1, parts + 1) - k // (SPOILT + 1) > np.cumsum(~full.all(axis=1)))
+        if not len(enough):
+            return None
+        at = np.arange(enough[0] + 1)
+        sig = sums.reshape(parts, SECOND)[at][:, subsets].sum(axis=2) + at[:, None].astype(np.uint64) * _ODD[0] + np.arange(len(subsets), dtype=np.uint64) * _ODD[2]
+        out.append(_mix(sig[full[at]] + np.array([size_class], np.uint64) * _ODD[3]))
+    return (np.concatenate(out) & ~np.uint64(63)) | np.uint64(min(63, own))
+
+
+def prefixes(h: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Signatures of (shingle, size step): the set's first shingles by rank, unranked ones before, for every step of sizes
+    from three quarters of its own on; of two similar sets the first common shingle is among them.
+    """
+    n = len(h)
+    spot = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+    place = np.where(known[spot] == h, rank[spot], 0) if len(known) else np.zeros(n, np.int64)
+    ordered = h[np.lexsort((h, place))]
+    step = lambda size: int(np.floor(np.log(size) / np.log(STEP) + 1e-9))
+    out = []
+    for s in range(step(-(-3 * n // 4)), step(n) + 1):
+        least = max(0.75 * n, STEP**s - 1e-6)
+        first = ordered[: int(n - 3 * (n + least) / 7 + 1e-6) + 1]
+        out.append(_mix(first + np.array([s], np.uint64) * _ODD[4] + np.uint64(7)))
+    return np.concatenate(out) & ~np.uint64(63)
+
+
+def fitting(n: np.ndarray, comp: np.ndarray, side: np.ndarray | None, sketches: list) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of different components (and sides) whose sizes and sketches allow them to be similar."""
+    order = np.argsort(n, kind="stable")
+    n, comp, side = n[order], comp[order], None if side is None else side[order]
+    own = [np.asarray(sketches[i], np.int64).view(np.uint64) for i in order]
+    width = np.array([len(x) for x in own])
+    ends = np.searchsorted(n, 4 * n // 3, side="right")
+    at = {w: np.zeros((len(n), w), np.uint64) for w in np.unique(width).tolist()}
+    for i, x in enumerate(own):
+        at[len(x)][i] = x
+        if len(x) // 2 in at:
+            at[len(x) // 2][i] = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    one, two = [], []
+    for i, end in enumerate(ends.tolist()):
+        js = np.arange(i + 1, end)
+        js = js[(comp[js] != comp[i]) & (True if side is None else side[js] != side[i])]
+        if len(js):
+            marks = at[width[i]]
+            apart = np.bitwise_count(marks[js] ^ marks[i]).sum(axis=1)
+            js = js[7 * apart.astype(np.int64) <= n[i] + n[js]]
+            one.append(np.full(len(js), i))
+            two.append(js)
+    empty = np.zeros(0, np.int64)
+    return order[np.concatenate([empty, *one])], order[np.concatenate([empty, *two])]
+
+
 def _signed(h: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(h).view(np.int64)
 
@@ -217,13 +295,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     The words of b travel to a; where a has many partners, they are split and a's words are sent along with each part.
     """
-    spark = pairs.sparkSession
     pairs = materialize(pairs, "plausible")
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / 200).alias("splits"))
     pairs = materialize(pairs.join(many, "a").select("a", "b", F.pmod(F.hash("b"), F.col("splits")).cast("int").alias("salt")), "pairs")
-    nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
-    if table_bytes(spark, nodes) <= BROADCAST_BYTES:
-        nodes = F.broadcast(nodes)
+    nodes = few(materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes"))
     own = sets.select("node", "packed").join(nodes, "node", "left_semi")
     heads = pairs.select("a", "salt").distinct().join(own.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "packed")
     rows = pairs.join(own.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "packed").unionByName(heads)
@@ -249,6 +324,76 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.select("a", "b", "packed").mapInArrow(run, "a long, b long")
 
 
+def _apart(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, node, m): groups of m members that hold several components; of the groups with the same members one."""
+    members = groups.select(F.shiftright("sig", 6).alias("key"), "node").distinct().join(few(known.select("node", "comp")), "node")
+    same = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("all")]
+    apart = members.groupBy("key").agg(*same).filter("lo < hi")
+    apart = apart.groupBy("lo", "hi", "m", "all").agg(F.min("key").alias("key")).select("key", "m")
+    return members.join(apart, "key").select("key", "node", "m")
+
+
+def _families(crowds: DataFrame) -> DataFrame:
+    """(a, b): every node of large groups with HUBS others of its family, the nodes that share its smallest group key."""
+    own = materialize(crowds.groupBy("node").agg(F.min("key").alias("family")), "families")
+    hubs = own.groupBy("family", F.pmod(F.hash("node"), F.lit(HUBS))).agg(F.min("node").alias("a")).select("family", "a")
+    return own.join(few(materialize(hubs, "hubs")), "family").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+
+
+def _signed_sets(sets: DataFrame, chosen: DataFrame, sign) -> DataFrame:
+    """(sig, node) of the chosen nodes, by ``sign`` (shingles -> signatures); a null sig where it gives None."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, unpacker = _Hashes(), zstandard.ZstdDecompressor()
+        for batch in small(batches, 1, SLICE // 3):
+            sets_ = shingle_sets([unpacker.decompress(z) for z in batch.column(1).to_pylist()], hashes)
+            sigs = [sign(h) for h in sets_]
+            weak = np.array([sig is None for sig in sigs], bool)
+            sizes = [1 if sig is None else len(sig) for sig in sigs]
+            flat = np.concatenate([np.zeros(0, np.uint64), *(np.zeros(1, np.uint64) if sig is None else sig for sig in sigs)])
+            yield pa.RecordBatch.from_pydict({"sig": pa.array(_signed(flat), pa.int64(), mask=np.repeat(weak, sizes)), "node": np.repeat(batch.column(0).to_numpy(), sizes)})
+
+    return sets.join(few(chosen), "node", "left_semi").select("node", "packed").mapInArrow(run, "sig long, node long")
+
+
+def _prefixed(sets: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(sig, node) by prefixes: the chosen nodes' rarest shingles, as many as a similar set of each size can miss."""
+
+    def shingles(h: np.ndarray) -> np.ndarray:
+        return h
+
+    often = _signed_sets(sets, chosen, shingles).groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")
+    often = most_frequent(materialize(often, "crowded"), "n", SHARED).toPandas().sort_values(["n", "sig"])  # at most SHARED rows
+    keys = often["sig"].to_numpy(np.int64).view(np.uint64)
+    by_key = np.argsort(keys)
+    order = sets.sparkSession.sparkContext.broadcast((keys[by_key], (by_key + 1).astype(np.int64)))
+    return _signed_sets(sets, chosen, lambda h: prefixes(h, *order.value))
+
+
+def _compare(members: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): members of one group and different components whose sizes and sketches fit; large groups meet in blocks."""
+    rows = members.join(few(known), "node").join(sets.select("node", "sketch"), "node")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.hash("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "comp", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs_of(batches, 3):
+            i, j, own, node, n, comp = (group.column(c).to_numpy() for c in range(1, 7))
+            a, b = fitting(n, comp, own if i[0] != j[0] else None, group.column(7).to_pylist())
+            yield pa.RecordBatch.from_pydict({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
+
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, n, comp) of all nodes."""
+    comps = few(components(links))
+    known = nodes.select(F.col("row").alias("node"), "n").join(comps, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"))
+    return materialize(known, "known")
+
+
 def join(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links), one row a document."""
     spark = docs.sparkSession
@@ -258,39 +403,40 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
 
     read = materialize(read_sets(docs, text, shared).withColumn("row", F.monotonically_increasing_id()), "sets")
     nodes = materialize(read.filter("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"), F.first("n").alias("n")), "nodes")
-    firsts = nodes.select("row")
-    firsts = F.broadcast(firsts) if table_bytes(spark, nodes) <= BROADCAST_BYTES else firsts
-    sets = read.join(firsts, "row", "left_semi").select(F.col("row").alias("node"), "packed", "n", "sketch", "sigs")
+    sets = read.join(few(nodes.select("row")), "row", "left_semi").select(F.col("row").alias("node"), "packed", "n", "sketch", "sigs")
 
     total = nodes.agg(F.sum(F.floor(F.col("n") / 3) + 1)).first()[0] or 0
-    sigs = sets.select(F.explode("sigs").alias("sig"), "node")
-    groups = materialize(_groups(sigs, max(spark.sparkContext.defaultParallelism, -(-total // ROWS))), "groups")
+    partitions = max(spark.sparkContext.defaultParallelism, -(-total // ROWS))
+    groups = materialize(_groups(sets.select(F.explode("sigs").alias("sig"), "node"), partitions), "groups")
     stars = materialize(groups.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     links = materialize(verified(_plausible(stars, sets), sets), "links")
-
-    # what the stars left apart: pairs of different components that share a signature and have fitting sizes
-    comps = components(links)
-    known = nodes.select(F.col("row").alias("node"), F.col("n")).join(comps, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"))
-    known = materialize(known, "comps")
-    known = F.broadcast(known) if table_bytes(spark, known) <= BROADCAST_BYTES else known
-    members = groups.select(F.shiftright("sig", 6).alias("key"), "node").join(known, "node")
-    same = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("all")]
-    apart = members.groupBy("key").agg(*same).filter("lo < hi")
-    apart = apart.groupBy("lo", "hi", "m", "all").agg(F.min("key").alias("key")).select("key")  # of groups with the same members one
-    members = members.join(apart, "key").join(sets.select("node", "sketch"), "node")
-    members = materialize(members.select("key", "node", "n", "comp", "sketch"), "members")
-    one, two = (members.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp", "sketch")]) for s in "ab")
-    # the bound stands in the join's condition: pairs that it rules out are never made
-    fits = (one["key"] == two["key"]) & (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b"))
-    fits = fits & _near(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"))
-    rest = one.join(two, fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    known = _labels(nodes, links)
+    members = materialize(_apart(groups, known), "members")
+
+    # groups of more than HOT members: joined through several hubs, then told apart by enumerated subsets, then by prefixes
+    crowds = materialize(members.filter(F.col("m") > HOT), "crowds")
+    members = members.filter(F.col("m") <= HOT)
+    if crowds.head(1):
+        more = materialize(_families(crowds).join(stars, ["a", "b"], "left_anti"), "stars")
+        links = materialize(links.unionByName(verified(_plausible(more, sets), sets)), "links")
+        stars, known = stars.unionByName(more), _labels(nodes, links)
+        for level, sign in enumerate((lambda chosen: _signed_sets(sets, chosen, enumerated), lambda chosen: _prefixed(sets, chosen))):
+            chosen = materialize(crowds.select("node").distinct(), "crowd")
+            sigs = materialize(sign(chosen), "signatures")
+            found = materialize(_apart(_groups(sigs.filter("sig is not null"), partitions), known), "members")
+            if level:
+                members = members.unionByName(found)
+                break
+            members = members.unionByName(found.filter(F.col("m") <= HOT))
+            weak = sigs.filter("sig is null").select(F.lit(0).cast("long").alias("key"), "node", F.lit(0).cast("long").alias("m"))
+            crowds = found.filter(F.col("m") > HOT).unionByName(weak)
+    rest = materialize(_compare(members, known, sets).join(stars, ["a", "b"], "left_anti"), "rest")
     links = materialize(links.unionByName(verified(rest, sets)), "links")
 
-    comps = components(links).withColumnRenamed("node", "row")
-    joined = nodes.join(comps, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
+    comps = _labels(nodes, links).select(F.col("node").alias("row"), "comp")
+    joined = nodes.join(comps, "row")
     least = joined.groupBy("comp").agg(F.min("least").alias("component_id"))
-    classes = materialize(joined.join(least, "comp").select("node", "component_id"), "classes")
-    classes = F.broadcast(classes) if table_bytes(spark, classes) <= BROADCAST_BYTES else classes
+    classes = few(materialize(joined.join(least, "comp").select("node", "component_id"), "classes"))
     out = read.select("doc_id", "n", "node").join(classes, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -300,7 +446,7 @@ def dedupe(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A component without any id stays whole.
     """
-    gone = materialize(join(docs, text).filter("component_id < doc_id or (doc_id is null and component_id is not null)").select("doc_id").distinct(), "gone")
-    gone = F.broadcast(gone) if table_bytes(docs.sparkSession, gone) <= BROADCAST_BYTES else gone
-    gone = gone.withColumnRenamed("doc_id", "gone_id")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    gone = join(docs, text).filter("component_id < doc_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_gone_id")).distinct()
+    gone = few(materialize(gone, "gone"))
+    row = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"))
+    return row.join(gone, F.col("_id").eqNullSafe(F.col("_gone_id")), "left_anti").select(*(F.col("_row")[c].alias(c) for c in docs.columns))

@@ -272,7 +272,49 @@ def test_jaccard_chain_and_stars(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()} == jaccard_model(rows)
 
 
+def test_jaccard_crowds(spark, monkeypatch):
+    rnd = random.Random(8)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(50):  # a family about the threshold, some of it far out
+        t = list(base)
+        for k in rnd.sample(range(120), rnd.choice([1, 2, 4, 7])):
+            t[k] = f"e{i}_{k}"
+        rows.append((i, " ".join(t)))
+    rows += [(100 + i, " ".join([f"p{k}" for k in range(70)] + [f"q{i}_{k}" for k in range(40)])) for i in range(25)]
+    rows += [(200 + i, " ".join(base[:6] + [f"y{i % 5}"])) for i in range(12)] + [(300, None)]
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), jaccard_model(rows)
+    assert len({c for i, (_, c) in want.items() if i < 50}) > 3
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    for hot in (1, 5):
+        monkeypatch.setattr(jaccard, "HOT", hot)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()} == want
+
+
+def test_signatures_of_similar_sets():
+    rng = np.random.default_rng(6)
+    decided = 0
+    for _ in range(1500):
+        n = int(rng.integers(1, rng.choice([12, 60, 500])))
+        a = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+        gone = int(rng.integers(0, n // 4 + 1))
+        b = np.unique(np.concatenate([a[rng.permutation(n)[gone:]], rng.integers(0, 1 << 62, int(rng.integers(0, n // 3 + 1)), dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if 100 * both < 75 * (len(a) + len(b) - both):
+            continue
+        known = np.sort(rng.permutation(np.union1d(a, b))[: n // 2])
+        rank = rng.permutation(len(known)) + 1
+        x, y = jaccard.prefixes(a, known, rank), jaccard.prefixes(b, known, rank)
+        assert len(np.intersect1d(x, y))
+        x, y = jaccard.enumerated(a), jaccard.enumerated(b)
+        if x is not None and y is not None:
+            decided += 1
+            assert len(np.intersect1d(x >> np.uint64(6), y >> np.uint64(6)))
+    assert decided > 200
+
+
 def test_jaccard_dedupe_keeps_rows(docs):
+    assert jaccard.dedupe(docs.withColumns({"_gone_id": F.lit(1), "_row": F.lit(2)})).columns == [*docs.columns, "_gone_id", "_row"]
     out = jaccard.dedupe(docs)
     ids = [r.doc_id for r in out.collect()]
     assert out.columns == docs.columns and 1 not in ids and 0 in ids and None in ids and ids.count(6) == 1
