@@ -48,6 +48,7 @@ ROWS = 1 << 20  #: signatures in a partition, about
 HOT = 64  #: members of a group that are compared where they meet; sets of larger groups are enumerated
 HUBS = 8  #: stars of a family of sets that share large groups
 SECOND, SPOILT = 4, 2  #: enumeration: second-level parts, and how many of them may differ
+NEAREST = 2  #: rounds in which members are joined with their nearest ones
 STEP = 1.1  #: ratio of neighbouring size steps of the prefixes
 BLOCK = 1024  #: members of a large group that are compared together
 _CACHE = 200_000
@@ -183,8 +184,11 @@ def prefixes(h: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.concatenate(out) & ~np.uint64(63)
 
 
-def fitting(n: np.ndarray, comp: np.ndarray, side: np.ndarray | None, sketches: list) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of different components (and sides) whose sizes and sketches allow them to be similar."""
+def fitting(n: np.ndarray, comp: np.ndarray, side: np.ndarray | None, sketches: list, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of different components (and sides) whose sizes and sketches allow them to be similar.
+
+    ``nearest``: of each member's pairs only the one whose sketches differ least.
+    """
     order = np.argsort(n, kind="stable")
     n, comp, side = n[order], comp[order], None if side is None else side[order]
     own = [np.asarray(sketches[i], np.int64).view(np.uint64) for i in order]
@@ -202,7 +206,10 @@ def fitting(n: np.ndarray, comp: np.ndarray, side: np.ndarray | None, sketches:
         if len(js):
             marks = at[width[i]]
             apart = np.bitwise_count(marks[js] ^ marks[i]).sum(axis=1)
-            js = js[7 * apart.astype(np.int64) <= n[i] + n[js]]
+            fit = 7 * apart.astype(np.int64) <= n[i] + n[js]
+            js, apart = js[fit], apart[fit]
+            if nearest:
+                js = js[np.argsort(apart, kind="stable")[:1]]
             one.append(np.full(len(js), i))
             two.append(js)
     empty = np.zeros(0, np.int64)
@@ -370,28 +377,28 @@ def _prefixed(sets: DataFrame, chosen: DataFrame) -> DataFrame:
     return _signed_sets(sets, chosen, lambda h: prefixes(h, *order.value))
 
 
-def _compare(members: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): members of one group and different components whose sizes and sketches fit; large groups meet in blocks."""
-    rows = members.join(few(known), "node").join(sets.select("node", "sketch"), "node")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = rows.withColumn("own", F.pmod(F.hash("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "comp", "sketch")
+def _compare(rows: DataFrame, known: DataFrame, nearest: bool) -> DataFrame:
+    """(a, b): members of one group and different components that are ``fitting``; large groups meet in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs_of(batches, 3):
             i, j, own, node, n, comp = (group.column(c).to_numpy() for c in range(1, 7))
-            a, b = fitting(n, comp, own if i[0] != j[0] else None, group.column(7).to_pylist())
+            a, b = fitting(n, comp, own if i[0] != j[0] else None, group.column(7).to_pylist(), nearest)
             yield pa.RecordBatch.from_pydict({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
 
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = rows.join(few(known), "node").select("key", "i", "j", "own", "node", "n", "comp", "sketch")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, n, comp) of all nodes."""
-    comps = few(components(links))
-    known = nodes.select(F.col("row").alias("node"), "n").join(comps, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"))
-    return materialize(known, "known")
+def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``known`` (node, n, comp) with the components that the links join."""
+    for side in "ab":
+        own = few(known.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}")))
+        links = links.join(own, side)
+    comps = components(links.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).filter("a <> b").distinct())
+    comps = few(comps.withColumnsRenamed({"comp": "top", "node": "comp"}))
+    return materialize(known.join(comps, "comp", "left").select("node", "n", F.coalesce("top", "comp").alias("comp")), "known")
 
 
 def join(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -409,8 +416,8 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     partitions = max(spark.sparkContext.defaultParallelism, -(-total // ROWS))
     groups = materialize(_groups(sets.select(F.explode("sigs").alias("sig"), "node"), partitions), "groups")
     stars = materialize(groups.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = materialize(verified(_plausible(stars, sets), sets), "links")
-    known = _labels(nodes, links)
+    known = nodes.select(F.col("row").alias("node"), "n", F.col("row").alias("comp"))
+    known = _merged(known, materialize(verified(_plausible(stars, sets), sets), "links"))
     members = materialize(_apart(groups, known), "members")
 
     # groups of more than HOT members: joined through several hubs, then told apart by enumerated subsets, then by prefixes
@@ -418,8 +425,7 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     members = members.filter(F.col("m") <= HOT)
     if crowds.head(1):
         more = materialize(_families(crowds).join(stars, ["a", "b"], "left_anti"), "stars")
-        links = materialize(links.unionByName(verified(_plausible(more, sets), sets)), "links")
-        stars, known = stars.unionByName(more), _labels(nodes, links)
+        stars, known = stars.unionByName(more), _merged(known, materialize(verified(_plausible(more, sets), sets), "links"))
         for level, sign in enumerate((lambda chosen: _signed_sets(sets, chosen, enumerated), lambda chosen: _prefixed(sets, chosen))):
             chosen = materialize(crowds.select("node").distinct(), "crowd")
             sigs = materialize(sign(chosen), "signatures")
@@ -430,10 +436,17 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
             members = members.unionByName(found.filter(F.col("m") <= HOT))
             weak = sigs.filter("sig is null").select(F.lit(0).cast("long").alias("key"), "node", F.lit(0).cast("long").alias("m"))
             crowds = found.filter(F.col("m") > HOT).unionByName(weak)
-    rest = materialize(_compare(members, known, sets).join(stars, ["a", "b"], "left_anti"), "rest")
-    links = materialize(links.unionByName(verified(rest, sets)), "links")
-
-    comps = _labels(nodes, links).select(F.col("node").alias("row"), "comp")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = members.withColumn("own", F.pmod(F.hash("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node").join(sets.select("node", "sketch"), "node")
+    rows = materialize(rows, "rows")
+    # every member's nearest pair first, some times: that joins most of what is to be joined and leaves few pairs to all
+    for nearest in (*[True] * NEAREST, False):
+        rest = materialize(_compare(rows, known, nearest).join(stars, ["a", "b"], "left_anti"), "rest")
+        if rest.head(1):
+            stars, known = stars.unionByName(rest), _merged(known, materialize(verified(rest, sets), "links"))
+
+    comps = known.select(F.col("node").alias("row"), "comp")
     joined = nodes.join(comps, "row")
     least = joined.groupBy("comp").agg(F.min("least").alias("component_id"))
     classes = few(materialize(joined.join(least, "comp").select("node", "component_id"), "classes"))
