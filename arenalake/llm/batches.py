@@ -46,30 +46,31 @@ def runs_of(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table
 
 
 def deal(bucket: np.ndarray, columns: list[np.ndarray], strings: list[bytes] | None = None, gap: bytes = b"") -> pa.RecordBatch:
-    """(bucket, payload): the columns and strings of each bucket, compressed together."""
+    """(bucket, payload): the columns (byte by byte) and strings of each bucket, compressed together."""
     pack = zstandard.ZstdCompressor(level=3 if strings else 1)
     order = np.argsort(bucket, kind="stable")
-    columns = [c[order].astype(np.int64) for c in columns]
+    planes = [np.ascontiguousarray(c[order].astype(np.int64)).view(np.uint8).reshape(-1, 8) for c in columns]
     names, starts = np.unique(bucket[order], return_index=True)
     payloads = []
     for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True):
         text = gap.join([strings[i] for i in order[a:b].tolist()]) + gap if strings is not None else b""
-        payloads.append(pack.compress(struct.pack("<q", b - a) + b"".join(c[a:b].tobytes() for c in columns) + text))
+        payloads.append(pack.compress(struct.pack("<q", b - a) + b"".join(p[a:b].T.tobytes() for p in planes) + text))
     return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(payloads, pa.binary())], names=["bucket", "payload"])
 
 
-def buckets(batches: Iterator[pa.RecordBatch], n_columns: int) -> Iterator[tuple[list[np.ndarray], bytes]]:
-    """The columns and the joined strings of each bucket of a partition that is sorted by bucket."""
+def buckets(batches: Iterator[pa.RecordBatch], n_columns: int) -> Iterator[tuple[int, list[np.ndarray], bytes]]:
+    """Each bucket of a partition that is sorted by bucket, with its columns and joined strings."""
     unpack = zstandard.ZstdDecompressor()
     bucket, cols, texts = None, [], []
     for batch in batches:
         for b, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if b != bucket and cols:
-                yield [np.concatenate(c) for c in zip(*cols, strict=True)], b"".join(texts)
+                yield bucket, [np.concatenate(c) for c in zip(*cols, strict=True)], b"".join(texts)
                 cols, texts = [], []
             bucket, raw = b, unpack.decompress(z)
             (n,) = struct.unpack_from("<q", raw)
-            cols.append([np.frombuffer(raw, np.int64, n, 8 + 8 * n * i).copy() for i in range(n_columns)])
+            planes = np.frombuffer(raw, np.uint8, 8 * n * n_columns, 8).reshape(n_columns, 8, n)
+            cols.append([np.ascontiguousarray(p.T).view(np.int64).reshape(-1) for p in planes])
             texts.append(raw[8 + 8 * n * n_columns :])
     if cols:
-        yield [np.concatenate(c) for c in zip(*cols, strict=True)], b"".join(texts)
+        yield bucket, [np.concatenate(c) for c in zip(*cols, strict=True)], b"".join(texts)

@@ -57,7 +57,10 @@ def materialize_by(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
     df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
     _path(spark, path, lambda fs, p: fs.deleteOnExit(p))
     _written.append(path)
-    return spark.table(table)
+    out = spark.table(table)
+    out.schema  # resolved: the files and their buckets are known, so the catalog need not keep the entry
+    spark.sql(f"DROP TABLE {table}")
+    return out
 
 
 @contextlib.contextmanager

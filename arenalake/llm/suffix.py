@@ -1,11 +1,10 @@
 """Substring deduplication on bytes by suffix arrays, built with the difference-cover algorithm.
 
-Equal 100-byte windows have the same anchor, the 32-byte gram with the smallest hash in them.  Anchors are counted first;
-only where one occurs again do the windows around it travel, packed into one string for each run of windows with the
-same anchor, to the anchor's bucket.  So equal windows meet in one bucket, of bounded size, and the buckets' suffix
-arrays together order all repeated windows: in each, triples at two of three positions are sorted and named, the names are
-sorted by recursion, the remaining third is merged in, and neighbours are compared over 100 bytes.  A string that occurs
-often is sorted once and keeps the list of its places.
+Windows of 100 bytes meet in buckets by their anchors, the 32-byte grams with the smallest hashes in them (see
+``windows``): copies of a string are settled by its hash and place; only anchors with different strings send texts, each
+string once.  There the suffix array of a bucket's strings orders their windows: triples at two of three positions are
+sorted and named, the names are sorted by recursion, the remaining third is merged in, and neighbours are compared over
+100 bytes.  The sort is distributed by anchors, whose buckets are independent and bounded; names don't travel.
 
 A window is removed if it also starts earlier: in a document with a smaller id, or further left in the same row.  Each
 row is a document; null and short texts lose nothing; rows that share a doc_id are no smaller than each other, and a
@@ -15,54 +14,18 @@ null doc_id is larger than any other.  Windows never cross rows.  Long texts are
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import materialize, table_bytes
-from .jaccard import _mix
+from .windows import LAST, Kind, mix, repeats
 
-WINDOW, GRAM = 100, 32
-SEGMENT = 1 << 19  #: windows of a text that are scanned together
-BUCKET_BYTES = 16 << 20  #: input whose repeated windows make a bucket, about
+WINDOW = 100
 TEXT = 1 << 19  #: bytes of one suffix array, about; the strings of one anchor stay together
-BROADCAST_BYTES = 8 << 20  #: lists whose Parquet files are larger are joined by a shuffle
-_LAST = (1 << 63) - 1
-
-
-def _grams(b: np.ndarray) -> np.ndarray:
-    """Hashes of all GRAM-byte grams, by doubling."""
-    h, size = b.astype(np.uint64) + np.uint64(1), 1
-    while size < GRAM:
-        h = h[:-size] * np.uint64(0x9E3779B97F4A7C15 + 2 * size) + h[size:]
-        h ^= h >> np.uint64(29)
-        size *= 2
-    return h * np.uint64(0xBF58476D1CE4E5B9)
-
-
-def anchored(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, windows) of the runs of windows that share an anchor."""
-    out = []
-    b = np.frombuffer(raw, np.uint8)
-    for base in range(0, len(b) - WINDOW + 1, SEGMENT):
-        h = _grams(b[base : base + SEGMENT + WINDOW - 1])
-        low = (h & np.uint64(0xFFFFFFFFFFF00000)) | np.arange(len(h), dtype=np.uint64)
-        span, width = WINDOW - GRAM + 1, 1
-        while 2 * width <= span:  # smallest of ``width`` neighbours, by doubling
-            low = np.minimum(low[:-width], low[width:])
-            width *= 2
-        low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
-        at = (low & np.uint64(0xFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        out.append((h[at[first]], first + base, np.diff(np.append(first, len(at)))))
-    if not out:
-        return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 2
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+_LETTERS = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 def _ordered(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -135,9 +98,9 @@ def removals(strings: list[bytes], which: np.ndarray, doc: np.ndarray, row: np.n
     count = np.bincount(string, minlength=len(strings))
     begin = np.cumsum(count) - count
     order = np.argsort(which, kind="stable")
-    least = np.full(len(strings), _LAST)
+    least = np.full(len(strings), LAST)
     np.minimum.at(least, which, doc)
-    lowest = np.full(int(group.max()) + 1, _LAST)
+    lowest = np.full(int(group.max()) + 1, LAST)
     np.minimum.at(lowest, group_of, np.repeat(least, count))
     # every place of every window
     which, doc, row, first = which[order], doc[order], row[order], first[order]
@@ -159,124 +122,42 @@ def removals(strings: list[bytes], which: np.ndarray, doc: np.ndarray, row: np.n
     return row[place[lo]], first[place[lo]] + step[lo], first[place[hi]] + step[hi] + WINDOW
 
 
-def _deal(bucket: np.ndarray, columns: list[np.ndarray], strings: list[bytes] | None = None) -> pa.RecordBatch:
-    """One compressed payload for each bucket of a batch."""
-    pack = zstandard.ZstdCompressor(level=1)
-    order = np.argsort(bucket, kind="stable")
-    columns = [c[order].astype(np.int64) for c in columns]
-    names, starts = np.unique(bucket[order], return_index=True)
-    payloads = []
-    for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True):
-        text = b"".join([strings[i] for i in order[a:b].tolist()]) if strings is not None else b""
-        payloads.append(pack.compress(struct.pack("<q", b - a) + b"".join(c[a:b].tobytes() for c in columns) + text))
-    return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(payloads, pa.binary())], names=["bucket", "payload"])
-
-
-def _buckets(batches: Iterator[pa.RecordBatch], n_columns: int) -> Iterator[tuple[list[np.ndarray], bytes]]:
-    """The columns and the joined texts of each bucket of a partition sorted by bucket."""
-    unpack = zstandard.ZstdDecompressor()
-    bucket, cols, texts = None, [], []
-    for batch in batches:
-        for b, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if b != bucket and cols:
-                yield [np.concatenate(c) for c in zip(*cols, strict=True)], b"".join(texts)
-                cols, texts = [], []
-            bucket, raw = b, unpack.decompress(z)
-            (n,) = struct.unpack_from("<q", raw)
-            cols.append([np.frombuffer(raw, np.int64, n, 8 + 8 * n * i) for i in range(n_columns)])
-            texts.append(raw[8 + 8 * n * n_columns :])
-    if cols:
-        yield [np.concatenate(c) for c in zip(*cols, strict=True)], b"".join(texts)
-
-
-def _count_anchors(read: DataFrame, n_buckets: int) -> DataFrame:
-    """(row, first, n, anchor) of the runs of windows whose anchor occurs more than once."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            got = [(*anchored(unpack.decompress(z)), row) for row, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            if got:
-                key, first, n = (np.concatenate([g[i] for g in got]) for i in range(3))
-                row = np.repeat([g[3] for g in got], [len(g[0]) for g in got])
-                yield _deal(key % np.uint64(n_buckets), [key.view(np.int64), row, first, n])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, row, first, n), _ in _buckets(batches, 4):
-            order = np.argsort(key, kind="stable")
-            k = key[order]
-            same = k[1:] == k[:-1]
-            keep = order[np.append(same, False) | np.append(False, same)]
-            yield pa.RecordBatch.from_pydict({"row": row[keep], "first": first[keep].astype(np.int32), "n": n[keep].astype(np.int32), "anchor": key[keep]})
-
-    dealt = read.select("row", "packed").mapInArrow(deal, "bucket long, payload binary")
-    return dealt.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "row long, first int, n int, anchor long")
+def _units(raw: bytes) -> np.ndarray:
+    return _LETTERS[np.frombuffer(raw, np.uint8)]
 
 
-def _sort_windows(read: DataFrame, again: DataFrame, n_buckets: int) -> DataFrame:
-    """(row, lo, hi): byte runs to remove, which may overlap."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            got, strings = [], []
-            for doc, row, z, first, n, key in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                raw = unpack.decompress(z)
-                got.append((key, [_LAST if doc is None else doc] * len(key), [row] * len(key), first, n))
-                strings += [raw[a : a + k + WINDOW - 1] for a, k in zip(first, n, strict=True)]
-            if strings:
-                key, doc, row, first, n = (np.array([x for g in got for x in g[i]], np.int64) for i in range(5))
-                yield _deal(key.view(np.uint64) % np.uint64(n_buckets), [key, doc, row, first, n], strings)
+def _cut(raw: bytes, first: np.ndarray, n: np.ndarray) -> list[bytes]:
+    return [raw[a : a + k] for a, k in zip(first.tolist(), n.tolist(), strict=True)]
 
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, doc, row, first, n), text in _buckets(batches, 5):
-            ends = np.cumsum(n + WINDOW - 1)
-            order = np.argsort(key, kind="stable")
-            breaks = np.append(np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])), len(order))
-            names: dict[bytes, int] = {}
-            size, which = 0, []
 
-            def done(a: int, b: int) -> pa.RecordBatch:
-                o = order[a:b]
-                r, lo, hi = removals(list(names), np.array(which, np.int64), doc[o], row[o], first[o])
-                return pa.RecordBatch.from_pydict({"row": r, "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)})
+def _compare(columns: list[np.ndarray], text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, lo, hi) of a bucket, by suffix arrays of some TEXT bytes."""
+    key, doc, row, first, n = columns
+    ends = np.cumsum(n + WINDOW - 1)
+    order = np.argsort(key, kind="stable")
+    breaks = np.append(np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])), len(order))
+    names: dict[bytes, int] = {}
+    size, which, begun = 0, [], 0
+    for a, b in zip(breaks[:-1].tolist(), breaks[1:].tolist(), strict=True):
+        for i in order[a:b].tolist():
+            s = text[ends[i] - n[i] - WINDOW + 1 : ends[i]]
+            if s not in names:
+                names[s] = len(names)
+                size += len(s)
+            which.append(names[s])
+        if size > TEXT or b == len(order):
+            o = order[begun:b]
+            yield removals(list(names), np.array(which, np.int64), doc[o], row[o], first[o])
+            begun, size, names, which = b, 0, {}, []
 
-            begun = 0
-            for a, b in zip(breaks[:-1].tolist(), breaks[1:].tolist(), strict=True):
-                if size > TEXT:
-                    yield done(begun, a)
-                    begun, size, names, which = a, 0, {}, []
-                for i in order[a:b].tolist():
-                    s = text[ends[i] - n[i] - WINDOW + 1 : ends[i]]
-                    if s not in names:
-                        names[s] = len(names)
-                        size += len(s)
-                    which.append(names[s])
-            if which:
-                yield done(begun, len(order))
 
-    runs = again.groupBy("row").agg(F.collect_list(F.struct("first", "n", "anchor")).alias("x"))
-    runs = runs.select("row", F.col("x.first").alias("first"), F.col("x.n").alias("n"), F.col("x.anchor").alias("anchor"))
-    dealt = read.join(runs, "row").select("doc_id", "row", "packed", "first", "n", "anchor").mapInArrow(deal, "bucket long, payload binary")
-    return dealt.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(sort, "row long, lo int, hi int")
+#: at most 69, 37, 5 and 1 windows share a minimiser
+KIND = Kind(WINDOW, (32, 64, 96, WINDOW), True, _units, _cut, _compare)
 
 
 def runs(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """((doc_id, row, packed bytes), (row, runs to remove)) of the rows of ``docs``."""
-
-    def pack_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            packed = [pack.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
-
-    read = docs.select(F.col("doc_id").cast("long"), text).mapInArrow(pack_all, "doc_id long, packed binary")
-    read = materialize(read.withColumn("row", F.monotonically_increasing_id()), "bytes")
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n_buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // BUCKET_BYTES))
-    again = materialize(_count_anchors(read, n_buckets), "anchors")
-    found = _sort_windows(read, again, n_buckets)
-    return read, materialize(found.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "runs")
+    """((doc_id, doc, row, packed bytes), (row, byte runs to remove)) of the rows of ``docs``."""
+    return repeats(docs, text, KIND, str.encode)
 
 
 def keep(raw: bytes, spans: list) -> tuple[bytes, int]:
@@ -293,7 +174,7 @@ def keep(raw: bytes, spans: list) -> tuple[bytes, int]:
 def digest(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of op4, one row a document."""
     read, found = runs(docs, text)
-    found = F.broadcast(found) if table_bytes(docs.sparkSession, found) <= BROADCAST_BYTES else found
+    id_type = read.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -307,4 +188,5 @@ def digest(docs: DataFrame, text: str = "text") -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return read.join(found, "row", "left").select("doc_id", "packed", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = read.join(found.hint("merge"), "row", "left").select("doc_id", "packed", "runs")
+    return joined.mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

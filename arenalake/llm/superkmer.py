@@ -1,10 +1,10 @@
 """Substring deduplication on word windows by super-k-mers.
 
 A window is 13 consecutive words; its minimiser is the smallest hash among its three-word grams.  Consecutive windows
-that share a minimiser travel as one packed string to the minimiser's bucket, so equal windows meet in one bucket, where
-sorting groups them exactly: by a fingerprint first, then word by word.  Minimisers are counted beforehand, so that only
-strings travel whose minimiser also occurs in another row.  A window whose words start in a document with a
-smaller id is repeated, and every word it covers goes.
+that share a minimiser form one string, a super-k-mer.  Super-k-mers meet in buckets by their minimisers (see
+``windows``): copies are settled by the string's hash and place; only minimisers with different strings send words, each
+string once and packed, and their bucket sorts the windows, by a fingerprint first, then word by word.  A window whose
+words start in a document with a smaller id is repeated, and every word it covers goes.
 
 Each row is a document; null and blank texts have no words; rows that share a doc_id are no smaller than each other, and
 a null doc_id is larger than any other.  Windows never cross rows.  Long texts are whole.
@@ -17,59 +17,46 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .batches import SLICE, buckets, deal, small
-from .common import materialize, materialize_by
-from .jaccard import _Hashes, _mix
-
-WINDOW, GRAM = 13, 3
-BUCKET_CHARS = 6 << 20  #: characters of input whose windows make a bucket, about
-_LAST = (1 << 63) - 1
-_ODD = _mix(np.arange(1, WINDOW + 1, dtype=np.uint64)) | np.uint64(1)
-
-
-def super_kmers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser, first window, windows) of the runs of windows that share a minimiser, from the hashes of a text's words."""
-    n = len(h) - WINDOW + 1
-    if n < 1:
-        return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 2
-    m = len(h) - GRAM + 1
-    gram = _mix(sum(h[i : i + m] * _ODD[i] for i in range(GRAM)))
-    at = np.lib.stride_tricks.sliding_window_view(gram, WINDOW - GRAM + 1).argmin(axis=1) + np.arange(n)
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    return gram[at[first]], first, np.diff(np.append(first, n))
-
-
-def _count_minimisers(read: DataFrame, n_buckets: int) -> DataFrame:
-    """(row, first, n, key) of the super-k-mers whose minimiser (48 bits of it) occurs in more than one row."""
-
-    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, unpack = _Hashes(), zstandard.ZstdDecompressor()
-        for batch in small(batches, 2, SLICE // 3):
-            got = []
-            for row, z in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
-                words = unpack.decompress(z).split()
-                key, first, n = super_kmers(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
-                got.append((key >> np.uint64(16), first, n, np.full(len(key), row)))
-            key, first, n, row = (np.concatenate(c) for c in zip(*got, strict=True))
-            if len(key):
-                yield deal(key % np.uint64(n_buckets), [key, row, first, n])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, row, first, n), _ in buckets(batches, 4):
-            order = np.argsort(key, kind="stable")
-            k, d = key[order], row[order]
-            new = np.append(True, k[1:] != k[:-1])
-            begin = np.flatnonzero(new)
-            several = np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
-            keep = order[several[np.cumsum(new) - 1]]
-            yield pa.RecordBatch.from_pydict({"row": row[keep], "first": first[keep].astype(np.int32), "n": n[keep].astype(np.int32), "key": key[keep]})
-
-    dealt = read.select("doc_id", "row", "packed").mapInArrow(out, "bucket long, payload binary")
-    return dealt.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "row long, first int, n int, key long")
+
+from .windows import Kind, mix, repeats
+
+WINDOW = 13
+_ODD = mix(np.arange(1, WINDOW + 1, dtype=np.uint64)) | np.uint64(1)
+_CACHE = 200_000
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > _CACHE:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_hashes = _Hashes()
+
+
+def _units(raw: bytes) -> np.ndarray:
+    words = raw.split()
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
+def _cut(raw: bytes, first: np.ndarray, n: np.ndarray) -> list[bytes]:
+    starts = np.append(0, np.flatnonzero(np.frombuffer(raw, np.uint8) == 32) + 1)
+    starts = np.append(starts, len(raw) + 1)
+    return [raw[a:b] for a, b in zip(starts[first].tolist(), (starts[first + n] - 1).tolist(), strict=True)]
+
+
+def _compare(columns: list[np.ndarray], text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+    _, doc, row, first, n = columns
+    yield repeated(doc, row, first, n + WINDOW - 1, text.split())
+
+
+#: at most 11, 6 and 1 windows share a minimiser
+KIND = Kind(WINDOW, (3, 8, WINDOW), False, _units, _cut, _compare, b"\n")
 
 
 def repeated(doc: np.ndarray, row: np.ndarray, first: np.ndarray, size: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -80,7 +67,7 @@ def repeated(doc: np.ndarray, row: np.ndarray, first: np.ndarray, size: np.ndarr
     count = size - WINDOW + 1
     owner = np.repeat(np.arange(len(size)), count)
     at = np.repeat(start - np.cumsum(count) + count, count) + np.arange(len(owner))
-    h = _mix(ids.astype(np.uint64) + np.uint64(1))
+    h = mix(ids.astype(np.uint64) + np.uint64(1))
     mark = np.zeros(len(at), np.uint64)
     for j in range(WINDOW):
         mark += h[at + j] * _ODD[j]
@@ -116,50 +103,13 @@ def repeated(doc: np.ndarray, row: np.ndarray, first: np.ndarray, size: np.ndarr
     return row[owner[lo]], place(lo), place(hi) + WINDOW
 
 
-def _sort_windows(read: DataFrame, again: DataFrame, n_buckets: int) -> DataFrame:
-    """(row, lo, hi): word runs to remove, which may overlap."""
-
-    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in small(batches, 2, SLICE // 3):
-            got, strings = [], []
-            for doc, row, z, first, n, key in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                raw = unpack.decompress(z)
-                starts = np.append(0, np.flatnonzero(np.frombuffer(raw, np.uint8) == 32) + 1)
-                starts = np.append(starts, len(raw) + 1)
-                first, n = np.array(first), np.array(n) + WINDOW - 1
-                got.append((key, np.full(len(key), _LAST if doc is None else doc), np.full(len(key), row), first, n))
-                strings += [raw[a:b] for a, b in zip(starts[first].tolist(), (starts[first + n] - 1).tolist(), strict=True)]
-            key, *cols = (np.concatenate(c).astype(np.int64) for c in zip(*got, strict=True))
-            yield deal(key.view(np.uint64) % np.uint64(n_buckets), cols, strings, b"\n")
-
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (doc, row, first, size), text in buckets(batches, 4):
-            r, lo, hi = repeated(doc, row, first, size, text.split())
-            yield pa.RecordBatch.from_pydict({"row": r, "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)})
-
-    own = again.groupBy("row").agg(F.collect_list(F.struct("first", "n", "key")).alias("x"))
-    own = own.select("row", F.col("x.first").alias("first"), F.col("x.n").alias("n"), F.col("x.key").alias("key"))
-    dealt = read.join(own.hint("merge"), "row").select("doc_id", "row", "packed", "first", "n", "key").mapInArrow(out, "bucket long, payload binary")
-    return dealt.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(sort, "row long, lo int, hi int")
+def _plain(text: str) -> bytes:
+    return b" ".join(text.encode().split())
 
 
 def runs(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """((doc_id, row, packed words), (row, runs to remove)) of the rows of ``docs``."""
-
-    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
-        for batch in small(batches, 1):
-            packed = [pack.compress(b" ".join((t or "").encode().split())) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
-
-    read = docs.select(F.col("doc_id").cast("long"), text).mapInArrow(words_of, "doc_id long, packed binary")
-    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    n_buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-chars // BUCKET_CHARS))
-    read = materialize_by(read.withColumn("row", F.monotonically_increasing_id()), "words", "row", max(8, n_buckets // 4))
-    again = materialize(_count_minimisers(read, n_buckets), "minimisers")
-    found = _sort_windows(read, again, n_buckets)
-    return read, materialize(found.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "runs")
+    """((doc_id, doc, row, packed words), (row, word runs to remove)) of the rows of ``docs``."""
+    return repeats(docs, text, KIND, _plain)
 
 
 def kept_words(words: list[bytes], spans: list) -> list[bytes]:
@@ -173,6 +123,7 @@ def kept_words(words: list[bytes], spans: list) -> list[bytes]:
 def digest(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of op7, one row a document."""
     read, found = runs(docs, text)
+    id_type = read.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -187,4 +138,4 @@ def digest(docs: DataFrame, text: str = "text") -> DataFrame:
                 sha.append(hashlib.sha256(b" ".join(left)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return read.join(found.hint("merge"), "row", "left").select("doc_id", "packed", "runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return read.join(found.hint("merge"), "row", "left").select("doc_id", "packed", "runs").mapInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string")
