@@ -15,14 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, table_bytes, words
+from .common import few, let, materialize, words
 
 MIN_DOCS = 10  #: a line is never boilerplate in fewer documents of its host
 DOC_SHARE = 0.01  #: ... or in a smaller share of the host's documents
 MIN_WORDS = 50  #: base rule: fewer words fail
 MAX_REPEAT = 50  #: base rule: per cent of words in repeated three-word windows
 MIN_KEPT = 0.3  #: a document that keeps a smaller share of its words is depleted
-BROADCAST_BYTES = 8 << 20  #: lists whose Parquet files are larger are joined by a shuffle
+SPREAD = 1024  #: lists of a document's boilerplate lines are looked up in so many parts
 
 
 def _hash(line: Column) -> Column:
@@ -82,25 +82,19 @@ def boilerplate(measured: DataFrame) -> DataFrame:
     return counts.join(hosts, "host").filter(F.col("n_docs") > F.col("limit")).select("host", "h")
 
 
-def _hits(measured: DataFrame) -> DataFrame:
-    """(doc_id, host, common): the boilerplate hashes among a document's lines."""
-    common = materialize(boilerplate(measured), "boilerplate")
-    small = table_bytes(measured.sparkSession, common) <= BROADCAST_BYTES
-    lines = measured.select("doc_id", "host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    return lines.join(F.broadcast(common) if small else common, ["host", "h"]).groupBy("doc_id", "host").agg(F.collect_set("h").alias("common"))
-
-
 def _joined(left: DataFrame, hits: DataFrame) -> DataFrame:
-    hits = hits.withColumnsRenamed({"doc_id": "hit_id", "host": "hit_host"})
-    return left.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("host") == F.col("hit_host")), "left").drop("hit_id", "hit_host")
+    hits = hits.withColumnsRenamed({"doc_id": "_hit_id", "host": "_hit_host"})
+    return left.join(hits, F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (F.col("host") == F.col("_hit_host")), "left").drop("_hit_id", "_hit_host")
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """doc_id, the base figures, base_failed, n_kept_words after the removal of lines, and kept."""
-    measured = materialize(measure(docs, text, host), "quality")
-    lost = F.aggregate(F.filter("lines", lambda x: F.array_contains(F.coalesce("common", F.array().cast("array<long>")), x["h"])), F.lit(0), lambda a, x: a + x["n"])
-    out = _joined(measured, _hits(measured)).withColumn("n_kept_words", F.col("n_words") - F.when(F.col("common").isNull(), 0).otherwise(lost))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_kept_words") >= MIN_KEPT * F.col("n_words"))).drop("host", "lines", "common")
+    measured = materialize(measure(docs, text, host).withColumn("row", F.monotonically_increasing_id()), "quality")
+    common = few(materialize(boilerplate(measured), "boilerplate"))
+    lines = measured.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.h", "x.n")
+    lost = lines.join(common, ["host", "h"]).groupBy("row").agg(F.sum("n").alias("lost"))
+    out = measured.join(lost, "row", "left").withColumn("n_kept_words", F.col("n_words") - F.coalesce("lost", F.lit(0)))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_kept_words") >= MIN_KEPT * F.col("n_words"))).drop("row", "host", "lines", "lost")
 
 
 def clean(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
@@ -109,11 +103,20 @@ def clean(docs: DataFrame, text: str = "text", host: str = "source") -> DataFram
     A line goes with its line break; a document that loses none keeps its text unchanged.
     """
     measured = materialize(measure(docs, text, host), "quality")
-    hits = materialize(_hits(measured), "lines")
-    if table_bytes(docs.sparkSession, hits) <= BROADCAST_BYTES:
-        hits = F.broadcast(hits)
+    common = few(materialize(boilerplate(measured), "boilerplate"))
+    lines = measured.select("doc_id", "host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    hits = lines.join(common, ["host", "h"]).groupBy("doc_id", "host").agg(F.collect_set("h").alias("common"))
+    # in parts by the hash, so that many lines against many lines stay cheap
+    part = lambda h: F.pmod(h, F.lit(SPREAD)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(SPREAD - 1)), lambda i: F.filter("common", lambda h: part(h) == i))
+    hits = hits.select("doc_id", "host", F.when(F.size("common") > SPREAD // 16, parts).otherwise(F.array("common")).alias("common"))
+    hits = few(materialize(hits, "lines"), 512)
     own = docs.select(F.struct("*").alias("row"), "doc_id", F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("-")).alias("host"), F.col(text).alias("t"))
-    rest = F.array_join(F.filter(_lines(F.col("t")), lambda line: ~F.array_contains("common", _hash(line))), "\n")
+
+    def known(h: Column) -> Column:
+        return F.array_contains(F.get("common", F.when(F.size("common") > 1, part(h)).otherwise(0)), h)
+
+    rest = F.array_join(F.filter(_lines(F.col("t")), lambda line: ~let(_hash(line), known)), "\n")
     rest = F.when(F.col("common").isNull(), F.col("t")).otherwise(rest)
 
     def enough(w: Column) -> Column:
@@ -130,12 +133,13 @@ w AS (SELECT r, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda
 win AS (SELECT r, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
 twin AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1),
 rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twin, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
-line AS (SELECT r, host, line, ('0x' || md5(trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '))[1:15])::BIGINT AS h,
+line AS (SELECT r, host, line, i, ('0x' || md5(trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '))[1:15])::BIGINT AS h,
                 len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n
-         FROM (SELECT r, host, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+         FROM (SELECT r, host, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT r, host, string_split(t, chr(10)) AS l FROM d)) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM line GROUP BY r),
-sk AS (SELECT r, host, h, min(h) OVER (PARTITION BY r) AS doc FROM line),
-lim AS (SELECT host, greatest(10, 0.01 * count(*)) AS lim FROM d GROUP BY host),
+same AS (SELECT r, md5(string_agg(h::VARCHAR, ',' ORDER BY i)) AS doc FROM line GROUP BY r),
+sk AS (SELECT host, h, doc FROM line JOIN same USING (r)),
+lim AS (SELECT host, greatest(10, 0.01 * count(DISTINCT coalesce(doc, ''))) AS lim FROM d LEFT JOIN same USING (r) GROUP BY host),
 common AS (SELECT host, h FROM (SELECT host, h, count(DISTINCT doc) AS n FROM sk GROUP BY host, h) JOIN lim USING (host) WHERE n > 10 AND n > lim),
 lost AS (SELECT r, sum(n) AS n FROM line SEMI JOIN common USING (host, h) GROUP BY r),
 base AS (SELECT d.doc_id, d.r, len(w.w) AS n_words, length(array_to_string(w.w, '')) AS word_chars,
