@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arenalake.functions.graph import components
 from arenalake.functions.temporal import KEYS, asof, changed
 from arenalake.functions.text import normalize_name
+from arenalake.sources.shared import settled
 
 SLOT = ["match_id", "slot"]
 
@@ -35,41 +37,78 @@ def at_slot(rows: DataFrame, found: DataFrame, values: list[str]) -> DataFrame:
     return asof(rows, begin, values, SLOT)
 
 
-def unify(found: DataFrame, links: DataFrame | None = None, rounds: int = 2) -> DataFrame:
-    """``found`` sessions with ``identity``: sessions joined by equal auth or by ``links`` (match_id, slot, session, key),
-    and by name where a session has neither.
+def unify(found: DataFrame, links: DataFrame | None = None, rich: DataFrame | None = None) -> DataFrame:
+    """``found`` sessions with ``identity``: sessions joined, over any number of steps, by equal keys.
 
-    Labels spread along the keys and jump along their own labels, so each round at least doubles the chains covered;
-    a match has at most some dozens of sessions, linked over few keys.
+    Keys are a session's auth and ``links`` (match_id, slot, session, key), see ``scoreboard_links`` and
+    ``reconnect_links``.  Normalised names are keys only in bare matches: without auth, links, and not in ``rich`` (match_id).
     """
     node = F.concat_ws(":", F.lpad(F.col("slot").cast("string"), 3, "0"), F.lpad(F.col("session").cast("string"), 5, "0"))
-    base = found.withColumn("identity", node)
-    rich = base.filter("auth <> ''").select(*SLOT, "session", F.concat(F.lit("a:"), "auth").alias("key"))
+    base = found.withColumn("node", node)
+    keyed = base.filter("auth <> ''").select("match_id", "node", F.concat(F.lit("a:"), "auth").alias("key"))
     if links is not None:
-        rich = rich.unionByName(links.select(*SLOT, "session", F.concat(F.lit("l:"), "key").alias("key")))
-    plain = base.filter("name <> ''").join(rich, [*SLOT, "session"], "left_anti").select(*SLOT, "session", F.concat(F.lit("n:"), normalize_name(F.col("name"))).alias("key"))
-    keys = rich.unionByName(plain)
-    labels = base.select(*SLOT, "session", "identity")
-    for _ in range(rounds):
-        by_key = keys.join(labels, [*SLOT, "session"]).groupBy("match_id", "key").agg(F.min("identity").alias("low"))
-        low = keys.join(by_key, ["match_id", "key"]).groupBy(*SLOT, "session").agg(F.min("low").alias("low"))
-        labels = labels.join(low, [*SLOT, "session"], "left").select(*SLOT, "session", F.least("identity", F.coalesce("low", "identity")).alias("identity"))
-        top = labels.select("match_id", node.alias("identity"), F.col("identity").alias("top"))
-        labels = labels.join(top, ["match_id", "identity"]).select(*SLOT, "session", F.least("identity", "top").alias("identity"))
-    return found.join(labels, [*SLOT, "session"])
+        keyed = keyed.unionByName(links.select("match_id", node.alias("node"), F.concat(F.lit("l:"), "key").alias("key")))
+    known = keyed.select("match_id") if rich is None else keyed.select("match_id").union(rich.select("match_id"))
+    bare = base.join(known.distinct(), "match_id", "left_anti")
+    keyed = settled(keyed.unionByName(bare.select("match_id", "node", F.concat(F.lit("n:"), normalize_name(F.col("name"))).alias("key"))))
+    hub = keyed.groupBy("match_id", "key").agg(F.min("node").alias("other"))
+    star = keyed.join(hub, ["match_id", "key"]).select("match_id", "node", "other")
+    both = star.unionByName(star.select("match_id", F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
+    labels = components(settled(both), ["match_id"], "node", "other", "identity")
+    return base.join(labels, ["match_id", "node"], "left").withColumn("identity", F.coalesce("identity", "node")).drop("node")
 
 
-def stitch(rows: DataFrame, identities: DataFrame) -> DataFrame:
-    """A slot's value changes (t_ms, seq, v) as one stream a player, without repeats at the seams.
+def scoreboard_links(found: DataFrame, scoreboard: DataFrame) -> DataFrame:
+    """(match_id, slot, session, key) of sessions that the scoreboard (match_id, name, login) knows by login or by name."""
+    known = resolve(found, scoreboard, "name", F.col("auth")).filter("board is not null")
+    return known.select(*SLOT, "session", F.concat(F.lit("s:"), "board").alias("key"))
 
-    Names that several identities share get the slot as a suffix.
-    """
-    shared = F.size(F.collect_set("identity").over(Window.partitionBy("match_id", "name"))) > 1
-    named = identities.withColumn("player", F.when(shared, F.concat("name", F.lit("#"), F.col("slot").cast("string"))).otherwise(F.col("name")))
-    keyed = at_slot(rows, named, ["player"]).filter("player is not null")
+
+def reconnect_links(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """(match_id, slot, session, key): all sessions of a name that a reconnect line (match_id, t_ms, message) begins with."""
+    names = reconnects(lines, found.filter("name <> ''").select("match_id", "name")).select("match_id", normalize_name(F.col("name")).alias("_norm")).distinct()
+    own = found.withColumn("_norm", normalize_name(F.col("name"))).join(names, ["match_id", "_norm"])
+    return own.select(*SLOT, "session", F.concat(F.lit("r:"), "_norm").alias("key"))
+
+
+def _players(identities: DataFrame) -> DataFrame:
+    """Identities with ``player``: the latest session's name, with its slot as a suffix where several identities share it."""
+    last = identities.filter("name <> ''").groupBy("match_id", "identity").agg(F.max_by(F.struct("name", "slot"), F.struct(F.coalesce("start_ms", F.lit(-(1 << 31))), "slot", "session")).alias("x"))
+    shared = F.count("*").over(Window.partitionBy("match_id", "x.name")) > 1
+    names = last.select("match_id", "identity", F.when(shared, F.concat(F.col("x.name"), F.lit("#"), F.col("x.slot").cast("string"))).otherwise(F.col("x.name")).alias("player"))
+    return identities.join(names, ["match_id", "identity"], "left")
+
+
+def stitch(rows: DataFrame, identities: DataFrame) -> DataFrame:
+    """A slot's value changes (t_ms, seq, v) as one stream a player, without repeats at the seams."""
+    keyed = at_slot(rows, _players(identities), ["player"]).filter("player is not null")
     return changed(keyed.select(*KEYS, "t_ms", "seq", "v"), "v")
 
 
+def stitch_intervals(spans: DataFrame, identities: DataFrame) -> DataFrame:
+    """A slot's intervals (start_ms, end_ms) cut at its sessions, by player; what is empty then goes."""
+    own = _players(identities).filter("player is not null").select(*SLOT, "player", F.col("start_ms").alias("_from"), F.col("end_ms").alias("_to"))
+    cut = spans.join(own, SLOT).withColumns({"start_ms": F.greatest("start_ms", "_from"), "end_ms": F.least("end_ms", "_to")})
+    return cut.filter("end_ms > start_ms").select(*KEYS, "start_ms", "end_ms")
+
+
+def team_by_name(rows: DataFrame, teams: DataFrame) -> DataFrame:
+    """``rows`` (match_id, player) with team: by exact name, or else by the normalised name (the first by letters)."""
+    exact = teams.groupBy(*KEYS).agg(F.min("team").alias("_exact"))
+    norm = teams.groupBy("match_id", normalize_name(F.col("player")).alias("_norm")).agg(F.min_by("team", "player").alias("_like"))
+    out = rows.withColumn("_norm", normalize_name(F.col("player"))).join(exact, KEYS, "left").join(norm, ["match_id", "_norm"], "left")
+    return out.withColumn("team", F.coalesce("_exact", "_like")).drop("_norm", "_exact", "_like")
+
+
+def victim_slot(lines: DataFrame, userinfo: DataFrame) -> DataFrame:
+    """``lines`` (match_id, t_ms, victim) with slot: the lowest slot whose current name is the victim's, case and all."""
+    slots = userinfo.select(*SLOT).distinct()
+    asked = lines.withColumn("_id", F.monotonically_increasing_id())
+    named = asof(settled(asked).join(slots, "match_id"), userinfo, ["name"], SLOT)
+    hit = named.filter(F.col("name") == F.col("victim")).groupBy("_id").agg(F.min("slot").alias("slot"))
+    return named.select(*lines.columns, "_id").distinct().join(hit, "_id", "left").drop("_id")
+
+
 def rebase(stream: DataFrame, starts: DataFrame) -> DataFrame:
     """Times relative to the match start (match_id, start_ms): earlier rows go, but for one carried to 0; nothing happens where
     the start isn't positive."""

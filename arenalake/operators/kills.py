@@ -137,7 +137,7 @@ def frags_at(probes: DataFrame, d: DataFrame) -> DataFrame:
 
 def score_difference(grid: DataFrame, d: DataFrame, players: DataFrame, teams: DataFrame) -> DataFrame:
     """Team A's frags minus team B's at the start of every bucket."""
-    sides = d.join(players, KEYS).join(F.broadcast(teams), "match_id")
+    sides = d.join(players, KEYS).join(teams, "match_id")
     signed = sides.withColumn("delta", F.when(F.col("team") == F.col("team_a"), F.col("delta")).when(F.col("team") == F.col("team_b"), -F.col("delta")).otherwise(0))
     total = signed.select("match_id", "t_ms", "seq", F.sum("delta").over(Window.partitionBy("match_id").orderBy("t_ms", "seq").rowsBetween(Window.unboundedPreceding, 0)).alias("diff"))
     return asof(grid.select("match_id", "bucket", F.col("b_start").alias("t_ms")), total, ["diff"], ["match_id"]).na.fill(0, ["diff"])

@@ -47,19 +47,19 @@ def presence(grid: DataFrame, players: DataFrame, located: DataFrame, regions: D
         probes = probes.join(alive, [*KEYS, "bucket"], "left_semi")
     at = asof(probes, located, ["li"]).filter(F.coalesce("li", F.lit(0)) != 0)
     at = at.join(regions.select(F.col("loc_id").alias("li"), "region"), "li")
-    armed = F.lit(False)
-    for i, spans in enumerate(armed_spans):
-        at = held(at, spans, f"_armed{i}")
-        armed = armed | F.col(f"_armed{i}")
-    return at.select(*KEYS, "team", "bucket", "region", armed.alias("armed"))
+    spans = armed_spans[0].select(*KEYS, "start_ms", "end_ms")
+    for more in armed_spans[1:]:
+        spans = spans.unionByName(more.select(*KEYS, "start_ms", "end_ms"))
+    return held(at, spans, "armed").select(*KEYS, "team", "bucket", "region", "armed")
 
 
-def control(where: DataFrame, grid: DataFrame, regions: DataFrame, teams: DataFrame) -> DataFrame:
-    """(match_id, region, bucket, a_armed, a_not, b_armed, b_not, state) for every bucket and region."""
-    sides = where.join(F.broadcast(teams), "match_id")
+def control(where: DataFrame, grid: DataFrame, regions: DataFrame, teams: DataFrame, matches: DataFrame) -> DataFrame:
+    """(match_id, region, bucket, a_armed, a_not, b_armed, b_not, state) for every bucket and region of the match's map."""
+    sides = where.join(teams, "match_id")
     of = lambda team, armed: F.count_if((F.col("team") == F.col(team)) & (F.col("armed") == armed))
     counts = sides.groupBy("match_id", "region", "bucket").agg(of("team_a", True).alias("a_armed"), of("team_a", False).alias("a_not"), of("team_b", True).alias("b_armed"), of("team_b", False).alias("b_not"))
-    frame = grid.join(teams, "match_id", "left_semi").select("match_id", "bucket").join(F.broadcast(regions.select("region").distinct()))
+    own = matches.join(teams, "match_id", "left_semi").select("match_id", "map").join(regions.select("map", "region").distinct(), "map").select("match_id", "region")
+    frame = grid.select("match_id", "bucket").join(own, "match_id")
     full = frame.join(counts, ["match_id", "region", "bucket"], "left").na.fill(0, ["a_armed", "a_not", "b_armed", "b_not"])
     return full.withColumn("state", classify(*map(F.col, ("a_armed", "a_not", "b_armed", "b_not"))))
 
@@ -122,6 +122,8 @@ def graph_edges(located: DataFrame, boundaries: DataFrame, jump: float = 125.0)
     x = _runs(located, boundaries).filter(F.col("_joined") & (F.col("loc") != F.col("_loc")))
     far = F.greatest(F.abs(F.col("x") - F.col("_x")), F.abs(F.col("y") - F.col("_y"))) > jump
     x = x.select("match_id", F.col("_loc").alias("from_loc"), F.col("loc").alias("to_loc"), "player", "t_ms", "seq", F.when(far, "teleport").otherwise("normal").alias("k"))
-    kinds = x.groupBy("match_id", "from_loc", "to_loc").agg(F.min_by("k", F.struct("t_ms", "player", "seq")).alias("kind"))
-    counts = x.groupBy("match_id", "from_loc", "to_loc", "player").agg(F.count("*").alias("n"))
-    return counts.join(kinds, ["match_id", "from_loc", "to_loc"])
+    edge = ["match_id", "from_loc", "to_loc"]
+    first = F.struct("t_ms", "player", "seq")
+    by = x.groupBy(*edge, "player").agg(F.count("*").alias("n"), F.min(first).alias("_at"), F.min_by("k", first).alias("_k"))
+    kind = F.first("_k").over(Window.partitionBy(*edge).orderBy("_at"))
+    return by.select(*edge, "player", "n", kind.alias("kind"))

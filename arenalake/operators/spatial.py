@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arenalake.functions.graph import components
 from arenalake.functions.temporal import KEYS, asof
+from arenalake.sources.shared import settled
 
-CELL = 256.0  #: side of a grid cell
+CELLS = (256.0, 2048.0, 16384.0)  #: sides of grid cells, tried one after another
+PLACE = ["map", "x", "y", "z"]
 
 
 def _distance2(p: str, q: str) -> Column:
@@ -16,57 +19,67 @@ def _distance2(p: str, q: str) -> Column:
     return d("x") * d("x") + d("y") * d("y") + d("z") * d("z")
 
 
-def _points(locs: DataFrame) -> DataFrame:
-    return locs.select("loc_id", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("z").alias("_z"), F.floor(F.col("x") / CELL).cast("int").alias("_cx"), F.floor(F.col("y") / CELL).cast("int").alias("_cy"))
+def _cell(c: str, side: float) -> Column:
+    return F.floor(F.col(c) / side).cast("int")
 
 
-def _around(rows: DataFrame, cells: int) -> DataFrame:
+def _points(locs: DataFrame, side: float) -> DataFrame:
+    return locs.select("map", "loc_id", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("z").alias("_z"), _cell("x", side).alias("_cx"), _cell("y", side).alias("_cy"))
+
+
+def _around(rows: DataFrame, cells: int, side: float) -> DataFrame:
     """A row for every cell within ``cells`` of a row's own."""
-    side = F.sequence(F.lit(-cells), F.lit(cells))
-    cx, cy = F.floor(F.col("x") / CELL).cast("int"), F.floor(F.col("y") / CELL).cast("int")
-    wide = rows.withColumn("_cx", F.explode(F.transform(side, lambda i: cx + i)))
-    return wide.withColumn("_cy", F.explode(F.transform(side, lambda i: cy + i)))
+    steps = F.sequence(F.lit(-cells), F.lit(cells))
+    wide = rows.withColumn("_cx", F.explode(F.transform(steps, lambda i: _cell("x", side) + i)))
+    return wide.withColumn("_cy", F.explode(F.transform(steps, lambda i: _cell("y", side) + i)))
 
 
 def nearest_point(places: DataFrame, locs: DataFrame) -> DataFrame:
-    """(x, y, z, loc_id) of distinct places: the nearest point in three dimensions, the lowest id on a tie.
+    """(map, x, y, z, loc_id) of distinct places: the map's nearest point in three dimensions, the lowest id on a tie.
 
-    A grid join finds points in the nine cells around; where none is as near as a cell's side, all points are compared.
-    The table of points is a dimension of one map (thousands of rows) and is broadcast there.
+    The nine grid cells around a place hold every point as near as a cell's side.  Where no point is as near, larger cells
+    are tried, and beyond the largest all points of the map.  Every step joins on map and cell.
     """
-    places = places.select("x", "y", "z").distinct()
-    key = F.struct(_distance2("", "_").alias("d2"), "loc_id")
-    near = _around(places, 1).join(_points(locs), ["_cx", "_cy"]).groupBy("x", "y", "z").agg(F.min(key).alias("best"))
-    known = places.join(near, ["x", "y", "z"], "left")
-    sure = known.filter(F.col("best.d2") <= CELL * CELL).select("x", "y", "z", "best.loc_id")
-    rest = known.filter(F.col("best").isNull() | (F.col("best.d2") > CELL * CELL)).select("x", "y", "z")
-    far = rest.join(F.broadcast(_points(locs))).groupBy("x", "y", "z").agg(F.min(key).alias("best")).select("x", "y", "z", "best.loc_id")
-    return sure.unionByName(far)
+    rest = places.select(*PLACE).distinct()
+    key = F.when(F.col("loc_id").isNotNull(), F.struct(_distance2("", "_").alias("d2"), "loc_id"))
+    found = []
+    for side in CELLS:
+        near = _around(rest, 1, side).join(_points(locs, side), ["map", "_cx", "_cy"], "left").groupBy(*PLACE).agg(F.min(key).alias("best"))
+        sure = F.coalesce(F.col("best.d2") <= side * side, F.lit(False))
+        found.append(near.filter(sure).select(*PLACE, "best.loc_id"))
+        rest = near.filter(~sure).select(*PLACE)
+    found.append(rest.join(_points(locs, CELLS[0]), "map").groupBy(*PLACE).agg(F.min(key)["loc_id"].alias("loc_id")))
+    out = found[0]
+    for one in found[1:]:
+        out = out.unionByName(one)
+    return out
 
 
 def locate(positions: DataFrame, locs: DataFrame) -> DataFrame:
-    """``positions`` with li, the nearest point's id."""
-    return positions.join(nearest_point(positions, locs).withColumnRenamed("loc_id", "li"), ["x", "y", "z"])
+    """``positions`` with li, the id of the map's nearest point; 0 for the origin, which stands for no position."""
+    nearest = positions.join(nearest_point(positions, locs).withColumnRenamed("loc_id", "li"), PLACE)
+    return nearest.withColumn("li", F.when((F.col("x") == 0) & (F.col("y") == 0) & (F.col("z") == 0), 0).otherwise(F.col("li")))
 
 
 def within(places: DataFrame, locs: DataFrame, radius: float) -> DataFrame:
-    """(x, y, z, loc_id) of all points within ``radius`` of each distinct place."""
-    cells = int(radius // CELL) + 1
-    pairs = _around(places.select("x", "y", "z").distinct(), cells).join(_points(locs), ["_cx", "_cy"])
-    return pairs.filter(_distance2("", "_") <= F.lit(radius * radius).cast("float")).select("x", "y", "z", "loc_id")
+    """(map, x, y, z, loc_id) of all points of the map within ``radius`` of each distinct place."""
+    side = CELLS[0]
+    pairs = _around(places.select(*PLACE).distinct(), int(radius // side) + 1, side).join(_points(locs, side), ["map", "_cx", "_cy"])
+    return pairs.filter(_distance2("", "_") <= F.lit(radius * radius).cast("float")).select(*PLACE, "loc_id")
 
 
 def visible_nearest(positions: DataFrame, locs: DataFrame, visible: DataFrame) -> DataFrame:
     """``positions`` (with leaf_id) with li: the nearest among the points visible from the leaf, or among all if none is.
 
-    ``visible``: (leaf_id, loc_id).
+    ``visible``: (map, leaf_id, loc_id).
     """
-    places = positions.select("x", "y", "z", "leaf_id").distinct()
+    places = positions.select(*PLACE, "leaf_id").distinct()
     key = F.struct(_distance2("", "_").alias("d2"), "loc_id")
-    seen = places.join(visible, "leaf_id").join(F.broadcast(_points(locs)), "loc_id").groupBy("x", "y", "z", "leaf_id").agg(F.min(key)["loc_id"].alias("_li"))
+    seen = visible.join(_points(locs, CELLS[0]), ["map", "loc_id"])
+    seen = places.join(seen, ["map", "leaf_id"]).groupBy(*PLACE, "leaf_id").agg(F.min(key)["loc_id"].alias("_li"))
     plain = nearest_point(places, locs)
-    both = places.join(seen, ["x", "y", "z", "leaf_id"], "left").join(plain, ["x", "y", "z"]).select("x", "y", "z", "leaf_id", F.coalesce("_li", "loc_id").alias("li"))
-    return positions.join(both, ["x", "y", "z", "leaf_id"])
+    both = places.join(seen, [*PLACE, "leaf_id"], "left").join(plain, PLACE).select(*PLACE, "leaf_id", F.coalesce("_li", "loc_id").alias("li"))
+    return positions.join(both, [*PLACE, "leaf_id"])
 
 
 def smooth(located: DataFrame, boundaries: DataFrame, threshold_ms: int = 250) -> DataFrame:
@@ -108,9 +121,12 @@ def intern(names: DataFrame) -> DataFrame:
     return first.withColumn("li", F.row_number().over(Window.partitionBy("match_id").orderBy("at"))).select("match_id", "name", "li")
 
 
-def bounds(positions: DataFrame) -> DataFrame:
-    """Smallest and largest x and y of each match, without positions at the origin."""
-    return positions.filter("x <> 0 or y <> 0 or z <> 0").groupBy("match_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("x", "y") for f in (F.min, F.max)])
+def bounds(positions: DataFrame, locs: DataFrame | None = None) -> DataFrame:
+    """Smallest and largest x and y of each match: of its positions, without the origin, and of its map's points."""
+    rows = positions.filter("x <> 0 or y <> 0 or z <> 0").select("match_id", "x", "y")
+    if locs is not None:
+        rows = rows.unionByName(positions.select("match_id", "map").distinct().join(locs.select("map", "x", "y"), "map").select("match_id", "x", "y"))
+    return rows.groupBy("match_id").agg(*[f(c).cast("double").alias(f"{f.__name__}_{c}") for c in ("x", "y") for f in (F.min, F.max)])
 
 
 def height_range(positions: DataFrame) -> DataFrame:
@@ -122,27 +138,46 @@ def height_range(positions: DataFrame) -> DataFrame:
 
 
 def centroids(locs: DataFrame, regions: DataFrame) -> DataFrame:
-    """Mean x and y of each region's points."""
-    return locs.join(regions, "loc_id").groupBy("region").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    """Mean x and y of the points of each map's regions."""
+    return locs.join(regions, ["map", "loc_id"]).groupBy("map", "region").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
 
 
 def clusters(points: DataFrame, reach: float = 800.0) -> DataFrame:
-    """(loc_id, cluster): single-linkage clusters of the points of a map by xy-distance below ``reach``.
+    """(map, loc_id, cluster): single-linkage clusters of a map's points by xy-distance below ``reach``; the cluster is the
+    smallest id in it.
 
-    A map has at most some thousands of points: cells of side ``reach`` give the candidate pairs, and the smallest label
-    spreads until nothing changes.
+    Cells of side ``reach`` give the candidate pairs; the smallest label spreads, by neighbours and by its own label, until
+    nothing changes.  Every round's labels are cut from their lineage by ``settled``.
     """
-    cell = lambda c: F.floor(F.col(c) / reach).cast("int")
-    a = points.select("loc_id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
-    steps = F.sequence(F.lit(-1), F.lit(1))
-    b = a.select(F.col("loc_id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.explode(F.transform(steps, lambda i: F.col("cx") + i)).alias("cx"), "cy")
-    b = b.select("other", "x2", "y2", "cx", F.explode(F.transform(steps, lambda i: F.col("cy") + i)).alias("cy"))
+    a = points.select("map", "loc_id", "x", "y", _cell("x", reach).alias("cx"), _cell("y", reach).alias("cy"))
+    b = _around(points.select("map", F.col("loc_id").alias("other"), "x", "y"), 1, reach).select("map", "other", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("_cx").alias("cx"), F.col("_cy").alias("cy"))
     near = (F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2 < reach * reach
-    links = a.join(b, ["cx", "cy"]).filter(near).select("loc_id", "other")
-    labels = points.select("loc_id", F.col("loc_id").alias("cluster"))
-    while True:
-        spread = links.join(labels.withColumnRenamed("loc_id", "other"), "other").groupBy("loc_id").agg(F.min("cluster").alias("cluster"))
-        spread = spread.checkpoint() if points.sparkSession.sparkContext.getCheckpointDir() else spread.persist()
-        if not spread.join(labels.withColumnRenamed("cluster", "was"), "loc_id").filter("cluster <> was").head(1):
-            return spread
-        labels = spread
+    links = settled(a.join(b, ["map", "cx", "cy"]).filter(near).select("map", "loc_id", "other"))
+    return components(links, ["map"], "loc_id", "other", "cluster")
+
+
+#: Words of a point's name that mark a region, and the same in the order in which they are tried.  Fixed values.
+KEYWORDS = ("RA", "RL", "LG", "QUAD")
+SPARE = "YA"  #: taken where a map has no RA
+
+
+def detect_regions(locs: DataFrame, curated: DataFrame | None = None, reach: float = 800.0) -> DataFrame:
+    """(map, loc_id, region): points whose names hold a keyword, in clusters by keyword, named by the keyword and the
+    commonest other word of the cluster's names (the first by letters on a tie).
+
+    Maps that ``curated`` (map, loc_id, region) knows keep those regions alone.
+    """
+    words = F.filter(F.split(F.upper("name"), "[^A-Z0-9]+"), lambda w: w != "")
+    named = locs.withColumn("words", words)
+    red = F.max(F.array_contains("words", KEYWORDS[0]).cast("int")).over(Window.partitionBy("map")) == 1
+    keys = F.when(red, F.array(*map(F.lit, KEYWORDS))).otherwise(F.array(F.lit(SPARE), *map(F.lit, KEYWORDS[1:])))
+    marked = named.withColumn("key", F.explode(F.array_intersect(keys, "words")))
+    by_key = marked.withColumns({"place": F.col("map"), "map": F.concat_ws(":", "map", "key")})
+    grouped = clusters(by_key, reach).join(by_key.select("map", "loc_id", "place", "key", "words"), ["map", "loc_id"])
+    other = grouped.select("place", "key", "cluster", F.explode(F.array_except("words", F.array("key"))).alias("word")).groupBy("place", "key", "cluster", "word").agg(F.count("*").alias("n"))
+    best = other.groupBy("place", "key", "cluster").agg(F.min_by("word", F.struct(-F.col("n"), "word")).alias("word"))
+    out = grouped.join(best, ["place", "key", "cluster"], "left").select(F.col("place").alias("map"), "loc_id", F.concat_ws(" ", "key", "word").alias("region"))
+    if curated is None:
+        return out
+    own = curated.select("map", "loc_id", "region")
+    return out.join(own.select("map").distinct(), "map", "left_anti").unionByName(own)

@@ -25,6 +25,57 @@ def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.unify(I.sessions(_userinfo(Lens(spark, sf_dir)))).select("match_id", "slot", "session", "identity")
 
 
+def _logins(lens: Lens) -> DataFrame:
+    """A scoreboard of even matches: one login with its name."""
+    return lens.matches.filter("match_id % 2 = 0").select("match_id", F.lit("n1").alias("name"), F.lit("a2").alias("login"), F.lit("red").alias("team"))
+
+
+def _lines(lens: Lens) -> DataFrame:
+    """Reconnect lines of every third match, with names that are prefixes of each other."""
+    rows = lens.base.filter("event_type = 'error' and match_id % 3 = 0 and k % 4 = 1")
+    return rows.select("match_id", "t_ms", F.concat(F.lit("n"), (F.col("k") % 2).cast("string"), F.lit(" rejoins the game with "), F.col("k").cast("string"), F.lit(" frags")).alias("message"))
+
+
+def _links(lens: Lens) -> tuple[DataFrame, DataFrame]:
+    found = I.sessions(_userinfo(lens))
+    return found, I.scoreboard_links(found, _logins(lens)).unionByName(I.reconnect_links(found, _lines(lens)))
+
+
+def identities_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lens = Lens(spark, sf_dir)
+    found, links = _links(lens)
+    return I.unify(found, links, _logins(lens)).select("match_id", "slot", "session", "identity")
+
+
+def _slotted(lens: Lens) -> DataFrame:
+    return lens.base.filter("event_type = 'purchase'").select("match_id", (F.col("user_id") % 4).cast("int").alias("slot"), "t_ms", "seq", (F.col("iv") % 5).alias("v"))
+
+
+def stitched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lens = Lens(spark, sf_dir)
+    found, links = _links(lens)
+    return I.stitch(_slotted(lens), I.unify(found, links, _logins(lens)))
+
+
+def stitched_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lens = Lens(spark, sf_dir)
+    found, links = _links(lens)
+    spans = _slotted(lens).filter("v = 1").select("match_id", "slot", F.col("t_ms").alias("start_ms"), (F.col("t_ms") + 40_000).alias("end_ms"))
+    return I.stitch_intervals(spans, I.unify(found, links, _logins(lens)))
+
+
+def teams_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lens = Lens(spark, sf_dir)
+    rows = lens.base.filter("event_type = 'error'").select("match_id", "seq", F.when(F.col("k") % 3 == 0, F.upper("player")).when(F.col("k") % 3 == 1, F.col("player")).otherwise(F.lit("nobody")).alias("player"))
+    return I.team_by_name(rows, lens.players)
+
+
+def victim_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lens = Lens(spark, sf_dir)
+    lines = lens.base.filter("event_type = 'error'").select("match_id", "seq", "t_ms", F.concat(F.lit("n"), (F.col("k") % 4).cast("string")).alias("victim"))
+    return I.victim_slot(lines, _userinfo(lens))
+
+
 def slot_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     lens = Lens(spark, sf_dir)
     rows = lens.base.filter("event_type = 'view'").select("match_id", (F.col("user_id") % 4).cast("int").alias("slot"), "t_ms", "seq")
@@ -141,7 +192,7 @@ def corpus_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    sessions, identities, slot_names, first_users, rebased, death_edges, matched_drops, drop_fates, weapon_effects, item_phases, item_status, item_names,
+    sessions, identities, identities_linked, stitched, stitched_intervals, teams_by_name, victim_slots, slot_names, first_users, rebased, death_edges, matched_drops, drop_fates, weapon_effects, item_phases, item_status, item_names,
     player_table, team_table, weapon_accuracy, overview, catalog_search, coverage_gaps, damage_table, corpus_rollup,
 )}
 
@@ -150,6 +201,29 @@ f AS (SELECT *, last_value(uid IGNORE NULLS) OVER (PARTITION BY match_id, slot O
 g AS (SELECT *, sum((was IS NOT NULL AND u <> was)::INT) OVER (PARTITION BY match_id, slot ORDER BY t_ms, seq) AS session FROM (SELECT *, lag(u) OVER (PARTITION BY match_id, slot ORDER BY t_ms, seq) AS was FROM f)),
 h AS (SELECT match_id, slot, session::BIGINT AS session, min(t_ms) AS t, arg_max(name, (t_ms, seq)) AS name, arg_max(team, (t_ms, seq)) AS team, coalesce(arg_max(auth, (t_ms, seq)) FILTER (auth IS NOT NULL), '') AS auth FROM g GROUP BY match_id, slot, session),
 sess AS (SELECT match_id, slot, session, CASE WHEN session > 0 THEN t END AS start_ms, lead(t) OVER (PARTITION BY match_id, slot ORDER BY session) AS end_ms, name, team, auth FROM h)"""
+_NODE = "lpad(slot::VARCHAR, 3, '0') || ':' || lpad(session::VARCHAR, 5, '0')"
+_AUTH = f"SELECT match_id, slot, session, {_NODE} AS node, 'a:' || auth AS key FROM sess WHERE auth <> ''"
+_LINKED = f"""{_AUTH} UNION ALL SELECT match_id, slot, session, {_NODE}, 's' FROM sess WHERE match_id % 2 = 0 AND (auth = 'a2' OR name = 'n1')
+  UNION ALL SELECT match_id, slot, session, {_NODE}, 'r:' || name FROM sess SEMI JOIN (SELECT DISTINCT match_id, 'n' || (k % 2) AS name FROM base WHERE event_type = 'error' AND match_id % 3 = 0 AND k % 4 = 1) USING (match_id, name)"""
+
+
+def _identity_sql(keys: str, rich: str) -> str:
+    """Sessions with identity, by the closure of keys that stand together in a session."""
+    return _INFO.replace("WITH base", "WITH RECURSIVE base", 1) + f""", rk AS ({keys}),
+keyed AS (SELECT * FROM rk UNION ALL SELECT match_id, slot, session, {_NODE}, 'n:' || name FROM sess WHERE match_id NOT IN (SELECT match_id FROM rk UNION SELECT match_id FROM ({rich}))),
+edge AS (SELECT DISTINCT a.match_id, a.key AS k1, b.key AS k2 FROM keyed a JOIN keyed b USING (match_id, node)),
+reach AS (SELECT * FROM edge UNION SELECT r.match_id, r.k1, e.k2 FROM reach r JOIN edge e ON e.match_id = r.match_id AND e.k1 = r.k2),
+root AS (SELECT match_id, k1 AS key, min(k2) AS root FROM reach GROUP BY ALL),
+low AS (SELECT match_id, root, min(node) AS identity FROM keyed JOIN root USING (match_id, key) GROUP BY ALL),
+mine AS (SELECT DISTINCT match_id, node, identity FROM keyed JOIN root USING (match_id, key) JOIN low USING (match_id, root)),
+idn AS (SELECT s.*, coalesce(identity, {_NODE}) AS identity FROM sess s LEFT JOIN mine ON mine.match_id = s.match_id AND mine.node = {_NODE.replace("slot", "s.slot").replace("session", "s.session")})"""
+
+
+_IDN = _identity_sql(_LINKED, "SELECT match_id FROM matches WHERE match_id % 2 = 0")
+_PLAYER = _IDN + """, lst AS (SELECT match_id, identity, arg_max({'n': name, 's': slot}, (coalesce(start_ms, -2147483648), slot, session)) AS x FROM idn WHERE name <> '' GROUP BY ALL),
+pl AS (SELECT match_id, identity, CASE WHEN count(*) OVER (PARTITION BY match_id, x.n) > 1 THEN x.n || '#' || x.s ELSE x.n END AS player FROM lst),
+who AS (SELECT idn.*, player FROM idn LEFT JOIN pl USING (match_id, identity)),
+slotted AS (SELECT match_id, CAST(user_id % 4 AS INT) AS slot, t_ms, seq, iv % 5 AS v FROM base WHERE event_type = 'purchase')"""
 _DROP = SQL + """, dr AS (SELECT match_id, k % 6 AS ent, t_ms, seq, player FROM base WHERE event_type = 'error'), pk AS (SELECT match_id, k % 6 AS ent, t_ms, seq, player FROM base WHERE event_type = 'click'),
 c AS (SELECT p.*, (SELECT arg_max(d.seq, (d.t_ms, d.seq)) FROM dr d WHERE d.match_id = p.match_id AND d.ent = p.ent AND d.t_ms <= p.t_ms) AS ds FROM pk p),
 m AS (SELECT c.*, CASE WHEN ds IS NOT NULL AND row_number() OVER (PARTITION BY match_id, ent, ds ORDER BY t_ms, seq) = 1 THEN ds END AS own FROM c)"""
@@ -164,6 +238,17 @@ brd AS (SELECT * FROM board WHERE kills + suicides + team_kills + deaths > 0)"""
 _EFF = "round(coalesce(kills * 100.0::DOUBLE / nullif(kills + deaths, 0), 0), 1) AS efficiency"
 ORACLES = {
     "sessions": _INFO + " SELECT * FROM sess",
+    "identities": _identity_sql(_AUTH, "SELECT 0 AS match_id WHERE false") + " SELECT match_id, slot, session, identity FROM idn",
+    "identities_linked": _IDN + " SELECT match_id, slot, session, identity FROM idn",
+    "stitched": _PLAYER + """, r AS (SELECT b.*, (SELECT arg_max({'p': player}, session) FROM who w WHERE w.match_id = b.match_id AND w.slot = b.slot AND (start_ms IS NULL OR start_ms <= b.t_ms)).p AS player FROM slotted b)
+SELECT match_id, player, t_ms, seq, v FROM (SELECT *, lag(v) OVER (PARTITION BY match_id, player ORDER BY t_ms, seq) AS was FROM r WHERE player IS NOT NULL) WHERE was IS DISTINCT FROM v""",
+    "stitched_intervals": _PLAYER + """, i AS (SELECT match_id, slot, t_ms AS s, t_ms + 40000 AS e FROM slotted WHERE v = 1)
+SELECT match_id, player, greatest(s, coalesce(start_ms, s)) AS start_ms, least(e, coalesce(end_ms, e)) AS end_ms FROM i JOIN who USING (match_id, slot) WHERE player IS NOT NULL AND least(e, coalesce(end_ms, e)) > greatest(s, coalesce(start_ms, s))""",
+    "teams_by_name": SQL + """, r AS (SELECT match_id, seq, CASE k % 3 WHEN 0 THEN upper(player) WHEN 1 THEN player ELSE 'nobody' END AS player FROM base WHERE event_type = 'error')
+SELECT r.match_id, r.seq, r.player, p.team FROM r LEFT JOIN players p ON p.match_id = r.match_id AND p.player = lower(r.player)""",
+    "victim_slots": _INFO + """, l AS (SELECT match_id, seq, t_ms, 'n' || (k % 4) AS victim FROM base WHERE event_type = 'error'), sl AS (SELECT DISTINCT match_id, slot FROM info),
+n AS (SELECT l.*, slot, (SELECT arg_max(name, (t_ms, seq)) FROM info i WHERE i.match_id = l.match_id AND i.slot = sl.slot AND i.t_ms <= l.t_ms) AS name FROM l JOIN sl USING (match_id))
+SELECT match_id, seq, t_ms, victim, min(slot) FILTER (name = victim) AS slot FROM n GROUP BY ALL""",
     "slot_names": _INFO + " SELECT b.match_id, CAST(b.user_id % 4 AS INT) AS slot, b.t_ms, b.seq, (SELECT arg_max(name, session) FROM sess s WHERE s.match_id = b.match_id AND s.slot = b.user_id % 4 AND (start_ms IS NULL OR start_ms <= b.t_ms)) AS name FROM base b WHERE event_type = 'view'",
     "first_users": _INFO + " SELECT match_id, name, arg_min(user_id, (slot, seq)) AS user_id FROM info WHERE user_id > 0 GROUP BY match_id, name",
     "rebased": SQL + """, s AS (SELECT *, CAST(match_id % 3 * 400000 AS INT) AS z FROM changes WHERE field = 'h'),

@@ -39,7 +39,7 @@ def points_within(spark: SparkSession, sf_dir: str) -> DataFrame:
 def visible_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     lens = Lens(spark, sf_dir)
     leaves = lens.positions.withColumn("leaf_id", F.col("seq") % 7)
-    visible = lens.locs.select((F.col("loc_id") % 5).cast("long").alias("leaf_id"), "loc_id")
+    visible = lens.locs.select("map", (F.col("loc_id") % 5).cast("long").alias("leaf_id"), "loc_id")
     return S.visible_nearest(leaves, lens.locs, visible).select(*KEYS, "seq", "li")
 
 
@@ -71,7 +71,8 @@ def loc_intern(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def map_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.bounds(Lens(spark, sf_dir).positions)
+    lens = Lens(spark, sf_dir)
+    return S.bounds(lens.positions, lens.locs)
 
 
 def height_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,13 +81,13 @@ def height_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def region_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     lens = Lens(spark, sf_dir)
-    return S.centroids(lens.locs, lens.regions).select("region", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"))
+    return S.centroids(lens.locs, lens.regions).select("map", "region", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"))
 
 
 def _control(lens: Lens) -> tuple[DataFrame, DataFrame]:
     cells = grid(lens.matches, STEP, rounding="half_up")
     where = R.presence(cells, lens.players, _located(lens), lens.regions, [lens.interval("rl"), lens.interval("lg")])
-    return where, R.control(where, cells, lens.regions, R.infer_teams(lens.players))
+    return where, R.control(where, cells, lens.regions, R.infer_teams(lens.players), lens.matches)
 
 
 def region_control(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,11 +136,11 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _D2 = "(CAST(p.x AS FLOAT) - l.x) * (CAST(p.x AS FLOAT) - l.x) + (CAST(p.y AS FLOAT) - l.y) * (CAST(p.y AS FLOAT) - l.y) + (CAST(p.z AS FLOAT) - l.z) * (CAST(p.z AS FLOAT) - l.z)"
-_LOC = SQL + f""", place AS (SELECT DISTINCT x, y, z FROM positions),
-near AS (SELECT p.x, p.y, p.z, arg_min(l.loc_id, ({_D2}, l.loc_id)) AS li FROM place p, locs l GROUP BY p.x, p.y, p.z),
-located AS (SELECT p.*, near.li, name AS loc FROM positions p JOIN near USING (x, y, z) JOIN locs ON loc_id = near.li),
+_LOC = SQL + f""", place AS (SELECT DISTINCT map, x, y, z FROM positions),
+near AS (SELECT p.map, p.x, p.y, p.z, CASE WHEN p.x = 0 AND p.y = 0 AND p.z = 0 THEN 0 ELSE arg_min(l.loc_id, ({_D2}, l.loc_id)) END AS li FROM place p JOIN locs l ON l.map = p.map GROUP BY p.map, p.x, p.y, p.z),
+located AS (SELECT p.*, near.li, name AS loc FROM positions p JOIN near USING (map, x, y, z) LEFT JOIN locs ON loc_id = near.li),
 marks AS (SELECT match_id, player, t_ms FROM spawns UNION ALL SELECT match_id, player, t_ms FROM deaths)"""
-_CTL = _LOC + """, cell AS (SELECT match_id, b AS bucket, b * 100000 AS t FROM matches, range(0, 26) r(b)),
+_CTL = _LOC + """, cell AS (SELECT match_id, map, b AS bucket, b * 100000 AS t FROM matches, range(0, 26) r(b)),
 latest AS (SELECT c.match_id, p.player, p.team, c.bucket, c.t, (SELECT arg_max(li, (t_ms, seq)) FROM located x WHERE x.match_id = c.match_id AND x.player = p.player AND x.t_ms <= c.t) AS li FROM cell c JOIN players p USING (match_id)),
 place_at AS (SELECT l.match_id, l.player, l.team, bucket, region, EXISTS (SELECT 1 FROM intervals i WHERE i.field IN ('rl', 'lg') AND i.match_id = l.match_id AND i.player = l.player AND i.start_ms <= t AND t < i.end_ms) AS armed
   FROM latest l JOIN loc_regions ON loc_id = li),
@@ -147,7 +148,7 @@ teams AS (SELECT match_id, min(team) AS a, max(team) AS b FROM players GROUP BY
 cnt AS (SELECT match_id, region, bucket, count(*) FILTER (team = a AND armed) AS a_armed, count(*) FILTER (team = a AND NOT armed) AS a_not, count(*) FILTER (team = b AND armed) AS b_armed, count(*) FILTER (team = b AND NOT armed) AS b_not
   FROM place_at JOIN teams USING (match_id) GROUP BY match_id, region, bucket),
 full_ AS (SELECT match_id, region, bucket::INT AS bucket, coalesce(a_armed, 0) AS a_armed, coalesce(a_not, 0) AS a_not, coalesce(b_armed, 0) AS b_armed, coalesce(b_not, 0) AS b_not
-  FROM (SELECT match_id, bucket, region FROM cell SEMI JOIN teams USING (match_id), (SELECT DISTINCT region FROM loc_regions)) LEFT JOIN cnt USING (match_id, region, bucket)),
+  FROM (SELECT match_id, bucket, region FROM (SELECT * FROM cell SEMI JOIN teams USING (match_id)) JOIN (SELECT DISTINCT map, region FROM loc_regions) USING (map)) LEFT JOIN cnt USING (match_id, region, bucket)),
 ctl AS (SELECT *, CASE WHEN a_armed + a_not = 0 AND b_armed + b_not = 0 THEN 'Empty' WHEN b_armed + b_not = 0 AND a_armed = 0 THEN 'a' WHEN a_armed + a_not = 0 AND b_armed = 0 THEN 'b'
   WHEN a_armed > 0 AND b_armed > 0 THEN 'C' WHEN a_armed > 0 THEN 'A' WHEN b_armed > 0 THEN 'B' ELSE 'c' END AS state FROM full_)"""
 _GRAPH = _LOC + """, g AS (SELECT match_id, player, seq, t_ms, x, y, 'L' || (li % 6) AS loc, (SELECT count(*) FROM marks m WHERE m.match_id = p.match_id AND m.player = p.player AND m.t_ms <= p.t_ms) AS bc FROM located p),
@@ -159,10 +160,10 @@ trail AS (SELECT match_id, player, greatest(start_ms, {start}) AS start_ms, leas
 
 ORACLES = {
     "nearest_point": _LOC + " SELECT match_id, player, seq, li FROM located",
-    "points_within": _LOC + f" SELECT p.x, p.y, p.z, l.loc_id FROM place p, locs l WHERE {_D2} <= CAST(360000 AS FLOAT)",
-    "visible_nearest": _LOC + f""", leaf AS (SELECT DISTINCT x, y, z, seq % 7 AS leaf FROM positions),
-seen AS (SELECT p.x, p.y, p.z, leaf, arg_min(l.loc_id, ({_D2}, l.loc_id)) AS li FROM leaf p JOIN locs l ON l.loc_id % 5 = leaf GROUP BY ALL)
-SELECT p.match_id, p.player, p.seq, coalesce(seen.li, p.li) AS li FROM located p LEFT JOIN seen ON seen.x = p.x AND seen.y = p.y AND seen.z = p.z AND leaf = p.seq % 7""",
+    "points_within": _LOC + f" SELECT p.map, p.x, p.y, p.z, l.loc_id FROM place p JOIN locs l ON l.map = p.map WHERE {_D2} <= CAST(360000 AS FLOAT)",
+    "visible_nearest": _LOC + f""", leaf AS (SELECT DISTINCT map, x, y, z, seq % 7 AS leaf FROM positions),
+seen AS (SELECT p.map, p.x, p.y, p.z, leaf, arg_min(l.loc_id, ({_D2}, l.loc_id)) AS li FROM leaf p JOIN locs l ON l.map = p.map AND l.loc_id % 5 = leaf GROUP BY ALL)
+SELECT p.match_id, p.player, p.seq, coalesce(seen.li, p.li) AS li FROM located p LEFT JOIN seen ON seen.map = p.map AND seen.x = p.x AND seen.y = p.y AND seen.z = p.z AND leaf = p.seq % 7""",
     "blip_filter": _LOC + """, tr AS (SELECT match_id, player, seq, t_ms, li % 3 AS li, (SELECT count(*) FROM marks m WHERE m.match_id = p.match_id AND m.player = p.player AND m.t_ms <= p.t_ms) AS bc FROM located p),
 a AS (SELECT *, lead(t_ms) OVER w AS nt, lag(li) OVER w AS pl, lag(bc) OVER w AS pb FROM tr WINDOW w AS (PARTITION BY match_id, player ORDER BY t_ms, seq)),
 b AS (SELECT *, sum(CASE WHEN pl IS NULL OR pl = 0 OR pb <> bc THEN 1 ELSE 0 END) OVER w AS run, sum(CASE WHEN pl IS NULL OR pl = 0 OR pb <> bc OR pl <> li THEN 1 ELSE 0 END) OVER w AS seg FROM a WHERE li <> 0 WINDOW w AS (PARTITION BY match_id, player ORDER BY t_ms, seq)),
@@ -180,9 +181,9 @@ m AS (SELECT *, last_value(CASE WHEN keep THEN loc END IGNORE NULLS) OVER (PARTI
 r AS (SELECT *, sum((keep AND (f OR loc IS DISTINCT FROM was))::INT) OVER (PARTITION BY match_id, player ORDER BY start_ms) AS run FROM m)
 SELECT match_id, player, min(start_ms) AS start_ms, arg_max(end_ms, start_ms) AS end_ms, arg_min(loc, start_ms) AS loc FROM r GROUP BY match_id, player, run""",
     "loc_intern": _LOC + " SELECT match_id, name, row_number() OVER (PARTITION BY match_id ORDER BY t, p, s)::INT AS li FROM (SELECT match_id, loc AS name, min(t_ms) AS t, arg_min(player, (t_ms, player, seq)) AS p, arg_min(seq, (t_ms, player, seq)) AS s FROM located GROUP BY match_id, loc)",
-    "map_bounds": SQL + " SELECT match_id, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM positions WHERE x <> 0 OR y <> 0 OR z <> 0 GROUP BY match_id",
+    "map_bounds": SQL + ", pts AS (SELECT match_id, x::DOUBLE AS x, y::DOUBLE AS y FROM positions WHERE x <> 0 OR y <> 0 OR z <> 0 UNION ALL SELECT m.match_id, l.x, l.y FROM (SELECT DISTINCT match_id, map FROM positions) m JOIN locs l USING (map)) SELECT match_id, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM pts GROUP BY match_id",
     "height_range": SQL + ", r AS (SELECT match_id, z, row_number() OVER (PARTITION BY match_id ORDER BY z) - 1 AS i, count(*) OVER (PARTITION BY match_id) AS n FROM positions) SELECT match_id, max(z) FILTER (i = least(floor(n * 0.02), n - 1)) AS z_low, max(z) FILTER (i = least(floor(n * 0.98), n - 1)) AS z_high FROM r GROUP BY match_id",
-    "region_centroids": SQL + " SELECT region, round(avg(x::DOUBLE), 4) AS cx, round(avg(y::DOUBLE), 4) AS cy FROM locs JOIN loc_regions USING (loc_id) GROUP BY region",
+    "region_centroids": SQL + " SELECT map, region, round(avg(x::DOUBLE), 4) AS cx, round(avg(y::DOUBLE), 4) AS cy FROM locs JOIN loc_regions USING (map, loc_id) GROUP BY map, region",
     "region_control": _CTL + " SELECT * FROM ctl",
     "region_shares": _CTL + " SELECT match_id, region, " + ", ".join(f"floor(count(*) FILTER (state = '{s}') / count(*) * 1000 + 0.5) / 10 AS {n}" for s, n in zip(R.STATES, ("empty", "a_control", "a_weak", "b_control", "b_weak", "contested", "weak_contested"), strict=True)) + " FROM ctl GROUP BY match_id, region",
     "region_spans": _CTL + """, r AS (SELECT *, sum(n) OVER (PARTITION BY match_id, region ORDER BY bucket) AS run FROM (SELECT *, (lag(state) OVER (PARTITION BY match_id, region ORDER BY bucket) IS DISTINCT FROM state)::INT AS n FROM ctl))

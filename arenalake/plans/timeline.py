@@ -17,10 +17,11 @@ def _cells(lens: Lens, window_ms: int = DAY) -> DataFrame:
     return B.cells(grid(lens.matches, window_ms), lens.players)
 
 
-def _rows(lens: Lens, window_ms: int = DAY) -> DataFrame:
-    cells = B.active(_cells(lens, window_ms), lens.marks("sp"), lens.marks("d"), lens.positions, window_ms)
-    streams = {"h": (lens.number("h"), "number", "first"), "a": (lens.number("a"), "number", "first")} | {f: (lens.interval(f), "interval", "first") for f in ("rl", "lg", "q")}
-    return B.table(cells, streams, window_ms)
+def _rows(lens: Lens, window_ms: int = DAY, more: tuple[str, ...] = ()) -> DataFrame:
+    streams = {"h": (lens.number("h"), "number", "first"), "a": (lens.number("a"), "number", "first")} | {f: (lens.interval(f), "interval", "first") for f in ("rl", "lg", "q", *more)}
+    if more:
+        streams["at"] = lens.armor_type, "text", "first"
+    return B.table(_cells(lens, window_ms), streams, (lens.marks("sp"), lens.marks("d"), lens.positions))
 
 
 def buckets_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def _reduced(kind: str, field: str, reducer: str, value: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         lens = Lens(spark, sf_dir)
         stream = {"number": lambda: lens.number(field), "text": lambda: lens.armor_type, "interval": lambda: lens.interval(field), "mark": lambda: lens.marks(field), "position": lambda: lens.positions.withColumn("v", F.col("x"))}[kind]()
-        out = B.reduce(B.samples(_cells(lens), stream, kind, DAY), reducer, "value")
+        out = B.table(_cells(lens), {"value": (stream, kind, reducer)}, fill=False).select(*B.CELL, "value")
         return out.withColumn("value", F.round(F.col("value").cast("double"), 6) if value == "double" else F.col("value").cast(value))
 
     return query
@@ -44,7 +45,12 @@ def _reduced(kind: str, field: str, reducer: str, value: str):
 
 def team_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     lens = Lens(spark, sf_dir)
-    return B.team_counters(_rows(lens), lens.players)
+    return B.team_counters(_rows(lens, more=("gl", "pe", "r")), lens.players)
+
+
+def team_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lens = Lens(spark, sf_dir)
+    return B.stacked(B.team_counters(_rows(lens), lens.players), ["rllg", "rl", "lg"])
 
 
 def bucket_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +92,7 @@ def events_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.events(parts, None, 300_000, 2_000_000)
 
 
-QUERIES = {f.__name__: f for f in (buckets_first, buckets_columnar, team_counters, bucket_grid, bucket_grid_rounded, state_at, stream_slice, interval_slice, health_deltas, events_timeline)}
+QUERIES = {f.__name__: f for f in (buckets_first, buckets_columnar, team_counters, team_series, bucket_grid, bucket_grid_rounded, state_at, stream_slice, interval_slice, health_deltas, events_timeline)}
 
 _CELLS = SQL + """, cell AS (SELECT match_id, player, b AS bucket, b * 86400 AS b_start, least((b + 1) * 86400, 2592000) AS b_end FROM (SELECT DISTINCT match_id, player FROM base), range(0, 30) r(b)),
 marks AS (SELECT match_id, player, t_ms, 1 AS up FROM spawns UNION ALL SELECT match_id, player, t_ms, 0 FROM deaths),
@@ -100,6 +106,11 @@ _FIRST = "coalesce(" + _CARRY + ", (SELECT arg_min(x.v, (x.t_ms, x.seq)) FROM ch
 _HELD = "CASE WHEN EXISTS (SELECT 1 FROM intervals i WHERE i.field = '{f}' AND i.match_id = c.match_id AND i.player = c.player) THEN EXISTS (SELECT 1 FROM intervals i WHERE i.field = '{f}' AND i.match_id = c.match_id AND i.player = c.player AND i.start_ms <= c.b_start AND c.b_start < i.end_ms) END"
 _FIELDS = ", ".join(f"{_FIRST.format(f=f)} AS {f}" for f in ("h", "a")) + ", " + ", ".join(f"{_HELD.format(f=f)} AS {f}" for f in ("rl", "lg", "q"))
 _ROWS = _CELLS + f", bucket_rows AS (SELECT * FROM (SELECT match_id, player, bucket, b_start, {_FIELDS} FROM alive c) WHERE coalesce(h::VARCHAR, a::VARCHAR, rl::VARCHAR, lg::VARCHAR, q::VARCHAR) IS NOT NULL)"
+_WIDE = ", ".join(f"coalesce({_HELD.format(f=f)}, false) AS {f}" for f in ("rl", "lg", "q", "gl", "pe", "r"))
+_TEAMS = _CELLS + f""", wide AS (SELECT match_id, player, bucket, {_FIRST.format(f="h")} AS h, {_FIRST.format(f="a")} AS a, {_FIRST.format(f="at")} AS kind, {_WIDE} FROM alive c),
+counters AS (SELECT match_id, bucket, team, count(*) FILTER (rl AND lg) AS rllg, count(*) FILTER (rl AND NOT lg) AS rl, count(*) FILTER (lg AND NOT rl) AS lg, count(*) FILTER (rl OR lg) AS w, count(*) FILTER (gl) AS gl,
+  count(*) FILTER (q) AS q, count(*) FILTER (pe) AS pe, count(*) FILTER (r) AS r, coalesce(sum(h), 0)::BIGINT AS th, coalesce(sum(a), 0)::BIGINT AS ta, count(*) FILTER (kind = 3) AS abt_ra, count(*) FILTER (kind = 2) AS abt_ya, count(*) FILTER (kind = 1) AS abt_ga,
+  count(*) FILTER (q) + count(*) FILTER (pe) + count(*) FILTER (r) AS pw FROM wide JOIN players USING (match_id, player) GROUP BY match_id, bucket, team)"""
 _SET = _CELLS + """, sample AS (
   SELECT field, match_id, player, bucket, b_start AS t_ms, -1 AS seq, v FROM (SELECT x.field, c.match_id, c.player, c.bucket, c.b_start, arg_max(x.v, (x.t_ms, x.seq)) AS v
     FROM cell c JOIN changes x ON x.match_id = c.match_id AND x.player = c.player AND x.t_ms <= c.b_start GROUP BY ALL) UNION ALL
@@ -113,7 +124,10 @@ _PICK = "SELECT match_id, player, bucket, "
 ORACLES = {
     "buckets_first": _ROWS + " SELECT * FROM bucket_rows",
     "buckets_columnar": _ROWS + " SELECT match_id, player, bucket, h, a, rl, lg, q FROM bucket_rows",
-    "team_counters": _ROWS + " SELECT match_id, bucket, team, count(*) FILTER (rl) AS rl, count(*) FILTER (lg) AS lg, count(*) FILTER (coalesce(rl, false) OR coalesce(lg, false)) AS w, count(*) FILTER (q) AS q, coalesce(sum(h), 0)::BIGINT AS th, coalesce(sum(a), 0)::BIGINT AS ta FROM bucket_rows JOIN players USING (match_id, player) GROUP BY match_id, bucket, team",
+    "team_counters": _TEAMS + " SELECT * FROM counters",
+    "team_series": _TEAMS + """, part AS (SELECT match_id, team, bucket, unnest([0, 1, 2]) AS place, unnest(['rllg', 'rl', 'lg']) AS field, unnest([rllg, rl, lg]) AS v FROM counters),
+s AS (SELECT *, sum(v) OVER (PARTITION BY match_id, team, bucket ORDER BY place) AS hi FROM part)
+SELECT match_id, team, bucket, field, (hi - v)::BIGINT AS low, hi::BIGINT AS high, (max(hi) OVER (PARTITION BY match_id))::BIGINT AS top FROM s""",
     "bucket_grid": SQL + " SELECT match_id, b::INT AS bucket, (b * 100000)::INT AS b_start, least((b + 1) * 100000, 2592000)::INT AS b_end, (b + 1) * 100000 > 2592000 AS partial FROM matches, range(0, 26) r(b)",
     "bucket_grid_rounded": SQL + " SELECT match_id, b::INT AS bucket, (500000 + b * 1000000)::INT AS b_start, (500000 + (b + 1) * 1000000)::INT AS b_end FROM matches, range(0, 2) r(b)",
     "state_at": SQL + """, probe AS (SELECT match_id, player, b * 86400 AS t_ms FROM (SELECT DISTINCT match_id, player FROM base), range(0, 30) r(b))
