@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arenalake.sources.shared import shared_dir
+
 #: ASCII white space between words; everything else belongs to a word.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 BROADCAST_BYTES = 32 << 20  #: what a broadcast table may hold in memory, by its rows and their width
@@ -24,15 +25,6 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 _written: list[str] = []  #: folders that ``materialize`` wrote, oldest first
 
 
