@@ -2,9 +2,11 @@
 
 The model predicts a *unit* from the two units before it: the most frequent words are units of their own, all other
 words share units by their last letters.  Inside a shared unit a word has its smoothed share of the unit's training
-tokens, so token probabilities are normalised.  All training tokens are counted: words by a shuffled count, unit
-triples in dense arrays a task.  Training runs on the triples in rounds: every task takes NCE steps on its share of the
-contexts (with the expectation over the noise units instead of samples), and the parameters are averaged by weight.
+tokens.  Units stand in classes of neighbouring frequency; the model gives a class its probability, and a unit its
+probability inside the class, so token probabilities are normalised over a few hundred scores.  All training tokens are
+counted, by a shuffle.  All of them are also trained on, in rounds that each take a share of the documents: every task
+goes through the tokens of its rows in minibatches, with sampled noise, by batched matrix products; what the tasks have
+learned is averaged by Spark, weighted by tokens.  A task with few tokens goes through them several times.
 Scoring reads every text once; what it needs of the words beyond the KNOWN most frequent ones comes by a join.
 
 A row is a document; a null or blank text holds only the end token; repeated rows and ids are scored one by one; a null
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -26,11 +29,16 @@ from pyspark.sql import functions as F
 from .batches import small
 from .common import materialize, most_frequent
 
-SINGLE = 127  #: units that are one frequent word each
-SHARED = 64  #: units for all other words
-UNITS = SINGLE + SHARED + 1  #: the last stands before a text
+CLASSES, SIZE = 64, 128  #: classes, and units in each
+UNITS = CLASSES * SIZE
+SHARED = 64  #: units for all but the most frequent words
+SINGLE = UNITS - SHARED  #: units that are one frequent word each
 KNOWN = 1 << 18  #: most frequent words whose counts every task holds (2 MB)
-WIDTH, NOISE, ROUNDS, STEPS, SHARES, RATE = 24, 10.0, 4, 30, 12, 0.05
+WIDTH, NOISE, ROUNDS, RATE = 24, 24, 3, 0.08
+BATCH = 4096  #: tokens of a minibatch
+LEAST = 150_000  #: a task goes through its tokens again until it has taken so many in a round
+PART = 1 << 15  #: parameters that are averaged together
+SCORED = 1 << 16  #: tokens that are scored together
 END = b"\n"  #: no word holds it
 _CACHE = 200_000
 
@@ -100,99 +108,159 @@ def _units(words: _Words, single: dict[int, int]) -> np.ndarray:
     return unit
 
 
-def _contexts(units: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """unit two before * UNITS + unit before, with the last unit standing before each text."""
-    one = np.concatenate([[UNITS - 1], units[:-1]])
-    two = np.concatenate([[UNITS - 1, UNITS - 1], units[:-2]])[: len(units)]
+def _contexts(units: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The units one and two places before each; UNITS stands before a text."""
+    one = np.concatenate([[UNITS], units[:-1]])
+    two = np.concatenate([[UNITS, UNITS], units[:-2]])[: len(units)]
     starts = offsets[:-1]
-    one[starts] = two[starts] = UNITS - 1
-    seconds = starts[np.diff(offsets) > 1] + 1
-    two[seconds] = UNITS - 1
-    return two * UNITS + one
-
-
-def triples(train: DataFrame, single: dict[int, int]) -> DataFrame:
-    """(context, units, counts) over all training tokens, one row a context: at most UNITS**2 rows of UNITS entries."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = _Words(), np.zeros(UNITS**3, np.int32)
-        for batch in small(batches, 0):
-            ids, offsets = _tokens(batch, 0, words)
-            units = _units(words, single)[ids]
-            np.add.at(total, _contexts(units, offsets) * UNITS + units, 1)
-            if len(words.h) > _CACHE:
-                words = _Words()
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"context": (at // UNITS).astype(np.int32), "unit": (at % UNITS).astype(np.int32), "n": total[at].astype(np.int64)})
-
-    sums = train.mapInArrow(count, "context int, unit int, n long").groupBy("context", "unit").agg(F.sum("n").alias("n"))
-    rows = F.array_sort(F.collect_list(F.struct("unit", "n")))
-    return sums.groupBy("context").agg(rows.alias("x")).select("context", F.col("x.unit").alias("units"), F.col("x.n").alias("counts"))
+    one[starts] = two[starts] = UNITS
+    two[starts[np.diff(offsets) > 1] + 1] = UNITS
+    return one, two
 
 
 def _split(p: np.ndarray) -> tuple[np.ndarray, ...]:
-    a, b = UNITS * WIDTH, WIDTH * WIDTH
-    return p[:a].reshape(UNITS, WIDTH), p[a : 2 * a].reshape(UNITS, WIDTH), p[2 * a : 2 * a + b].reshape(WIDTH, WIDTH), p[2 * a + b : 2 * a + 2 * b].reshape(WIDTH, WIDTH), p[2 * a + 2 * b :]
-
-
-def _nce(p: np.ndarray, context: np.ndarray, counts: np.ndarray, noise: np.ndarray, steps: int) -> np.ndarray:
-    """Adam on the noise-contrastive objective of some contexts, by batched matrix products."""
-    two, one = context // UNITS, context % UNITS
-    mass = counts.sum(axis=1, keepdims=True)
-    scale = mass.sum()
-    shift = np.log(NOISE * noise)
-    m, v = np.zeros_like(p), np.zeros_like(p)
-    for step in range(1, steps + 1):
-        given, out, far, near, bias = _split(p)
-        r = given[two] @ far + given[one] @ near
-        s = 1 / (1 + np.exp(-np.clip(r @ out.T + bias - shift, -30, 30)))
-        g = (counts * (1 - s) - NOISE * mass * noise * s) / scale  # slope by each score
-        dr = g @ out
-        d_given = np.zeros_like(given)
-        np.add.at(d_given, two, dr @ far.T)
-        np.add.at(d_given, one, dr @ near.T)
-        grad = np.concatenate([x.ravel() for x in (d_given, g.T @ r, given[two].T @ dr, given[one].T @ dr, g.sum(axis=0))])
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        p = p + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return p
+    """Views: a unit's vector before a token, as a token, and as a class; the two positions' matrices; both biases."""
+    shapes = ((UNITS + 1, WIDTH), (UNITS, WIDTH), (CLASSES, WIDTH), (WIDTH, WIDTH), (WIDTH, WIDTH), (UNITS,), (CLASSES,))
+    ends = np.cumsum([int(np.prod(x)) for x in shapes])
+    return tuple(p[end - int(np.prod(x)) : end].reshape(x) for end, x in zip(ends, shapes, strict=True))
 
 
-def train_units(data: DataFrame, unit_counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Parameters after ``rounds`` of local steps and averaging; what is gathered is SHARES vectors of fixed length."""
-    noise = (unit_counts + 1) / (unit_counts + 1).sum()
+def start(mass: np.ndarray) -> np.ndarray:
+    """Parameters that give each unit about its share of the training tokens."""
     rng = np.random.default_rng(7)
-    p = np.concatenate([rng.normal(0, 0.1, 2 * UNITS * WIDTH), np.tile(np.eye(WIDTH).ravel() * 0.5, 2), np.log(noise)])
-    if not data.head(1):
-        return p
-    shares = materialize(data.withColumn("share", F.pmod(F.hash("context"), F.lit(SHARES))).repartition(SHARES, "share"), "contexts")
-
-    def steps_from(start: np.ndarray):
-        def local(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("context")  # the result does not depend on the order of rows
-            counts = np.zeros((len(pdf), UNITS))
-            for i, (u, n) in enumerate(zip(pdf["units"], pdf["counts"], strict=True)):
-                counts[i, u] = n
-            p = _nce(start, pdf["context"].to_numpy(), counts, noise, STEPS)
-            return pd.DataFrame({"share": [int(pdf["share"].iloc[0])], "p": [p], "n": [float(counts.sum())]})
-
-        return local
-
-    for _ in range(rounds):
-        found = sorted(shares.groupBy("share").applyInPandas(steps_from(p), "share int, p array<double>, n double").collect())
-        p = np.average([r["p"] for r in found], axis=0, weights=[r["n"] for r in found])
+    n = (2 * UNITS + 1 + CLASSES) * WIDTH
+    by_class = mass.reshape(CLASSES, SIZE).sum(axis=1)
+    matrices = np.tile(np.eye(WIDTH).ravel() * 0.7, 2)
+    return np.concatenate([rng.normal(0, 0.1, n), matrices, np.log(mass / np.repeat(by_class, SIZE)), np.log(by_class / by_class.sum())]).astype(np.float32)
+
+
+def _add(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """to[at] += rows, for places that repeat."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    to[at[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
+def _contrast(r: np.ndarray, target: np.ndarray, out: np.ndarray, bias: np.ndarray, q: np.ndarray, d_out: np.ndarray, d_bias: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Slopes of the noise-contrastive objective: each target against NOISE samples of ``q``, shared by the rows; gives dr."""
+    noise = np.minimum(np.searchsorted(np.cumsum(q), rng.random(NOISE)), len(q) - 1)
+    shift = np.log(NOISE * q)
+    right = 1 / (1 + np.exp(np.clip((r * out[target]).sum(axis=1) + bias[target] - shift[target], -30, 30)))
+    wrong = -1 / (1 + np.exp(-np.clip(r @ out[noise].T + bias[noise] - shift[noise], -30, 30)))
+    _add(d_out, target, right[:, None] * r)
+    np.add.at(d_out, noise, wrong.T @ r)
+    np.add.at(d_bias, target, right)
+    np.add.at(d_bias, noise, wrong.sum(axis=0))
+    return right[:, None] * out[target] + wrong @ out[noise]
+
+
+def learn(p: np.ndarray, squares: np.ndarray, unit: np.ndarray, one: np.ndarray, two: np.ndarray, mass: np.ndarray, rng: np.random.Generator) -> None:
+    """One minibatch of NCE, for classes and for units inside each class, by AdaGrad in place."""
+    before, out, by_class, near, far, bias, class_bias = _split(p)
+    slope = np.zeros_like(p)
+    d_before, d_out, d_class, d_near, d_far, d_bias, d_class_bias = _split(slope)
+    order = np.argsort(unit, kind="stable")
+    unit, one, two = unit[order], one[order], two[order]
+    q = mass.reshape(CLASSES, SIZE)
+    totals = q.sum(axis=1)
+    r = before[one] @ near + before[two] @ far
+    group = unit // SIZE
+    dr = _contrast(r, group, by_class, class_bias, totals / totals.sum(), d_class, d_class_bias, rng)
+    cuts = np.searchsorted(group, np.arange(CLASSES + 1))
+    for c in np.flatnonzero(np.diff(cuts)):
+        rows, own = slice(cuts[c], cuts[c + 1]), slice(c * SIZE, (c + 1) * SIZE)
+        dr[rows] += _contrast(r[rows], unit[rows] - c * SIZE, out[own], bias[own], q[c] / totals[c], d_out[own], d_bias[own], rng)
+    d_near += before[one].T @ dr
+    d_far += before[two].T @ dr
+    _add(d_before, one, dr @ near.T)
+    _add(d_before, two, dr @ far.T)
+    slope /= len(unit)
+    squares += slope**2
+    p += RATE * slope / np.sqrt(squares + 1e-8)
+
+
+def log_probability(p: np.ndarray, unit: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """log10 P(unit | the two units before), normalised."""
+    before, out, by_class, near, far, bias, class_bias = _split(p)
+    r = before[one] @ near + before[two] @ far
+
+    def logs(s: np.ndarray, target: np.ndarray) -> np.ndarray:
+        top = s.max(axis=1)
+        return s[np.arange(len(s)), target] - top - np.log(np.exp(s - top[:, None]).sum(axis=1))
+
+    order = np.argsort(unit, kind="stable")
+    group = unit // SIZE
+    found = logs(r @ by_class.T + class_bias, group).astype(np.float64)
+    cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
+    for c in np.flatnonzero(np.diff(cuts)):
+        rows, own = order[cuts[c] : cuts[c + 1]], slice(c * SIZE, (c + 1) * SIZE)
+        found[rows] += logs(r[rows] @ out[own].T + bias[own], unit[rows] - c * SIZE)
+    return found / np.log(10)
+
+
+def _averaged(parts: DataFrame, key: str) -> DataFrame:
+    """(part, ``key``) -> the mean of the vectors of each, weighted by n."""
+
+    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["n", "learner"])  # the result does not depend on the order of rows
+        total = sum(n * np.frombuffer(v, np.float32).astype(np.float64) for n, v in zip(pdf["n"], pdf["v"], strict=True))
+        n = pdf["n"].sum()
+        return pd.DataFrame({"part": pdf["part"].iloc[:1].to_numpy(), "learner": pdf["learner"].iloc[:1].to_numpy(), "n": [n], "v": [(total / n).astype(np.float32).tobytes()]})
+
+    return parts.groupBy("part", key).applyInPandas(mean, "part int, learner int, n double, v binary")
+
+
+def train_units(train: DataFrame, single: dict[int, int], mass: np.ndarray, n_tokens: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Parameters after ``rounds``, each over the documents of one share; what is gathered is one vector of them."""
+    p = start(mass)
+    groups = isqrt(n_tokens >> 20) + 1  #: learners are averaged in so many groups first
+    spark = train.sparkSession
+    share = F.pmod(F.xxhash64("text"), F.lit(rounds))
+
+    def learners(model, take: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, q = _Words(), model.value
+            single_, mass_, own = q["single"], q["mass"], q["p"].copy()
+            squares, rng, n, held = np.zeros_like(own), np.random.default_rng(take), 0, []
+
+            def go(unit: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+                order = rng.permutation(len(unit))
+                for at in range(0, len(unit), BATCH):
+                    i = order[at : at + BATCH]
+                    learn(own, squares, unit[i], one[i], two[i], mass_, rng)
+
+            for batch in small(batches, 0):
+                ids, offsets = _tokens(batch, 0, words)
+                units = _units(words, single_)[ids]
+                tokens = (units, *_contexts(units, offsets))
+                go(*tokens)
+                n += len(units)
+                if n < LEAST:
+                    held.append(tokens)
+                if len(words.h) > _CACHE:
+                    words = _Words()
+            if n:
+                spent = n
+                while spent < LEAST:
+                    for tokens in held:
+                        go(*tokens)
+                    spent += n
+                parts = [own[at : at + PART].tobytes() for at in range(0, len(own), PART)]
+                me = int(squares.view(np.uint32).sum() % (1 << 31))  # the same whenever the task runs again
+                yield pa.RecordBatch.from_pydict({"part": pa.array(range(len(parts)), pa.int32()), "learner": pa.array([me] * len(parts), pa.int32()), "n": [float(n)] * len(parts), "v": pa.array(parts, pa.binary())})
+
+        return run
+
+    for take in range(rounds):
+        model = spark.sparkContext.broadcast({"single": single, "mass": mass, "p": p})
+        found = train.filter(share == take).mapInArrow(learners(model, take), "part int, learner int, n double, v binary")
+        found = materialize(found.withColumn("few", F.pmod("learner", F.lit(groups))), "learned")
+        means = sorted(_averaged(_averaged(found, "few").withColumn("all", F.lit(0)), "all").collect())  # one vector in parts
+        p = np.concatenate([np.frombuffer(r["v"], np.float32) for r in means]) if means else p
     return p
 
 
-def log_table(p: np.ndarray) -> np.ndarray:
-    """log10 P(unit | context) for every context, normalised."""
-    given, out, far, near, bias = _split(p)
-    r = (given @ far)[:, None, :] + (given @ near)[None, :, :]
-    s = r.reshape(-1, WIDTH) @ out.T + bias
-    s[:, -1] = -np.inf  # nothing yields the unit that stands before a text
-    s -= s.max(axis=1, keepdims=True)
-    return ((s - np.log(np.exp(s).sum(axis=1, keepdims=True))) / np.log(10)).astype(np.float32)
-
-
 def score(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of op9, one row a document."""
     spark = docs.sparkSession
@@ -211,7 +279,9 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
         kinds[unit] -= 1
         mass[i] = n
     inside = np.log10(mass + 0.5 * (kinds + 1))  # of shared units
-    p = train_units(triples(train, single), mass)
+    mass[:SINGLE] += np.where(mass[:SINGLE] > 0, 0.5, 1e-9)  # no word has the units that are left over
+    mass[SINGLE:] += 0.5 * (kinds[SINGLE:] + 1)
+    p = train_units(train, single, mass, n_tokens)
     top = top.sort_values("h")
     model = spark.sparkContext.broadcast({
         "single": single, "p": p, "inside": inside,
@@ -221,7 +291,6 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        table = log_table(m["p"])
         words = _Words()
         for batch in small(batches, 1):
             ids, offsets = _tokens(batch, 1, words)
@@ -230,7 +299,9 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
             known = m["h"][at] == h if len(m["h"]) else np.zeros(len(h), bool)
             share = np.where(known, np.log10(np.where(known, m["n"][at] if len(m["h"]) else 0, 0) + 0.5), 0.0)
             units = unit_of[ids]
-            likely = table[_contexts(units, offsets), units] + np.where(units >= SINGLE, share[ids] - m["inside"][units], 0.0)
+            one, two = _contexts(units, offsets)
+            parts = [slice(at, at + SCORED) for at in range(0, len(units), SCORED)]
+            likely = np.concatenate([log_probability(m["p"], units[x], one[x], two[x]) for x in parts]) + np.where(units >= SINGLE, share[ids] - m["inside"][units], 0.0)
             sums = lambda x: np.add.reduceat(x, offsets[:-1])
             rare = ~known[ids]
             cuts = np.concatenate([[0], np.cumsum(sums(rare.astype(np.int64)))]).astype(np.int32)
