@@ -44,6 +44,8 @@ CUES = {
 AGAINST = r"(?i)(?:version|isbn|issn|invoice|order|ref|ticket|serial|sku|chapter|section|doi|v)[\x20.:#]{0,3}$"
 LAST_LABELS = r"(?i)\.(?:com|net|org|edu|gov|io|info|biz|[a-z]{2})$"
 VOTERS = 6
+BLOCK = 128  #: spans of a text that are placed together
+SPREAD = 64  #: parts of a text with many base spans in which overlaps are looked for
 PATTERN = "kind", "length", *(f"v{i}" for i in range(VOTERS))
 
 
@@ -67,25 +69,48 @@ def _holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _running(sizes: Column) -> Column:
+    """The sum of the sizes before each element, in blocks, so that the work is linear in the number of elements."""
+
+    def block(i: Column) -> Column:
+        return F.slice(sizes, i * BLOCK + 1, F.lit(BLOCK))
+
+    def add(a: Column, x: Column) -> Column:
+        return F.struct((a["at"] + x).alias("at"), F.array_append(a["out"], a["at"]).alias("out"))
+
+    def before(values: Column, at: Column) -> Column:
+        return F.aggregate(values, F.struct(at.alias("at"), F.expr("cast(array() as array<int>)").alias("out")), add, lambda a: a["out"])
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int"))
+    sums = F.transform(blocks, lambda i: F.aggregate(block(i), F.lit(0), lambda a, x: a + x))
+    return F.when(F.size(sizes) <= BLOCK, before(sizes, F.lit(0))).otherwise(let(before(sums, F.lit(0)), lambda first: F.flatten(F.transform(blocks, lambda i: before(block(i), first[i])))))
+
+
 def _found(text: Column, kind: str, strict: bool) -> Column:
     """Leftmost non-overlapping matches with their places (code points) and votes, as an array of structs."""
     pattern = (STRICT if strict else LOOSE)[kind]
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zipped = F.zip_with(gaps, hits, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        one = F.struct(start.alias("s"), (start + F.length(x["m"])).alias("e"), x["m"].alias("m"), F.right(x["g"], F.lit(40)).alias("pre"))
-        return F.struct((start + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], one)).alias("out"))
+    def placed(x: Column) -> Column:
+        sizes = F.zip_with(x["gaps"], x["hits"], lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0)))
+
+        def spans(at: Column) -> Column:
+            def one(m: Column, i: Column) -> Column:
+                start = at[i] + F.length(x["gaps"][i])
+                behind = F.concat(F.left(x["gaps"][i + 1], F.lit(1)), F.coalesce(F.left(F.get(x["hits"], i + 1), F.lit(1)), F.lit("")))
+                return F.struct(start.alias("s"), (start + F.length(m)).alias("e"), m.alias("m"), F.right(x["gaps"][i], F.lit(40)).alias("pre"), F.left(behind, F.lit(1)).alias("after"))
+
+            return F.transform(x["hits"], one)
 
-    empty = F.expr("cast(array() as array<struct<s:int,e:int,m:string,pre:string>>)")
-    spans = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+        return let(_running(sizes), spans)
+
+    spans = let(F.struct(gaps.alias("gaps"), hits.alias("hits")), placed)
     k = KINDS.index(kind)
 
     def label(x: Column) -> Column:
         value, pre = x["m"], x["pre"]
         digits, good = _digits(value), _holds(kind, value)
-        after = F.substring(text, x["e"] + 1, F.lit(1))
+        after = x["after"]
         shape = {
             "email": _vote(value.rlike(LAST_LABELS), ~value.rlike(LAST_LABELS)),
             "ip": _vote(~value.rlike(r"^(?:0|127|255)\."), value.rlike(r"^(?:0|255)\.")),
@@ -93,7 +118,7 @@ def _found(text: Column, kind: str, strict: bool) -> Column:
             "phone": _vote(F.length(digits) >= 10, digits.rlike(r"^0+$|^(.)\1+$")),
         }[kind]
         votes = (
-            F.when(good, 1).otherwise(0) if strict else F.lit(2),
+            F.lit(1 if strict else 2),  # the strict pattern itself
             F.when(good, 1).otherwise(0) if kind != "email" else _vote(~value.contains(".."), value.contains("..")),
             _vote(pre.rlike(CUES[kind])),
             F.when(pre.rlike(AGAINST), 0).otherwise(2),
@@ -183,12 +208,19 @@ def spans(text: Column, model: dict[str, list[float]], threshold: float = 0.9) -
 
     def keep(all_: Column) -> Column:
         base = F.filter(all_, lambda x: x["base"])
+        wide = F.size(base) > SPREAD
+        part = F.when(wide, F.floor(F.length(text) / SPREAD).cast("int") + 1).otherwise(F.length(text) + 1)
+
+        def accepted(parts: Column) -> Column:
+            def one(x: Column) -> Column:
+                logit = sum((w[i * 3 + x[f"v{i}"]] for i in range(VOTERS)), w[3 * VOTERS + x["kind"]] + w[3 * VOTERS + 4 + x["length"]])
+                near = F.sequence(F.floor(x["s"] / part).cast("int"), F.floor(x["e"] / part).cast("int"))
+                return x["base"] | ((logit >= cut) & ~F.exists(near, lambda i: F.exists(parts[i], lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))))
 
-        def accepted(x: Column) -> Column:
-            logit = sum((w[i * 3 + x[f"v{i}"]] for i in range(VOTERS)), w[3 * VOTERS + x["kind"]] + w[3 * VOTERS + 4 + x["length"]])
-            return x["base"] | ((logit >= cut) & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+            return F.filter(all_, one)
 
-        return F.filter(all_, accepted)
+        split = F.transform(F.sequence(F.lit(0), F.lit(SPREAD)), lambda i: F.filter(base, lambda b: (b["s"] < (i + 1) * part) & (b["e"] >= i * part)))
+        return let(F.when(wide, split).otherwise(F.array(base)), accepted)
 
     return let(candidates(text), keep)
 
