@@ -152,7 +152,7 @@ def _compare(columns: list[np.ndarray], text: bytes) -> Iterator[tuple[np.ndarra
 
 
 #: at most 69, 37, 5 and 1 windows share a minimiser
-KIND = Kind(WINDOW, (32, 64, 96, WINDOW), True, _units, _cut, _compare)
+KIND = Kind(WINDOW, (32, 64, 96, WINDOW), True, _units, _cut, _compare, 1)
 
 
 def runs(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:

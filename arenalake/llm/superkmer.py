@@ -56,7 +56,7 @@ def _compare(columns: list[np.ndarray], text: bytes) -> Iterator[tuple[np.ndarra
 
 
 #: at most 11, 6 and 1 windows share a minimiser
-KIND = Kind(WINDOW, (3, 8, WINDOW), False, _units, _cut, _compare, b"\n")
+KIND = Kind(WINDOW, (3, 8, WINDOW), False, _units, _cut, _compare, 6, b"\n")
 
 
 def repeated(doc: np.ndarray, row: np.ndarray, first: np.ndarray, size: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, ...]:

@@ -47,6 +47,7 @@ class Kind(NamedTuple):
     units: Callable[[bytes], np.ndarray]  #: a hash for each unit
     cut: Callable[[bytes, np.ndarray, np.ndarray], list[bytes]]  #: the texts from unit ``first``, ``n`` units long
     compare: Callable[[list[np.ndarray], bytes], Iterator[tuple[np.ndarray, ...]]]  #: (key, doc, row, first, n), texts -> (row, lo, hi)
+    size: int  #: characters of a unit, about
     gap: bytes = b""
 
 
@@ -144,7 +145,7 @@ def _settled(source: DataFrame, kind: Kind, level: int, n_buckets: int) -> DataF
 def _compared(read: DataFrame, apart: DataFrame, kind: Kind) -> DataFrame:
     """(row, lo, hi): the repeated windows of the strings that are apart."""
     total = apart.agg(F.sum(F.col("n") + kind.width)).first()[0] or 0
-    n_buckets = max(read.sparkSession.sparkContext.defaultParallelism, -(-total // TEXTS))
+    n_buckets = max(read.sparkSession.sparkContext.defaultParallelism, -(-total * kind.size // TEXTS))
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
