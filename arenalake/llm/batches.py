@@ -25,24 +25,28 @@ def small(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE) ->
             at = to
 
 
-def runs_of(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
-    """The rows of each key (the first ``n_keys`` integer columns) of a partition that is sorted by it."""
+def whole_groups(batches: Iterator[pa.RecordBatch], n_keys: int, least: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of ``least`` rows or more, with a number for each row's key (the first ``n_keys`` integer columns), of a partition
+    that is sorted by key: no key is in two tables."""
     held: list[pa.RecordBatch] = []
-    last = None
+    rows = 0
+
+    def numbered(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        keys = [table.column(i).to_numpy() for i in range(n_keys)]
+        return table, np.cumsum(np.append(False, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
+
     for batch in batches:
-        if not len(batch):
-            continue
-        keys = [batch.column(i).to_numpy() for i in range(n_keys)]
-        new = np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
-        for a, b in zip(new.tolist(), np.append(new[1:], len(batch)).tolist(), strict=True):
-            key = tuple(k[a] for k in keys)
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
+        held.append(batch)
+        rows += len(batch)
+        if rows >= least:
+            table, number = numbered(pa.Table.from_batches(held).combine_chunks())
+            cut = int(np.searchsorted(number, number[-1]))  # the last key may go on
+            if cut:
+                yield table.slice(0, cut), number[:cut]
+            held = table.slice(cut).to_batches()
+            rows = len(table) - cut
+    if rows:
+        yield numbered(pa.Table.from_batches(held).combine_chunks())
 
 
 def deal(bucket: np.ndarray, columns: list[np.ndarray], strings: list[bytes] | None = None, gap: bytes = b"") -> pa.RecordBatch:

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import SLICE, runs_of, small
+from .batches import SLICE, small, whole_groups
 from .common import few, materialize, most_frequent
 from .graph import components
 
@@ -50,6 +50,8 @@ HUBS = 8  #: stars of a family of sets that share large groups
 SECOND, SPOILT = 4, 2  #: enumeration: second-level parts, and how many of them may differ
 NEAREST = 2  #: rounds in which members are joined with their nearest ones
 STEP = 1.1  #: ratio of neighbouring size steps of the prefixes
+COMPARED = 50_000  #: members that are compared in one go, in whole groups
+PAIRS, WORDS = 1 << 20, 1 << 20  #: pairs, and words of their sketches, that are compared at once
 BLOCK = 1024  #: members of a large group that are compared together
 _CACHE = 200_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -184,36 +186,45 @@ def prefixes(h: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.concatenate(out) & ~np.uint64(63)
 
 
-def fitting(n: np.ndarray, comp: np.ndarray, side: np.ndarray | None, sketches: list, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of different components (and sides) whose sizes and sketches allow them to be similar.
+def fitting(group: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, sketches: np.ndarray, ends: np.ndarray, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of one group, but of different components and sides, whose sizes and sketches allow them to be similar.
 
-    ``nearest``: of each member's pairs only the one whose sketches differ least.
+    A row's sketch ends before ``ends`` in ``sketches``; a negative side is no side.  ``nearest``: of each row's pairs with
+    larger rows only the one whose sketches differ least.
     """
-    order = np.argsort(n, kind="stable")
-    n, comp, side = n[order], comp[order], None if side is None else side[order]
-    own = [np.asarray(sketches[i], np.int64).view(np.uint64) for i in order]
-    width = np.array([len(x) for x in own])
-    ends = np.searchsorted(n, 4 * n // 3, side="right")
-    at = {w: np.zeros((len(n), w), np.uint64) for w in np.unique(width).tolist()}
-    for i, x in enumerate(own):
-        at[len(x)][i] = x
-        if len(x) // 2 in at:
-            at[len(x) // 2][i] = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    one, two = [], []
-    for i, end in enumerate(ends.tolist()):
-        js = np.arange(i + 1, end)
-        js = js[(comp[js] != comp[i]) & (True if side is None else side[js] != side[i])]
-        if len(js):
-            marks = at[width[i]]
-            apart = np.bitwise_count(marks[js] ^ marks[i]).sum(axis=1)
-            fit = 7 * apart.astype(np.int64) <= n[i] + n[js]
-            js, apart = js[fit], apart[fit]
-            if nearest:
-                js = js[np.argsort(apart, kind="stable")[:1]]
-            one.append(np.full(len(js), i))
-            two.append(js)
-    empty = np.zeros(0, np.int64)
-    return order[np.concatenate([empty, *one])], order[np.concatenate([empty, *two])]
+    width = np.diff(np.append(0, ends))
+    order = np.lexsort((n, group))
+    key = group[order] * (1 << 33) + n[order]
+    upper = np.searchsorted(key, group[order] * (1 << 33) + 4 * n[order] // 3, side="right")
+    count = upper - np.arange(len(order)) - 1
+    total = np.append(0, np.cumsum(count))
+    out = [(np.zeros(0, np.int64),) * 2]
+    at = 0
+    while at < len(order):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, side="right")) - 1)
+        i = np.repeat(np.arange(at, to), count[at:to])
+        j = i + 1 + np.arange(len(i)) - np.repeat(total[at:to] - total[at], count[at:to])
+        i, j = order[i], order[j]
+        other = (comp[i] != comp[j]) & ((side[i] < 0) | (side[i] != side[j]))
+        i, j = i[other], j[other]
+        apart = np.empty(len(i), np.int64)
+        for w in np.unique(width[i]).tolist():
+            of = np.flatnonzero(width[i] == w)
+            for part in np.array_split(of, max(1, len(of) * w // WORDS)):
+                begin = lambda rows: (ends[rows] - width[rows])[:, None] + np.arange(w)
+                theirs = sketches[begin(j[part])]
+                wide = np.flatnonzero(width[j[part]] == 2 * w)  # a sketch of twice the width folds
+                theirs[wide] ^= sketches[begin(j[part][wide]) + w]
+                apart[part] = np.bitwise_count(sketches[begin(i[part])] ^ theirs).sum(axis=1)
+        fit = 7 * apart <= n[i] + n[j]
+        i, j, apart = i[fit], j[fit], apart[fit]
+        if nearest and len(i):
+            by = np.lexsort((apart, i))
+            by = by[np.append(True, i[by[1:]] != i[by[:-1]])]
+            i, j = i[by], j[by]
+        out.append((i, j))
+        at = to
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -381,9 +392,11 @@ def _compare(rows: DataFrame, known: DataFrame, nearest: bool) -> DataFrame:
     """(a, b): members of one group and different components that are ``fitting``; large groups meet in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs_of(batches, 3):
-            i, j, own, node, n, comp = (group.column(c).to_numpy() for c in range(1, 7))
-            a, b = fitting(n, comp, own if i[0] != j[0] else None, group.column(7).to_pylist(), nearest)
+        for rows, group in whole_groups(batches, 3, COMPARED):
+            i, j, own, node, n, comp = (rows.column(c).to_numpy() for c in range(1, 7))
+            sketches = rows.column(7).combine_chunks()
+            flat, ends = sketches.flatten().to_numpy().view(np.uint64), np.cumsum(sketches.value_lengths().to_numpy())
+            a, b = fitting(group, n, comp, np.where(i != j, own, -1), flat, ends, nearest)
             yield pa.RecordBatch.from_pydict({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
 
     dealt = rows.join(few(known), "node").select("key", "i", "j", "own", "node", "n", "comp", "sketch")
