@@ -46,9 +46,29 @@ def key_values(text: Column) -> Column:
     parts = F.split(F.regexp_replace(text, r"^\\", ""), r"\\")
     n = F.floor(F.size(parts) / 2).cast("int")
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(F.get(parts, 2 * i - 2).alias("key"), F.get(parts, 2 * i - 1).alias("value"), i.alias("i")))
-    pairs = F.filter(pairs, lambda p: p["key"].isNotNull() & p["value"].isNotNull())
-    last = F.filter(pairs, lambda p: ~F.exists(pairs, lambda q: (q["key"] == p["key"]) & (q["i"] > p["i"])))
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["value"])))
+    return last_wins(F.filter(pairs, lambda p: p["key"].isNotNull() & p["value"].isNotNull()))
+
+
+def last_wins(pairs: Column) -> Column:
+    """A map of (key, value) structs in which the last of equal keys wins; the pairs are sorted, not compared with all."""
+    ordered = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), i.alias("i"), p["value"].alias("value"))))
+    last = lambda o: F.filter(o, lambda p, i: ~F.get(o, i + 1)["key"].eqNullSafe(p["key"]))
+    return _let(ordered, lambda o: F.map_from_entries(F.transform(last(o), lambda p: F.struct(p["key"], p["value"]))))
+
+
+# Numbers of death types with the weapon or the surroundings that they stand for.
+DEATH_WEAPONS = {1: "axe", 2: "sg", 3: "ssg", 4: "ng", 5: "sng", 6: "gl", 7: "rl", 8: "lg", 9: "lg", 10: "lg"}
+SURROUNDINGS = ("lava", "slime", "drown", "fall", "trigger", "suicide", "squish")
+
+
+def death_type(number: Column, weapons: dict[int, str] | None = None) -> Column:
+    """The weapon of a death type, 'unknown' for numbers without one; ``weapons`` replaces or adds numbers."""
+    return F.coalesce(_lookup(DEATH_WEAPONS | (weapons or {}), number), F.lit("unknown"))
+
+
+def loc_label(name: Column) -> Column:
+    """A point's name for display: letters, digits and a few signs, runs of anything else as one space, in lower case."""
+    return F.lower(F.trim(F.regexp_replace(name, r"[^A-Za-z0-9+/._\-]+", " ")))
 
 
 def parse_chat(text: Column) -> Column:
@@ -164,15 +184,37 @@ def obituary(message: Column) -> Column:
 
 
 def victim(message: Column) -> Column:
-    return obituary(message)["victim"]
+    """Who a death message says died, or null: team mates' victims first, then suicides, then those that another killed."""
+    ate = r"(?s)^(.+?) ate .* (?:loads of .+'s buckshot|rockets from .+)$"
+    infix = r"(?s)^.+? (?:rips (.+?) a new one|(?:stomps|squishes) (.+))$"
+
+    def parse(m: Column) -> Column:
+        named = lambda table: _by_phrase(m, table, lambda hit: _before(m, hit["p"]))
+        by_infix = F.when(m.rlike(infix), _trim(F.coalesce(F.nullif(F.regexp_extract(m, infix, 1), F.lit("")), F.regexp_extract(m, infix, 2))))
+        eaten = F.when(m.rlike(ate), _trim(F.regexp_extract(m, ate, 1)))
+        return F.nullif(F.coalesce(named([(p, p) for p in TEAM_VICTIMS]), named(list(SUICIDES)), eaten, named(list(KILLS)), by_infix), F.lit(""))
+
+    return _let(_trim(message), parse)
+
+
+def feed(message: Column) -> Column:
+    """A death message for the message feed: struct(player, victim, weapon), team kills first; null for other messages and
+    for killers that are no players."""
+
+    def parse(m: Column) -> Column:
+        team = _by_phrase(m, [(p, p) for p in TEAM_KILLERS], lambda hit: F.struct(_before(m, hit["p"]).alias("player"), F.lit("teammate").alias("victim"), F.lit("teamkill").alias("weapon")))
+        mate = _by_phrase(m, [(p, p) for p in TEAM_VICTIMS], lambda hit: F.struct(F.lit("teammate").alias("player"), _before(m, hit["p"]).alias("victim"), F.lit("teamkill").alias("weapon")))
+        other = _let(obituary(m), lambda o: F.when(o.isNotNull(), F.struct(o["killer"].alias("player"), o["victim"].alias("victim"), o["weapon"].alias("weapon"))))
+        return F.coalesce(team, mate, other)
+
+    return _let(parse(_trim(message)), lambda x: F.when(F.coalesce(x["player"], F.lit("")) != "", x))
 
 
 def settings(text: Column) -> Column:
     """A countdown table's lines as a map: first word -> the rest without inner runs of spaces; headings are left out."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.startswith(x, F.lit("Countdown:")) & ~F.startswith(x, F.lit("no matchtag")))
     pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^([^ \t]+)", 1).alias("key"), F.trim(F.regexp_replace(F.regexp_extract(x, r"(?s)^[^ \t]+(.*)$", 1), " +", " ")).alias("value")))
-    once = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(once)
+    return last_wins(pairs)
 
 
 def on_off(value: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from arenalake.functions.temporal import KEYS, asof, pair_runs
 # Phrases that begin and end a match, in lower case.
 START_PHRASES = ("match has begun", "match started", "fight!", "go!", "begins in 1", "game start")
 END_PHRASES = ("match is over", "match ended", "match complete", "game over", "timelimit hit", "fraglimit hit")
+# Words that stand for no player.
 GENERIC = r"^(?:(?:his |her )?teammate|.*'s quad|.*'s quad rocket.*|.*'s quad shaft.*)$"
 
 
@@ -81,21 +83,25 @@ def team_totals(d: DataFrame, players: DataFrame) -> DataFrame:
 def guarded_deltas(updates: DataFrame, most: int = 5) -> DataFrame:
     """(match_id, slot, t_ms, delta) from cumulative frag updates (t_ms, seq, occupant, frags).
 
-    A change of more than ``most`` is rejected and does not move the baseline; a new occupant resets it silently.  The
-    fold runs over one slot's updates of one match.
+    A change of more than ``most`` is rejected and does not move the baseline; a new occupant resets it silently.  One
+    slot's updates of one match, some hundreds, are gone through together.
     """
-    rows = F.array_sort(F.collect_list(F.struct("t_ms", "seq", "occupant", "frags")))
-    start = F.expr("named_struct('who', cast(null as string), 'base', 0, 'out', cast(array() as array<struct<t_ms:int,delta:int>>))")
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = ~acc["who"].eqNullSafe(x["occupant"])
-        change = x["frags"] - acc["base"]
-        fine = ~fresh & (F.abs(change) <= most)
-        grown = F.when(fine & (change != 0), F.array_append(acc["out"], F.struct(x["t_ms"].alias("t_ms"), change.alias("delta")))).otherwise(acc["out"])
-        return F.struct(x["occupant"].alias("who"), F.when(fresh | fine, x["frags"]).otherwise(acc["base"]).alias("base"), grown.alias("out"))
-
-    folded = updates.groupBy("match_id", "slot").agg(rows.alias("rows"))
-    return folded.select("match_id", "slot", F.explode(F.aggregate("rows", start, step, lambda a: a["out"])).alias("d")).select("match_id", "slot", "d.t_ms", "d.delta")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        who, base, out = None, 0, []
+        for row in pdf.sort_values(["t_ms", "seq"]).itertuples():
+            change = row.frags - base
+            fresh = row.occupant != who
+            if not fresh and 0 < abs(change) <= most:
+                out.append((row.match_id, row.slot, row.t_ms, change))
+            if fresh or abs(change) <= most:
+                base = row.frags
+            who = row.occupant
+        return pd.DataFrame(out, columns=["match_id", "slot", "t_ms", "delta"])
+
+    types = dict(updates.dtypes)
+    rows = updates.select("match_id", "slot", "t_ms", "seq", F.coalesce("occupant", F.lit("")).alias("occupant"), "frags")
+    return rows.groupBy("match_id", "slot").applyInPandas(fold, f"match_id {types['match_id']}, slot {types['slot']}, t_ms {types['t_ms']}, delta {types['frags']}")
 
 
 def lives(spawns: DataFrame, deaths: DataFrame, match_end: Column) -> DataFrame:

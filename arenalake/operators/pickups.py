@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arenalake.functions.temporal import KEYS, asof
+from arenalake.operators.spatial import locate
 
 ENT = ["match_id", "ent"]
 # Seconds until a kind is there again, and item bits of weapons, powerups and armor.
-RESPAWN = {"h15": 20, "h25": 20, "mh": 20, "ga": 20, "ya": 20, "ra": 20, "ssg": 30, "ng": 30, "sng": 30, "gl": 30, "rl": 30, "lg": 30, "shells": 30, "nails": 30, "rockets": 30, "cells": 30, "quad": 60, "pent": 300, "ring": 300, "suit": 60}
+RESPAWN = {"h15": 20, "h25": 20, "ga": 20, "ya": 20, "ra": 20, "ssg": 30, "ng": 30, "sng": 30, "gl": 30, "rl": 30, "lg": 30, "shells": 30, "nails": 30, "rockets": 30, "cells": 30, "quad": 60, "pent": 300, "ring": 300, "suit": 60}
 BITS = {"ssg": 2, "ng": 4, "sng": 8, "gl": 16, "rl": 32, "lg": 64, "ga": 8192, "ya": 16384, "ra": 32768, "r": 524288, "pe": 1048576, "q": 4194304}
 
 
@@ -67,17 +68,23 @@ def had_before(pickups: DataFrame, bits: DataFrame) -> DataFrame:
     return known.withColumn("had_before", F.coalesce(F.col("bits").bitwiseAND(mask) != 0, F.lit(False))).drop("bits")
 
 
-def backpacks(hints: DataFrame, positions: DataFrame) -> DataFrame:
-    """Drops with a weapon (exactly one of rocket launcher and lightning gun in the flags) and the dropper's last position."""
+def backpacks(hints: DataFrame, positions: DataFrame, locs: DataFrame | None = None) -> DataFrame:
+    """Drops with a weapon (exactly one of rocket launcher and lightning gun in the flags) and the dropper's last position,
+    with the number of the nearest point where points are given (null where no position is known)."""
     rl, lg = (F.col("flags").bitwiseAND(BITS[w]) != 0 for w in ("rl", "lg"))
     one = hints.filter(rl != lg).withColumn("weapon", F.when(rl, "rl").otherwise("lg"))
-    return asof(one, positions, ["x", "y", "z"])
+    if locs is None:
+        return asof(one, positions, ["x", "y", "z"])
+    placed = asof(one, positions, ["map", "x", "y", "z"])
+    found = locate(placed.select("map", "x", "y", "z").filter("x is not null").distinct(), locs)
+    return placed.join(found, ["map", "x", "y", "z"], "left")
 
 
-def phases(states: DataFrame) -> DataFrame:
+def phases(states: DataFrame, holds: DataFrame | None = None) -> DataFrame:
     """(match_id, ent, phase_no, available_from, taken_at, respawn_at) from item states (kind, t_ms, seq, taken).
 
     A phase opens at the start and whenever the item is back, and closes when it is taken; repeated states change nothing.
+    Kinds without a respawn time, as the large health box, have what ``holds`` (match_id, ent, taken_at, respawn_at) says.
     """
     w = Window.partitionBy(*ENT).orderBy("t_ms", "seq")
     was = F.coalesce(F.lag("taken").over(w), F.lit(False))
@@ -85,7 +92,11 @@ def phases(states: DataFrame) -> DataFrame:
     edges = edges.withColumn("phase_no", F.count_if(~F.col("taken")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     seconds = F.element_at(F.create_map(*[F.lit(x) for p in RESPAWN.items() for x in p]), F.col("kind"))
     out = edges.groupBy(*ENT, "kind", "phase_no").agg(F.min(F.when(~F.col("taken"), F.col("t_ms"))).alias("available_from"), F.min(F.when(F.col("taken"), F.col("t_ms"))).alias("taken_at"))
-    return out.withColumns({"available_from": F.coalesce("available_from", F.lit(0)), "respawn_at": F.col("taken_at") + F.coalesce(seconds, F.lit(30)) * 1000})
+    out = out.withColumns({"available_from": F.coalesce("available_from", F.lit(0)), "respawn_at": F.col("taken_at") + seconds * 1000})
+    if holds is None:
+        return out
+    own = holds.groupBy(*ENT, "taken_at").agg(F.min("respawn_at").alias("_held"))
+    return out.join(own, [*ENT, "taken_at"], "left").withColumn("respawn_at", F.coalesce("respawn_at", "_held")).select(out.columns)
 
 
 def status(probes: DataFrame, found: DataFrame) -> DataFrame:
@@ -136,11 +147,13 @@ def attribute(taken: DataFrame, hints: DataFrame, prints: DataFrame, stats: Data
 
 
 def long_hold(pickups: DataFrame, health: DataFrame, deaths: DataFrame) -> DataFrame:
-    """Respawn of the large health box: 20 s after the holder's health is at most 100 again or the holder dies, but no
-    earlier than 25 s after the pickup."""
-    low = health.filter("v <= 100").select(*KEYS, "t_ms", "seq").unionByName(deaths.select(*KEYS, "t_ms", "seq")).withColumn("over_ms", F.col("t_ms"))
+    """Respawn of the large health box: 20 s after the holder's health falls from above 100 to at most 100 or the holder dies,
+    but no earlier than 25 s after the pickup.  Health above 250 is a signal of the server, not health."""
+    w = Window.partitionBy(*KEYS).orderBy("t_ms", "seq")
+    fallen = health.filter("v <= 250").withColumn("_was", F.lag("v").over(w)).filter("_was > 100 and v <= 100")
+    low = fallen.select(*KEYS, "t_ms", "seq").unionByName(deaths.select(*KEYS, "t_ms", "seq")).withColumn("over_ms", F.col("t_ms"))
     after = asof(pickups, low, ["over_ms"], inclusive=False, forward=True)
-    return after.withColumn("respawn_at", F.greatest(F.col("t_ms") + 5000, "over_ms") + 20_000)
+    return after.withColumn("respawn_at", F.when(F.col("over_ms").isNotNull(), F.greatest(F.col("t_ms") + 5000, "over_ms") + 20_000))
 
 
 def visibility(frames: DataFrame, seen: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from arenalake.functions.temporal import KEYS, asof, changed, clamp, held, merge_short, nearest
 
@@ -46,15 +48,69 @@ def deltas(stream: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
 
 
 def events(parts: dict[str, DataFrame], types: list[str] | None = None, start_ms: int = 0, end_ms: int = 0) -> DataFrame:
-    """One timeline of (match_id, t_ms, type, player, detail) from parts with those columns; default types are the discrete ones."""
-    wanted = [k for k in parts if k in (types or DEFAULT_EVENTS)]
+    """One timeline of (match_id, t_ms, type, player, detail) from parts with those columns; default types are the discrete ones.
+
+    ``pos`` is a row's place in its match: by time, then type, then player and detail.
+    """
+    unknown = set(types or ()) - set(parts)
+    if unknown or not parts:
+        raise ValueError(f"no such event types: {', '.join(sorted(unknown))}")
     rows = None
-    for kind in wanted:
-        one = parts[kind].select("match_id", "t_ms", F.lit(kind).alias("type"), "player", F.col("detail").cast("string").alias("detail"))
-        rows = one if rows is None else rows.unionByName(one)
-    if rows is None:
-        raise ValueError("no such event types")
-    return rows.filter(in_window(F.col("t_ms"), start_ms, end_ms))
+    for kind in parts:
+        if kind in (types or DEFAULT_EVENTS):
+            one = parts[kind].select("match_id", "t_ms", F.lit(kind).alias("type"), "player", F.col("detail").cast("string").alias("detail"))
+            rows = one if rows is None else rows.unionByName(one)
+    inside = rows.filter(in_window(F.col("t_ms"), start_ms, end_ms))
+    return inside.withColumn("pos", F.row_number().over(Window.partitionBy("match_id").orderBy("t_ms", "type", "player", "detail")))
+
+
+def slice_loc_names(stream: DataFrame, table: DataFrame, players: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
+    """``slice_changes`` of location numbers as names: only at the start a row equal to the carried name is left out.
+
+    ``table``: (match_id, li, name); unknown numbers are ''.
+    """
+    named = stream.join(table.select("match_id", F.col("li").alias("v"), "name"), ["match_id", "v"], "left").select(*KEYS, "t_ms", "seq", F.coalesce("name", F.lit("")).alias("v"))
+    inside = named.filter((F.col("t_ms") >= start_ms) & (F.col("t_ms") < end_ms))
+    probes = players.select(*KEYS).distinct().withColumn("t_ms", F.lit(start_ms))
+    carry = asof(probes, named, ["v"]).filter("v is not null").select(*KEYS, "t_ms", F.lit(-1).cast("long").alias("seq"), "v")
+    known = carry.select(*KEYS, F.col("v").alias("_carry"))
+    w = Window.partitionBy(*KEYS).orderBy("t_ms", "seq")
+    first = inside.withColumn("_n", F.row_number().over(w)).join(known, KEYS, "left")
+    fresh = first.filter(~F.coalesce((F.col("_n") == 1) & (F.col("t_ms") == start_ms) & (F.col("v") == F.col("_carry")), F.lit(False)))
+    return carry.unionByName(fresh.select(*KEYS, "t_ms", "seq", "v")).select(*KEYS, "t_ms", "v")
+
+
+def powerup_rows(runs: DataFrame, players: DataFrame, teams: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
+    """Powerup runs (item, start_ms, end_ms) cut to the window, with side: teamA, teamB or other."""
+    cut = clamp(runs, start_ms, end_ms).filter("end_ms > start_ms").join(players.select(*KEYS, "team"), KEYS, "left").join(teams, "match_id")
+    side = F.when(F.col("team") == F.col("team_a"), "teamA").when(F.col("team") == F.col("team_b"), "teamB").otherwise("other")
+    return cut.select(*KEYS, "item", "start_ms", "end_ms", side.alias("side"))
+
+
+def movement_trail(samples: DataFrame, least: float, most: float) -> DataFrame:
+    """Samples (t_ms, seq, x, y, death, spawn) worth drawing, with ``teleport``.
+
+    Deaths and spawns stay; others only if they moved by more than ``least`` in x or y since the last one that stayed.  A
+    sample is a teleport if it moved by more than ``most`` since the sample before.  The origin is no position.  One
+    player's samples of a match are gone through together; they come to a few ten thousand.
+    """
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t_ms", "seq"])
+        kept, jumps, last, before = [], [], None, None
+        for row in pdf.itertuples():
+            here = (row.x, row.y)
+            marked = bool(row.death) or bool(row.spawn)
+            moved = lambda since, by: max(abs(here[0] - since[0]), abs(here[1] - since[1])) > by
+            if marked or last is None or moved(last, least):
+                kept.append(row.Index)
+                jumps.append(not marked and before is not None and moved(before, most))
+                last = here
+            before = here
+        return pdf.loc[kept].assign(teleport=jumps)
+
+    rows = samples.filter("x <> 0 or y <> 0").select(*KEYS, "t_ms", "seq", "x", "y", "death", "spawn")
+    return rows.groupBy(*KEYS).applyInPandas(walk, StructType([*rows.schema.fields, StructField("teleport", BooleanType())]))
 
 
 def gains_and_losses(spans: DataFrame, item: str) -> DataFrame:

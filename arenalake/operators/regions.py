@@ -72,6 +72,13 @@ def shares(states: DataFrame) -> DataFrame:
     return states.groupBy("match_id", "region").agg(*[share(s).alias(name) for s, name in zip(STATES, names, strict=True)])
 
 
+def heatmap(table: DataFrame) -> DataFrame:
+    """``shares`` with a shade for each state: its share of the region's largest, the empty state aside (which has none)."""
+    names = ["a_control", "a_weak", "contested", "weak_contested", "b_weak", "b_control"]
+    top = F.greatest(*names)
+    return table.withColumns({f"{n}_shade": F.col(n) / F.when(top > 0, top).otherwise(1.0) for n in names})
+
+
 def by_player(where: DataFrame) -> DataFrame:
     """Buckets each player spent in a region, armed and not."""
     return where.groupBy("match_id", "region", "player", "team").agg(F.count_if("armed").alias("armed"), F.count_if(~F.col("armed")).alias("unarmed"))

@@ -171,7 +171,7 @@ def detect_regions(locs: DataFrame, curated: DataFrame | None = None, reach: flo
     named = locs.withColumn("words", words)
     red = F.max(F.array_contains("words", KEYWORDS[0]).cast("int")).over(Window.partitionBy("map")) == 1
     keys = F.when(red, F.array(*map(F.lit, KEYWORDS))).otherwise(F.array(F.lit(SPARE), *map(F.lit, KEYWORDS[1:])))
-    marked = named.withColumn("key", F.explode(F.array_intersect(keys, "words")))
+    marked = named.withColumn("keys", F.array_intersect(keys, "words")).withColumn("key", F.explode("keys"))
     by_key = marked.withColumns({"place": F.col("map"), "map": F.concat_ws(":", "map", "key")})
     grouped = clusters(by_key, reach).join(by_key.select("map", "loc_id", "place", "key", "words"), ["map", "loc_id"])
     other = grouped.select("place", "key", "cluster", F.explode(F.array_except("words", F.array("key"))).alias("word")).groupBy("place", "key", "cluster", "word").agg(F.count("*").alias("n"))

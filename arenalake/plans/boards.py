@@ -128,18 +128,26 @@ def _states(lens: Lens) -> DataFrame:
     return lens.base.filter("event_type in ('click', 'view')").select("match_id", (F.col("k") % 6).alias("ent"), F.get(kinds, F.col("k") % 6).alias("kind"), "t_ms", "seq", (F.col("event_type") == "click").alias("taken"))
 
 
+def _holds(lens: Lens) -> DataFrame:
+    """Respawn of large health boxes (entity 4) by their takers' health."""
+    taken = lens.base.filter("event_type = 'click' and k % 6 = 4").select(*KEYS, "seq", "t_ms", (F.col("k") % 6).alias("ent"))
+    held = U.long_hold(taken, lens.number("h"), lens.marks("d"))
+    return held.select("match_id", "ent", F.col("t_ms").alias("taken_at"), "respawn_at")
+
+
 def item_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.phases(_states(Lens(spark, sf_dir)))
+    lens = Lens(spark, sf_dir)
+    return U.phases(_states(lens), _holds(lens))
 
 
 def item_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     lens = Lens(spark, sf_dir)
     probes = _states(lens).select("match_id", "ent").distinct().select("match_id", "ent", F.explode(F.sequence(F.lit(0), F.lit(MATCH_END), F.lit(432_000))).alias("t_ms"))
-    return U.status(probes, U.phases(_states(lens))).select("match_id", "ent", "t_ms", "status")
+    return U.status(probes, U.phases(_states(lens), _holds(lens))).select("match_id", "ent", "t_ms", "status")
 
 
 def item_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = Lens(spark, sf_dir).table("part").select((F.col("p_partkey") % 9).alias("match_id"), F.col("p_partkey").alias("ent"), F.col("p_brand").alias("kind"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("z"))
+    items = Lens(spark, sf_dir).table("part").select((F.col("p_partkey") % 9).alias("match_id"), F.col("p_partkey").alias("ent"), F.col("p_brand").alias("kind"), (F.col("p_size") % 5).alias("x"), F.floor("p_retailprice").cast("int").alias("y"), (F.col("p_size") % 3).alias("z"))
     return U.item_names(items).select("match_id", "ent", "name")
 
 
@@ -230,7 +238,11 @@ m AS (SELECT c.*, CASE WHEN ds IS NOT NULL AND row_number() OVER (PARTITION BY m
 _STATE = SQL + """, st AS (SELECT match_id, k % 6 AS ent, ['ra', 'quad', 'rl', 'shells', 'mh', 'pent'][k % 6 + 1] AS kind, t_ms, seq, event_type = 'click' AS taken FROM base WHERE event_type IN ('click', 'view')),
 ed AS (SELECT * FROM (SELECT *, coalesce(lag(taken) OVER (PARTITION BY match_id, ent ORDER BY t_ms, seq), false) AS was FROM st) WHERE taken <> was),
 ph AS (SELECT match_id, ent, kind, n::BIGINT AS phase_no, coalesce(min(t_ms) FILTER (NOT taken), 0) AS available_from, min(t_ms) FILTER (taken) AS taken_at FROM (SELECT *, sum((NOT taken)::INT) OVER (PARTITION BY match_id, ent ORDER BY t_ms, seq) AS n FROM ed) GROUP BY ALL),
-phase AS (SELECT *, taken_at + [20, 60, 30, 30, 20, 300][ent + 1] * 1000 AS respawn_at FROM ph)"""
+hp AS (SELECT *, lag(v) OVER (PARTITION BY match_id, player ORDER BY t_ms, seq) AS was FROM changes WHERE field = 'h' AND v <= 250),
+low AS (SELECT match_id, player, t_ms FROM hp WHERE was > 100 AND v <= 100 UNION ALL SELECT match_id, player, t_ms FROM deaths),
+hold AS (SELECT b.match_id, b.t_ms AS taken_at, min(greatest(b.t_ms + 5000, (SELECT min(l.t_ms) FROM low l WHERE l.match_id = b.match_id AND l.player = b.player AND l.t_ms > b.t_ms)) + 20000) AS held
+  FROM (SELECT * FROM base WHERE event_type = 'click' AND k % 6 = 4) b WHERE EXISTS (SELECT 1 FROM low l WHERE l.match_id = b.match_id AND l.player = b.player AND l.t_ms > b.t_ms) GROUP BY ALL),
+phase AS (SELECT ph.*, CASE WHEN ent = 4 THEN held ELSE ph.taken_at + [20, 60, 30, 30, 0, 300][ent + 1] * 1000 END AS respawn_at FROM ph LEFT JOIN hold ON ent = 4 AND hold.match_id = ph.match_id AND hold.taken_at = ph.taken_at)"""
 _BOARD = SQL + """, board AS (SELECT p.match_id, p.player, p.team, count(f.seq) FILTER (NOT is_suicide AND NOT is_team_kill) AS kills, count(f.seq) FILTER (is_suicide) AS suicides, count(f.seq) FILTER (is_team_kill) AS team_kills,
   (SELECT count(*) FROM deaths d WHERE d.match_id = p.match_id AND d.player = p.player) AS deaths, coalesce(sum(CASE WHEN is_suicide OR is_team_kill THEN -1 WHEN f.seq IS NOT NULL THEN 1 END), 0)::BIGINT AS frags
   FROM players p LEFT JOIN frags f ON f.match_id = p.match_id AND f.killer = p.player GROUP BY p.match_id, p.player, p.team),
@@ -266,7 +278,7 @@ SELECT match_id, player, t_ms, n.pickup_id, weapon, next_death_ms, (SELECT count
     "item_status": _STATE + """, pr AS (SELECT DISTINCT match_id, ent FROM st), q AS (SELECT match_id, ent, b * 432000 AS t_ms FROM pr, range(0, 7) r(b)),
 z AS (SELECT q.*, (SELECT arg_max({'a': taken_at, 'b': respawn_at}, (available_from, phase_no)) FROM phase p WHERE p.match_id = q.match_id AND p.ent = q.ent AND available_from <= q.t_ms) AS s FROM q)
 SELECT match_id, ent, t_ms::INT AS t_ms, CASE WHEN s.a IS NULL OR s.a > t_ms THEN 'up' WHEN s.b > t_ms THEN ceil((s.b - t_ms) / 1000)::BIGINT::VARCHAR ELSE 'pending' END AS status FROM z""",
-    "item_names": "SELECT p_partkey % 9 AS match_id, p_partkey AS ent, CASE WHEN count(*) OVER (PARTITION BY p_partkey % 9, p_brand) > 1 THEN p_brand || '_' || row_number() OVER (PARTITION BY p_partkey % 9, p_brand ORDER BY p_partkey) ELSE p_brand END AS name FROM part",
+    "item_names": "SELECT p_partkey % 9 AS match_id, p_partkey AS ent, CASE WHEN count(*) OVER (PARTITION BY p_partkey % 9, p_brand) > 1 THEN p_brand || '_' || row_number() OVER (PARTITION BY p_partkey % 9, p_brand ORDER BY p_size % 5, floor(p_retailprice), p_size % 3, p_partkey) ELSE p_brand END AS name FROM part",
     "player_table": _BOARD + f" SELECT *, {_EFF}, row_number() OVER (PARTITION BY match_id ORDER BY frags DESC, player)::INT AS rank FROM brd",
     "team_table": _BOARD + f", t AS (SELECT match_id, team, sum(frags)::BIGINT AS frags, sum(kills)::BIGINT AS kills, sum(deaths)::BIGINT AS deaths, sum(suicides)::BIGINT AS suicides, sum(team_kills)::BIGINT AS team_kills FROM brd GROUP BY ALL) SELECT *, {_EFF} FROM t",
     "weapon_accuracy": SQL + ", w AS (SELECT f.match_id, team, weapon, count(*) FILTER (NOT is_suicide) AS hits, count(*) AS attacks, count(*) FILTER (NOT is_suicide AND NOT is_team_kill) AS kills FROM frags f JOIN players p ON p.match_id = f.match_id AND p.player = f.killer GROUP BY ALL) SELECT *, round(hits * 100.0::DOUBLE / attacks, 1) AS accuracy FROM w",

@@ -180,6 +180,12 @@ k AS (SELECT *, row_number() OVER w = 1 AS f, row_number() OVER w = 1 OR end_ms
 m AS (SELECT *, last_value(CASE WHEN keep THEN loc END IGNORE NULLS) OVER (PARTITION BY match_id, player ORDER BY start_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM k),
 r AS (SELECT *, sum((keep AND (f OR loc IS DISTINCT FROM was))::INT) OVER (PARTITION BY match_id, player ORDER BY start_ms) AS run FROM m)
 SELECT match_id, player, min(start_ms) AS start_ms, arg_max(end_ms, start_ms) AS end_ms, arg_min(loc, start_ms) AS loc FROM r GROUP BY match_id, player, run""",
+    "life_tracks": _LOC + """, r AS (SELECT match_id, player, t_ms, seq, 1 AS kind, loc FROM located UNION ALL SELECT match_id, player, t_ms, seq, 0, NULL FROM spawns UNION ALL SELECT match_id, player, t_ms, seq, 2, NULL FROM deaths),
+n AS (SELECT *, count(*) FILTER (kind = 0) OVER (PARTITION BY match_id, player ORDER BY t_ms, kind, seq ROWS UNBOUNDED PRECEDING) AS life FROM r),
+d AS (SELECT *, min(t_ms) FILTER (kind = 2) OVER (PARTITION BY match_id, player, life) AS death_ms FROM n WHERE life > 0),
+b AS (SELECT *, last_value(loc IGNORE NULLS) OVER (PARTITION BY match_id, player, life ORDER BY t_ms, kind, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM d WHERE death_ms IS NULL OR t_ms <= death_ms)
+SELECT match_id, player, life, min(t_ms) FILTER (kind = 0) AS spawn_ms, any_value(death_ms) AS death_ms, coalesce(string_agg(loc, '>' ORDER BY t_ms, seq) FILTER (kind = 1 AND loc IS DISTINCT FROM was), '') AS locs
+FROM b GROUP BY match_id, player, life HAVING any_value(death_ms) IS NOT NULL OR count(*) FILTER (kind = 1) > 0""",
     "loc_intern": _LOC + " SELECT match_id, name, row_number() OVER (PARTITION BY match_id ORDER BY t, p, s)::INT AS li FROM (SELECT match_id, loc AS name, min(t_ms) AS t, arg_min(player, (t_ms, player, seq)) AS p, arg_min(seq, (t_ms, player, seq)) AS s FROM located GROUP BY match_id, loc)",
     "map_bounds": SQL + ", pts AS (SELECT match_id, x::DOUBLE AS x, y::DOUBLE AS y FROM positions WHERE x <> 0 OR y <> 0 OR z <> 0 UNION ALL SELECT m.match_id, l.x, l.y FROM (SELECT DISTINCT match_id, map FROM positions) m JOIN locs l USING (map)) SELECT match_id, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM pts GROUP BY match_id",
     "height_range": SQL + ", r AS (SELECT match_id, z, row_number() OVER (PARTITION BY match_id ORDER BY z) - 1 AS i, count(*) OVER (PARTITION BY match_id) AS n FROM positions) SELECT match_id, max(z) FILTER (i = least(floor(n * 0.02), n - 1)) AS z_low, max(z) FILTER (i = least(floor(n * 0.98), n - 1)) AS z_high FROM r GROUP BY match_id",

@@ -143,9 +143,9 @@ SELECT match_id, player, t_ms, v FROM (SELECT *, lag(v) OVER (PARTITION BY match
 SELECT match_id, player, seq, t_ms, v, CASE WHEN i > 1 THEN v - lag(v, 1, 0) OVER (PARTITION BY match_id, player ORDER BY t_ms, seq) END AS delta FROM n WHERE t_ms BETWEEN 600000 AND 1800000""",
     "events_timeline": SQL + """, e AS (SELECT match_id, t_ms, 'frag' AS type, killer AS player, weapon || ' ' || victim AS detail FROM frags
   UNION ALL SELECT match_id, t_ms, 'spawn', player, '' FROM spawns UNION ALL SELECT match_id, t_ms, 'death', player, '' FROM deaths
-  UNION ALL SELECT match_id, start_ms, CASE field WHEN 'q' THEN 'item' ELSE 'weapon' END, player, 'gain ' || field FROM intervals
-  UNION ALL SELECT match_id, end_ms, CASE field WHEN 'q' THEN 'item' ELSE 'weapon' END, player, 'lose ' || field FROM intervals)
-SELECT * FROM e WHERE t_ms BETWEEN 300000 AND 2000000""",
+  UNION ALL SELECT match_id, start_ms, CASE field WHEN 'q' THEN 'item' ELSE 'weapon' END, player, 'gain ' || field FROM intervals WHERE field IN ('rl', 'lg', 'q')
+  UNION ALL SELECT match_id, end_ms, CASE field WHEN 'q' THEN 'item' ELSE 'weapon' END, player, 'lose ' || field FROM intervals WHERE field IN ('rl', 'lg', 'q'))
+SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY t_ms, type, player, detail)::INT AS pos FROM e WHERE t_ms BETWEEN 300000 AND 2000000""",
 }
 for _name, _spec, _sql in (
     ("reduce_last", ("number", "h", "last", "int"), _PICK + "arg_max(v, (t_ms, seq))::INT AS value" + _BY.format(f="h")),
