@@ -30,6 +30,11 @@ def chat(messages: DataFrame, types: list[str] = (), names: list[str] = (), star
     return players(messages, names).filter(F.col("type").isin(*(types or CHAT)) & in_window(F.col("t_ms"), start_ms, end_ms))
 
 
+def distinct_chat(messages: DataFrame) -> DataFrame:
+    """Messages once each: the same line at another time is another message."""
+    return messages.dropDuplicates(["match_id", "t_ms", "type", "player", "message"])
+
+
 def pickups(rows: DataFrame, names: list[str] = (), weapon: str | None = None, source: str | None = None) -> DataFrame:
     """Weapon pickups or backpack drops of the players, weapon and source."""
     out = players(rows, names)

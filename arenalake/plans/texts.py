@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arenalake.functions import text as X
+from arenalake.operators import filters as V
 from arenalake.operators import kills as K
 from arenalake.sources.lens import SQL, Lens
 
@@ -19,12 +20,13 @@ def chat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chat_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Lens(spark, sf_dir).messages
-    return m.select((F.col("match_id") % 50).alias("match_id"), "player", F.length("message").alias("size")).dropDuplicates()
+    rows = m.select("match_id", F.floor(F.col("seq") / 2).cast("int").alias("t_ms"), F.lit("chat").alias("type"), "player", "message")
+    return V.distinct_chat(rows.unionByName(rows))
 
 
 def chat_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Lens(spark, sf_dir).messages
-    return m.select("match_id", "seq", F.sha2(X.strip_markup(F.concat(F.lit("\r{&cf00"), F.substring("message", 1, 80), F.lit("&r} !A"))), 256).alias("clean_sha"))
+    return m.select("match_id", "seq", F.sha2(X.strip_markup(F.concat(F.lit("\r{&cf00"), "message", F.lit("&r} !A"))), 256).alias("clean_sha"))
 
 
 def normal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +73,8 @@ def message_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (chat_lines, chat_distinct, chat_markup, normal_names, normal_text, obituaries, server_info, settings_tables, directives, message_bounds)}
 ORACLES = {
     "chat_lines": "SELECT conv_id AS match_id, turn AS seq, CASE WHEN turn % 3 = 0 THEN 'teamsay' ELSE 'chat' END AS type, role AS player, sha256(text) AS text_sha FROM conversations WHERE turn % 3 < 2 AND NOT regexp_matches(text, ' joined the game| left the game| is ready|The match has|countdown')",
-    "chat_distinct": "SELECT DISTINCT conv_id % 50 AS match_id, role AS player, length(text)::INT AS size FROM conversations",
-    "chat_markup": r"SELECT conv_id AS match_id, turn AS seq, sha256(trim(regexp_replace(regexp_replace(substr(text, 1, 80), '[{}\[\]]', '', 'g'), '[ \t\n\r]+', ' ', 'g'))) AS clean_sha FROM conversations",
+    "chat_distinct": "SELECT DISTINCT conv_id AS match_id, floor(turn / 2)::INT AS t_ms, 'chat' AS type, role AS player, text AS message FROM conversations",
+    "chat_markup": r"SELECT conv_id AS match_id, turn AS seq, sha256(trim(regexp_replace(regexp_replace(text, '[{}\[\]]', '', 'g'), '[ \t\n\r]+', ' ', 'g'))) AS clean_sha FROM conversations",
     "normal_names": "SELECT c_custkey, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS name FROM customer",
     "normal_text": "SELECT p_partkey, translate(p_name, 'eo', '0<') AS name FROM part",
     "obituaries": SQL + " SELECT match_id, seq, killer, victim, CASE WHEN is_suicide THEN 'suicide' ELSE weapon END AS weapon, is_suicide FROM frags",

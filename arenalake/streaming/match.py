@@ -7,6 +7,7 @@ state is asked for.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,44 +26,147 @@ def tumbling(events: DataFrame, window: str = "1 second", late: str = "10 second
 
 
 def distinct_chat(messages: DataFrame, late: str = "10 seconds") -> DataFrame:
-    return messages.withWatermark("ts", late).dropDuplicatesWithinWatermark(["match_id", "player", "type", "message"])
+    """Messages once each: the same line at another time is another message."""
+    return messages.withWatermark("ts", late).dropDuplicatesWithinWatermark(["match_id", "ts", "type", "player", "message"])
 
 
-def changes(events: DataFrame, late: str = "10 seconds") -> DataFrame:
-    """Rows whose value differs from the player's one before, across batches; a batch's rows are ordered by ts and seq."""
+def _in_order(state: GroupState, frames: Iterator[pd.DataFrame], held: list, columns: list[str]) -> tuple[list[dict], list[dict]]:
+    """(rows up to the watermark, by ts and seq; later rows): what came and what was held back (JSON rows)."""
+    rows = [json.loads(x) for x in held]
+    for frame in frames:
+        frame = frame.assign(ts=frame["ts"].astype("datetime64[ns]").astype("int64") // 1_000_000)
+        rows += frame[columns].to_dict("records")
+    rows.sort(key=lambda r: (r["ts"], r["seq"]))
+    mark = state.getCurrentWatermarkMs()
+    return [r for r in rows if r["ts"] <= mark], [r for r in rows if r["ts"] > mark]
+
+
+def _wait(state: GroupState, value: tuple, due_ms: int) -> None:
+    """Keep the state until the watermark passes ``due_ms``."""
+    state.update(value)
+    state.setTimeoutTimestamp(max(due_ms, state.getCurrentWatermarkMs()) + 1)
+
+
+def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=columns)
+    return out.assign(ts=pd.to_datetime(out["ts"], unit="ms"))
+
+
+def changes(events: DataFrame, late: str = "10 seconds", forget: str = "1 hour") -> DataFrame:
+    """Rows whose value differs from the player's one before, across batches, in the order of ts and seq.
+
+    Rows wait until the watermark has passed them.  A player without rows for ``forget`` starts anew, and his state goes.
+    """
+    columns, ttl = ["match_id", "player", "ts", "seq", "v"], int(pd.Timedelta(forget).total_seconds() * 1000)
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        was = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        before = rows["v"].shift(1)
-        if was is not None:
-            before.iloc[0] = was
-        state.update((float(rows["v"].iloc[-1]),))
-        yield rows[rows["v"] != before][["match_id", "player", "ts", "seq", "v"]]
+        was, last, held = state.get if state.exists else (None, 0, [])
+        ready, rest = _in_order(state, frames, held, columns)
+        out = []
+        for r in ready:
+            if was is None or r["v"] != was or r["ts"] - last > ttl:
+                out.append(r)
+            was, last = r["v"], r["ts"]
+        if rest:
+            _wait(state, (was, last, [json.dumps(r) for r in rest]), rest[0]["ts"])
+        elif state.hasTimedOut and state.getCurrentWatermarkMs() >= last + ttl:
+            state.remove()
+        else:
+            _wait(state, (was, last, []), last + ttl)
+        yield _frame(out, columns)
 
     schema = "match_id long, player string, ts timestamp, seq long, v double"
-    rows = events.select("match_id", "player", "ts", "seq", F.col("v").cast("double").alias("v"))
-    return rows.withWatermark("ts", late).groupBy("match_id", "player").applyInPandasWithState(step, schema, "was double", "append", GroupStateTimeout.NoTimeout)
+    rows = events.select("match_id", "player", "ts", "seq", F.col("v").cast("double").alias("v")).withWatermark("ts", late)
+    return rows.groupBy("match_id", "player").applyInPandasWithState(step, schema, "was double, last long, held array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def gate(events: DataFrame) -> DataFrame:
-    """Rows between a match's start and end phrases, by seq; the state holds whether the match has begun and ended."""
+def gate(events: DataFrame, late: str = "10 seconds", forget: str = "1 hour") -> DataFrame:
+    """Rows between a match's start and end phrases, by ts and seq; a match without rows for ``forget`` is forgotten."""
+    columns, ttl = ["match_id", "ts", "seq", "message"], int(pd.Timedelta(forget).total_seconds() * 1000)
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        begun, ended = state.get if state.exists else (False, False)
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
+        begun, ended, last, held = state.get if state.exists else (False, False, 0, [])
+        ready, rest = _in_order(state, frames, held, columns)
         keep = []
-        for text in rows["message"].fillna("").str.lower():
-            if not begun and any(p in text for p in START_PHRASES):
-                begun = True
-            keep.append(begun and not ended)
-            if begun and not ended and any(p in text for p in END_PHRASES):
-                ended = True
-        state.update((begun, ended))
-        yield rows[keep][["match_id", "ts", "seq", "message"]]
-
-    rows = events.select("match_id", "ts", "seq", "message")
-    return rows.groupBy("match_id").applyInPandasWithState(step, "match_id long, ts timestamp, seq long, message string", "begun boolean, ended boolean", "append", GroupStateTimeout.NoTimeout)
+        for r in ready:
+            text, last = (r["message"] or "").lower(), r["ts"]
+            begun = begun or any(p in text for p in START_PHRASES)
+            if begun and not ended:
+                keep.append(r)
+                ended = any(p in text for p in END_PHRASES)
+        if rest:
+            _wait(state, (begun, ended, last, [json.dumps(r) for r in rest]), rest[0]["ts"])
+        elif state.hasTimedOut and state.getCurrentWatermarkMs() >= last + ttl:
+            state.remove()
+        else:
+            _wait(state, (begun, ended, last, []), last + ttl)
+        yield _frame(keep, columns)
+
+    rows = events.select("match_id", "ts", "seq", "message").withWatermark("ts", late)
+    return rows.groupBy("match_id").applyInPandasWithState(step, "match_id long, ts timestamp, seq long, message string", "begun boolean, ended boolean, last long, held array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def attribute(events: DataFrame, late: str = "10 seconds", near_ms: int = 250, keep_ms: int = 1000) -> DataFrame:
+    """(match_id, ts, seq, ent, player): who took an item, by the hint of its entity that is nearest in time.
+
+    ``events``: kind 'taken' or 'hint', with ent and, for hints, player.  A hint serves one pickup and is kept for
+    ``keep_ms``; a pickup is decided once the watermark is ``near_ms`` past it.
+    """
+    columns = ["match_id", "ts", "seq", "kind", "ent", "player"]
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
+        held = state.get[0] if state.exists else []
+        ready, rest = _in_order(state, frames, held, columns)
+        mark, used, out = state.getCurrentWatermarkMs(), set(), []
+        every = [*ready, *rest]
+        for r in [r for r in every if r["kind"] == "taken" and r["ts"] + near_ms <= mark]:
+            hints = [(abs(h["ts"] - r["ts"]), h["ts"], h["seq"]) for h in every if h["kind"] == "hint" and h["ent"] == r["ent"] and abs(h["ts"] - r["ts"]) <= near_ms and h["seq"] not in used]
+            best = min(hints, default=None)
+            used.add(best and best[2])
+            out.append({**r, "player": next((h["player"] for h in every if best and h["seq"] == best[2]), None)})
+        left = [r for r in every if r["seq"] not in used and r["ts"] + (near_ms if r["kind"] == "taken" else keep_ms) > mark]
+        if left:
+            _wait(state, ([json.dumps(r) for r in left],), min(r["ts"] + (near_ms if r["kind"] == "taken" else keep_ms) for r in left))
+        elif state.exists:
+            state.remove()
+        yield _frame(out, columns).drop(columns="kind")
+
+    rows = events.select(*columns).withWatermark("ts", late)
+    return rows.groupBy("match_id").applyInPandasWithState(step, "match_id long, ts timestamp, seq long, ent long, player string", "held array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def settled_respawns(states: DataFrame, late: str = "10 seconds", settle_ms: int = 500) -> DataFrame:
+    """(match_id, ent, ts): items that must be back, though no state says so: ``settle_ms`` after the respawn that a pickup
+    predicts, unless another state of the entity came by then.
+
+    ``states``: match_id, ent, ts, seq, taken and respawn_ms (milliseconds until the item is back).
+    """
+    columns = ["match_id", "ent", "ts", "seq", "taken", "respawn_ms"]
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
+        due, held = state.get if state.exists else (None, [])
+        ready, rest = _in_order(state, frames, held, columns)
+        mark, out = state.getCurrentWatermarkMs(), []
+
+        def fire(until: int) -> None:
+            nonlocal due
+            if due is not None and due + settle_ms <= until:
+                out.append({"match_id": key[0], "ent": key[1], "ts": due})
+                due = None
+
+        for r in ready:
+            fire(r["ts"])
+            due = r["ts"] + int(r["respawn_ms"]) if r["taken"] else None
+        fire(mark)
+        waits = [r["ts"] for r in rest[:1]] + ([due + settle_ms] if due is not None else [])
+        if waits:
+            _wait(state, (due, [json.dumps(r) for r in rest]), min(waits))
+        elif state.exists:
+            state.remove()
+        yield _frame(out, ["match_id", "ent", "ts"])
+
+    rows = states.select(*columns).withWatermark("ts", late)
+    return rows.groupBy("match_id", "ent").applyInPandasWithState(step, "match_id long, ent long, ts timestamp", "due long, held array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drops_to_pickups(drops: DataFrame, pickups: DataFrame, within: str = "30 seconds", late: str = "10 seconds") -> DataFrame:

@@ -8,6 +8,8 @@ from arenalake.operators import buckets as B
 from arenalake.operators import identity as I
 from arenalake.operators import kills as K
 from arenalake.operators import pickups as U
+from arenalake.operators import points as P
+from arenalake.operators import spatial as S
 from arenalake.plans import texts
 from arenalake.sources import files
 
@@ -26,6 +28,10 @@ def test_obituaries(spark):
     assert o("bob checks his glasses") == ("bob", "teammate", "teamkill", False, True)
     assert o("Satan's power deflects bob's telefrag") == ("bob", "bob", "tele", True, False)
     assert o("hello there") is None and o(" suicides") is None
+    v = lambda t: _one(spark, X.victim, t)
+    assert (v("bob rides alice's rocket"), v("bob was telefragged by his teammate"), v("bob ate 2 loads of al's buckshot"), v("al rips bob a new one"), v("bob suicides"), v("hi")) == ("bob", "bob", "bob", "bob", "bob", None)
+    f = lambda t: (lambda r: r and tuple(r))(_one(spark, X.feed, t))
+    assert f("bob checks his glasses") == ("bob", "teammate", "teamkill") and f("bob rides alice's rocket") == ("alice", "bob", "rl") and f("hi") is None
     assert _one(spark, X.killer_name, "3 rockets from alice") == "alice" and _one(spark, X.killer_name, "Cas' fall") == "Cas"
 
 
@@ -56,7 +62,7 @@ def test_bucket_fixture(spark):
     p = spark.createDataFrame([(1, "p")], "match_id int, player string")
     h = spark.createDataFrame([(1, "p", i, t, v) for i, (t, v) in enumerate([(0, 100), (300, 60), (1200, 30), (2000, 100)])], "match_id int, player string, seq long, t_ms int, v int")
     cells = B.cells(temporal.grid(m, 1000), p)
-    got = B.table(cells, {"h": (h, "number", "first")}, 1000).orderBy("bucket").collect()
+    got = B.table(cells, {"h": (h, "number", "first")}).orderBy("bucket").collect()
     assert [r.h for r in got][:4] == [100, 60, 100, 100] and len(got) == 10
     assert [temporal.grid(m.withColumn("match_end_ms", F.lit(e)), w).count() for e, w in ((10000, 3000), (250, 50), (1000, 1000))] == [4, 5, 1]
 
@@ -74,6 +80,28 @@ def test_identity(spark):
     assert key[7, "rusti"] == key[2, "rusti"] != key[7, "Luk"]
 
 
+def test_identity_follows_chains(spark):
+    info = [(1, s, 10 * s, s, s + 1, f"n{s}", "r", "") for s in range(16)]
+    found = I.sessions(spark.createDataFrame(info, "match_id int, slot int, t_ms int, seq long, user_id int, name string, team string, auth string"))
+    links = spark.createDataFrame([(1, s, 0, f"k{k}") for s in range(16) for k in (s // 2, (s + 1) // 2 + 100)], "match_id int, slot int, session long, key string")
+    assert {r.identity for r in I.unify(found, links).collect()} == {"000:00000"}
+
+
+def test_maps_do_not_mix(spark):
+    locs = spark.createDataFrame([("a", 1, 0.0, 0.0, 0.0), ("a", 2, 30_000.0, 0.0, 0.0), ("b", 3, 9.0, 0.0, 0.0), ("b", 4, 3000.0, 10.0, 0.0)], "map string, loc_id int, x float, y float, z float")
+    at = spark.createDataFrame([("a", 10, 0, 0), ("a", 16_000, 0, 0), ("a", 90_000, 5, 0), ("b", 1600, 0, 0), ("b", 0, 0, 0)], "map string, x int, y int, z int")
+    assert {(r.map, r.x): r.li for r in S.locate(at, locs).collect()} == {("a", 10): 1, ("a", 16_000): 2, ("a", 90_000): 2, ("b", 1600): 4, ("b", 0): 0}
+
+
+def test_trail_and_regions(spark):
+    rows = [(1, "p", t, t, x, 5, d, False) for t, (x, d) in enumerate([(10, False), (12, False), (40, False), (41, True), (5000, False), (0, False)])]
+    rows[-1] = (1, "p", 5, 5, 0, 0, False, False)
+    got = P.movement_trail(spark.createDataFrame(rows, "match_id int, player string, t_ms int, seq long, x int, y int, death boolean, spawn boolean"), 5.0, 1000.0)
+    assert [(r.x, r.teleport) for r in got.orderBy("t_ms").collect()] == [(10, False), (40, False), (41, False), (5000, True)]
+    named = spark.createDataFrame([("m", 1, 0.0, 0.0, "RA low"), ("m", 2, 500.0, 0.0, "ra.low"), ("m", 3, 1100.0, 0.0, "ra high"), ("m", 4, 9000.0, 0.0, "quad"), ("m", 5, 0.0, 9.0, "YA"), ("n", 6, 0.0, 0.0, "ya top")], "map string, loc_id int, x double, y double, name string")
+    assert {(r.loc_id, r.region) for r in S.detect_regions(named).collect()} == {(1, "RA LOW"), (2, "RA LOW"), (3, "RA LOW"), (4, "QUAD"), (6, "YA TOP")}
+
+
 def test_weapon_pickup(spark):
     p = spark.createDataFrame([(1, "ace", 1, "rl", 10000)], "match_id int, player string, pickup_id int, weapon string, t_ms int")
     d = spark.createDataFrame([(1, "ace", 30000, 0)], "match_id int, player string, t_ms int, seq long")

@@ -19,26 +19,70 @@ def _run(spark, df, name, mode="append"):
     return spark.table(name)
 
 
+def _feed(spark, path, batches, schema):
+    """A stream of one file a batch, in order; the last batch only moves the watermark."""
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, schema.replace("ts timestamp", "ms long")).withColumn("ts", F.timestamp_millis("ms")).drop("ms")
+        df.coalesce(1).write.parquet(f"{path}/{i}")
+    read = spark.readStream.schema(spark.read.parquet(f"{path}/0").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+    return read.parquet(path)
+
+
+T0 = 1_700_000_000_000
+
+
+def test_changes_carry_over_batches(spark, tmp_path):
+    row = lambda p, t, s, v: (1, p, T0 + t, s, v)
+    batches = [[row("a", 0, 1, 5.0), row("a", 2000, 3, 6.0)], [row("a", 1000, 2, 5.0), row("b", 2500, 9, 1.0)], [row("a", 30_000, 4, 6.0), row("a", 31_000, 5, 7.0)], [row("z", 90_000, 7, 0.0)], [row("z", 200_000, 8, 0.0)], [row("z", 400_000, 10, 0.0)]]
+    stream = _feed(spark, str(tmp_path / "c"), batches, "match_id long, player string, ts timestamp, seq long, v double")
+    got = sorted((r.player, r.seq) for r in _run(spark, M.changes(stream, "5 seconds", "2 minutes"), "carried").collect())
+    assert got == [("a", 1), ("a", 3), ("a", 5), ("b", 9), ("z", 7)]
+
+
+def test_chat_keeps_lines_of_other_times(spark, tmp_path):
+    row = lambda t: (1, "a", T0 + t, "chat", "gg")
+    stream = _feed(spark, str(tmp_path / "d"), [[row(0), row(0)], [row(0), row(500)]], "match_id long, player string, ts timestamp, type string, message string")
+    assert _run(spark, M.distinct_chat(stream, "10 seconds"), "chatty").count() == 2
+
+
+def test_attribution_buffer_and_settle_timers(spark, tmp_path):
+    row = lambda t, s, kind, ent, who: (1, T0 + t, s, kind, ent, who)
+    batches = [[row(0, 1, "hint", 7, "a"), row(100, 2, "taken", 7, None)], [row(200, 3, "taken", 7, None), row(350, 4, "hint", 7, "b"), row(5000, 5, "taken", 8, None)], [row(60_000, 6, "hint", 1, "z")], [row(90_000, 8, "hint", 1, "z")]]
+    stream = _feed(spark, str(tmp_path / "e"), batches, "match_id long, ts timestamp, seq long, kind string, ent long, player string")
+    assert sorted((r.seq, r.player) for r in _run(spark, M.attribute(stream, "5 seconds"), "who").collect()) == [(2, "a"), (3, "b"), (5, None)]
+    row = lambda ent, t, s, taken: (1, ent, T0 + t, s, taken, 20_000)
+    batches = [[row(1, 0, 1, True), row(2, 0, 2, True)], [row(2, 19_000, 3, False), row(3, 1000, 4, True)], [row(9, 60_000, 5, False)], [row(9, 99_000, 6, False)]]
+    stream = _feed(spark, str(tmp_path / "f"), batches, "match_id long, ent long, ts timestamp, seq long, taken boolean, respawn_ms long")
+    found = _run(spark, M.settled_respawns(stream, "5 seconds"), "timers").select("ent", (F.unix_millis("ts") - T0).alias("ms"))
+    assert sorted(map(tuple, found.collect())) == [(1, 20_000), (3, 21_000)]
+
+
 def test_changes_and_windows(spark, sf, tmp_path):
     path = str(tmp_path / "in")
     rows = _split(spark, sf, path)
     stream = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
     w = "row_number() over (partition by match_id, player order by ts, seq)"
-    got = {(r.player, r.seq) for r in _run(spark, M.changes(spark.readStream.schema(rows.schema).parquet(path)), "changes").collect()}
+    later = rows.agg(F.max("ts")).first()[0]
+    spark.createDataFrame([(-1, "end", 0)], "match_id long, player string, seq long").select("match_id", "player", (F.lit(later) + F.expr("interval 90 days")).alias("ts"), "seq", F.lit(0.0).alias("v"), F.lit("x").alias("message"), F.lit("chat").alias("type")).coalesce(1).write.mode("append").parquet(path)
+    got = {(r.player, r.seq) for r in _run(spark, M.changes(stream(), "60 days", "900 days"), "changes").collect() if r.player != "end"}
     want = rows.withColumn("n", F.expr(w)).withColumn("was", F.expr("lag(v) over (partition by match_id, player order by ts, seq)")).filter("n = 1 or v <> was")
     assert got == {(r.player, r.seq) for r in want.collect()}
     windows = _run(spark, M.tumbling(stream(), "1 day", "30 days"), "windows", "complete")
-    assert windows.agg(F.sum("n")).first()[0] == rows.count()
-    assert _run(spark, M.sessions(stream(), "1 day", "30 days"), "sess", "complete").agg(F.sum("n")).first()[0] == rows.count()
-    assert _run(spark, M.distinct_chat(stream(), "60 days"), "chat").count() == rows.select("match_id", "player").distinct().count()
+    assert windows.agg(F.sum("n")).first()[0] == rows.count() + 1
+    assert _run(spark, M.sessions(stream(), "1 day", "30 days"), "sess", "complete").agg(F.sum("n")).first()[0] == rows.count() + 1
+    assert _run(spark, M.distinct_chat(stream(), "60 days"), "chat").count() == rows.select("match_id", "player", "ts").distinct().count() + 1
 
 
 def test_gate_and_join(spark, tmp_path):
     path = str(tmp_path / "m")
     lines = ["hello", "The match has begun!", "shot", "the match is over", "bye"]
+    late = str(tmp_path / "late")
     spark.createDataFrame([(1, i, t, 7, f"p{i}") for i, t in enumerate(lines)], "match_id long, seq long, message string, ent int, player string").withColumn("ts", F.timestamp_seconds(F.col("seq") + 1_000_000_000)).write.parquet(path)
     schema = spark.read.parquet(path).schema
     stream = lambda: spark.readStream.schema(schema).parquet(path)
-    assert [r.seq for r in _run(spark, M.gate(stream()), "gated").orderBy("seq").collect()] == [1, 2, 3]
+    spark.read.parquet(path).coalesce(1).write.parquet(f"{late}/0")
+    spark.read.parquet(path).filter("seq = 4").withColumns({"match_id": F.lit(2).cast("long"), "ts": F.col("ts") + F.expr("interval 1 hour")}).coalesce(1).write.parquet(f"{late}/1")
+    gated = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(late)
+    assert [r.seq for r in _run(spark, M.gate(gated), "gated").orderBy("seq").collect()] == [1, 2, 3]
     pairs = _run(spark, M.drops_to_pickups(stream(), stream(), "1 second"), "pairs")
     assert pairs.count() == 9
