@@ -7,19 +7,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from arenalake.functions.temporal import KEYS, asof, changed, clamp, held, merge_short, nearest
+from arenalake.functions.temporal import KEYS, asof, changed, clamp, merge_short
 
 DEFAULT_EVENTS = ["frag", "powerup", "streak", "spawn", "death", "weapon", "item", "chat"]
 
 
 def state_at(probes: DataFrame, numbers: dict[str, DataFrame], intervals: dict[str, DataFrame], positions: DataFrame | None = None) -> DataFrame:
-    """State at each probe (match_id, player, t_ms): latest values, held items, and the position nearest in time."""
-    out = probes
+    """State at each probe (match_id, player, t_ms): latest values, held items, and the position nearest in time (the earlier
+    one on a tie).  All streams and the probes are merged in one sorted stream a player."""
+    rows = probes.select(*KEYS, "t_ms", F.lit(None).cast("long").alias("seq"), F.lit(1).alias("_probe"), F.struct(*probes.columns).alias("_row"))
+
+    def merge(stream: DataFrame, time: str, value: Column, name: str) -> None:
+        nonlocal rows
+        seq = F.col("seq").cast("long") if "seq" in stream.columns else F.lit(0).cast("long")
+        rows = rows.unionByName(stream.select(*KEYS, F.col(time).alias("t_ms"), seq.alias("seq"), F.lit(0).alias("_probe"), value.alias(name)), allowMissingColumns=True)
+
     for field, stream in numbers.items():
-        out = asof(out, stream.withColumnRenamed("v", field), [field])
+        merge(stream, "t_ms", F.col("v"), f"_{field}")
     for field, spans in intervals.items():
-        out = held(out, spans, field)
-    return nearest(out, positions, ["x", "y", "z"]) if positions is not None else out
+        merge(spans, "start_ms", F.col("end_ms"), f"_{field}")
+    if positions is not None:
+        merge(positions, "t_ms", F.struct(F.col("t_ms").alias("at"), "x", "y", "z"), "_place")
+    track = Window.partitionBy(*KEYS).orderBy("t_ms", "_probe", "seq")
+    past = track.rowsBetween(Window.unboundedPreceding, 0)
+    seen = {field: F.last(f"_{field}", ignorenulls=True).over(past) for field in numbers}
+    seen |= {field: F.coalesce(F.max(f"_{field}").over(past) > F.col("t_ms"), F.lit(False)) for field in intervals}
+    if positions is None:
+        return rows.withColumns(seen).filter("_probe = 1").select("_row.*", *numbers, *intervals)
+    seen |= {"_before": F.last("_place", ignorenulls=True).over(past), "_after": F.first("_place", ignorenulls=True).over(track.rowsBetween(0, Window.unboundedFollowing))}
+    older = F.col("_after").isNull() | (F.col("t_ms") - F.col("_before.at") <= F.col("_after.at") - F.col("t_ms"))
+    near = F.when(F.col("_before").isNotNull() & older, F.col("_before")).otherwise(F.col("_after"))
+    found = rows.withColumns(seen).filter("_probe = 1").withColumn("_near", near)
+    return found.select("_row.*", *numbers, *intervals, "_near.x", "_near.y", "_near.z")
 
 
 def slice_changes(stream: DataFrame, players: DataFrame, start_ms: int, end_ms: int) -> DataFrame:

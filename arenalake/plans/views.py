@@ -162,9 +162,28 @@ def stat_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.evidence(lives.filter("event_type in ('purchase', 'click', 'view')").select(*KEYS, "t_ms", "seq", "life", stat.alias("stat"), v.cast("int").alias("v"))).select(*KEYS, "seq", "kind")
 
 
+def _attributed(lens: Lens) -> DataFrame:
+    kind = F.get(F.array(*map(F.lit, ("ra", "rl", "mh"))), F.col("k") % 3).alias("kind")
+    rows = lens.base.select(*KEYS, "t_ms", "seq", (F.col("k") % 6).alias("ent"), kind, "event_type")
+    coarse = F.floor(F.col("t_ms") / 4000).cast("int").alias("t_ms")  # brings events within the layers' windows
+    of = lambda t: rows.filter(F.col("event_type") == t).select(*KEYS, coarse, "seq", "ent", "kind")
+    taken = of("click").drop("player")
+    near = taken.select("match_id", "seq", "t_ms").join(of("signup").select("match_id", "player", F.col("t_ms").alias("p_ms")), "match_id")
+    near = near.select("match_id", "seq", "player", (F.abs(F.col("t_ms") - F.col("p_ms")) * 20).alias("distance"))
+    return U.attribute(taken, of("view"), of("purchase"), of("error"), near)
+
+
+def item_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _attributed(Lens(spark, sf_dir))
+
+
+def attribution_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.tally(_attributed(Lens(spark, sf_dir)))
+
+
 QUERIES = {f.__name__: f for f in (
     events_full, chat_filtered, chat_distinct_lines, pickups_filtered, items_filtered, stats_sane, loc_name_slice, loc_names, powerup_rows, movement_trail, region_heatmap, regions_detected,
-    damage_by_type, fallback_board, armor_shares, quality_report, pickup_checks, visibility_edges, pack_origins, stat_evidence,
+    damage_by_type, fallback_board, armor_shares, quality_report, pickup_checks, visibility_edges, pack_origins, stat_evidence, item_attribution, attribution_sources,
 )}
 
 _CHAT = SQL + ", chat AS (SELECT match_id, player, t_ms, seq, ['chat', 'teamsay', 'server'][k % 3 + 1] AS type, 'text ' || (iv % 4) AS message FROM base WHERE event_type = 'view')"

@@ -70,7 +70,7 @@ STAGES = [
     ("mixing sources to target weights", mixture),
 ]
 
-#: Learned spans and seeded selection have no SQL; tests/llm holds the pipeline against a plain model of it.
+#: Learned spans and seeded selection have no SQL; tests/llm holds each stage against a plain model of its decisions.
 ORACLE_SQL = None
 
 
