@@ -5,8 +5,7 @@ L - s + 1 words at its first s = L / 2 places go into the hash set, so documents
 only: any occurrence of the window covers one probed gram.  Probe rows carry an id, a place and a hash, never a text.
 Hits are then verified word by word against the document, and covered words, items and spans follow from that.
 
-Each row of ``docs`` is a document; null or blank texts have no words; rows that share a doc_id are verified one by
-one.  Benchmark rows without an id or words are no items; rows that share an id are one item.
+Each row of ``docs`` is a document; null or blank texts have no words; ids play no part in the search.  Benchmark rows without an id or words are no items; rows that share an id are one item.
 """
 
 from __future__ import annotations
@@ -16,11 +15,11 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, table_bytes
+from .common import few, let, materialize
 
 WINDOW = 13
 SHARE = 20  #: contaminated from one hit word in so many on
-BROADCAST_BYTES = 8 << 20  #: lists whose Parquet files are larger are joined by a shuffle
+ROW_BYTES = 400  #: of a gram with its window, and of a hit, in memory about
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
@@ -50,8 +49,13 @@ def hash_set(benchmark: DataFrame, text: str = "text", item: str = "item_id") ->
     return grams.select(F.xxhash64("size", gram).alias("h"), "back", "item", "window").distinct()
 
 
+def _key(text: str) -> Column:
+    """Rows with equal texts are verified together, whatever their ids: a hash of the text, null where there is none."""
+    return F.when(F.col(text).isNotNull(), F.xxhash64(text))
+
+
 def _candidates(docs: DataFrame, grams: DataFrame, text: str) -> DataFrame:
-    """(hit_id, found): per doc_id the windows whose gram occurs, with the place where the window would start."""
+    """(_key, _found): per text the windows whose gram occurs, with the place where the window would start."""
     sizes = sorted(r[0] for r in grams.select(F.size("window")).distinct().collect())  # 13 values at most
 
     def grams_of(w: Column, size: int) -> Column:
@@ -64,27 +68,25 @@ def _candidates(docs: DataFrame, grams: DataFrame, text: str) -> DataFrame:
     none = F.expr("cast(array() as array<struct<at:int,h:bigint>>)")
     probes = lambda w: F.concat(none, *(grams_of(w, size) for size in sizes))
     # generated once a text: the words live in a lambda variable
-    rows = docs.select("doc_id", F.explode(let(_words(_lowered(F.col(text))), probes)).alias("p")).select("doc_id", "p.at", "p.h")
-    small = table_bytes(docs.sparkSession, grams) <= BROADCAST_BYTES
-    hits = rows.join(F.broadcast(grams) if small else grams, "h")
+    rows = docs.select(_key(text).alias("_key"), F.explode(let(_words(_lowered(F.col(text))), probes)).alias("p")).select("_key", "p.at", "p.h")
+    hits = rows.join(few(grams, ROW_BYTES), "h")
     one = F.struct((F.col("at") - F.col("back")).alias("at"), "item", "window")
-    return hits.filter("at >= back").groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_set(one).alias("found"))
+    return hits.filter("at >= back").groupBy("_key").agg(F.collect_set(one).alias("_found"))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
-    """``docs`` with _n_words and _hits: verified (at, size, item), sorted; null where nothing was found."""
+    """(_row, _text, _n_words, _hits): the rows of ``docs`` as structs, and verified (at, size, item), sorted; null where
+    nothing was found."""
     grams = materialize(hash_set(benchmark, text, item), "grams")
-    found = materialize(_candidates(docs, grams, text), "hits")
-    if table_bytes(docs.sparkSession, found) <= BROADCAST_BYTES:
-        found = F.broadcast(found)
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").drop("hit_id")
+    found = few(materialize(_candidates(docs, grams, text), "hits"), 4 * ROW_BYTES)
+    joined = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"), _key(text).alias("_key")).join(found, "_key", "left")
 
     def verified(w: Column) -> Column:
-        true = F.filter("found", lambda c: F.slice(w, c["at"] + 1, F.size(c["window"])) == c["window"])
+        true = F.filter("_found", lambda c: F.slice(w, c["at"] + 1, F.size(c["window"])) == c["window"])
         return F.array_sort(F.transform(true, lambda c: F.struct(c["at"].alias("at"), F.size(c["window"]).alias("size"), c["item"].alias("item"))))
 
-    hits = F.when(F.col("found").isNotNull(), let(_words(_lowered(F.col(text))), verified))
-    return joined.withColumn("_n_words", F.size(_words(F.col(text)))).withColumn("_hits", hits).drop("found")
+    hits = F.when(F.col("_found").isNotNull(), let(_words(_lowered(F.col("_text"))), verified))
+    return joined.select("_row", "_text", F.size(_words(F.col("_text"))).alias("_n_words"), hits.alias("_hits"))
 
 
 def _n_hit(hits: Column) -> Column:
@@ -106,7 +108,7 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The columns of op6, one row a document."""
     found = scan(docs.select("doc_id", "text"), benchmark)
     items = F.coalesce(F.sort_array(F.array_distinct(F.transform("_hits", lambda x: x["item"]))), F.array().cast("array<string>"))
-    out = found.select("doc_id", F.col("_n_words").cast("long").alias("n_words"), _n_hit(F.col("_hits")).cast("long").alias("n_hit"), items.alias("items"))
+    out = found.select("_row.doc_id", F.col("_n_words").cast("long").alias("n_words"), _n_hit(F.col("_hits")).cast("long").alias("n_hit"), items.alias("items"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), _contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
@@ -114,14 +116,21 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
     """``docs`` without contaminated documents; from the others the hit words go, with the gap before each."""
     found = scan(docs, benchmark, text)
     kept = found.filter(~_contaminated(_n_hit(F.col("_hits")), F.col("_n_words")))
+    word = f"{_GAP}*+[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]++"
 
     def cut(tokens: Column) -> Column:
-        left = F.filter(tokens, lambda _, i: ~F.exists("_hits", lambda h: (h["at"] <= i) & (i < h["at"] + h["size"])))
-        return F.concat(F.array_join(left, ""), F.regexp_extract(text, f"{_GAP}*$", 0))
+        # the tokens between the hits, run by run: hits are sorted by their starts
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+        def step(a: Column, h: Column) -> Column:
+            gap = F.array_join(F.slice(tokens, a["at"] + 1, F.greatest(h["at"] - a["at"], F.lit(0))), "")
+            return F.struct(F.greatest(a["at"], h["at"] + h["size"]).alias("at"), F.concat(a["out"], gap).alias("out"))
+
+        rest = F.aggregate("_hits", start, step, lambda a: F.concat(a["out"], F.array_join(F.slice(tokens, a["at"] + 1, F.greatest(F.size(tokens) - a["at"], F.lit(0))), "")))
+        return F.concat(rest, F.regexp_extract("_text", f"{_GAP}*$", 0))
 
-    tokens = F.regexp_extract_all(text, F.lit(f"{_GAP}*+[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]++"), F.lit(0))
-    rest = F.when(F.size("_hits") > 0, let(tokens, cut)).otherwise(F.col(text))
-    return kept.withColumn(text, rest).drop("_n_words", "_hits").select(*docs.columns)
+    rest = F.when(F.size("_hits") > 0, let(F.regexp_extract_all("_text", F.lit(word), F.lit(0)), cut)).otherwise(F.col("_text"))
+    return kept.select(*(rest.alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 SQL = r"""

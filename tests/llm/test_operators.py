@@ -395,7 +395,19 @@ def test_decontaminate(docs, rows, benchmark):
                     items |= windows[tuple(w[a : a + size])]
         want[(i, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))] += 1
     assert Counter(map(tuple, decontaminate.judge(docs, benchmark).collect())) == want
+    named = docs.withColumns({"found": F.lit(1), "hit_id": F.lit(2), "_hits": F.lit(3), "_row": F.lit(4), "_key": F.lit(5)})
+    assert decontaminate.clean(named, benchmark).columns == named.columns and decontaminate.clean(named, benchmark).filter("_key = 5").count() > 0
     out = decontaminate.clean(docs, benchmark)
+    texts = {r.doc_id: r.text for r in out.collect()}
+    hits = {i: set() for i, *_ in rows}
+    for i, t, *_ in rows:
+        w = split(t)
+        for size in {len(x) for x in windows}:
+            for a in range(len(w) - size + 1):
+                if tuple(w[a : a + size]) in windows:
+                    hits[i] |= set(range(a, a + size))
+    plain = [(i, t) for i, t, *_ in rows if i in texts and [r[0] for r in rows].count(i) == 1]
+    assert all(split(texts[i]) == [x for k, x in enumerate(split(t)) if k not in hits[i]] for i, t in plain)
     assert out.columns == docs.columns and out.count() == sum(n for k, n in want.items() if not k[5])
 
 
