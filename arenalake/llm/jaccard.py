@@ -10,9 +10,10 @@ that every pair within the size ratio has a band in common.
 Sets that share a signature are candidates; equal sets are one node from the start.  First every member of a group is
 verified against the group's first member (of about its size), which joins groups of near copies by stars.  Groups of up
 to HOT members that still hold several components are compared where they meet.  The sets of larger groups, whatever
-their number, are joined through more hubs and then signed again, with second-level parts and all their subsets
+their number, are signed again, with second-level parts and all their subsets
 (``enumerated``), which tells sets apart that have a passage in common.  What then still crowds, near copies about the
-threshold, is signed by its rarest shingles (``prefixes``).  Every pass is exact: no pair at the threshold is lost, and
+threshold, is signed by its rarest shingles (``prefixes``).  In all these groups members are first joined with their
+nearest ones, so that few pairs of different components are left to compare.  Every pass is exact: no pair at the threshold is lost, and
 members of one component are never paired.
 
 Parities of the shingle counts in some cells bound the difference of two sets from below; a candidate that the bound
@@ -46,7 +47,6 @@ SAMPLE = 8  #: one document in so many helps to find much-shared parts (for thei
 SHARED = 400_000  #: much-shared parts that every task knows (3 MB)
 ROWS = 1 << 20  #: signatures in a partition, about
 HOT = 64  #: members of a group that are compared where they meet; sets of larger groups are enumerated
-HUBS = 8  #: stars of a family of sets that share large groups
 SECOND, SPOILT = 4, 2  #: enumeration: second-level parts, and how many of them may differ
 NEAREST = 2  #: rounds in which members are joined with their nearest ones
 STEP = 1.1  #: ratio of neighbouring size steps of the prefixes
@@ -169,27 +169,33 @@ def enumerated(h: np.ndarray) -> np.ndarray | None:
     return (np.concatenate(out) & ~np.uint64(63)) | np.uint64(min(63, own))
 
 
+def size_step(size: np.ndarray | int) -> np.ndarray:
+    return np.floor(np.log(size) / np.log(STEP) + 1e-9).astype(np.int64)
+
+
 def prefixes(h: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Signatures of (shingle, size step): the set's first shingles by rank, unranked ones before, for every step of sizes
-    from three quarters of its own on; of two similar sets the first common shingle is among them.
+    from three quarters of its own on; of two similar sets the first common shingle is among them, at the smaller one's
+    step.  The step's low six bits are the lowest of the group's key.
     """
     n = len(h)
     spot = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
     place = np.where(known[spot] == h, rank[spot], 0) if len(known) else np.zeros(n, np.int64)
     ordered = h[np.lexsort((h, place))]
-    step = lambda size: int(np.floor(np.log(size) / np.log(STEP) + 1e-9))
     out = []
-    for s in range(step(-(-3 * n // 4)), step(n) + 1):
+    for s in range(int(size_step(-(-3 * n // 4))), int(size_step(n)) + 1):
         least = max(0.75 * n, STEP**s - 1e-6)
         first = ordered[: int(n - 3 * (n + least) / 7 + 1e-6) + 1]
-        out.append(_mix(first + np.array([s], np.uint64) * _ODD[4] + np.uint64(7)))
-    return np.concatenate(out) & ~np.uint64(63)
+        mixed = _mix(first + np.array([s], np.uint64) * _ODD[4] + np.uint64(7))
+        out.append((mixed & ~np.uint64((1 << 12) - 1)) | np.uint64((s & 63) << 6))
+    return np.concatenate(out)
 
 
-def fitting(group: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, sketches: np.ndarray, ends: np.ndarray, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+def fitting(group: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, sketches: np.ndarray, ends: np.ndarray, step: np.ndarray, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of one group, but of different components and sides, whose sizes and sketches allow them to be similar.
 
-    A row's sketch ends before ``ends`` in ``sketches``; a negative side is no side.  ``nearest``: of each row's pairs with
+    A row's sketch ends before ``ends`` in ``sketches``; a negative side is no side.  Where ``step`` is not
+    negative, only pairs whose smaller set has that size step count: they have other groups of the same shingle as well.  ``nearest``: of each row's pairs with
     larger rows only the one whose sketches differ least.
     """
     width = np.diff(np.append(0, ends))
@@ -198,6 +204,7 @@ def fitting(group: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray
     upper = np.searchsorted(key, group[order] * (1 << 33) + 4 * n[order] // 3, side="right")
     count = upper - np.arange(len(order)) - 1
     total = np.append(0, np.cumsum(count))
+    own_step = size_step(n) & 63
     out = [(np.zeros(0, np.int64),) * 2]
     at = 0
     while at < len(order):
@@ -205,7 +212,7 @@ def fitting(group: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray
         i = np.repeat(np.arange(at, to), count[at:to])
         j = i + 1 + np.arange(len(i)) - np.repeat(total[at:to] - total[at], count[at:to])
         i, j = order[i], order[j]
-        other = (comp[i] != comp[j]) & ((side[i] < 0) | (side[i] != side[j]))
+        other = (comp[i] != comp[j]) & ((side[i] < 0) | (side[i] != side[j])) & ((step[i] < 0) | (step[i] == own_step[i]))
         i, j = i[other], j[other]
         apart = np.empty(len(i), np.int64)
         for w in np.unique(width[i]).tolist():
@@ -351,13 +358,6 @@ def _apart(groups: DataFrame, known: DataFrame) -> DataFrame:
     return members.join(apart, "key").select("key", "node", "m")
 
 
-def _families(crowds: DataFrame) -> DataFrame:
-    """(a, b): every node of large groups with HUBS others of its family, the nodes that share its smallest group key."""
-    own = materialize(crowds.groupBy("node").agg(F.min("key").alias("family")), "families")
-    hubs = own.groupBy("family", F.pmod(F.hash("node"), F.lit(HUBS))).agg(F.min("node").alias("a")).select("family", "a")
-    return own.join(few(materialize(hubs, "hubs")), "family").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-
-
 def _signed_sets(sets: DataFrame, chosen: DataFrame, sign) -> DataFrame:
     """(sig, node) of the chosen nodes, by ``sign`` (shingles -> signatures); a null sig where it gives None."""
 
@@ -389,17 +389,23 @@ def _prefixed(sets: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def _compare(rows: DataFrame, known: DataFrame, nearest: bool) -> DataFrame:
-    """(a, b): members of one group and different components that are ``fitting``; large groups meet in blocks."""
+    """(a, b): members of one group and different components that are ``fitting``; large groups meet in blocks.
+
+    ``nearest``: each member with its nearest one in one group, its largest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, group in whole_groups(batches, 3, COMPARED):
-            i, j, own, node, n, comp = (rows.column(c).to_numpy() for c in range(1, 7))
-            sketches = rows.column(7).combine_chunks()
+            key, i, j, own, stepped, node, n, comp = (rows.column(c).to_numpy() for c in range(8))
+            sketches = rows.column(8).combine_chunks()
             flat, ends = sketches.flatten().to_numpy().view(np.uint64), np.cumsum(sketches.value_lengths().to_numpy())
-            a, b = fitting(group, n, comp, np.where(i != j, own, -1), flat, ends, nearest)
-            yield pa.RecordBatch.from_pydict({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
+            a, b = fitting(group, n, comp, np.where(i != j, own, -1), flat, ends, np.where((stepped > 0) & (not nearest), key & 63, -1), nearest)
+            pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]), axis=1)
+            yield pa.RecordBatch.from_pydict({"a": pairs[0], "b": pairs[1]})
 
-    dealt = rows.join(few(known), "node").select("key", "i", "j", "own", "node", "n", "comp", "sketch")
+    if nearest:
+        rows = rows.join(rows.groupBy("node").agg(F.max_by("key", F.struct("m", "key")).alias("key")), ["node", "key"])
+    dealt = rows.join(few(known), "node").select("key", "i", "j", "own", "stepped", "node", "n", "comp", "sketch")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -433,25 +439,23 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     known = _merged(known, materialize(verified(_plausible(stars, sets), sets), "links"))
     members = materialize(_apart(groups, known), "members")
 
-    # groups of more than HOT members: joined through several hubs, then told apart by enumerated subsets, then by prefixes
+    # sets in groups of more than HOT members are told apart by enumerated subsets, then by prefixes
     crowds = materialize(members.filter(F.col("m") > HOT), "crowds")
-    members = members.filter(F.col("m") <= HOT)
+    members = members.filter(F.col("m") <= HOT).withColumn("stepped", F.lit(0))
     if crowds.head(1):
-        more = materialize(_families(crowds).join(stars, ["a", "b"], "left_anti"), "stars")
-        stars, known = stars.unionByName(more), _merged(known, materialize(verified(_plausible(more, sets), sets), "links"))
         for level, sign in enumerate((lambda chosen: _signed_sets(sets, chosen, enumerated), lambda chosen: _prefixed(sets, chosen))):
             chosen = materialize(crowds.select("node").distinct(), "crowd")
             sigs = materialize(sign(chosen), "signatures")
-            found = materialize(_apart(_groups(sigs.filter("sig is not null"), partitions), known), "members")
+            found = materialize(_apart(_groups(sigs.filter("sig is not null"), partitions), known), "members").withColumn("stepped", F.lit(level))
             if level:
                 members = members.unionByName(found)
                 break
             members = members.unionByName(found.filter(F.col("m") <= HOT))
             weak = sigs.filter("sig is null").select(F.lit(0).cast("long").alias("key"), "node", F.lit(0).cast("long").alias("m"))
-            crowds = found.filter(F.col("m") > HOT).unionByName(weak)
+            crowds = found.drop("stepped").filter(F.col("m") > HOT).unionByName(weak)
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = members.withColumn("own", F.pmod(F.hash("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node").join(sets.select("node", "sketch"), "node")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "stepped", "m", "node").join(sets.select("node", "sketch"), "node")
     rows = materialize(rows, "rows")
     # every member's nearest pair first, some times: that joins most of what is to be joined and leaves few pairs to all
     for nearest in (*[True] * NEAREST, False):
