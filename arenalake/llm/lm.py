@@ -34,8 +34,8 @@ UNITS = CLASSES * SIZE
 SHARED = 64  #: units for all but the most frequent words
 SINGLE = UNITS - SHARED  #: units that are one frequent word each
 KNOWN = 1 << 18  #: most frequent words whose counts every task holds (2 MB)
-WIDTH, NOISE, ROUNDS, RATE = 24, 24, 3, 0.08
-BATCH = 4096  #: tokens of a minibatch
+WIDTH, NOISE, ROUNDS, RATE = 24, 16, 3, 0.08
+BATCH = 1 << 14  #: tokens of a minibatch
 LEAST = 150_000  #: a task goes through its tokens again until it has taken so many in a round
 PART = 1 << 15  #: parameters that are averaged together
 SCORED = 1 << 16  #: tokens that are scored together
@@ -145,7 +145,7 @@ def _add(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
 def _contrast(r: np.ndarray, target: np.ndarray, out: np.ndarray, bias: np.ndarray, q: np.ndarray, d_out: np.ndarray, d_bias: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Slopes of the noise-contrastive objective: each target against NOISE samples of ``q``, shared by the rows; gives dr."""
     noise = np.minimum(np.searchsorted(np.cumsum(q), rng.random(NOISE)), len(q) - 1)
-    shift = np.log(NOISE * q)
+    shift = np.log(NOISE * q).astype(np.float32)
     right = 1 / (1 + np.exp(np.clip((r * out[target]).sum(axis=1) + bias[target] - shift[target], -30, 30)))
     wrong = -1 / (1 + np.exp(-np.clip(r @ out[noise].T + bias[noise] - shift[noise], -30, 30)))
     _add(d_out, target, right[:, None] * r)
