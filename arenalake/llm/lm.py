@@ -34,11 +34,11 @@ UNITS = CLASSES * SIZE
 SHARED = 64  #: units for all but the most frequent words
 SINGLE = UNITS - SHARED  #: units that are one frequent word each
 KNOWN = 1 << 18  #: most frequent words whose counts every task holds (2 MB)
-WIDTH, NOISE, ROUNDS, RATE = 24, 16, 3, 0.08
-BATCH = 1 << 14  #: tokens of a minibatch
+WIDTH, NOISE, ROUNDS, RATE = 16, 12, 3, 0.08
+BATCH = 1 << 15  #: tokens of a minibatch
 LEAST = 150_000  #: a task goes through its tokens again until it has taken so many in a round
 PART = 1 << 15  #: parameters that are averaged together
-SCORED = 1 << 16  #: tokens that are scored together
+SCORED = 1 << 13  #: tokens that are scored together
 END = b"\n"  #: no word holds it
 _CACHE = 200_000
 
@@ -186,8 +186,11 @@ def log_probability(p: np.ndarray, unit: np.ndarray, one: np.ndarray, two: np.nd
     r = before[one] @ near + before[two] @ far
 
     def logs(s: np.ndarray, target: np.ndarray) -> np.ndarray:
-        top = s.max(axis=1)
-        return s[np.arange(len(s)), target] - top - np.log(np.exp(s - top[:, None]).sum(axis=1))
+        own = s[np.arange(len(s)), target]
+        if s.max() > 60 or s.min() < -60:  # beyond single precision without a shift
+            top = s.max(axis=1)
+            return own - top - np.log(np.exp(s - top[:, None]).sum(axis=1))
+        return own - np.log(np.exp(s, out=s).sum(axis=1))
 
     order = np.argsort(unit, kind="stable")
     group = unit // SIZE
