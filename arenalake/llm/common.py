@@ -76,28 +76,23 @@ def few(table: DataFrame, width: int = 64) -> DataFrame:
     return F.broadcast(table) if table.count() * width <= BROADCAST_BYTES else table
 
 
-def table_bytes(spark: SparkSession, df: DataFrame) -> int:
-    """Bytes of the files that a materialized table reads."""
-    total = 0
-    for f in df.inputFiles():
-        total += _path(spark, f, lambda fs, p: fs.getFileStatus(p).getLen())
-    return total
-
-
 def most_frequent(counts: DataFrame, n: str, limit: int) -> DataFrame:
-    """The rows with the highest counts, at most ``limit`` of them: all above the level (in steps of log2 / 16) that fits.
+    """The rows with the highest counts, about ``limit`` of them at most: all of the levels (in steps of log2 / 16) that fit,
+    and of the next one as many, chosen by a hash of the row, as there is room for.
 
     Unlike a sorted limit, no task sends more to the driver than it has among these rows.  ``counts`` should be materialized.
     """
     level = F.floor(F.log2(n) * 16).cast("int")
     rows = counts.groupBy(level.alias("level")).count().collect()  # at most some 1,000 levels
-    cut, total = None, 0
+    cut, total, part = 1 << 30, 0, F.lit(False)
     for r in sorted(rows, reverse=True):
-        total += r["count"]
-        if total > limit:
+        if total + r["count"] > limit:
+            share = int(0.9 * (limit - total) / r["count"] * (1 << 20))
+            part = (level == r["level"]) & (F.pmod(F.xxhash64(*counts.columns), F.lit(1 << 20)) < share)
             break
+        total += r["count"]
         cut = r["level"]
-    return counts.filter(level >= cut) if cut is not None else counts.limit(0)
+    return counts.filter((level >= cut) | part)
 
 
 def _path(spark: SparkSession, path: str, use):

@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, most_frequent, table_bytes
+from .common import few, materialize, most_frequent
 
 #: (verdict, host, path): fits the host and its subdomains where the path starts so; the longest that fits wins.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 VOCABULARY = 50_000  #: parts of labels that are looked up by broadcast, the most used ones
 LONGEST = 24  #: letters of a word at most
 FEATURES = 100_000  #: tokens that are looked up by broadcast, the most used ones
-BROADCAST_BYTES = 8 << 20  #: lists whose Parquet files are larger are joined by a shuffle
+ROW_BYTES = 512  #: of a host or url with its tokens in memory, about
 UNIT = 10**9  #: scores are whole numbers of this part, so that sums don't depend on their order
 _FLUSH = 300_000
 
@@ -84,8 +84,7 @@ def _looked_up(rows: DataFrame, key: str, table: DataFrame, limit: int) -> DataF
 
 
 def _joined(left: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    small = table_bytes(left.sparkSession, table) <= BROADCAST_BYTES
-    return left.join(F.broadcast(table) if small else table, keys, "left")
+    return left.join(few(table, ROW_BYTES), keys, "left")
 
 
 def segment(name: str, model: dict[str, float]) -> list[str]:
