@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, lm, mixing, pii, quality, secrets, suffix, superkmer, urls
+from . import audit, decontaminate, jaccard, lm, mixing, pii, quality, secrets, suffix, superkmer, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,5 +51,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_mixing, op4_suffix, op5_jaccard, op6_decontaminate, op7_superkmer, op8_urls, op9_lm, op10_secrets)}
-ORACLES: dict[str, str] = {"op2_quality": quality.SQL, "op6_decontaminate": decontaminate.SQL}
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_mixing, op4_suffix, op5_jaccard, op6_decontaminate, op7_superkmer, op8_urls, op9_lm, op10_secrets, op11_audit)}
+ORACLES: dict[str, str] = {"op2_quality": quality.SQL, "op6_decontaminate": decontaminate.SQL, "op11_audit": audit.SQL}
