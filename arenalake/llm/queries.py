@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, decontaminate, jaccard, lm, mixing, pii, quality, secrets, suffix, superkmer, urls
+from . import audit, decontaminate, jaccard, lm, mixing, pii, quality, secrets, suffix, superkmer, trie, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,5 +55,9 @@ def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_mixing, op4_suffix, op5_jaccard, op6_decontaminate, op7_superkmer, op8_urls, op9_lm, op10_secrets, op11_audit)}
-ORACLES: dict[str, str] = {"op2_quality": quality.SQL, "op6_decontaminate": decontaminate.SQL, "op11_audit": audit.SQL}
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(trie.spliced(_table(spark, sf_dir, "conversations"))).drop("id")
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_mixing, op4_suffix, op5_jaccard, op6_decontaminate, op7_superkmer, op8_urls, op9_lm, op10_secrets, op11_audit, op12_trie)}
+ORACLES: dict[str, str] = {"op2_quality": quality.SQL, "op6_decontaminate": decontaminate.SQL, "op11_audit": audit.SQL, "op12_trie": trie.SQL}
