@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, decontaminate, jaccard, lm, mixing, pii, quality, secrets, suffix, superkmer, trie, urls
+from . import audit, decontaminate, jaccard, lm, mixing, pii, quality, secrets, suffix, superkmer, trie, urls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,5 +59,9 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.nodes(trie.spliced(_table(spark, sf_dir, "conversations"))).drop("id")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_mixing, op4_suffix, op5_jaccard, op6_decontaminate, op7_superkmer, op8_urls, op9_lm, op10_secrets, op11_audit, op12_trie)}
-ORACLES: dict[str, str] = {"op2_quality": quality.SQL, "op6_decontaminate": decontaminate.SQL, "op11_audit": audit.SQL, "op12_trie": trie.SQL}
+def op13_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_mixing, op4_suffix, op5_jaccard, op6_decontaminate, op7_superkmer, op8_urls, op9_lm, op10_secrets, op11_audit, op12_trie, op13_vectors)}
+ORACLES: dict[str, str] = {"op2_quality": quality.SQL, "op6_decontaminate": decontaminate.SQL, "op11_audit": audit.SQL, "op12_trie": trie.SQL, "op13_vectors": vectors.SQL}
