@@ -128,3 +128,16 @@ def pair_runs(starts: DataFrame, ends: DataFrame, match_end: Column, keys: list[
     m = m.withColumn("take", F.col("k") + running).select(*keys, F.col("t_ms").alias("start_ms"), F.col("take").alias("rank"))
     joined = m.join(e.select(*keys, "rank", F.col("t_ms").alias("_end")), [*keys, "rank"], "left")
     return joined.select(*keys, "start_ms", F.coalesce("_end", match_end).alias("end_ms"), F.col("_end").isNotNull().alias("closed"))
+
+
+def band(probes: DataFrame, events: DataFrame, keys: list[str], low: int, high: int) -> DataFrame:
+    """Pairs of a probe (all its columns, with t_ms) and an event (its other columns) whose e_ms lies ``low`` to ``high`` after t_ms.
+
+    Time is cut into bins as wide as the band.  An event is in one bin, a probe looks into the two that its band touches,
+    so rows of a key meet only where their times are near, and each pair once.
+    """
+    width = max(high - low, 1)
+    bin_of = lambda t: F.floor(t / width).cast("long")
+    asked = probes.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("t_ms") + low), bin_of(F.col("t_ms") + high))))
+    there = events.select(*events.columns, bin_of(F.col("e_ms")).alias("_bin"))
+    return asked.join(there, [*keys, "_bin"]).filter((F.col("e_ms") - F.col("t_ms")).between(low, high)).drop("_bin")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,50 +118,6 @@ def evidence(stats: DataFrame) -> DataFrame:
     return x.select(*KEYS, "t_ms", "seq", F.explode(kinds).alias("kind"))
 
 
-def attribute(taken: DataFrame, hints: DataFrame, prints: DataFrame, stats: DataFrame, distances: DataFrame) -> DataFrame:
-    """Who took an item (match_id, ent, kind, t_ms, seq) -> player, source, by layers of evidence.
-
-    hint: the nearest within 250 ms for the entity.  print: within 250 ms for the kind, if just one player has one.
-    stat: within -100 and +500 ms for the kind, if just one player has some; several leave the choice among them to the
-    nearest player within 256 units (``distances``: match_id, seq, player, distance).  A piece of evidence serves one
-    pickup: pickups are decided in order of time, and what is used up is no candidate any more.
-
-    Spark finds each pickup's candidates; the decisions of one match, over some hundreds of pickups, are made together.
-    """
-    layers = ((hints, ENT, -250, 250), (prints, ["match_id", "kind"], -250, 250), (stats, ["match_id", "kind"], -100, 500))
-    rows = taken.select("match_id", "ent", "kind", "t_ms", "seq")
-    for name, (found, keys, lo, hi) in zip(("hints", "prints", "stats"), layers, strict=True):
-        near = taken.select(*ENT, "kind", "t_ms", "seq").join(found.select(*keys, F.col("t_ms").alias("e_ms"), F.col("seq").alias("e_seq"), "player"), keys)
-        near = near.withColumn("gap", F.col("e_ms") - F.col("t_ms")).filter(F.col("gap").between(lo, hi))
-        near = near.groupBy("match_id", "seq").agg(F.array_sort(F.collect_list(F.struct(F.abs("gap").alias("gap"), "e_seq", "player"))).alias(name))
-        rows = rows.join(near, ["match_id", "seq"], "left")
-    close = distances.filter("distance <= 256").groupBy("match_id", "seq").agg(F.array_sort(F.collect_list(F.struct("distance", "player"))).alias("close"))
-    rows = rows.join(close, ["match_id", "seq"], "left").select("match_id", "ent", "kind", "t_ms", "seq", "hints", "prints", "stats", "close")
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for row in pdf.sort_values(["t_ms", "seq"]).itertuples():
-            who, source, among = None, "none", None
-            for layer in ("hints", "prints", "stats"):
-                listed = getattr(row, layer)
-                free = [e for e in (listed if listed is not None else ()) if (layer, e["e_seq"]) not in used]
-                names = {e["player"] for e in free}
-                if free and (layer == "hints" or len(names) == 1):
-                    used.add((layer, free[0]["e_seq"]))
-                    who, source = free[0]["player"], layer[:-1]
-                    break
-                among = names if layer == "stats" and len(names) > 1 else None
-            if who is None:
-                near = [e["player"] for e in (row.close if row.close is not None else ()) if among is None or e["player"] in among]
-                who, source = (near[0], "distance") if near else (None, "none")
-            out.append((who, source))
-        pdf = pdf.sort_values(["t_ms", "seq"])[["match_id", "ent", "kind", "t_ms", "seq"]]
-        return pdf.assign(player=[w for w, _ in out], source=[s for _, s in out])
-
-    types = ", ".join(f"{c} {t}" for c, t in rows.dtypes[:5])
-    return rows.groupBy("match_id").applyInPandas(decide, f"{types}, player string, source string")
-
-
 def long_hold(pickups: DataFrame, health: DataFrame, deaths: DataFrame) -> DataFrame:
     """Respawn of the large health box: 20 s after the holder's health falls from above 100 to at most 100 or the holder dies,
     but no earlier than 25 s after the pickup.  Health above 250 is a signal of the server, not health."""

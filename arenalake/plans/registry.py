@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boards, frags, movement, texts, timeline, views
+from . import boards, frags, items, movement, texts, timeline, views
 
-_MODULES = (timeline, movement, frags, texts, boards, views)
+_MODULES = (timeline, movement, frags, texts, boards, views, items)
 QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
 

@@ -102,17 +102,6 @@ def test_trail_and_regions(spark):
     assert {(r.loc_id, r.region) for r in S.detect_regions(named).collect()} == {(1, "RA LOW"), (2, "RA LOW"), (3, "RA LOW"), (4, "QUAD"), (6, "YA TOP")}
 
 
-def test_attribution_falls_through(spark):
-    taken = spark.createDataFrame([(1, 5, "ra", 100, 1), (1, 5, "ra", 150, 2), (1, 6, "ra", 200, 3), (1, 7, "rl", 9000, 4), (1, 8, "mh", 20000, 5), (1, 5, "ra", 160, 6)], "match_id int, ent int, kind string, t_ms int, seq int")
-    e = lambda rows: spark.createDataFrame(rows, "match_id int, ent int, kind string, t_ms int, seq int, player string")
-    hints = e([(1, 5, "ra", 140, 10, "a"), (1, 5, "ra", 170, 11, "b")])
-    prints = e([(1, 0, "ra", 120, 20, "c"), (1, 0, "ra", 130, 21, "c")])
-    stats = e([(1, 0, "rl", 9100, 30, "d"), (1, 0, "rl", 9200, 31, "e")])
-    near = spark.createDataFrame([(1, 4, "a", 5.0), (1, 4, "e", 99.0), (1, 4, "d", 120.0), (1, 5, "b", 900.0)], "match_id int, seq int, player string, distance double")
-    got = {r.seq: (r.player, r.source) for r in U.attribute(taken, hints, prints, stats, near).collect()}
-    assert got == {1: ("a", "hint"), 2: ("b", "hint"), 6: ("c", "print"), 3: ("c", "print"), 4: ("e", "distance"), 5: (None, "none")}
-
-
 def test_weapon_pickup(spark):
     p = spark.createDataFrame([(1, "ace", 1, "rl", 10000)], "match_id int, player string, pickup_id int, weapon string, t_ms int")
     d = spark.createDataFrame([(1, "ace", 30000, 0)], "match_id int, player string, t_ms int, seq long")
