@@ -18,6 +18,7 @@ from arenalake.operators.pickups import ENT, RESPAWN
 
 # Windows in milliseconds, the radius in units, and the longest chain of pickups that no state shows.
 HINT_MS, PRINT_MS, STAT_BACK_MS, STAT_AHEAD_MS, POSITION_MS, SETTLE_MS, RADIUS, CHAIN = 250, 250, 100, 500, 250, 500, 256, 60
+BUFFER_MS = 1000  #: a stream keeps evidence so long
 
 
 def seconds(kind: Column) -> Column:
@@ -62,43 +63,50 @@ def expected(base: DataFrame) -> DataFrame:
     return rows.withColumn("t_ms", (F.col("t_ms") + F.col("chain") * F.col("_step")).cast("int")).drop("_step", "_most")
 
 
+def _free(row: dict, layer: str, used: set) -> dict[str, tuple]:
+    """The first piece of evidence of each player that nothing has used up."""
+    out: dict[str, tuple] = {}
+    for e in row[layer] or ():
+        if (layer, e["e_seq"]) not in used:
+            out.setdefault(e["player"], (layer, e["e_seq"]))
+    return out
+
+
+def _layers(row: dict, used: set) -> tuple[str | None, str]:
+    """Player and source of a pickup that is known to be one; ``used`` grows by what it takes."""
+    if row["hint"] is not None:
+        return row["hint"], "hint"
+    for layer, source in (("prints", "print"), ("stats", "stat")):
+        free = _free(row, layer, used)
+        if len(free) == 1:
+            ((who, e),) = free.items()
+            used.add(e)
+            return who, source
+    # the nearest; of those with evidence, if several have some
+    who = next((c["player"] for c in row["close"] or () if not free or c["player"] in free), None)
+    if who in free:
+        used.add(free[who])
+    return who, "none" if who is None else "distance"
+
+
+def decide_one(row: dict) -> tuple[tuple[dict, str | None, str], set]:
+    """A pickup with its free evidence: (row, player, source), and what it uses up."""
+    used: set = set()
+    return (row, *_layers(row, used)), used
+
+
 def _decide(rows: list[dict]) -> Iterator[tuple[dict, str | None, str]]:
     """The rows of a match that are decided, with player and source; ``rows`` in order."""
     used, broken = set(), set()
-
-    def free(row: dict, layer: str) -> dict[str, tuple]:
-        """The first piece of evidence of each player that nothing has used up."""
-        out: dict[str, tuple] = {}
-        for e in row[layer] or ():
-            if (layer, e["e_seq"]) not in used:
-                out.setdefault(e["player"], (layer, e["e_seq"]))
-        return out
-
     for row in rows:
-        close = [c["player"] for c in row["close"] or ()]
         if row["chain"] == 0:
-            who, source, stats = row["hint"], "hint", {}
-            if who is None:
-                prints, stats = free(row, "prints"), {}
-                if len(prints) == 1:
-                    (who, e), source = next(iter(prints.items())), "print"
-                    used.add(e)
-            if who is None:
-                stats = free(row, "stats")
-                if len(stats) == 1:
-                    (who, e), source = next(iter(stats.items())), "stat"
-                    used.add(e)
-            if who is None:  # the nearest of those with evidence, if several have some
-                who = next((p for p in close if not stats or p in stats), None)
-                source = "none" if who is None else "distance"
-                used.add(stats.get(who))
-            yield row, who, source
+            yield row, *_layers(row, used)
         elif row["base"] not in broken:
-            among = {p: e for p, e in free(row, "stats").items() if p in close}
+            close = {c["player"] for c in row["close"] or ()}
+            among = [(p, e) for p, e in _free(row, "stats", used).items() if p in close]
             if len(among) == 1:
-                (who, e) = next(iter(among.items()))
-                used.add(e)
-                yield row, who, "synthetic"
+                used.add(among[0][1])
+                yield row, among[0][0], "synthetic"
             else:
                 broken.add(row["base"])
 

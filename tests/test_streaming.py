@@ -1,10 +1,27 @@
-"""Streams give what the same rows give as a batch."""
+"""Streams give what the same rows give as a batch, in any time zone."""
+
+import random
+import time
+
+import pytest
 
 from pyspark.sql import functions as F
 
+from arenalake.functions import temporal
+from arenalake.operators import attribution as A
 from arenalake.streaming import match as M
 
 
+@pytest.fixture(autouse=True, params=["UTC", "Asia/Tokyo", "America/New_York"])
+def zone(request, spark):
+    """State does not depend on the session's time zone."""
+    M.stateful(spark)
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
 def _split(spark, sf, path):
     rows = spark.read.parquet(f"{sf}/events.parquet").filter("event_type = 'purchase'").select(F.floor(F.col("user_id") / 10).alias("match_id"), F.col("user_id").cast("string").alias("player"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), (F.floor("value") % 5).cast("double").alias("v"), F.lit("x").alias("message"), F.lit("chat").alias("type"))
     for i in range(3):
@@ -45,11 +62,7 @@ def test_chat_keeps_lines_of_other_times(spark, tmp_path):
     assert _run(spark, M.distinct_chat(stream, "10 seconds"), "chatty").count() == 2
 
 
-def test_attribution_buffer_and_settle_timers(spark, tmp_path):
-    row = lambda t, s, kind, ent, who: (1, T0 + t, s, kind, ent, who)
-    batches = [[row(0, 1, "hint", 7, "a"), row(100, 2, "taken", 7, None)], [row(200, 3, "taken", 7, None), row(350, 4, "hint", 7, "b"), row(5000, 5, "taken", 8, None)], [row(60_000, 6, "hint", 1, "z")], [row(90_000, 8, "hint", 1, "z")]]
-    stream = _feed(spark, str(tmp_path / "e"), batches, "match_id long, ts timestamp, seq long, kind string, ent long, player string")
-    assert sorted((r.seq, r.player) for r in _run(spark, M.attribute(stream, "5 seconds"), "who").collect()) == [(2, "a"), (3, "b"), (5, None)]
+def test_settle_timers(spark, tmp_path):
     row = lambda ent, t, s, taken: (1, ent, T0 + t, s, taken, 20_000)
     batches = [[row(1, 0, 1, True), row(2, 0, 2, True)], [row(2, 19_000, 3, False), row(3, 1000, 4, True)], [row(9, 60_000, 5, False)], [row(9, 99_000, 6, False)]]
     stream = _feed(spark, str(tmp_path / "f"), batches, "match_id long, ent long, ts timestamp, seq long, taken boolean, respawn_ms long")
@@ -57,6 +70,75 @@ def test_attribution_buffer_and_settle_timers(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == [(1, 20_000), (3, 21_000)]
 
 
+def _shuffled(rows, end, rnd, within=4000):
+    """Batches in which a row comes up to ``within`` ms out of order; two more move the watermark on."""
+    moved = sorted(rows, key=lambda r: r[1] + rnd.randint(0, within))
+    size = -(-len(moved) // 4)
+    return [moved[i : i + size] for i in range(0, len(moved), size)] + [[end(10_000_000)], [end(20_000_000)]]
+
+
+def test_flip_sessions_as_in_batches(spark, tmp_path):
+    rnd = random.Random(8)
+    rows = [(1, T0 + t, s, f"p{rnd.randint(0, 3)}", rnd.choice(["spawn", "death"])) for s, t in enumerate(sorted(rnd.sample(range(60_000), 120)))]
+    batches = _shuffled(rows, lambda t: (9, T0 + t, t, "end", "death"), rnd)
+    schema = "match_id long, ts timestamp, seq long, player string, kind string"
+    got = _run(spark, M.lives(_feed(spark, str(tmp_path / "g"), batches, schema), "5 seconds"), "lives")
+    plain = spark.createDataFrame(rows, "match_id long, t_ms long, seq long, player string, kind string").withColumn("on", F.expr("kind = 'spawn'"))
+    want = temporal.flips(plain, "on", F.lit(None).cast("long")).filter("end_ms is not null")
+    assert got.count() > 20
+    assert {(r.player, r.a, r.b) for r in got.select("player", F.unix_millis("start").alias("a"), F.unix_millis("end").alias("b")).collect()} == {(r.player, r.start_ms, r.end_ms) for r in want.collect()}
+    names = [(1, T0 + t, t, 3, n) for t, n in [(0, "a"), (10, "a"), (20, "b"), (30, None), (40, "b"), (50, "c")]] + [(1, T0 + 5, 5, 4, "z")]
+    batches = _shuffled(names, lambda t: (9, T0 + t, t, 0, "end"), rnd)
+    held = _run(spark, M.spans(_feed(spark, str(tmp_path / "h"), batches, "match_id long, ts timestamp, seq long, slot long, v string"), "slot", "5 seconds"), "slots")
+    assert sorted((r.slot, r.v, r.a - T0, r.b - T0) for r in held.select("slot", "v", F.unix_millis("start").alias("a"), F.unix_millis("end").alias("b")).collect()) == [(3, "a", 0, 20), (3, "b", 20, 30), (3, "b", 40, 50)]
+
+
+def test_attribution_as_in_batches(spark, tmp_path):
+    """All layers, evidence used up and expired: shuffled batches decide what one batch decides."""
+    rnd, rows, seq = random.Random(21), [], iter(range(1, 100_000))
+    kinds = {1: "ra", 2: "ra", 3: "h25", 4: "rl"}
+    row = lambda t, kind, ent=None, item=None, player=None, taken=None, x=0.0: (1, T0 + t, next(seq), kind, ent, item, player, taken, x, 0.0, 0.0)
+    for t in range(0, 120_000, 900):
+        ent, player = rnd.randint(1, 4), f"p{rnd.randint(0, 2)}"
+        near = t + rnd.randint(-240, 240)
+        rows.append(row(t, "state", ent, kinds[ent], None, rnd.random() < 0.6, 10.0 * ent))
+        for _ in range(rnd.randint(0, 3)):
+            rows.append(row(rnd.choice([near, t + rnd.randint(-90, 490)]), rnd.choice(["print", "stat", "stat"]), None, kinds[ent], f"p{rnd.randint(0, 2)}"))
+        if rnd.random() < 0.25:
+            rows.append(row(near, "hint", ent, None, player))
+        rows += [row(t - rnd.randint(0, 400), "position", None, None, f"p{p}", None, rnd.choice([0.0, 100.0, 400.0])) for p in range(3)]
+    rows.sort(key=lambda r: (r[1], r[2]))
+    schema = "match_id long, ts timestamp, seq long, kind string, ent long, item string, player string, taken boolean, x double, y double, z double"
+    batches = _shuffled(rows, lambda t: (9, T0 + t, next(seq), "position", None, None, "z", None, 0.0, 0.0, 0.0), rnd)
+    got = _run(spark, M.attribute(_feed(spark, str(tmp_path / "i"), batches, schema), "5 seconds"), "takers")
+    plain = spark.createDataFrame([(r[0], r[1] - T0 + 1_000_000, *r[2:]) for r in rows], schema.replace("ts timestamp", "t_ms int")).withColumnRenamed("kind", "of")
+    of = lambda k, *c: plain.filter(F.col("of") == k).select("match_id", "t_ms", "seq", *c)
+    item = F.col("item").alias("kind")
+    matches = spark.createDataFrame([(1, 9_000_000)], "match_id long, match_end_ms int")
+    want = A.attribute(of("state", "ent", item, "taken", "x", "y", "z"), of("hint", "ent", "player"), of("print", item, "player"), of("stat", item, "player"), of("position", "player", "x", "y", "z"), matches)
+    want = sorted((r.seq, r.player or "", r.source) for r in want.collect())
+    assert {s for _, _, s in want} == {"hint", "print", "stat", "distance", "none"}
+    assert sorted((r.seq, r.player or "", r.source) for r in got.collect()) == want
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    row = lambda p, t, s: (1, p, T0 + t, s, float(s))
+    batches = [[row("a", 0, 1)], [row("a", 60_000, 2)], [row("a", 1000, 3), row("b", 2000, 4), row("a", 61_000, 5)], [row("z", 200_000, 6)], [row("z", 400_000, 7)]]
+    stream = _feed(spark, str(tmp_path / "j"), batches, "match_id long, player string, ts timestamp, seq long, v double")
+    late = M.LateRows()
+    spark.streams.addListener(late)
+    try:
+        got = {r.seq for r in _run(spark, M.changes(stream, "5 seconds"), "late").collect()}
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        for _ in range(50):
+            if late.dropped.get("late"):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(late)
+    assert got == {1, 2, 5, 6} and late.dropped == {"late": 2}
+
+
 def test_changes_and_windows(spark, sf, tmp_path):
     path = str(tmp_path / "in")
     rows = _split(spark, sf, path)
