@@ -212,13 +212,42 @@ def feed(message: Column) -> Column:
 
 def settings(text: Column) -> Column:
     """A countdown table's lines as a map: first word -> the rest without inner runs of spaces; headings are left out."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.startswith(x, F.lit("Countdown:")) & ~F.startswith(x, F.lit("no matchtag")))
-    pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^([^ \t]+)", 1).alias("key"), F.trim(F.regexp_replace(F.regexp_extract(x, r"(?s)^[^ \t]+(.*)$", 1), " +", " ")).alias("value")))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: _trim(x)), lambda x: (x != "") & ~F.startswith(x, F.lit("Countdown:")) & ~F.startswith(x, F.lit("no matchtag")))
+    pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^([^ \t]+)", 1).alias("key"), _trim(F.regexp_replace(_trim(F.regexp_extract(x, r"(?s)^[^ \t]+(.*)$", 1)), " +", " ")).alias("value")))
     return last_wins(pairs)
 
 
 def on_off(value: Column) -> Column:
-    return F.when(F.lower(value).isin("on", "1", "yes"), True).when(F.lower(value).isin("off", "0", "no"), False)
+    return F.lower(F.trim(value)).isin("on", "1", "yes", "true")
+
+
+# Keys of a countdown table by the type of their values, and the short names of spawn models by code.
+SETTINGS = {
+    "Mode": "name", "Deathmatch": "number", "Teamplay": "number", "Timelimit": "number", "Fraglimit": "number", "Respawns": "name", "Antilag": "number", "Overtime": "name", "Powerups": "name",
+    "Dmgfrags": "switch", "NoItems": "switch", "Midair": "switch", "Instagib": "switch", "Yawnmode": "switch", "Airstep": "switch", "VWep": "switch", "Noweapon": "text", "matchtag": "text", "SOCDv2": "name",
+}
+SPAWN_MODELS = ("QW", "KTS", "KT", "KTX", "KT2")
+
+
+def typed_settings(text: Column) -> Column:
+    """A countdown table as a struct of typed fields (lower-case keys, and spawn_k: the spawn model's code); fields it lacks
+    are null, and so is the whole without any known key.
+
+    Names lose their inner spaces ("D u e l"); numbers that are none count as 0; switches are true for on, 1, yes and true.
+    """
+
+    def typed(found: Column) -> Column:
+        fields = []
+        for key, kind in SETTINGS.items():
+            v = found[key]
+            flat = F.replace(v, F.lit(" "), F.lit(""))
+            value = {"name": flat, "text": v, "switch": on_off(flat), "number": F.coalesce(F.trim(v).try_cast("int"), F.lit(0))}[kind]
+            fields.append(F.when(v.isNotNull(), value).alias(key.lower()))
+        model = F.array_position(F.array(*map(F.lit, SPAWN_MODELS)), F.upper(F.replace(found["Respawns"], F.lit(" "), F.lit("")))) - 1
+        known = F.arrays_overlap(F.map_keys(found), F.array(*map(F.lit, SETTINGS)))
+        return F.when(known, F.struct(*fields, F.when(model >= 0, model.cast("int")).alias("spawn_k")))
+
+    return _let(settings(text), typed)
 
 
 def directive(text: Column, prefix: str, names: tuple[str, ...]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arenalake.functions.fields import NUMERIC, REDUCERS
+from arenalake.functions.fields import NUMERIC, default_reducer, known_reducer, own_reducer
 from arenalake.functions.temporal import KEYS
 
 CELL = [*KEYS, "bucket"]
@@ -25,6 +25,9 @@ _CHANGE, _PROBE, _DEATH, _SPAWN, _PLACE = range(5)
 def _reduced(reducer: str, v: Column, order: Column) -> Column:
     """The reducer over the samples of a cell; ``v`` is null in rows that are no samples."""
     at, number = F.when(v.isNotNull(), order), v.cast("double")
+    if (own := own_reducer(reducer)) is not None:
+        samples = F.transform(F.array_sort(F.collect_list(F.when(v.isNotNull(), F.struct(order.alias("at"), v.alias("v"))))), lambda x: x["v"])
+        return F.when(F.count(v) > 0, own.apply(samples))
     how = {
         "first": lambda: F.min_by(v, at), "last": lambda: F.max_by(v, at), "mean": lambda: F.avg(number), "min": lambda: F.min(number), "max": lambda: F.max(number),
         "held-any": lambda: F.bool_or(v), "majority": lambda: F.when(F.count(v) > 0, 2 * F.count_if(v) >= F.count(v)), "any": lambda: F.when(F.count(v) > 0, True),
@@ -32,9 +35,12 @@ def _reduced(reducer: str, v: Column, order: Column) -> Column:
     return how[reducer]()
 
 
-def table(grid_cells: DataFrame, streams: dict[str, tuple[DataFrame, str, str]], alive: tuple[DataFrame, DataFrame, DataFrame] | None = None, fill: bool = True) -> DataFrame:
+def table(grid_cells: DataFrame, streams: dict[str, tuple[DataFrame, str, str | None]], alive: tuple[DataFrame, DataFrame, DataFrame] | None = None, fill: bool = True) -> DataFrame:
     """Row layout: one row a cell with a column a field; ``streams``: field -> (stream, kind, reducer).
 
+    A reducer is one of ``fields.REDUCERS`` or of ``fields.register_reducer``; none means the default of the kind (``any``
+    for marks, ``first`` for all else), an empty name ``last``.
+
     All streams and the buckets' starts are merged into one sorted stream a player, in which every bucket sees what is
     carried to its start and every row its bucket; one aggregation then gives all fields.  The sample set of a cell is, by
     kind: number, text - the value carried to the start and every change after it; interval - held or not at eight probes,
@@ -45,9 +51,7 @@ def table(grid_cells: DataFrame, streams: dict[str, tuple[DataFrame, str, str]],
     latest mark before is a spawn; without marks before, a position from 100 ms before the start on; without any signal
     at all, always.  Cells in which every field is null are left out; ``fill`` gives what a reducer says of no samples.
     """
-    for field, (_, kind, reducer) in streams.items():
-        if reducer not in REDUCERS:
-            raise ValueError(f"unknown reducer {reducer} of {field} ({kind})")
+    streams = {f: (s, kind, default_reducer(kind) if r is None else known_reducer(r or "last")) for f, (s, kind, r) in streams.items()}
     eight = any(kind == "interval" and reducer != "first" for _, kind, reducer in streams.values())
     steps = F.explode(F.sequence(F.lit(0), F.lit(7))) if eight else F.lit(0)
     starts = grid_cells.select(*CELL, "b_start", "b_end", "partial", steps.alias("_i"))
@@ -91,8 +95,12 @@ def table(grid_cells: DataFrame, streams: dict[str, tuple[DataFrame, str, str]],
     order, out, extra = F.struct("t_ms", "seq"), [], []
     for field, (_, kind, reducer) in streams.items():
         c = F.col(f"_{field}")
+        own = own_reducer(reducer)
         if kind in ("text", "position") and reducer in NUMERIC:
             value = F.lit(None).cast("double")
+        elif own is not None and own.grouped:  # an aggregation of its own: pandas and built-in aggregates don't mix
+            value = F.lit(None)
+            extra.append(field)
         elif reducer == "dominant":  # the most frequent value, the latest on a tie
             value = F.lit(None)
             extra.append(field)
@@ -100,7 +108,8 @@ def table(grid_cells: DataFrame, streams: dict[str, tuple[DataFrame, str, str]],
             value = F.coalesce(_reduced(reducer, c, order), _reduced(reducer, F.col(f"_{field}_carry"), order))
         else:
             value = _reduced(reducer, c if kind in ("interval", "mark") else F.coalesce(f"_{field}_carry", c), order)
-        out.append((F.coalesce(value, F.lit(EMPTY[reducer])) if fill and reducer in EMPTY else value).alias(field))
+        empty = own.empty if own is not None and not own.grouped else EMPTY.get(reducer)
+        out.append((F.coalesce(value, F.lit(empty)) if fill and empty is not None else value).alias(field))
     if alive is not None:
         spawned, placed = (F.coalesce(F.bool_or(F.col("_mark") == k), F.lit(False)) for k in (_SPAWN, _PLACE))
         up, near, signal = F.bool_or("_up"), F.coalesce(F.bool_or("_near"), F.lit(False)), F.bool_or("_signal")
@@ -109,8 +118,14 @@ def table(grid_cells: DataFrame, streams: dict[str, tuple[DataFrame, str, str]],
     found = rows.groupBy(*KEYS, F.col("_in.bucket").alias("bucket")).agg(*cell, *out)
     for field in extra:
         c = F.col(f"_{field}") if streams[field][1] in ("interval", "mark") else F.coalesce(f"_{field}_carry", f"_{field}")
-        own = rows.select(*KEYS, F.col("_in.bucket").alias("bucket"), c.alias("v"), "t_ms", "seq").filter("v is not null")
-        counts = own.groupBy(*CELL, "v").agg(F.count("*").alias("n"), F.max(order).alias("at"))
+        samples = rows.select(*KEYS, F.col("_in.bucket").alias("bucket"), c.alias("v"), "t_ms", "seq").filter("v is not null")
+        own = own_reducer(streams[field][2])
+        if own is not None:
+            found = found.drop(field).join(samples.groupBy(*CELL).agg(own.apply(F.col("v")).alias(field)), CELL, "left")
+            if fill and own.empty is not None:
+                found = found.withColumn(field, F.coalesce(field, F.lit(own.empty)))
+            continue
+        counts = samples.groupBy(*CELL, "v").agg(F.count("*").alias("n"), F.max(order).alias("at"))
         found = found.drop(field).join(counts.groupBy(*CELL).agg(F.max_by("v", F.struct("n", "at")).alias(field)), CELL, "left")
     if alive is not None:
         found = found.filter("_alive")

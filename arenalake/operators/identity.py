@@ -159,11 +159,35 @@ def reconnects(lines: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def deaths_and_spawns(signals: DataFrame) -> DataFrame:
-    """Emitted events of signals (match_id, slot, t_ms, seq, alive, forced): where the state changes, or it is forced.
+    """Emitted events of signals (match_id, slot, t_ms, seq, alive, forced): where the known state changes, or it is forced.
 
-    Every signal sets the known state; before the first one a slot counts as alive.
+    Every signal sets the known state, which is unknown before the first one.  ``signal`` is passed on; one that is called
+    'seed' only sets the state.
     """
     w = Window.partitionBy(*SLOT).orderBy("t_ms", "seq")
-    known = F.coalesce(F.lag("alive").over(w), F.lit(True))
-    out = signals.withColumn("_known", known).filter(F.col("forced") | (F.col("alive") != F.col("_known")))
-    return out.select(*SLOT, "t_ms", "seq", F.when(F.col("alive"), "spawn").otherwise("death").alias("event"))
+    more = ["signal"] if "signal" in signals.columns else []
+    told = F.col("signal") != "seed" if more else F.lit(True)
+    out = signals.withColumn("_known", F.lag("alive").over(w)).filter(F.col("forced") | (told & ~F.col("alive").eqNullSafe(F.col("_known"))))
+    return out.select(*SLOT, "t_ms", "seq", F.when(F.col("alive"), "spawn").otherwise("death").alias("event"), *more)
+
+
+def lifecycle(health: DataFrame, flags: DataFrame, obituaries: DataFrame, starts: DataFrame) -> DataFrame:
+    """(match_id, slot, t_ms, seq, event, signal): deaths and spawns from three signals that share one known state.
+
+    ``health`` (match_id, slot, t_ms, seq, health): a fall to 0 or less is a death, a rise above it a spawn; before the first
+    value health is 0.  ``flags`` (..., dead), a frame each: against the known state; the first one of a slot, if dead, only
+    sets it.  ``obituaries`` (match_id, slot, t_ms, seq) of a started match (``starts``: match_id, start_ms, start_seq) are
+    deaths in any case, as a player may die twice between two frames.
+    """
+    w = Window.partitionBy(*SLOT).orderBy("t_ms", "seq")
+    at = [*SLOT, "t_ms", "seq"]
+    up = F.col("health") > 0
+    edges = health.withColumn("_was", F.lag("health", 1, 0).over(w) > 0).filter(F.col("_was") != up)
+    seed = (F.row_number().over(w) == 1) & F.col("dead")
+    framed = flags.withColumn("_seed", seed)
+    begun = obituaries.join(starts.select("match_id", "start_ms", "start_seq"), "match_id")
+    begun = begun.filter((F.col("t_ms") > F.col("start_ms")) | ((F.col("t_ms") == F.col("start_ms")) & (F.col("seq") >= F.col("start_seq"))))
+    signals = edges.select(*at, up.alias("alive"), F.lit(False).alias("forced"), F.lit("health").alias("signal"))
+    signals = signals.unionByName(framed.select(*at, (~F.col("dead")).alias("alive"), F.lit(False).alias("forced"), F.when(F.col("_seed"), "seed").otherwise("flag").alias("signal")))
+    signals = signals.unionByName(begun.select(*at, F.lit(False).alias("alive"), F.lit(True).alias("forced"), F.lit("text").alias("signal")))
+    return deaths_and_spawns(signals)

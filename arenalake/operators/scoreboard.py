@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,32 +55,52 @@ def participants(players: DataFrame) -> DataFrame:
     return players.filter(~spectators & ~F.col("team").rlike(r"[^\x20-\x7e]") & (F.col("frags") != 0))
 
 
-def search(catalog: DataFrame, players: list[str] = (), map_name: str | None = None, mode: str | None = None, tag: str | None = None, since: str | None = None, until: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
-    """Matches that fit all conditions, the latest first; at most 100 a page.
+def tokens(text: Column) -> Column:
+    """Words of a name, in order: lower case, cut at everything but letters and digits."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def token_index(catalog: DataFrame) -> DataFrame:
+    """(token, id): the words of all players' names by match.  Write it sorted by token, and a search reads only its words' pages."""
+    words = F.array_distinct(F.flatten(F.transform("players", lambda p: tokens(p))))
+    return catalog.select("id", F.explode(words).alias("token")).select("token", "id")
+
+
+def with_tokens(index: DataFrame, wanted: list[str]) -> DataFrame:
+    """(id) of the matches that hold every wanted word: equality on tokens, then a count."""
+    return index.filter(F.col("token").isin(wanted)).groupBy("id").agg(F.count_distinct("token").alias("_n")).filter(F.col("_n") == len(wanted)).select("id")
 
-    Players match anywhere in a name and the tag anywhere, in any case; days are inclusive.
+
+def search(catalog: DataFrame, players: list[str] = (), teams: list[str] = (), map_name: str | None = None, mode: str | None = None, tag: str | None = None, since: str | None = None, until: str | None = None, limit: int = 20, offset: int = 0, index: DataFrame | None = None) -> DataFrame:
+    """Matches of a catalog (id, day, map, mode, matchtag, players and teams as arrays) that fit all conditions, the latest
+    first; at most 100 a page.
+
+    Players are searched by full text: for every wanted name some player's name must have its words, one after the other.
+    Matches that hold all the words come from ``index`` (a written ``token_index``; without one it is made on the way).  Teams are whole names, all of which played; the tag matches
+    anywhere, in any case; days are inclusive.  Blank players and teams ask for nothing.
     """
     out = catalog
-    for p in players:
-        out = out.filter(F.lower("player").contains(p.lower()))
-    if map_name:
-        out = out.filter(F.col("map") == map_name)
-    if mode:
-        out = out.filter(F.col("mode") == mode)
+    names = [[w for w in re.split(r"[\W_]+", p.lower()) if w] for p in players]
+    if any(names):
+        words = sorted({w for name in names for w in name})
+        out = out.join(with_tokens(token_index(catalog) if index is None else index, words), "id", "left_semi")
+    for name in names:
+        if len(name) > 1:
+            phrase = F.lit(" ".join(["", *name, ""]))
+            out = out.filter(F.exists("players", lambda p: F.contains(F.concat(F.lit(" "), F.array_join(tokens(p), " "), F.lit(" ")), phrase)))  # noqa: B023
+    for team in (t.strip() for t in teams):
+        if team:
+            out = out.filter(F.array_contains("teams", team))
+    for column, value in (("map", map_name), ("mode", mode)):
+        if value:
+            out = out.filter(F.col(column) == value)
     if tag:
-        out = out.filter(F.col("matchtag").ilike(f"%{tag}%"))
+        out = out.filter(F.col("matchtag").ilike("%" + re.sub(r"([%_\\])", r"\\\1", tag) + "%"))
     if since:
         out = out.filter(F.col("day") >= F.lit(since).cast("date"))
     if until:
         out = out.filter(F.col("day") <= F.lit(until).cast("date"))
-    return out.orderBy(F.desc("day"), "id").offset(offset).limit(min(limit or 20, 100))
-
-
-def filter_phases(items: DataFrame, phases: DataFrame, name: str | None = None, picker: str | None = None) -> DataFrame:
-    """Item phases by item name or kind (any case) and picker; phases nobody took stay, items without any phase go."""
-    chosen = items.filter((F.lower("name") == name.lower()) | (F.lower("kind") == name.lower())) if name else items
-    rows = phases.join(chosen.select("match_id", "ent", "name", "kind"), ["match_id", "ent"])
-    return rows.filter(F.col("taken_by").isNull() | (F.col("taken_by") == picker)) if picker else rows
+    return out.orderBy(F.desc("day"), "id").offset(max(offset, 0)).limit(min(limit if limit > 0 else 20, 100))
 
 
 def overview(matches: DataFrame, players: DataFrame, streaks: DataFrame, powerups: DataFrame, top: int = 5) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from arenalake.operators import kills as K
 from arenalake.operators import pickups as U
 from arenalake.operators import scoreboard as S
 from arenalake.sources.lens import MATCH_END, SQL, Lens
+from arenalake.sources.shared import shared_dir
 
 
 def _userinfo(lens: Lens) -> DataFrame:
@@ -98,6 +101,18 @@ def death_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.deaths_and_spawns(rows.select("match_id", (F.col("user_id") % 4).cast("int").alias("slot"), "t_ms", "seq", (F.col("event_type") == "signup").alias("alive"), (F.col("k") % 10 == 0).alias("forced")))
 
 
+def _signals(lens: Lens) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Health, dead flags, obituaries and match starts of four slots a match."""
+    rows = lens.base.withColumn("slot", (F.col("user_id") % 4).cast("int"))
+    of = lambda kind, *c: rows.filter(F.col("event_type") == kind).select("match_id", "slot", "t_ms", "seq", *c)
+    health = of("purchase", (F.col("k") % 5 * 25 - 25).alias("health"))
+    return health, of("view", (F.col("k") % 3 == 0).alias("dead")), of("error").filter("seq % 4 = 0"), lens.matches.select("match_id", F.lit(900_000).alias("start_ms"), F.lit(0).alias("start_seq"))
+
+
+def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.lifecycle(*_signals(Lens(spark, sf_dir)))
+
+
 def _drops(lens: Lens) -> DataFrame:
     return lens.base.filter("event_type = 'error'").select("match_id", (F.col("k") % 6).alias("ent"), "t_ms", "seq", "player")
 
@@ -179,12 +194,19 @@ def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.search(Lens(spark, sf_dir).catalog, ["customer#0000"], tag="build", since="1994-01-01", until="1997-06-30", limit=50).select("id", "map", "mode", "matchtag", "player")
+    """Every word of two players' names and two teams; the index of words is written sorted, and read by word."""
+    games = Lens(spark, sf_dir).games
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    S.token_index(games).repartitionByRange("token").sortWithinPartitions("token", "id").write.parquet(path)
+    found = S.search(games, ["Supplier 000000003", "CUSTOMER"], ["NATION_14"], tag="i", since="1995-06-01", until="2001-06-30", limit=100, index=spark.read.parquet(path))
+    return found.select("id", "map", "mode", "matchtag", F.array_join(F.array_sort("players"), ",").alias("players"), F.size("teams").alias("n_teams"))
 
 
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Players who were killed by a rare weapon in the first days against those who bought something rare."""
     lens = Lens(spark, sf_dir)
-    return S.coverage(lens.frag_log.select("match_id", F.col("killer").alias("player")).distinct(), lens.marks("sp").select(*KEYS).distinct())
+    hit = lens.frag_log.filter("t_ms < 400000 and weapon = 'axe'").select("match_id", F.col("victim").alias("player"))
+    return S.coverage(hit.distinct(), lens.base.filter("event_type = 'purchase' and k > 85").select(*KEYS).distinct())
 
 
 def damage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +222,7 @@ def corpus_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    sessions, identities, identities_linked, stitched, stitched_intervals, teams_by_name, victim_slots, slot_names, first_users, rebased, death_edges, matched_drops, drop_fates, weapon_effects, item_phases, item_status, item_names,
+    sessions, identities, identities_linked, stitched, stitched_intervals, teams_by_name, victim_slots, slot_names, first_users, rebased, death_edges, lifecycle, matched_drops, drop_fates, weapon_effects, item_phases, item_status, item_names,
     player_table, team_table, weapon_accuracy, overview, catalog_search, coverage_gaps, damage_table, corpus_rollup,
 )}
 
@@ -267,7 +289,14 @@ SELECT match_id, seq, t_ms, victim, min(slot) FILTER (name = victim) AS slot FRO
 e AS (SELECT match_id, player, arg_max(seq, (t_ms, seq)) AS seq, arg_max(v, (t_ms, seq)) AS v FROM s WHERE t_ms < z GROUP BY match_id, player)
 SELECT match_id, player, t_ms - z AS t_ms, seq, v FROM s WHERE t_ms >= z UNION ALL SELECT match_id, player, 0, seq, v FROM e WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.match_id = e.match_id AND s.player = e.player AND s.t_ms = s.z)""",
     "death_edges": SQL + """, s AS (SELECT match_id, CAST(user_id % 4 AS INT) AS slot, t_ms, seq, event_type = 'signup' AS alive, k % 10 = 0 AS forced FROM base WHERE event_type IN ('signup', 'error'))
-SELECT match_id, slot, t_ms, seq, CASE WHEN alive THEN 'spawn' ELSE 'death' END AS event FROM (SELECT *, coalesce(lag(alive) OVER (PARTITION BY match_id, slot ORDER BY t_ms, seq), true) AS was FROM s) WHERE forced OR alive <> was""",
+SELECT match_id, slot, t_ms, seq, CASE WHEN alive THEN 'spawn' ELSE 'death' END AS event FROM (SELECT *, lag(alive) OVER (PARTITION BY match_id, slot ORDER BY t_ms, seq) AS was FROM s) WHERE forced OR was IS NULL OR alive <> was""",
+    "lifecycle": SQL + """, e AS (SELECT match_id, (user_id % 4)::INT AS slot, t_ms, seq, event_type AS e, k FROM base),
+hl AS (SELECT *, lag(k % 5 * 25 - 25, 1, 0) OVER (PARTITION BY match_id, slot ORDER BY t_ms, seq) > 0 AS up FROM e WHERE e = 'purchase'),
+sg AS (SELECT match_id, slot, t_ms, seq, k % 5 > 1 AS alive, 'health' AS signal FROM hl WHERE up <> (k % 5 > 1)
+  UNION ALL SELECT match_id, slot, t_ms, seq, k % 3 <> 0, CASE WHEN row_number() OVER (PARTITION BY match_id, slot ORDER BY t_ms, seq) = 1 AND k % 3 = 0 THEN 'seed' ELSE 'flag' END FROM e WHERE e = 'view'
+  UNION ALL SELECT match_id, slot, t_ms, seq, false, 'text' FROM e WHERE e = 'error' AND seq % 4 = 0 AND t_ms >= 900000)
+SELECT match_id, slot, t_ms, seq, CASE WHEN alive THEN 'spawn' ELSE 'death' END AS event, signal
+FROM (SELECT *, lag(alive) OVER (PARTITION BY match_id, slot ORDER BY t_ms, seq) AS was FROM sg) WHERE signal = 'text' OR (signal <> 'seed' AND was IS DISTINCT FROM alive)""",
     "matched_drops": _DROP + " SELECT m.match_id, m.ent, m.t_ms, m.seq, m.player, d.t_ms AS drop_ms, d.player AS dropper FROM m LEFT JOIN dr d ON d.seq = m.own",
     "drop_fates": _DROP + " SELECT d.match_id, d.ent, d.seq, d.player, m.player AS taker, m.t_ms AS taken_ms FROM dr d LEFT JOIN (SELECT m.match_id, m.ent, x.t_ms AS dt, m.player, m.t_ms FROM m JOIN dr x ON x.seq = m.own) m ON m.match_id = d.match_id AND m.ent = d.ent AND m.dt = d.t_ms",
     "weapon_effects": SQL + """, p AS (SELECT match_id, player, t_ms, seq AS pickup_id, ['rl', 'lg'][k % 2 + 1] AS weapon FROM base WHERE event_type = 'click'),
@@ -282,8 +311,11 @@ SELECT match_id, ent, t_ms::INT AS t_ms, CASE WHEN s.a IS NULL OR s.a > t_ms THE
     "player_table": _BOARD + f" SELECT *, {_EFF}, row_number() OVER (PARTITION BY match_id ORDER BY frags DESC, player)::INT AS rank FROM brd",
     "team_table": _BOARD + f", t AS (SELECT match_id, team, sum(frags)::BIGINT AS frags, sum(kills)::BIGINT AS kills, sum(deaths)::BIGINT AS deaths, sum(suicides)::BIGINT AS suicides, sum(team_kills)::BIGINT AS team_kills FROM brd GROUP BY ALL) SELECT *, {_EFF} FROM t",
     "weapon_accuracy": SQL + ", w AS (SELECT f.match_id, team, weapon, count(*) FILTER (NOT is_suicide) AS hits, count(*) AS attacks, count(*) FILTER (NOT is_suicide AND NOT is_team_kill) AS kills FROM frags f JOIN players p ON p.match_id = f.match_id AND p.player = f.killer GROUP BY ALL) SELECT *, round(hits * 100.0::DOUBLE / attacks, 1) AS accuracy FROM w",
-    "catalog_search": SQL + " SELECT id, map, mode, matchtag, player FROM catalog WHERE contains(lower(player), 'customer#0000') AND matchtag ILIKE '%build%' AND day BETWEEN DATE '1994-01-01' AND DATE '1997-06-30' ORDER BY day DESC, id LIMIT 50",
-    "coverage_gaps": SQL + ", l AS (SELECT DISTINCT match_id, killer AS player FROM frags), r AS (SELECT DISTINCT match_id, player FROM spawns) SELECT match_id, player, true AS in_left, false AS in_right FROM l ANTI JOIN r USING (match_id, player) UNION ALL SELECT match_id, player, false, true FROM r ANTI JOIN l USING (match_id, player)",
+    "catalog_search": SQL + """, sd AS (SELECT l_orderkey AS id, list_distinct(list(s_name)) AS names, list_distinct(list(n_name)) AS sides FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY 1),
+gm AS (SELECT c.*, list_distinct([c.player] || coalesce(names, [])) AS players, list_distinct([c.map] || coalesce(sides, [])) AS teams FROM catalog c LEFT JOIN sd USING (id))
+SELECT id, map, mode, matchtag, array_to_string(list_sort(players), ',') AS players, len(teams)::INT AS n_teams FROM gm
+WHERE list_contains(players, 'Supplier#000000003') AND list_contains(teams, 'NATION_14') AND matchtag ILIKE '%i%' AND day BETWEEN DATE '1995-06-01' AND DATE '2001-06-30' ORDER BY day DESC, id LIMIT 100""",
+    "coverage_gaps": SQL + ", l AS (SELECT DISTINCT match_id, victim AS player FROM frags WHERE t_ms < 400000 AND weapon = 'axe'), r AS (SELECT DISTINCT match_id, player FROM base WHERE event_type = 'purchase' AND k > 85) SELECT match_id, player, true AS in_left, false AS in_right FROM l ANTI JOIN r USING (match_id, player) UNION ALL SELECT match_id, player, false, true FROM r ANTI JOIN l USING (match_id, player)",
     "damage_table": "SELECT l_orderkey % 100 AS match_id, l_partkey % 10 AS attacker, l_suppkey % 10 AS victim, CASE WHEN l_linenumber < 5 THEN 'w' || l_linenumber ELSE 'unknown' END AS weapon, sum(l_quantity::BIGINT)::BIGINT AS damage, count(*) FILTER (l_linenumber % 2 = 0) AS splashes FROM lineitem GROUP BY ALL",
     "corpus_rollup": SQL + " SELECT map, mode, count(DISTINCT id) AS matches, count(DISTINCT player) AS players, sum(floor(price)::BIGINT)::BIGINT AS frags FROM catalog GROUP BY ROLLUP (map, mode)",
 }

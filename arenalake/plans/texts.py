@@ -58,6 +58,17 @@ def settings_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", F.explode(X.settings(text)).alias("key", "value"))
 
 
+def settings_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Countdown tables with names, numbers, switches and spawn models; one in four has no known key."""
+    o = Lens(spark, sf_dir).table("orders")
+    key = F.col("o_orderkey")
+    model = F.get(F.array(*map(F.lit, ("QW", "K T X", "kt2", "none", "KTS"))), (key % 5).cast("int"))
+    switch = F.get(F.array(*map(F.lit, ("on", "off", "1", "Yes", "true", ""))), (key % 6).cast("int"))
+    full = F.concat(F.lit("Countdown: 3\n  Mode     D u e l\nRespawns   "), model, F.lit("\nTimelimit \t "), F.when(key % 3 == 0, F.lit("x")).otherwise((key % 30).cast("string")), F.lit("\nMidair  "), switch, F.lit("\nNoweapon  a   b\nno matchtag\n"))
+    text = F.when(key % 4 == 0, F.lit("Countdown: 9\nOther thing\n")).otherwise(full)
+    return o.select("o_orderkey", X.typed_settings(text).alias("s")).select("o_orderkey", F.col("s").isNotNull().alias("known"), "s.mode", "s.respawns", "s.spawn_k", "s.timelimit", "s.midair", "s.noweapon", "s.fraglimit")
+
+
 def directives(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = Lens(spark, sf_dir).table("lineitem")
     text = F.concat(F.lit("//took "), F.col("l_partkey").cast("string"), F.lit(" "), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_suppkey").cast("string")).otherwise("x"), F.lit(" 7\n"))
@@ -70,7 +81,7 @@ def message_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.match_bounds(m.select("match_id", (F.col("seq") * 1000).cast("int").alias("t_ms"), "seq", marked.alias("message")))
 
 
-QUERIES = {f.__name__: f for f in (chat_lines, chat_distinct, chat_markup, normal_names, normal_text, obituaries, server_info, settings_tables, directives, message_bounds)}
+QUERIES = {f.__name__: f for f in (chat_lines, chat_distinct, chat_markup, normal_names, normal_text, obituaries, server_info, settings_tables, settings_typed, directives, message_bounds)}
 ORACLES = {
     "chat_lines": "SELECT conv_id AS match_id, turn AS seq, CASE WHEN turn % 3 = 0 THEN 'teamsay' ELSE 'chat' END AS type, role AS player, sha256(text) AS text_sha FROM conversations WHERE turn % 3 < 2 AND NOT regexp_matches(text, ' joined the game| left the game| is ready|The match has|countdown')",
     "chat_distinct": "SELECT DISTINCT conv_id AS match_id, floor(turn / 2)::INT AS t_ms, 'chat' AS type, role AS player, text AS message FROM conversations",
@@ -80,6 +91,9 @@ ORACLES = {
     "obituaries": SQL + " SELECT match_id, seq, killer, victim, CASE WHEN is_suicide THEN 'suicide' ELSE weapon END AS weapon, is_suicide FROM frags",
     "server_info": "SELECT o_orderkey, 'prio' AS key, o_orderpriority AS value FROM orders UNION ALL SELECT o_orderkey, 'mode', o_custkey::VARCHAR FROM orders",
     "settings_tables": "SELECT o_orderkey, 'Mode' AS key, o_orderpriority AS value FROM orders UNION ALL SELECT o_orderkey, 'Timelimit', (o_custkey % 30)::VARCHAR FROM orders",
+    "settings_typed": """SELECT o_orderkey, known, CASE WHEN known THEN 'Duel' END AS mode, CASE WHEN known THEN ['QW', 'KTX', 'kt2', 'none', 'KTS'][k % 5 + 1] END AS respawns, CASE WHEN known THEN [0, 3, 4, NULL, 1][k % 5 + 1] END::INT AS spawn_k,
+CASE WHEN known THEN CASE WHEN k % 3 = 0 THEN 0 ELSE k % 30 END END::INT AS timelimit, CASE WHEN known THEN k % 6 IN (0, 2, 3, 4) END AS midair, CASE WHEN known THEN 'a b' END AS noweapon, NULL::INT AS fraglimit
+FROM (SELECT o_orderkey, o_orderkey AS k, o_orderkey % 4 <> 0 AS known FROM orders)""",
     "directives": "SELECT l_orderkey, l_linenumber, l_partkey::INT AS ent, l_suppkey::INT AS respawn, 7 AS player FROM lineitem WHERE l_linenumber % 2 = 0",
     "message_bounds": "WITH m AS (SELECT DISTINCT conv_id AS match_id, turn FROM conversations), s AS (SELECT match_id FROM m WHERE turn = 1) SELECT match_id, 1000 AS start_ms, CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.match_id = s.match_id AND turn = 3) THEN 3000 END AS end_ms FROM s",
 }

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+from arenalake.functions import fields
 from arenalake.functions.temporal import KEYS, grid
 from arenalake.operators import buckets as B
 from arenalake.operators import points as P
@@ -33,7 +36,27 @@ def buckets_columnar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.from_columns(B.to_columns(_rows(Lens(spark, sf_dir)), fields), fields)
 
 
-def _reduced(kind: str, field: str, reducer: str, value: str):
+def _swing(samples: Column) -> Column:
+    """How far a value moves within its samples, up and down together."""
+    n = F.size(samples)
+    steps = F.zip_with(F.slice(samples, F.lit(2), n), F.slice(samples, F.lit(1), n - 1), lambda a, b: F.abs(a - b))
+    return F.aggregate(steps, F.lit(0).cast("long"), lambda total, x: total + x)
+
+
+def _middle(v: Column) -> Column:
+    """The median, by a grouped-aggregate pandas UDF."""
+
+    def median(values: pd.Series) -> float:
+        return values.median()
+
+    return F.pandas_udf(median, DoubleType())(v.cast("double"))
+
+
+fields.register_reducer("swing", _swing, empty=0)
+fields.register_reducer("middle", _middle, grouped=True)
+
+
+def _reduced(kind: str, field: str, reducer: str | None, value: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         lens = Lens(spark, sf_dir)
         stream = {"number": lambda: lens.number(field), "text": lambda: lens.armor_type, "interval": lambda: lens.interval(field), "mark": lambda: lens.marks(field), "position": lambda: lens.positions.withColumn("v", F.col("x"))}[kind]()
@@ -149,6 +172,9 @@ SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY t_ms, type, player,
 }
 for _name, _spec, _sql in (
     ("reduce_last", ("number", "h", "last", "int"), _PICK + "arg_max(v, (t_ms, seq))::INT AS value" + _BY.format(f="h")),
+    ("reduce_swing", ("number", "h", "swing", "int"), _PICK + "coalesce(sum(abs(v - was)), 0)::INT AS value FROM (SELECT *, lag(v) OVER (PARTITION BY match_id, player, bucket ORDER BY t_ms, seq) AS was FROM sample WHERE field = 'h') GROUP BY match_id, player, bucket"),
+    ("reduce_middle", ("number", "a", "middle", "double"), _PICK + "round(median(v), 6)::DOUBLE AS value" + _BY.format(f="a")),
+    ("reduce_default", ("number", "h", None, "int"), _PICK + "arg_min(v, (t_ms, seq))::INT AS value" + _BY.format(f="h")),
     ("reduce_mean", ("number", "h", "mean", "double"), _PICK + "round(avg(v::DOUBLE), 6) AS value" + _BY.format(f="h")),
     ("reduce_min", ("number", "h", "min", "double"), _PICK + "min(v)::DOUBLE AS value" + _BY.format(f="h")),
     ("reduce_max", ("number", "a", "max", "double"), _PICK + "max(v)::DOUBLE AS value" + _BY.format(f="a")),

@@ -99,6 +99,17 @@ class Lens:
         joined = o.join(c, o["o_custkey"] == c["c_custkey"]).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
         return joined.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("day"), F.col("n_name").alias("map"), F.col("o_orderpriority").alias("mode"), F.col("c_mktsegment").alias("matchtag"), F.col("c_name").alias("player"), F.col("o_totalprice").alias("price"))
 
+    @cached_property
+    def games(self) -> DataFrame:
+        """The catalog with all players (who ordered, and who supplied what) and teams (both sides' nations)."""
+        n = self.table("nation").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("team"))
+        s = self.table("supplier").select(F.col("s_suppkey").alias("supp"), "s_name", F.col("s_nationkey").alias("nation")).join(F.broadcast(n), "nation")
+        lines = self.table("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("supp")).join(s, "supp")
+        sides = lines.groupBy("id").agg(F.collect_set("s_name").alias("names"), F.collect_set("team").alias("sides"))
+        empty = F.array().cast("array<string>")
+        both = self.catalog.join(sides, "id", "left")
+        return both.select("id", "day", "map", "mode", "matchtag", F.array_union(F.array("player"), F.coalesce("names", empty)).alias("players"), F.array_union(F.array("map"), F.coalesce("sides", empty)).alias("teams"))
+
     @cached_property
     def messages(self) -> DataFrame:
         return self.table("conversations").select(F.col("conv_id").alias("match_id"), F.col("turn").alias("seq"), F.col("role").alias("player"), F.col("text").alias("message"))
