@@ -89,14 +89,16 @@ def slice_loc_names(stream: DataFrame, table: DataFrame, players: DataFrame, sta
     ``table``: (match_id, li, name); unknown numbers are ''.
     """
     named = stream.join(table.select("match_id", F.col("li").alias("v"), "name"), ["match_id", "v"], "left").select(*KEYS, "t_ms", "seq", F.coalesce("name", F.lit("")).alias("v"))
-    inside = named.filter((F.col("t_ms") >= start_ms) & (F.col("t_ms") < end_ms))
-    probes = players.select(*KEYS).distinct().withColumn("t_ms", F.lit(start_ms))
-    carry = asof(probes, named, ["v"]).filter("v is not null").select(*KEYS, "t_ms", F.lit(-1).cast("long").alias("seq"), "v")
-    known = carry.select(*KEYS, F.col("v").alias("_carry"))
-    w = Window.partitionBy(*KEYS).orderBy("t_ms", "seq")
-    first = inside.withColumn("_n", F.row_number().over(w)).join(known, KEYS, "left")
-    fresh = first.filter(~F.coalesce((F.col("_n") == 1) & (F.col("t_ms") == start_ms) & (F.col("v") == F.col("_carry")), F.lit(False)))
-    return carry.unionByName(fresh.select(*KEYS, "t_ms", "seq", "v")).select(*KEYS, "t_ms", "v")
+    asked = named.join(players.select(*KEYS, F.lit(True).alias("_asked")).distinct(), KEYS, "left").filter(F.col("t_ms") < F.greatest(F.lit(end_ms), F.lit(start_ms + 1)))
+    at, inside = F.struct("t_ms", "seq"), (F.col("t_ms") >= start_ms) & (F.col("t_ms") < end_ms)
+    own = Window.partitionBy(*KEYS)
+    last = F.when(F.col("_asked"), F.max(F.when(F.col("t_ms") <= start_ms, F.struct("t_ms", "seq", "v"))).over(own))
+    rows = asked.withColumns({"_carry": last, "_in": inside, "_first": F.min(F.when(inside, at)).over(own) == at})
+    carries = F.coalesce((F.col("_carry.t_ms") == F.col("t_ms")) & (F.col("_carry.seq") == F.col("seq")), F.lit(False))
+    told = F.coalesce(F.col("_first") & (F.col("t_ms") == start_ms) & (F.col("v") == F.col("_carry.v")), F.lit(False))
+    # a row may be what is carried to the start, a row of the slice, or both
+    times = F.filter(F.array(F.when(carries, F.lit(start_ms)), F.when(F.col("_in") & ~told, F.col("t_ms"))), lambda t: t.isNotNull())
+    return rows.select(*KEYS, F.explode(times).alias("t_ms"), "v")
 
 
 def powerup_rows(runs: DataFrame, players: DataFrame, teams: DataFrame, start_ms: int, end_ms: int) -> DataFrame:

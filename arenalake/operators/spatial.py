@@ -9,7 +9,8 @@ from arenalake.functions.graph import components
 from arenalake.functions.temporal import KEYS, asof
 from arenalake.sources.shared import settled
 
-CELLS = (256.0, 2048.0, 16384.0)  #: sides of grid cells, tried one after another
+SIDE = 256.0  #: side of grid cells in radius joins
+PER_CELL, LEAST_SIDE = 3, 64.0  #: points that a cell of the first search holds on average, and its side at least
 PLACE = ["map", "x", "y", "z"]
 
 
@@ -37,33 +38,44 @@ def _around(rows: DataFrame, cells: int, side: float) -> DataFrame:
 def nearest_point(places: DataFrame, locs: DataFrame) -> DataFrame:
     """(map, x, y, z, loc_id) of distinct places: the map's nearest point in three dimensions, the lowest id on a tie.
 
-    The nine grid cells around a place hold every point as near as a cell's side.  Where no point is as near, larger cells
-    are tried, and beyond the largest all points of the map.  Every step joins on map and cell.
+    A map's cells are as wide as its points are dense.  The nine cells around a place hold every point as near as a cell's
+    side; places that have none as near are searched again in cells eight times as wide, until there are none left.  Each
+    search is settled once and joins on map and cell.
     """
-    rest = places.select(*PLACE).distinct()
+    points = locs.select("map", "loc_id", *[F.col(c).cast("float").alias(f"_{c}") for c in "xyz"])
+    area = F.greatest(F.max("_x") - F.min("_x"), F.lit(1.0)) * F.greatest(F.max("_y") - F.min("_y"), F.lit(1.0))
+    sides = settled(points.groupBy("map").agg(F.greatest(F.lit(LEAST_SIDE), F.sqrt(area / F.count("*") * PER_CELL)).alias("_side")))
+    points, rest = points.join(sides, "map"), places.select(*PLACE).distinct().join(sides, "map")
     key = F.when(F.col("loc_id").isNotNull(), F.struct(_distance2("", "_").alias("d2"), "loc_id"))
-    found = []
-    for side in CELLS:
-        near = _around(rest, 1, side).join(_points(locs, side), ["map", "_cx", "_cy"], "left").groupBy(*PLACE).agg(F.min(key).alias("best"))
+    out, wide = None, 1
+    while True:
+        side = F.col("_side") * wide
+        of = lambda c: F.floor(F.col(c) / side).cast("long")  # noqa: B023, E731
+        around = rest.withColumn("_cx", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: of("x") + i)))
+        around = around.withColumn("_cy", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: of("y") + i)))
+        there = points.select("map", "loc_id", "_x", "_y", "_z", of("_x").alias("_cx"), of("_y").alias("_cy"))
+        near = settled(around.join(there, ["map", "_cx", "_cy"], "left").groupBy(*PLACE, "_side").agg(F.min(key).alias("best")))
         sure = F.coalesce(F.col("best.d2") <= side * side, F.lit(False))
-        found.append(near.filter(sure).select(*PLACE, "best.loc_id"))
-        rest = near.filter(~sure).select(*PLACE)
-    found.append(rest.join(_points(locs, CELLS[0]), "map").groupBy(*PLACE).agg(F.min(key)["loc_id"].alias("loc_id")))
-    out = found[0]
-    for one in found[1:]:
-        out = out.unionByName(one)
-    return out
+        found = near.filter(sure).select(*PLACE, "best.loc_id")
+        out = found if out is None else out.unionByName(found)
+        rest = near.filter(~sure).select(*PLACE, "_side")
+        if not rest.head(1):
+            return out
+        wide *= 8
 
 
 def locate(positions: DataFrame, locs: DataFrame) -> DataFrame:
-    """``positions`` with li, the id of the map's nearest point; 0 for the origin, which stands for no position."""
+    """``positions`` with li, the id of the map's nearest point; 0 for the origin, which stands for no position.
+
+    The result is settled: what is asked of it later does not search again.
+    """
     nearest = positions.join(nearest_point(positions, locs).withColumnRenamed("loc_id", "li"), PLACE)
-    return nearest.withColumn("li", F.when((F.col("x") == 0) & (F.col("y") == 0) & (F.col("z") == 0), 0).otherwise(F.col("li")))
+    return settled(nearest.withColumn("li", F.when((F.col("x") == 0) & (F.col("y") == 0) & (F.col("z") == 0), 0).otherwise(F.col("li"))))
 
 
 def within(places: DataFrame, locs: DataFrame, radius: float) -> DataFrame:
     """(map, x, y, z, loc_id) of all points of the map within ``radius`` of each distinct place."""
-    side = CELLS[0]
+    side = SIDE
     pairs = _around(places.select(*PLACE).distinct(), int(radius // side) + 1, side).join(_points(locs, side), ["map", "_cx", "_cy"])
     return pairs.filter(_distance2("", "_") <= F.lit(radius * radius).cast("float")).select(*PLACE, "loc_id")
 
@@ -75,7 +87,7 @@ def visible_nearest(positions: DataFrame, locs: DataFrame, visible: DataFrame) -
     """
     places = positions.select(*PLACE, "leaf_id").distinct()
     key = F.struct(_distance2("", "_").alias("d2"), "loc_id")
-    seen = visible.join(_points(locs, CELLS[0]), ["map", "loc_id"])
+    seen = visible.join(_points(locs, SIDE), ["map", "loc_id"])
     seen = places.join(seen, ["map", "leaf_id"]).groupBy(*PLACE, "leaf_id").agg(F.min(key)["loc_id"].alias("_li"))
     plain = nearest_point(places, locs)
     both = places.join(seen, [*PLACE, "leaf_id"], "left").join(plain, PLACE).select(*PLACE, "leaf_id", F.coalesce("_li", "loc_id").alias("li"))
@@ -89,30 +101,30 @@ def smooth(located: DataFrame, boundaries: DataFrame, threshold_ms: int = 250) -
     on.  Unstable samples take the stable neighbour's location; between two different ones the first half (rounded up)
     goes to the left, the rest to the right; without a stable segment nothing changes.
     """
-    track = Window.partitionBy(*KEYS).orderBy("t_ms", "seq")
-    ranked = boundaries.select(*KEYS, "t_ms").withColumn("bc", F.row_number().over(Window.partitionBy(*KEYS).orderBy("t_ms")))
-    x = asof(located, ranked, ["bc"]).withColumn("bc", F.coalesce("bc", F.lit(0)))
-    x = x.withColumns({"_nt": F.lead("t_ms").over(track), "_li": F.lag("li").over(track), "_bc": F.lag("bc").over(track)})
-    blank = x.filter("li = 0").select(*located.columns, F.lit(0).alias("smooth"))
-    x = x.filter("li <> 0")
-    new_run = F.col("_li").isNull() | (F.col("_li") == 0) | (F.col("_bc") != F.col("bc"))
-    x = x.withColumn("_run", F.sum(new_run.cast("int")).over(track))
-    x = x.withColumn("_seg", F.sum((new_run | (F.col("_li") != F.col("li"))).cast("int")).over(track))
-    segs = x.groupBy(*KEYS, "_run", "_seg").agg(F.min("t_ms").alias("_t0"), F.max("t_ms").alias("_t1"), F.max_by("_nt", F.struct("t_ms", "seq")).alias("_n"), F.first("li").alias("_own"))
-    run = Window.partitionBy(*KEYS, "_run").orderBy("_seg")
-    segs = segs.withColumn("_stable", F.coalesce(F.lead("_t0").over(run), "_n", "_t1") - F.col("_t0") >= threshold_ms)
-    good = F.when(F.col("_stable"), F.col("_own"))
-    segs = segs.withColumns({
+    order = ["t_ms", "_place", "seq"]
+    track = Window.partitionBy(*KEYS).orderBy(*order)
+    rows = located.select(*located.columns, F.lit(1).alias("_place"))
+    rows = rows.unionByName(boundaries.select(*KEYS, "t_ms", F.lit(0).alias("_place")), allowMissingColumns=True)
+    # boundaries stand before the samples of their time
+    x = rows.withColumn("_bc", F.count_if(F.col("_place") == 0).over(track)).filter("_place = 1")
+    x = x.withColumns({"_nt": F.coalesce(F.lead("t_ms").over(track), "t_ms"), "_was": F.lag("li").over(track), "_wbc": F.lag("_bc").over(track)})
+    begun = F.col("_was").isNull() | (F.col("_wbc") != F.col("_bc")) | ((F.col("_was") == 0) != (F.col("li") == 0))
+    fresh = begun | (F.col("_was") != F.col("li"))
+    x = x.withColumns({"_run": F.count_if(begun).over(track), "_seg": F.count_if(fresh).over(track), "_head": fresh})
+    seg = Window.partitionBy(*KEYS, "_seg")
+    x = x.withColumn("_stable", F.max("_nt").over(seg) - F.min("t_ms").over(seg) >= threshold_ms)
+    run = Window.partitionBy(*KEYS, "_run").orderBy(*order)
+    good = F.when(F.col("_stable"), F.col("li"))
+    x = x.withColumns({
         "_pv": F.last(good, ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, 0)),
         "_nx": F.first(good, ignorenulls=True).over(run.rowsBetween(0, Window.unboundedFollowing)),
-        "_grp": F.sum(F.col("_stable").cast("int")).over(run.rowsBetween(Window.unboundedPreceding, 0)),
+        "_grp": F.count_if(F.col("_stable") & F.col("_head")).over(run.rowsBetween(Window.unboundedPreceding, 0)),
     })
-    x = x.join(segs.select(*KEYS, "_seg", "_stable", "_pv", "_nx", "_grp"), [*KEYS, "_seg"])
     part = Window.partitionBy(*KEYS, "_run", "_grp", "_stable")
-    rn, n = F.row_number().over(part.orderBy("t_ms", "seq")), F.count("*").over(part)
+    rn, n = F.row_number().over(part.orderBy(*order)), F.count("*").over(part)
     half = F.when(rn <= F.floor((n + 1) / 2), F.col("_pv")).otherwise(F.col("_nx"))
     value = F.when(F.col("_stable") | (F.col("_pv").isNull() & F.col("_nx").isNull()), F.col("li")).when(F.col("_pv").isNull(), F.col("_nx")).when(F.col("_nx").isNull(), F.col("_pv")).otherwise(half)
-    return x.withColumn("smooth", value).select(*located.columns, "smooth").unionByName(blank)
+    return x.withColumn("smooth", F.when(F.col("li") == 0, 0).otherwise(value)).select(*located.columns, "smooth")
 
 
 def intern(names: DataFrame) -> DataFrame:
