@@ -103,8 +103,12 @@ def search(catalog: DataFrame, players: list[str] = (), teams: list[str] = (), m
     return out.orderBy(F.desc("day"), "id").offset(max(offset, 0)).limit(min(limit if limit > 0 else 20, 100))
 
 
-def overview(matches: DataFrame, players: DataFrame, streaks: DataFrame, powerups: DataFrame, top: int = 5) -> DataFrame:
-    """One row a match: duration, players and teams by frags, and the best streaks and powerup runs, as arrays."""
+def overview(matches: DataFrame, players: DataFrame, streaks: DataFrame, powerups: DataFrame, top: int = 5, locs: DataFrame | None = None, regions: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
+    """One row a match: duration, players and teams by frags, and the best streaks and powerup runs, as arrays.
+
+    With ``locs`` (match_id, li) the number of locations that were visited, with ``regions`` (match_id) whether regions are
+    controlled, and with ``errors`` (match_id, reason) what went wrong, each once.
+    """
     ranked = lambda rows, order, cols, name: rows.withColumn("_r", F.row_number().over(Window.partitionBy("match_id").orderBy(*order))).filter(F.col("_r") <= top).groupBy("match_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_r", *cols))), lambda x: F.concat_ws(":", *[x[c].cast("string") for c in cols])).alias(name)
     )
@@ -112,6 +116,13 @@ def overview(matches: DataFrame, players: DataFrame, streaks: DataFrame, powerup
     teams = players.groupBy("match_id", "team").agg(F.sum("frags").alias("frags"))
     for rows, order, cols, name in ((players, [F.desc("frags"), "player"], ["player", "frags"], "players"), (teams, [F.desc("frags"), "team"], ["team", "frags"], "teams"), (streaks, [F.desc("frags"), "duration_ms", "player"], ["player", "frags"], "streaks"), (powerups, [F.desc("frags"), "start_ms", "player"], ["player", "frags"], "powerups")):
         out = out.join(ranked(rows, order, cols, name), "match_id", "left")
+    if locs is not None:
+        out = out.join(locs.groupBy("match_id").agg(F.count_distinct("li").alias("loc_count")), "match_id", "left").na.fill(0, ["loc_count"])
+    if regions is not None:
+        out = out.join(regions.select("match_id", F.lit(True).alias("has_region_control")).distinct(), "match_id", "left").na.fill(False, ["has_region_control"])
+    if errors is not None:
+        told = errors.groupBy("match_id").agg(F.array_sort(F.collect_set("reason")).alias("errors"))
+        out = out.join(told, "match_id", "left").withColumn("errors", F.coalesce("errors", F.array().cast("array<string>")))
     return out
 
 
