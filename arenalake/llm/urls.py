@@ -6,7 +6,8 @@ the others.  Words and tokens stay in tables: what labels and urls use most is l
 shuffle, and equal urls, hosts and labels are handled once.
 
 Each row of ``pages`` is a page.  A null url, or one without ``://``, has an empty host and path, fits no rule and is
-judged by the class priors; an empty host with a path is judged by its path.  Repeated rows are judged one by one; extra columns pass through ``judge``.
+judged by the class priors; an empty host with a path is judged by its path.  A tie of the classes is allowed.  Repeated
+rows are judged one by one; extra columns pass through ``judge``.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ from .common import few, materialize, most_frequent
 #: (verdict, host, path): fits the host and its subdomains where the path starts so; the longest that fits wins.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 VOCABULARY = 50_000  #: parts of labels that are looked up by broadcast, the most used ones
-LONGEST = 24  #: letters of a word at most
 FEATURES = 100_000  #: tokens that are looked up by broadcast, the most used ones
 ROW_BYTES = 512  #: of a host or url with its tokens in memory, about
 UNIT = 10**9  #: scores are whole numbers of this part, so that sums don't depend on their order
@@ -51,7 +51,7 @@ def match(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def unigrams(corpus: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n) of all words of a-z, up to LONGEST letters, in all texts; every text is counted whole."""
+    """(word, n) of all words of a-z in all texts; every text is counted whole."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -68,7 +68,7 @@ def unigrams(corpus: DataFrame, text: str = "text") -> DataFrame:
                     yield rows()
         yield rows()
 
-    counts = corpus.select(text).mapInArrow(count, "word string, n long").filter(F.length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
+    counts = corpus.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return materialize(counts, "unigrams")
 
 
@@ -88,15 +88,24 @@ def _joined(left: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def segment(name: str, model: dict[str, float]) -> list[str]:
-    """The most probable split of a name into words; an unknown word of n letters costs as 1 in total * 10**(n - 1)."""
-    best = [0.0] + [-math.inf] * len(name)
-    back = [0] * (len(name) + 1)
-    unknown = model.get("", 0.0)
+    """The most probable split of a name into words; an unknown word of n letters costs as 1 in total * 10**(n - 1).
+
+    Of equal splits the one whose last words are longest wins.  The best unknown word that ends at a place follows from a
+    running maximum, so words of any length are weighed in one step a place and length of a known word.
+    """
+    best, back = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
+    unknown, lengths = model.get("", 0.0), sorted({len(w) for w in model} - {0}, reverse=True)
+    reach, reach_at = -math.inf, 0  # the best start of an unknown word, which costs 1 a letter
     for end in range(1, len(name) + 1):
-        for start in range(max(0, end - LONGEST), end):
-            p = best[start] + model.get(name[start:end], -unknown - (end - start - 1))
-            if p > best[end]:
-                best[end], back[end] = p, start
+        if best[end - 1] + end - 1 > reach:
+            reach, reach_at = best[end - 1] + end - 1, end - 1
+        p, at = reach - unknown - (end - 1), reach_at
+        for n in lengths:
+            if n <= end and (q := model.get(name[end - n : end])) is not None:
+                q += best[end - n]
+                if q > p or (q == p and end - n < at):
+                    p, at = q, end - n
+        best[end], back[end] = p, at
     words, at = [], len(name)
     while at:
         words.append(name[back[at] : at])
@@ -104,15 +113,33 @@ def segment(name: str, model: dict[str, float]) -> list[str]:
     return words[::-1]
 
 
+def _pieces(names: DataFrame, lengths: list[int]) -> DataFrame:
+    """(part, word): the distinct substrings of each name that are as long as some word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, word = [], []
+        rows = lambda: pa.RecordBatch.from_pydict({"part": pa.array(part, pa.string()), "word": pa.array(word, pa.string())})
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                for n in lengths:
+                    if n > len(name):
+                        break
+                    found = {name[a : a + n] for a in range(len(name) - n + 1)}
+                    part += [name] * len(found)
+                    word += found
+                    if len(word) > _FLUSH:
+                        yield rows()
+                        part, word = [], []
+        yield rows()
+
+    return names.select("part").mapInArrow(run, "part string, word string")
+
+
 def host_tokens(hosts: DataFrame, corpus_words: DataFrame) -> DataFrame:
     """(host, of_host) of distinct hosts: the segmented words of the labels, and the last label; digit runs count by their
     length."""
     total = math.log10(corpus_words.agg(F.sum("n")).first()[0] or 1)
 
-    @F.pandas_udf("array<string>")
-    def pieces(names: pd.Series) -> pd.Series:
-        return names.map(lambda s: sorted({s[a:b] for a in range(len(s)) for b in range(a + 1, min(len(s), a + LONGEST) + 1)}))
-
     @F.pandas_udf("array<string>")
     def segmented(names: pd.Series, known: pd.Series) -> pd.Series:
         models = ({w["word"]: math.log10(w["n"]) - total for w in (k if k is not None else ())} for k in known)
@@ -130,7 +157,8 @@ def host_tokens(hosts: DataFrame, corpus_words: DataFrame) -> DataFrame:
     runs = F.array_distinct(F.regexp_extract_all(F.regexp_replace("host", r"(^|\.)[^.]*$", ""), F.lit("[a-z]+"), F.lit(0)))
     parts = materialize(hosts.select("host", F.explode(runs).alias("part")), "parts")
     names = parts.select("part").distinct()
-    found = _looked_up(names.select("part", F.explode(pieces("part")).alias("word")), "word", corpus_words, VOCABULARY)
+    lengths = sorted(r[0] for r in corpus_words.select(F.length("word")).distinct().collect())  # some hundreds
+    found = _looked_up(_pieces(names, lengths), "word", corpus_words, VOCABULARY)
     found = found.groupBy("part").agg(F.collect_list(F.struct("word", "n")).alias("known"))
     words = materialize(names.join(found, "part", "left").select("part", segmented("part", "known").alias("words")), "segments")
     split_hosts = _joined(parts, words, ["part"]).groupBy("host").agg(F.collect_list(F.struct("part", "words")).alias("parts"))
