@@ -30,6 +30,12 @@ def team_of(*sources: DataFrame) -> DataFrame:
     return rows.groupBy(*KEYS).agg(F.min_by("team", F.struct("rank", "team")).alias("team"))
 
 
+def with_teams(players: DataFrame, override: DataFrame) -> DataFrame:
+    """``players`` with the teams that ``override`` (match_id, player, team) names; an empty team takes a player out of all."""
+    own = override.select(*KEYS, F.col("team").alias("_team"))
+    return players.join(own, KEYS, "left").withColumn("team", F.coalesce("_team", "team")).drop("_team")
+
+
 def classify(a_armed: Column, a_not: Column, b_armed: Column, b_not: Column) -> Column:
     """The seven-state rule."""
     a, b = a_armed + a_not, b_armed + b_not

@@ -149,7 +149,7 @@ def coverage(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def damage_table(damage: DataFrame, types: DataFrame) -> DataFrame:
     """Damage by attacker, victim and weapon; ``types`` maps death types to weapons."""
-    return damage.join(F.broadcast(types), "death_type", "left").groupBy("match_id", "attacker", "victim", F.coalesce("weapon", F.lit("unknown")).alias("weapon")).agg(F.sum("amount").alias("damage"), F.count_if("splash").alias("splashes"))
+    return damage.join(types, "death_type", "left").groupBy("match_id", "attacker", "victim", F.coalesce("weapon", F.lit("unknown")).alias("weapon")).agg(F.sum("amount").alias("damage"), F.count_if("splash").alias("splashes"))
 
 
 def last_state(events: DataFrame, keys: list[str], value: str) -> DataFrame:

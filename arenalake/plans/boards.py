@@ -131,6 +131,13 @@ def drop_fates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.drops_with_pickups(_drops(lens), U.match_drops(_drops(lens), _pickups(lens))).select("match_id", "ent", "seq", "player", "taker", "taken_ms")
 
 
+def drop_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drops as expired, handed to a team mate or taken by an enemy, who may have had the weapon."""
+    lens = Lens(spark, sf_dir)
+    fates = U.drops_with_pickups(_drops(lens), U.match_drops(_drops(lens), _pickups(lens))).withColumn("had_before", F.col("taken_ms") % 3 == 0)
+    return U.outcome(fates, lens.players).select("match_id", "ent", "seq", "player", "taker", "outcome")
+
+
 def weapon_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     lens = Lens(spark, sf_dir)
     weapon = F.get(F.array(F.lit("rl"), F.lit("lg")), F.col("k") % 2)
@@ -222,7 +229,7 @@ def corpus_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    sessions, identities, identities_linked, stitched, stitched_intervals, teams_by_name, victim_slots, slot_names, first_users, rebased, death_edges, lifecycle, matched_drops, drop_fates, weapon_effects, item_phases, item_status, item_names,
+    sessions, identities, identities_linked, stitched, stitched_intervals, teams_by_name, victim_slots, slot_names, first_users, rebased, death_edges, lifecycle, matched_drops, drop_fates, drop_outcomes, weapon_effects, item_phases, item_status, item_names,
     player_table, team_table, weapon_accuracy, overview, catalog_search, coverage_gaps, damage_table, corpus_rollup,
 )}
 
@@ -299,6 +306,8 @@ SELECT match_id, slot, t_ms, seq, CASE WHEN alive THEN 'spawn' ELSE 'death' END
 FROM (SELECT *, lag(alive) OVER (PARTITION BY match_id, slot ORDER BY t_ms, seq) AS was FROM sg) WHERE signal = 'text' OR (signal <> 'seed' AND was IS DISTINCT FROM alive)""",
     "matched_drops": _DROP + " SELECT m.match_id, m.ent, m.t_ms, m.seq, m.player, d.t_ms AS drop_ms, d.player AS dropper FROM m LEFT JOIN dr d ON d.seq = m.own",
     "drop_fates": _DROP + " SELECT d.match_id, d.ent, d.seq, d.player, m.player AS taker, m.t_ms AS taken_ms FROM dr d LEFT JOIN (SELECT m.match_id, m.ent, x.t_ms AS dt, m.player, m.t_ms FROM m JOIN dr x ON x.seq = m.own) m ON m.match_id = d.match_id AND m.ent = d.ent AND m.dt = d.t_ms",
+    "drop_outcomes": _DROP + """, ft AS (SELECT d.match_id, d.ent, d.seq, d.player, m.player AS taker, m.t_ms AS taken_ms FROM dr d LEFT JOIN (SELECT m.match_id, m.ent, x.t_ms AS dt, m.player, m.t_ms FROM m JOIN dr x ON x.seq = m.own) m ON m.match_id = d.match_id AND m.ent = d.ent AND m.dt = d.t_ms), o AS (SELECT f.*, a.team AS own, b.team AS other FROM ft f LEFT JOIN players a USING (match_id, player) LEFT JOIN players b ON b.match_id = f.match_id AND b.player = f.taker)
+SELECT match_id, ent, seq, player, taker, CASE WHEN taker IS NULL THEN 'expired' ELSE CASE WHEN own = other THEN 'xfer' ELSE 'enemy' END || CASE WHEN taken_ms % 3 = 0 THEN ' had' ELSE '' END END AS outcome FROM o""",
     "weapon_effects": SQL + """, p AS (SELECT match_id, player, t_ms, seq AS pickup_id, ['rl', 'lg'][k % 2 + 1] AS weapon FROM base WHERE event_type = 'click'),
 n AS (SELECT p.*, (SELECT min(t_ms) FROM deaths d WHERE d.match_id = p.match_id AND d.player = p.player AND d.t_ms > p.t_ms) AS next_death_ms FROM p),
 b AS (SELECT f.seq, arg_max(pickup_id, (n.t_ms, pickup_id)) AS pickup_id FROM frags f JOIN n ON n.match_id = f.match_id AND n.player = f.killer AND n.weapon = f.weapon AND n.t_ms < f.t_ms AND (next_death_ms IS NULL OR f.t_ms <= next_death_ms) WHERE NOT is_suicide AND NOT is_team_kill GROUP BY f.seq)

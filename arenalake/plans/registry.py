@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boards, dumps, frags, items, movement, official, texts, timeline, views
+from . import boards, dumps, frags, items, matches, movement, official, texts, timeline, views
 
-_MODULES = (timeline, movement, frags, texts, boards, views, items, dumps, official)
+_MODULES = (timeline, movement, frags, texts, boards, views, items, dumps, official, matches)
 QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
 

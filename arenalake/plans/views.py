@@ -42,11 +42,6 @@ def chat_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.chat(_chat(Lens(spark, sf_dir)), names=["u1", "u2", "u13"], start_ms=100_000, end_ms=2_000_000)
 
 
-def chat_distinct_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _chat(Lens(spark, sf_dir)).withColumn("t_ms", F.floor(F.col("t_ms") / 5000).cast("int"))
-    return rows.select(*KEYS, "t_ms", "type", "message").dropDuplicates()
-
-
 def pickups_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     lens = Lens(spark, sf_dir)
     kind = lambda *v: F.get(F.array(*map(F.lit, v)), F.col("k") % len(v))
@@ -163,7 +158,7 @@ def stat_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    events_full, chat_filtered, chat_distinct_lines, pickups_filtered, items_filtered, stats_sane, loc_name_slice, loc_names, powerup_rows, movement_trail, region_heatmap, regions_detected,
+    events_full, chat_filtered, pickups_filtered, items_filtered, stats_sane, loc_name_slice, loc_names, powerup_rows, movement_trail, region_heatmap, regions_detected,
     damage_by_type, fallback_board, armor_shares, quality_report, pickup_checks, visibility_edges, pack_origins, stat_evidence,
 )}
 
@@ -191,7 +186,6 @@ li AS (SELECT match_id, part, string_agg(name || ':' || n, ', ' ORDER BY r) AS x
 SELECT m.match_id, '# Match ' || m.match_id || ' - teams ' || coalesce((SELECT x FROM li WHERE li.match_id = m.match_id AND part = 't'), '') || '; players ' || coalesce((SELECT x FROM li WHERE li.match_id = m.match_id AND part = 'p'), '')
   || '; streaks ' || coalesce((SELECT x FROM li WHERE li.match_id = m.match_id AND part = 's'), '') || '; powerups ' || coalesce((SELECT x FROM li WHERE li.match_id = m.match_id AND part = 'u'), '') AS line FROM matches m""",
     "chat_filtered": _CHAT + " SELECT * FROM chat WHERE type IN ('chat', 'teamsay') AND player IN ('u1', 'u2', 'u13') AND t_ms BETWEEN 100000 AND 2000000",
-    "chat_distinct_lines": _CHAT + " SELECT DISTINCT match_id, player, floor(t_ms / 5000)::INT AS t_ms, type, message FROM chat",
     "pickups_filtered": SQL + " SELECT match_id, player, t_ms, seq, 'rl' AS weapon, 'pack' AS source FROM base WHERE event_type = 'click' AND k % 3 = 0 AND k % 2 = 1 AND player IN ('u1', 'u3', 'u22', 'u25')",
     "items_filtered": _STATE + """, n AS (SELECT *, kind || '_' || ent AS name, 'u' || (taken_at % 7) AS taken_by FROM phase WHERE kind IN ('quad', 'pent', 'mh', 'rl'))
 SELECT match_id, ent, phase_no, name, taken_by FROM n WHERE coalesce(taken_by, '') IN ('', 'u1', 'u2')""",

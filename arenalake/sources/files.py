@@ -27,16 +27,6 @@ def split_bad(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter(~bad).drop("_corrupt_record"), rows.filter(bad).select("match_id", reason.alias("reason"), F.coalesce("_corrupt_record", F.to_json("data")).alias("payload"))
 
 
-def counts(rows: DataFrame) -> DataFrame:
-    """Good and bad lines of each match."""
-    good = F.col("_corrupt_record").isNull() & F.col("kind").isNotNull() & F.col("t_ms").isNotNull()
-    return rows.groupBy("match_id").agg(F.count_if(good).alias("processed"), F.count_if(~good).alias("failed"))
-
-
-def write_events(events: DataFrame, path: str) -> None:
-    events.select("match_id", "seq", "kind", "time", "data").write.partitionBy("match_id").json(path)
-
-
 def write_result(result: DataFrame, path: str, positions: bool = False) -> None:
     """One JSON document a row; positions only if asked for."""
     (result if positions or "positions" not in result.columns else result.drop("positions")).write.json(path)
@@ -69,7 +59,7 @@ def read_regions(spark: SparkSession, path: str, override: DataFrame | None = No
 def loc_regions(points: DataFrame, regions: DataFrame) -> DataFrame:
     """(map, loc_id, region), names compared in any case; the last region that names a point wins."""
     last = regions.groupBy("map", F.lower("loc").alias("_loc")).agg(F.max_by("region", "ord").alias("region"))
-    return points.join(F.broadcast(last), (points["map"] == last["map"]) & (F.lower("name") == F.col("_loc"))).select(points["map"], "loc_id", "region")
+    return points.join(last, (points["map"] == last["map"]) & (F.lower("name") == F.col("_loc"))).select(points["map"], "loc_id", "region")
 
 
 def join_blocks(blocks: DataFrame, schema: str) -> DataFrame:
