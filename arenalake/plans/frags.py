@@ -50,8 +50,10 @@ def powerup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def guarded_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     lens = Lens(spark, sf_dir)
-    updates = lens.number("h").select("match_id", F.col("player").alias("slot"), "t_ms", F.col("seq"), F.col("player").alias("occupant"), (F.col("v") % 9).alias("frags"))
-    return K.guarded_deltas(updates)
+    rows = lens.base.filter("event_type in ('purchase', 'click')")
+    # three or so players follow each other in a slot, for some time each
+    occupant = F.concat(F.lit("o"), (F.floor(F.col("t_ms") / 250_000) % 3).cast("string"))
+    return K.guarded_deltas(rows.select("match_id", (F.col("user_id") % 4).cast("int").alias("slot"), "t_ms", "seq", occupant.alias("occupant"), (F.col("iv") % 12).alias("frags")))
 
 
 def frag_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +93,11 @@ f AS (SELECT s.*, coalesce((SELECT min(r) FROM e WHERE e.match_id = s.match_id A
 m AS (SELECT *, k + max(f - k) OVER (PARTITION BY match_id, player ORDER BY k) AS r FROM f),
 life AS (SELECT m.match_id, m.player, m.t_ms AS start_ms, coalesce(e.t_ms, 2592000) AS end_ms, e.t_ms IS NOT NULL AS closed FROM m LEFT JOIN e USING (match_id, player, r))"""
 ORACLES = {
+    "guarded_deltas": SQL.replace("WITH base", "WITH RECURSIVE base", 1) + """, u AS (SELECT match_id, (user_id % 4)::INT AS slot, t_ms, 'o' || (floor(t_ms / 250000)::INT % 3) AS occupant, iv % 12 AS frags, row_number() OVER (PARTITION BY match_id, user_id % 4 ORDER BY t_ms, seq) AS n FROM base WHERE event_type IN ('purchase', 'click')),
+r AS (SELECT match_id, slot, n, t_ms, occupant, frags AS own, NULL::INT AS delta FROM u WHERE n = 1
+  UNION ALL SELECT u.match_id, u.slot, u.n, u.t_ms, u.occupant, CASE WHEN u.occupant <> r.occupant OR abs(u.frags - r.own) <= 5 THEN u.frags ELSE r.own END,
+    CASE WHEN u.occupant = r.occupant AND abs(u.frags - r.own) BETWEEN 1 AND 5 THEN u.frags - r.own END FROM r JOIN u ON u.match_id = r.match_id AND u.slot = r.slot AND u.n = r.n + 1)
+SELECT match_id, slot, t_ms, delta FROM r WHERE delta IS NOT NULL""",
     "kill_totals": SQL + """, own AS (SELECT match_id, killer AS player, count(*) FILTER (NOT is_suicide AND NOT is_team_kill) AS kills, count(*) FILTER (is_suicide) AS suicides, count(*) FILTER (is_team_kill) AS team_kills FROM frags GROUP BY ALL),
 dead AS (SELECT match_id, player, count(*) AS deaths FROM deaths GROUP BY ALL)
 SELECT match_id, player, coalesce(kills, 0) AS kills, coalesce(suicides, 0) AS suicides, coalesce(team_kills, 0) AS team_kills, coalesce(deaths, 0) AS deaths FROM own FULL JOIN dead USING (match_id, player)""",

@@ -94,8 +94,9 @@ def region_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regions_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     lens = Lens(spark, sf_dir)
     word = lambda n, *v: F.get(F.array(*map(F.lit, v)), F.col("loc_id") % n)
-    named = lens.locs.withColumn("name", F.concat_ws(".", word(3, "ra", "quad", "stairs"), word(4, "low", "high", "low", "rl")))
-    return G.detect_regions(named.filter("map = 'm0' or loc_id % 3 <> 0"), reach=900.0)
+    # the second map has no red armor: its yellow one marks a region
+    first = F.when(F.col("map") == "m1", word(3, "ya", "quad", "stairs")).otherwise(word(3, "ra", "quad", "ya"))
+    return G.detect_regions(lens.locs.withColumn("name", F.concat_ws(".", first, word(4, "low", "high", "low", "rl"))), reach=900.0)
 
 
 def damage_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,6 +167,20 @@ _CHAT = SQL + ", chat AS (SELECT match_id, player, t_ms, seq, ['chat', 'teamsay'
 _DELTA = "SELECT match_id, t_ms, '{t}' AS type, player, CASE WHEN i = 1 THEN v::VARCHAR ELSE v || ' ' || (v - was) END AS detail FROM (SELECT *, row_number() OVER w AS i, lag(v, 1, 0) OVER w AS was FROM changes WHERE field = '{f}' WINDOW w AS (PARTITION BY match_id, player ORDER BY t_ms, seq))"
 _SIX = ("a_control", "a_weak", "contested", "weak_contested", "b_weak", "b_control")
 ORACLES = {
+    "movement_trail": SQL.replace("WITH base", "WITH RECURSIVE base", 1) + """, s AS (SELECT match_id, player, t_ms, seq, x, y, seq % 41 = 0 AS death, seq % 43 = 0 AS spawn, row_number() OVER w AS n, coalesce(greatest(abs(x - lag(x) OVER w), abs(y - lag(y) OVER w)) > 1500, false) AS far
+  FROM positions WHERE x <> 0 OR y <> 0 WINDOW w AS (PARTITION BY match_id, player ORDER BY t_ms, seq)),
+r AS (SELECT match_id, player, n, x AS lx, y AS ly, true AS kept FROM s WHERE n = 1
+  UNION ALL SELECT match_id, player, n, CASE WHEN kept THEN x ELSE lx END, CASE WHEN kept THEN y ELSE ly END, kept
+  FROM (SELECT s.*, r.lx, r.ly, s.death OR s.spawn OR greatest(abs(s.x - r.lx), abs(s.y - r.ly)) > 400 AS kept FROM r JOIN s ON s.match_id = r.match_id AND s.player = r.player AND s.n = r.n + 1))
+SELECT match_id, player, t_ms, seq, x, y, death, spawn, far AND NOT death AND NOT spawn AS teleport FROM s JOIN r USING (match_id, player, n) WHERE kept""",
+    "regions_detected": SQL.replace("WITH base", "WITH RECURSIVE base", 1) + """, w AS (SELECT map, loc_id, x, y, list_distinct([CASE WHEN map = 'm1' THEN ['YA', 'QUAD', 'STAIRS'][loc_id % 3 + 1] ELSE ['RA', 'QUAD', 'YA'][loc_id % 3 + 1] END, ['LOW', 'HIGH', 'LOW', 'RL'][loc_id % 4 + 1]]) AS words FROM locs),
+k AS (SELECT *, unnest(list_filter(words, lambda q: q IN ('RL', 'LG', 'QUAD') OR q = CASE WHEN map = 'm1' THEN 'YA' ELSE 'RA' END)) AS key FROM w),
+g AS (SELECT a.map, a.key, a.loc_id AS a, b.loc_id AS b FROM k a JOIN k b ON a.map = b.map AND a.key = b.key AND a.loc_id <> b.loc_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 810000),
+r AS (SELECT map, key, loc_id, loc_id AS top FROM k UNION SELECT g.map, g.key, g.b, r.top FROM r JOIN g ON g.map = r.map AND g.key = r.key AND g.a = r.loc_id WHERE r.top < g.b),
+c AS (SELECT map, key, loc_id, min(top) AS cluster FROM r GROUP BY ALL),
+o AS (SELECT map, key, cluster, word, count(*) AS n FROM (SELECT c.*, unnest(list_filter(words, lambda q: q <> key)) AS word FROM c JOIN w USING (map, loc_id)) GROUP BY ALL),
+t AS (SELECT map, key, cluster, arg_min(word, (-n, word)) AS word FROM o GROUP BY ALL)
+SELECT map, loc_id, key || coalesce(' ' || word, '') AS region FROM c LEFT JOIN t USING (map, key, cluster)""",
     "events_full": _LIFE.replace(SQL, _LOC + ", chat AS (SELECT match_id, player, t_ms, ['chat', 'teamsay', 'server'][k % 3 + 1] AS type, 'text ' || (iv % 4) AS message FROM base WHERE event_type = 'view')", 1) + """,
 i AS (SELECT l.match_id, l.player, start_ms, end_ms, weapon, count(*) AS n FROM life l JOIN frags f ON f.match_id = l.match_id AND f.killer = l.player AND NOT is_suicide AND NOT is_team_kill AND f.t_ms BETWEEN start_ms AND end_ms GROUP BY ALL),
 b AS (SELECT match_id, player, start_ms, end_ms, sum(n)::BIGINT AS frags, arg_min(weapon, (-n, weapon)) AS weapon FROM i GROUP BY match_id, player, start_ms, end_ms),
