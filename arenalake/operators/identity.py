@@ -129,8 +129,10 @@ def rebase_intervals(spans: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def first_user(userinfo: DataFrame) -> DataFrame:
-    """The first nonzero user id of each name, by slot and then sequence."""
-    return userinfo.filter("user_id > 0").groupBy("match_id", "name").agg(F.min_by("user_id", F.struct("slot", "seq")).alias("user_id"))
+    """(match_id, name, user_id): the first nonzero user id of each slot, then the first of each name in the order of slots;
+    a slot has its latest name."""
+    slots = userinfo.groupBy(*SLOT).agg(F.min_by("user_id", F.when(F.col("user_id") > 0, F.col("seq"))).alias("user_id"), F.max_by("name", "seq").alias("name"))
+    return slots.filter("user_id > 0").groupBy("match_id", "name").agg(F.min_by("user_id", "slot").alias("user_id"))
 
 
 def resolve(rows: DataFrame, scoreboard: DataFrame, name: str, login: Column | None = None) -> DataFrame:

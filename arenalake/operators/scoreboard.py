@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arenalake.functions.temporal import KEYS
+from arenalake.operators.kills import GENERIC
 
 
 def efficiency(kills: Column, deaths: Column) -> Column:
@@ -38,9 +39,12 @@ def accuracy(weapons: DataFrame, *by: str) -> DataFrame:
 
 
 def fallback(kills: DataFrame, players: DataFrame) -> DataFrame:
-    """A scoreboard from the kill log: frags of the player table where known, otherwise kills - deaths."""
-    own = kills.join(players.select(*KEYS, "team", "frags"), KEYS, "left")
-    return own.withColumn("frags", F.coalesce("frags", F.col("kills") - F.col("deaths")))
+    """A scoreboard from the kill log, ranked by frags: frags of the player table where known, otherwise kills - deaths.
+    Words that stand for anybody (a teammate, somebody's quad) are no players."""
+    named = kills.filter(~F.lower("player").rlike(GENERIC))
+    own = named.join(players.select(*KEYS, "team", "frags"), KEYS, "left")
+    own = own.withColumn("frags", F.coalesce("frags", F.col("kills") - F.col("deaths")))
+    return own.withColumn("rank", F.row_number().over(Window.partitionBy("match_id").orderBy(F.desc("frags"), "player")))
 
 
 def armor_split(totals: DataFrame) -> DataFrame:
@@ -132,13 +136,59 @@ def report(view: DataFrame) -> DataFrame:
     return view.select("match_id", F.concat(F.lit("# Match "), F.col("match_id").cast("string"), F.lit(" - teams "), joined("teams"), F.lit("; players "), joined("players"), F.lit("; streaks "), joined("streaks"), F.lit("; powerups "), joined("powerups")).alias("line"))
 
 
-def quality(frag_sums: DataFrame, official: DataFrame, stats: DataFrame, players: DataFrame) -> DataFrame:
-    """(check, match_id, subject): frag sums off by more than 2, health or armor out of range, names used twice."""
+def markdown(matches: DataFrame, players: DataFrame, streaks: DataFrame, powerups: DataFrame, settings: DataFrame | None = None, top: int = 5) -> DataFrame:
+    """(match_id, text): a report of each match in Markdown: what is known of it, its players and teams by frags, and the
+    best streaks and powerup runs.  Sections without rows are left out, and so is a single team.
+
+    ``players``: match_id, player, team, frags, kills, deaths.  ``streaks`` (player, frags, duration_ms, weapon) and
+    ``powerups`` (player, powerup, frags, duration_ms) get their teams from ``players``.  ``settings``: match_id, mode,
+    timelimit and matchtag, each of which may be null.
+    """
+    side = players.select(*KEYS, F.coalesce("team", F.lit("")).alias("_team"))
+    seconds = F.format_string("%.1fs", F.col("duration_ms") / 1000)
+
+    def section(rows: DataFrame, order: list, head: str, names: str, rule: str, line: Column, name: str, least: int = 1) -> DataFrame:
+        ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("match_id").orderBy(*order))).withColumn("_line", line)
+        ranked = ranked.filter(F.col("_r") <= top) if name in ("streaks", "powerups") else ranked
+        lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_line"))), lambda x: x["_line"]), "\n")
+        text = F.concat(F.lit(f"\n## {head}\n\n{names}\n{rule}\n"), lines, F.lit("\n"))
+        return ranked.groupBy("match_id").agg(F.when(F.count("*") >= least, text).alias(name))
+
+    cells = lambda *c: F.concat(F.lit("| "), F.concat_ws(" | ", *[x.cast("string") for x in c]), F.lit(" |"))
+    col = F.col
+    teams = players.filter("team <> ''").groupBy("match_id", "team").agg(F.sum("frags").alias("frags"))
+    s, p = streaks.join(side, KEYS, "left"), powerups.join(side, KEYS, "left")
+    parts = [
+        section(players, [F.desc("frags"), "player"], "Players", "| Name | Team | Frags | Kills | Deaths |", "|---|---|---:|---:|---:|", cells(col("player"), F.coalesce("team", F.lit("")), col("frags"), col("kills"), col("deaths")), "players"),
+        section(teams, [F.desc("frags"), "team"], "Teams", "| Team | Frags |", "|---|---:|", cells(col("team"), col("frags")), "teams", 2),
+        section(s, [F.desc("frags"), "duration_ms", "start_ms", "player"], "Top frag streaks", "| Player | Team | Frags | Duration | Weapon |", "|---|---|---:|---:|---|", cells(col("player"), F.coalesce("_team", F.lit("")), col("frags"), seconds, col("weapon")), "streaks"),
+        section(p, [F.desc("frags"), "start_ms", "player"], "Top powerup runs", "| Player | Team | Powerup | Duration | Frags |", "|---|---|---|---:|---:|", cells(col("player"), F.coalesce("_team", F.lit("")), col("powerup"), seconds, col("frags")), "powerups"),
+    ]
+    out = matches.select("match_id", "map", (F.col("match_end_ms") - F.col("match_start_ms")).alias("duration_ms"))
+    out = out.join(settings, "match_id", "left") if settings is not None else out.withColumns({c: F.lit(None).cast("string") for c in ("mode", "timelimit", "matchtag")})
+    for part in parts:
+        out = out.join(part, "match_id", "left")
+    known = lambda label, c, text: F.when(c, F.concat(F.lit(f"- {label}: "), text, F.lit("\n"))).otherwise("")
+    head = F.concat(
+        F.lit("# "), F.col("match_id").cast("string"), F.lit("\n\n- duration: "), seconds, F.lit("\n- map: "), F.col("map"), F.lit("\n"),
+        known("mode", F.coalesce(F.col("mode") != "", F.lit(False)), F.col("mode")), known("timelimit", F.coalesce(F.col("timelimit").cast("int") > 0, F.lit(False)), F.concat(F.col("timelimit").cast("string"), F.lit(" min"))),
+        known("matchtag", F.coalesce(F.col("matchtag") != "", F.lit(False)), F.col("matchtag")),
+    )
+    return out.select("match_id", F.concat(head, *[F.coalesce(c, F.lit("")) for c in ("players", "teams", "streaks", "powerups")]).alias("text"))
+
+
+def quality(frag_sums: DataFrame, official: DataFrame, stats: DataFrame, players: DataFrame, pickups: DataFrame | None = None) -> DataFrame:
+    """(check, match_id, subject): frag sums off by more than 2, health or armor out of range, names used twice, and items
+    that were taken by nobody (``pickups``: match_id, kind, player), once a kind."""
     both = frag_sums.join(official.withColumnRenamed("frags", "board"), KEYS, "full_outer").na.fill(0, ["frags", "board"])
     off = both.filter(F.abs(F.col("frags") - F.col("board")) > 2).select(F.lit("frags").alias("check"), "match_id", F.col("player").alias("subject"))
     bad = stats.filter(((F.col("field") == "h") & (F.col("v") > 250)) | ((F.col("field") == "a") & (F.col("v") > 200))).select(F.lit("range").alias("check"), "match_id", F.col("player").alias("subject")).distinct()
     twice = players.groupBy("match_id", "player").count().filter("count > 1").select(F.lit("name").alias("check"), "match_id", F.col("player").alias("subject"))
-    return off.unionByName(bad).unionByName(twice)
+    out = off.unionByName(bad).unionByName(twice)
+    if pickups is None:
+        return out
+    lost = pickups.filter("player is null").select(F.lit("pickup").alias("check"), "match_id", F.col("kind").alias("subject")).distinct()
+    return out.unionByName(lost)
 
 
 def coverage(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -291,7 +291,7 @@ SELECT r.match_id, r.seq, r.player, p.team FROM r LEFT JOIN players p ON p.match
 n AS (SELECT l.*, slot, (SELECT arg_max(name, (t_ms, seq)) FROM info i WHERE i.match_id = l.match_id AND i.slot = sl.slot AND i.t_ms <= l.t_ms) AS name FROM l JOIN sl USING (match_id))
 SELECT match_id, seq, t_ms, victim, min(slot) FILTER (name = victim) AS slot FROM n GROUP BY ALL""",
     "slot_names": _INFO + " SELECT b.match_id, CAST(b.user_id % 4 AS INT) AS slot, b.t_ms, b.seq, (SELECT arg_max(name, session) FROM sess s WHERE s.match_id = b.match_id AND s.slot = b.user_id % 4 AND (start_ms IS NULL OR start_ms <= b.t_ms)) AS name FROM base b WHERE event_type = 'view'",
-    "first_users": _INFO + " SELECT match_id, name, arg_min(user_id, (slot, seq)) AS user_id FROM info WHERE user_id > 0 GROUP BY match_id, name",
+    "first_users": _INFO + ", sl AS (SELECT match_id, slot, arg_min(user_id, seq) FILTER (user_id > 0) AS user_id, arg_max(name, seq) AS name FROM info GROUP BY ALL) SELECT match_id, name, arg_min(user_id, slot) AS user_id FROM sl WHERE user_id > 0 GROUP BY match_id, name",
     "rebased": SQL + """, s AS (SELECT *, CAST(match_id % 3 * 400000 AS INT) AS z FROM changes WHERE field = 'h'),
 e AS (SELECT match_id, player, arg_max(seq, (t_ms, seq)) AS seq, arg_max(v, (t_ms, seq)) AS v FROM s WHERE t_ms < z GROUP BY match_id, player)
 SELECT match_id, player, t_ms - z AS t_ms, seq, v FROM s WHERE t_ms >= z UNION ALL SELECT match_id, player, 0, seq, v FROM e WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.match_id = e.match_id AND s.player = e.player AND s.t_ms = s.z)""",

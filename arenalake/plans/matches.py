@@ -14,9 +14,11 @@ from arenalake.operators import kills as K
 from arenalake.operators import pickups as U
 from arenalake.operators import regions as R
 from arenalake.operators import scoreboard as S
+from arenalake.plans.boards import _BOARD, _board
+from arenalake.plans.frags import _LIFE
 from arenalake.plans.movement import _CTL, _GRAPH, STEP, _graph_input, _located, _marks
 from arenalake.sources import sections
-from arenalake.sources.lens import SQL, Lens
+from arenalake.sources.lens import MATCH_END, SQL, Lens
 from arenalake.sources.shared import shared_dir
 
 
@@ -63,6 +65,26 @@ def last_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.last_state(rows, [*KEYS, "event_type"], "v")
 
 
+def server_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of bulk texts and of single settings, the last write of each key by sequence."""
+    rows = Lens(spark, sf_dir).base
+    text = F.concat(F.lit("\\map\\m"), F.col("k").cast("string"), F.lit("\\mode\\"), "event_type", F.lit("\\limit\\"), F.col("iv").cast("string"))
+    bulk = rows.filter("k % 20 = 0").select("match_id", "seq", F.explode(X.key_values(text)).alias("key", "value"))
+    single = rows.filter("k % 20 = 7").select("match_id", "seq", F.when(F.col("k") % 3 == 0, "mode").otherwise(F.concat(F.lit("x"), (F.col("k") % 2).cast("string"))).alias("key"), F.col("iv").cast("string").alias("value"))
+    return S.last_state(bulk.unionByName(single), ["match_id", "key"], "value")
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown reports, by a digest of each."""
+    lens = Lens(spark, sf_dir)
+    runs = K.lives(lens.marks("sp"), lens.marks("d"), F.lit(MATCH_END)).drop("closed")
+    powerups = K.powerup_runs(lens.interval("q"), lens.frag_log).withColumn("powerup", F.lit("quad"))
+    odd = F.col("match_id") % 2 == 1
+    settings = lens.matches.filter("match_id % 3 > 0").select("match_id", F.when(odd, "4on4").alias("mode"), (F.col("match_id") % 4 * 5).alias("timelimit"), F.when(odd, "").otherwise("cup").alias("matchtag"))
+    out = S.markdown(lens.matches, _board(lens), K.streaks(runs, lens.frag_log), powerups, settings)
+    return out.select("match_id", F.sha2("text", 256).alias("sha"), F.length("text").alias("n"))
+
+
 def map_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = Lens(spark, sf_dir).table("nation")
     path = F.concat(F.lit("qw\\Maps/"), "n_name", F.when(F.col("n_nationkey") % 2 == 0, ".BSP").otherwise(" by  Somebody"))
@@ -118,7 +140,7 @@ def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.merged(one, other, ["t_ms"]).withColumn("pos", F.row_number().over(order))
 
 
-QUERIES = {f.__name__: f for f in (durations, rebased_intervals, fuzzy_players, player_teams, participants, last_states, map_names, loc_labels, bit_states, region_control_teams, graph_sections, merged_events)}
+QUERIES = {f.__name__: f for f in (durations, rebased_intervals, fuzzy_players, player_teams, participants, last_states, server_settings, reports, map_names, loc_labels, bit_states, region_control_teams, graph_sections, merged_events)}
 
 _N = "substr(player, 2)::INT"
 ORACLES = {
@@ -134,6 +156,22 @@ SELECT match_id, query, arg_min(player, (rank, slot)) AS player FROM r WHERE ran
     "player_teams": SQL + f" SELECT match_id, player, CASE WHEN {_N} % 8 = 0 THEN 'green' WHEN {_N} % 3 = 0 THEN 'yellow' ELSE team END AS team FROM players",
     "participants": SQL + f" SELECT match_id, player, team, {_N} % 4 AS frags FROM players WHERE {_N} % 6 > 2 AND {_N} % 4 <> 0",
     "last_states": SQL + " SELECT match_id, player, event_type, arg_max(iv, seq) AS v FROM base GROUP BY ALL",
+    "server_settings": SQL + """, w AS (SELECT match_id, seq, unnest(['map', 'mode', 'limit']) AS key, unnest(['m' || k, event_type, iv::VARCHAR]) AS value FROM base WHERE k % 20 = 0
+  UNION ALL SELECT match_id, seq, CASE WHEN k % 3 = 0 THEN 'mode' ELSE 'x' || (k % 2) END, iv::VARCHAR FROM base WHERE k % 20 = 7)
+SELECT match_id, key, arg_max(value, seq) AS value FROM w GROUP BY ALL""",
+    "reports": _LIFE.replace(SQL, _BOARD, 1) + """, i AS (SELECT l.match_id, l.player, start_ms, end_ms, weapon, count(*) AS n FROM life l JOIN frags f ON f.match_id = l.match_id AND f.killer = l.player AND NOT is_suicide AND NOT is_team_kill AND f.t_ms BETWEEN start_ms AND end_ms GROUP BY ALL),
+sk AS (SELECT match_id, player, start_ms, end_ms - start_ms AS d, sum(n)::BIGINT AS n, arg_min(weapon, (-n, weapon)) AS weapon FROM i GROUP BY match_id, player, start_ms, end_ms),
+pw AS (SELECT match_id, player, start_ms, end_ms - start_ms AS d, (SELECT count(*) FROM frags f WHERE f.match_id = q.match_id AND f.killer = q.player AND NOT is_suicide AND NOT is_team_kill AND f.t_ms BETWEEN q.start_ms AND q.end_ms) AS n FROM intervals q WHERE field = 'q'),
+s1 AS (SELECT match_id, row_number() OVER (PARTITION BY match_id ORDER BY n DESC, d, start_ms, player) AS r, '| ' || player || ' | ' || team || ' | ' || n || ' | ' || printf('%.1fs', d / 1000) || ' | ' || weapon || ' |' AS line FROM sk JOIN players USING (match_id, player)),
+p1 AS (SELECT match_id, row_number() OVER (PARTITION BY match_id ORDER BY n DESC, start_ms, player) AS r, '| ' || player || ' | ' || team || ' | quad | ' || printf('%.1fs', d / 1000) || ' | ' || n || ' |' AS line FROM pw JOIN players USING (match_id, player)),
+tx AS (SELECT match_id, '# ' || match_id || chr(10) || chr(10) || '- duration: ' || printf('%.1fs', (match_end_ms - match_start_ms) / 1000) || chr(10) || '- map: ' || map || chr(10)
+    || CASE WHEN match_id % 3 > 0 AND match_id % 2 = 1 THEN '- mode: 4on4' || chr(10) ELSE '' END || CASE WHEN match_id % 3 > 0 AND match_id % 4 > 0 THEN '- timelimit: ' || (match_id % 4 * 5) || ' min' || chr(10) ELSE '' END
+    || CASE WHEN match_id % 3 > 0 AND match_id % 2 = 0 THEN '- matchtag: cup' || chr(10) ELSE '' END
+    || coalesce(chr(10) || '## Players' || chr(10) || chr(10) || '| Name | Team | Frags | Kills | Deaths |' || chr(10) || '|---|---|---:|---:|---:|' || chr(10) || (SELECT string_agg('| ' || player || ' | ' || team || ' | ' || frags || ' | ' || kills || ' | ' || deaths || ' |', chr(10) ORDER BY frags DESC, player) FROM brd WHERE brd.match_id = m.match_id) || chr(10), '')
+    || coalesce(chr(10) || '## Teams' || chr(10) || chr(10) || '| Team | Frags |' || chr(10) || '|---|---:|' || chr(10) || (SELECT CASE WHEN count(*) > 1 THEN string_agg('| ' || team || ' | ' || n || ' |', chr(10) ORDER BY n DESC, team) END FROM (SELECT match_id, team, sum(frags)::BIGINT AS n FROM brd GROUP BY ALL) t WHERE t.match_id = m.match_id) || chr(10), '')
+    || coalesce(chr(10) || '## Top frag streaks' || chr(10) || chr(10) || '| Player | Team | Frags | Duration | Weapon |' || chr(10) || '|---|---|---:|---:|---|' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY r) FROM s1 WHERE s1.match_id = m.match_id AND r <= 5) || chr(10), '')
+    || coalesce(chr(10) || '## Top powerup runs' || chr(10) || chr(10) || '| Player | Team | Powerup | Duration | Frags |' || chr(10) || '|---|---|---|---:|---:|' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY r) FROM p1 WHERE p1.match_id = m.match_id AND r <= 5) || chr(10), '') AS text FROM matches m)
+SELECT match_id, sha256(text) AS sha, length(text)::INT AS n FROM tx""",
     "map_names": "SELECT n_nationkey, lower(n_name) AS map FROM nation",
     "loc_labels": SQL + " SELECT loc_id, trim(regexp_replace(lower(name), '[^a-z0-9+/._-]+', ' ', 'g')) || ' +hi' AS label FROM locs",
     "bit_states": SQL + """, c AS (SELECT match_id, player, seq, k % 128 AS b, iv FROM base WHERE event_type = 'click')

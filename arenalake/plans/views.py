@@ -107,7 +107,9 @@ def damage_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fallback_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     lens = Lens(spark, sf_dir)
     known = lens.players.filter("player like '%1'").withColumn("frags", F.lit(7).cast("long"))
-    return S.fallback(K.kills(lens.frag_log, lens.marks("d")), known).select(*KEYS, "kills", "deaths", "team", "frags")
+    board = K.kills(lens.frag_log, lens.marks("d"))
+    generic = lens.matches.select("match_id", F.lit("His teammate").alias("player"), F.lit(3).cast("long").alias("kills"), F.lit(0).cast("long").alias("deaths"))
+    return S.fallback(board.select(*KEYS, "kills", "deaths").unionByName(generic), known).select(*KEYS, "kills", "deaths", "team", "frags", "rank")
 
 
 def armor_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +125,9 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = K.deltas(lens.frag_log).groupBy(*KEYS).agg(F.sum("delta").alias("frags"))
     official = lens.players.select(*KEYS, (F.substring("player", 2, 9).cast("long") % 9 - 3).alias("frags"))
     stats = lens.base.filter("event_type = 'purchase'").select(*KEYS, F.lit("h").alias("field"), F.col("iv").alias("v"))
-    return S.quality(sums, official, stats, lens.players.unionByName(lens.players.filter("player like '%4'")))
+    kind = F.get(F.array(*map(F.lit, ("ra", "quad", "rl"))), F.col("k") % 3)
+    pickups = lens.base.filter("event_type = 'click'").select("match_id", kind.alias("kind"), F.when(F.col("k") % 50 > 2, F.col("player")).alias("player"))
+    return S.quality(sums, official, stats, lens.players.unionByName(lens.players.filter("player like '%4'")), pickups)
 
 
 def pickup_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,11 +221,11 @@ FROM intervals i JOIN p USING (match_id, player) JOIN t USING (match_id) WHERE f
     "damage_by_type": "SELECT l_orderkey % 50 AS match_id, coalesce(['axe', 'sg', 'ssg', 'ng', 'sng', 'gl', 'rl', 'lg', 'lg', 'lg'][l_linenumber * 2], 'unknown') AS weapon, count(*) AS n FROM lineitem GROUP BY ALL",
     "fallback_board": SQL + """, own AS (SELECT match_id, killer AS player, count(*) FILTER (NOT is_suicide AND NOT is_team_kill) AS kills FROM frags GROUP BY ALL), dead AS (SELECT match_id, player, count(*) AS deaths FROM deaths GROUP BY ALL),
 j AS (SELECT match_id, player, coalesce(kills, 0) AS kills, coalesce(deaths, 0) AS deaths FROM own FULL JOIN dead USING (match_id, player))
-SELECT j.match_id, j.player, kills, deaths, p.team, CASE WHEN p.team IS NOT NULL THEN 7 ELSE kills - deaths END::BIGINT AS frags FROM j LEFT JOIN (SELECT * FROM players WHERE player LIKE '%1') p USING (match_id, player)""",
+SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY frags DESC, player)::INT AS rank FROM (SELECT j.match_id, j.player, kills, deaths, p.team, CASE WHEN p.team IS NOT NULL THEN 7 ELSE kills - deaths END::BIGINT AS frags FROM j LEFT JOIN (SELECT * FROM players WHERE player LIKE '%1') p USING (match_id, player))""",
     "armor_shares": SQL + ", c AS (SELECT match_id, player, count(*) FILTER (v = 1) AS ga, count(*) FILTER (v = 2) AS ya, count(*) FILTER (v = 3) AS ra, count(*) AS ta FROM changes WHERE field = 'at' GROUP BY ALL) SELECT match_id, player, " + ", ".join(f"round(CASE WHEN ga + ya + ra > 0 THEN ta * {k} / (ga + ya + ra) ELSE 0 END, 6) AS {k}_armor" for k in ("ga", "ya", "ra")) + " FROM c",
     "quality_report": SQL + """, s AS (SELECT match_id, killer AS player, sum(CASE WHEN is_suicide OR is_team_kill THEN -1 ELSE 1 END) AS f FROM frags GROUP BY ALL), o AS (SELECT match_id, player, substr(player, 2)::BIGINT % 9 - 3 AS b FROM players)
 SELECT 'frags' AS check, match_id, player AS subject FROM s FULL JOIN o USING (match_id, player) WHERE abs(coalesce(f, 0) - coalesce(b, 0)) > 2
-UNION ALL SELECT DISTINCT 'range', match_id, player FROM base WHERE event_type = 'purchase' AND iv > 250 UNION ALL SELECT 'name', match_id, player FROM players WHERE player LIKE '%4'""".replace("AS check", 'AS "check"'),
+UNION ALL SELECT DISTINCT 'range', match_id, player FROM base WHERE event_type = 'purchase' AND iv > 250 UNION ALL SELECT 'name', match_id, player FROM players WHERE player LIKE '%4' UNION ALL SELECT DISTINCT 'pickup', match_id, ['ra', 'quad', 'rl'][k % 3 + 1] FROM base WHERE event_type = 'click' AND k % 50 <= 2""".replace("AS check", 'AS "check"'),
     "pickup_checks": SQL + """, t AS (SELECT match_id, player, t_ms, seq, ['rl', 'lg'][k % 2 + 1] AS weapon FROM base WHERE event_type = 'click'), bt AS (SELECT match_id, player, t_ms, seq, [96, 32, 0][k % 3 + 1] AS bits FROM base WHERE event_type = 'purchase'),
 h AS (SELECT t.*, coalesce((SELECT arg_max(bits, (t_ms, seq)) FROM bt WHERE bt.match_id = t.match_id AND bt.player = t.player AND bt.t_ms < t.t_ms), 0) & CASE weapon WHEN 'rl' THEN 32 ELSE 64 END AS had FROM t),
 f AS (SELECT match_id, player, weapon, count(*) AS found FROM h WHERE had = 0 GROUP BY ALL), o AS (SELECT match_id, player, unnest(['rl', 'gl']) AS weapon, 5 AS official FROM players)
