@@ -4,9 +4,11 @@ The model predicts a *unit* from the two units before it: the most frequent word
 words share units by their last letters.  Inside a shared unit a word has its smoothed share of the unit's training
 tokens.  Units stand in classes of neighbouring frequency; the model gives a class its probability, and a unit its
 probability inside the class, so token probabilities are normalised over a few hundred scores.  All training tokens are
-counted, by a shuffle.  All of them are also trained on, in rounds that each take a share of the documents: every task
-goes through the tokens of its rows in minibatches, with sampled noise, by batched matrix products; what the tasks have
-learned is averaged by Spark, weighted by tokens.  A task with few tokens goes through them several times.
+counted, by a shuffle.  All of them are also trained on, in rounds that each take a share of the documents, dealt to
+learners and put in order by a hash: every learner goes through the tokens of its rows in minibatches, with sampled noise,
+by batched matrix products; what they have learned is averaged by Spark, weighted by tokens.  A learner with few tokens goes
+through them several times.  How many learners there are follows from the tokens, so the model does not depend on how the
+rows are partitioned.
 Scoring reads every text once; what it needs of the words beyond the KNOWN most frequent ones comes by a join.
 
 A row is a document; a null or blank text holds only the end token; repeated rows and ids are scored one by one; a null
@@ -34,9 +36,10 @@ UNITS = CLASSES * SIZE
 SHARED = 64  #: units for all but the most frequent words
 SINGLE = UNITS - SHARED  #: units that are one frequent word each
 KNOWN = 1 << 18  #: most frequent words whose counts every task holds (2 MB)
-WIDTH, NOISE, ROUNDS, RATE = 16, 12, 3, 0.08
-BATCH = 1 << 15  #: tokens of a minibatch
-LEAST = 150_000  #: a task goes through its tokens again until it has taken so many in a round
+WIDTH, NOISE, ROUNDS, RATE = 32, 12, 3, 0.08
+BATCH = 1 << 13  #: tokens of a minibatch
+LEARNER = 1 << 20  #: tokens that a learner gets in a round, about
+LEAST = 500_000  #: ... and goes through again until it has taken so many
 PART = 1 << 15  #: parameters that are averaged together
 SCORED = 1 << 13  #: tokens that are scored together
 END = b"\n"  #: no word holds it
@@ -219,7 +222,8 @@ def train_units(train: DataFrame, single: dict[int, int], mass: np.ndarray, n_to
     p = start(mass)
     groups = isqrt(n_tokens >> 20) + 1  #: learners are averaged in so many groups first
     spark = train.sparkSession
-    share = F.pmod(F.xxhash64("text"), F.lit(rounds))
+    dealt = train.withColumn("_h", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"))
+    n_learners = max(1, round(n_tokens / rounds / LEARNER))
 
     def learners(model, take: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +261,9 @@ def train_units(train: DataFrame, single: dict[int, int], mass: np.ndarray, n_to
 
     for take in range(rounds):
         model = spark.sparkContext.broadcast({"single": single, "mass": mass, "p": p})
-        found = train.filter(share == take).mapInArrow(learners(model, take), "part int, learner int, n double, v binary")
+        rows = dealt.filter(F.pmod(F.col("_h"), F.lit(rounds)) == take).withColumn("_to", F.pmod(F.xxhash64("_h"), F.lit(n_learners)).cast("int"))
+        rows = rows.repartitionById(n_learners, "_to").sortWithinPartitions("_to", "_h").select("text", "_to")
+        found = rows.mapInArrow(learners(model, take), "part int, learner int, n double, v binary")
         found = materialize(found.withColumn("few", F.pmod("learner", F.lit(groups))), "learned")
         means = sorted(_averaged(_averaged(found, "few").withColumn("all", F.lit(0)), "all").collect())  # one vector in parts
         p = np.concatenate([np.frombuffer(r["v"], np.float32) for r in means]) if means else p
@@ -268,7 +274,7 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of op9, one row a document."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col(text).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
-    train = docs.filter(~F.col("held_out")).select("text")
+    train = docs.filter(~F.col("held_out")).select("text", "doc_id")
     counts = materialize(word_counts(train), "words")
     n_tokens, n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = most_frequent(counts, "n", KNOWN).toPandas().sort_values(["n", "h"], ascending=[False, True])  # at most KNOWN rows
