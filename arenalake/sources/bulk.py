@@ -85,6 +85,9 @@ def run_folder(spark: SparkSession, source: str, target: str, analyzers: dict[st
     payload) and ``target/files`` (see ``outcomes``).  A file without events fails, and the run goes on; so it does when an
     analyzer fails on a match.  A batch's match names pass through the driver, ``files_per_batch`` files at a time.
     """
+    for name in (*analyzers, "errors", "files"):  # readers find a table, if an empty one, where all fails
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{name}")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
     total = [0, 0, 0]
 
     def batch(files: DataFrame, _: int) -> None:

@@ -58,3 +58,12 @@ def test_runs_go_on(spark, folder, tmp_path):
     (folder / "f.jsonl").write_text(line("frag", 7) + "\n" + json.dumps({"match_id": "g", "kind": "frag", "time": 8}))
     assert bulk.run_folder(spark, str(folder), out, {"kinds": kinds}) == bulk.Counts(1, 0, 0)
     assert {(r.match_id, r.n) for r in read(spark, f"{out}/kinds").collect()} == {("a", 3), ("b", 1), ("e", 2), ("f", 1), ("g", 1)}
+
+
+def test_all_fail(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    (src / "a.jsonl").write_text(line("bad", 1))
+    (src / "b.jsonl").write_text("nothing")
+    assert bulk.run_folder(spark, str(src), out, {"killers": killers}) == bulk.Counts(1, 1, 2)
+    assert spark.read.schema("match_id string, killers string").json(f"{out}/killers").count() == 0
