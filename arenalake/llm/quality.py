@@ -110,7 +110,7 @@ def clean(docs: DataFrame, text: str = "text", host: str = "source") -> DataFram
     part = lambda h: F.pmod(h, F.lit(SPREAD)).cast("int")
     parts = F.transform(F.sequence(F.lit(0), F.lit(SPREAD - 1)), lambda i: F.filter("common", lambda h: part(h) == i))
     hits = hits.select("doc_id", "host", F.when(F.size("common") > SPREAD // 16, parts).otherwise(F.array("common")).alias("common"))
-    hits = materialize(hits, "lines")  # joined at every size: a broadcast would only do for a small one
+    hits = materialize(hits, "lines")  # Spark broadcasts it where it is below its own threshold
     own = docs.select(F.struct("*").alias("row"), "doc_id", F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("-")).alias("host"), F.col(text).alias("t"))
 
     def known(h: Column) -> Column:
