@@ -10,7 +10,7 @@ from arenalake.functions.temporal import KEYS, asof
 from arenalake.sources.shared import settled
 
 SIDE = 256.0  #: side of grid cells in radius joins
-PER_CELL, LEAST_SIDE = 3, 64.0  #: points that a cell of the first search holds on average, and its side at least
+PER_CELL = 3  #: points that a cell of the first search holds on average
 PLACE = ["map", "x", "y", "z"]
 
 
@@ -35,42 +35,65 @@ def _around(rows: DataFrame, cells: int, side: float) -> DataFrame:
     return wide.withColumn("_cy", F.explode(F.transform(steps, lambda i: _cell("y", side) + i)))
 
 
-def nearest_point(places: DataFrame, locs: DataFrame) -> DataFrame:
-    """(map, x, y, z, loc_id) of distinct places: the map's nearest point in three dimensions, the lowest id on a tie.
+def _searched(rows: DataFrame, locs: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with loc_id, the nearest point of the row's ``keys`` in three dimensions, the lowest id on a tie; rows of keys
+    without points are left out.
 
-    A map's cells are as wide as its points are dense.  The nine cells around a place hold every point as near as a cell's
-    side; places that have none as near are searched again in cells eight times as wide, until there are none left.  Each
-    search is settled once and joins on map and cell.
+    A key's cells are as wide as its points are dense.  Each point is listed in the nine cells around it, so a row meets the
+    list of its cell once, and nothing is joined in pairs.  A row outside the box of the points looks from the place of the
+    box that is nearest to it: points beyond the nine cells are farther by Pythagoras.  Rows that have none as near as that
+    look again in cells twice as wide, until a cell holds the whole box.  Each search is settled once.
     """
-    points = locs.select("map", "loc_id", *[F.col(c).cast("float").alias(f"_{c}") for c in "xyz"])
-    area = F.greatest(F.max("_x") - F.min("_x"), F.lit(1.0)) * F.greatest(F.max("_y") - F.min("_y"), F.lit(1.0))
-    sides = settled(points.groupBy("map").agg(F.greatest(F.lit(LEAST_SIDE), F.sqrt(area / F.count("*") * PER_CELL)).alias("_side")))
-    points, rest = points.join(sides, "map"), places.select(*PLACE).distinct().join(sides, "map")
-    key = F.when(F.col("loc_id").isNotNull(), F.struct(_distance2("", "_").alias("d2"), "loc_id"))
+    axes = "xyz"
+    at = lambda c: F.col(c).cast("float")
+    finite = [at(c).isNotNull() & ~F.isnan(at(c)) for c in axes]
+    points = locs.filter(finite[0] & finite[1] & finite[2]).groupBy(*keys, *[at(c).alias(f"_{c}") for c in axes]).agg(F.min("loc_id").alias("loc_id"))
+    span = lambda c: F.max(f"_{c}").cast("double") - F.min(f"_{c}")
+    area = F.greatest(span("x"), F.lit(1.0)) * F.greatest(span("y"), F.lit(1.0))
+    ends = [f(f"_{c}").cast("double").alias(f"_{name}{c}") for c in axes for f, name in ((F.min, "lo"), (F.max, "hi"))]
+    points = settled(points)
+    boxes = settled(points.groupBy(*keys).agg(F.sqrt(area / F.count("*") * PER_CELL).alias("_side"), F.greatest(span("x"), span("y")).alias("_span"), *ends))
+    known = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
+    points, rest = points.join(boxes.select(*keys, "_side"), keys), rows.filter(known).join(boxes, keys)
+    inside = {c: F.greatest(F.least(at(c).cast("double"), F.col(f"_hi{c}")), F.col(f"_lo{c}")) for c in axes}
+    gap = sum((at(c).cast("double") - inside[c]) ** 2 for c in axes)
     out, wide = None, 1
     while True:
         side = F.col("_side") * wide
-        of = lambda c: F.floor(F.col(c) / side).cast("long")  # noqa: B023, E731
-        around = rest.withColumn("_cx", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: of("x") + i)))
-        around = around.withColumn("_cy", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: of("y") + i)))
-        there = points.select("map", "loc_id", "_x", "_y", "_z", of("_x").alias("_cx"), of("_y").alias("_cy"))
-        near = settled(around.join(there, ["map", "_cx", "_cy"], "left").groupBy(*PLACE, "_side").agg(F.min(key).alias("best")))
-        sure = F.coalesce(F.col("best.d2") <= side * side, F.lit(False))
-        found = near.filter(sure).select(*PLACE, "best.loc_id")
+        of = lambda c: F.floor(c / side).cast("long")  # noqa: B023, E731
+        around = lambda c: F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: of(F.col(c)) + i))  # noqa: B023, E731
+        there = points.withColumn("_cx", around("_x")).withColumn("_cy", around("_y"))
+        there = there.groupBy(*keys, "_cx", "_cy").agg(F.collect_list(F.struct("_x", "_y", "_z", "loc_id")).alias("_near"))
+        d = lambda p: [at(c) - p[f"_{c}"] for c in axes]
+        far = lambda p: F.struct((d(p)[0] * d(p)[0] + d(p)[1] * d(p)[1] + d(p)[2] * d(p)[2]).alias("d2"), p["loc_id"].alias("loc_id"))
+        asked = rest.withColumns({"_cx": of(inside["x"]), "_cy": of(inside["y"])})
+        best = F.array_min(F.transform("_near", far))
+        # the margin is that of single precision
+        sure = (F.col("_best.d2") * (1 + 1e-6) <= gap + side * side) | (F.col("_span") <= side)
+        near = asked.join(there, [*keys, "_cx", "_cy"], "left").withColumn("_best", best).withColumn("_sure", F.coalesce(sure, F.lit(False)))
+        near = settled(near.select(*rest.columns, F.col("_best.loc_id").alias("loc_id"), "_sure"))
+        found = near.filter("_sure").select(*rows.columns, "loc_id")
         out = found if out is None else out.unionByName(found)
-        rest = near.filter(~sure).select(*PLACE, "_side")
+        rest = near.filter(~F.col("_sure")).select(*rest.columns)
         if not rest.head(1):
             return out
-        wide *= 8
+        wide *= 2
+
+
+def nearest_point(places: DataFrame, locs: DataFrame) -> DataFrame:
+    """(map, x, y, z, loc_id) of distinct places: the map's nearest point, see ``_searched``."""
+    return _searched(places.select(*PLACE).distinct(), locs, ["map"])
 
 
 def locate(positions: DataFrame, locs: DataFrame) -> DataFrame:
     """``positions`` with li, the id of the map's nearest point; 0 for the origin, which stands for no position.
 
-    The result is settled: what is asked of it later does not search again.
+    The search is settled: what is asked of the result later does not search again.
     """
-    nearest = positions.join(nearest_point(positions, locs).withColumnRenamed("loc_id", "li"), PLACE)
-    return settled(nearest.withColumn("li", F.when((F.col("x") == 0) & (F.col("y") == 0) & (F.col("z") == 0), 0).otherwise(F.col("li"))))
+    origin = (F.col("x") == 0) & (F.col("y") == 0) & (F.col("z") == 0)
+    nowhere = positions.filter(origin).join(locs.select("map").distinct(), "map", "left_semi")
+    found = _searched(positions.filter(~origin), locs, ["map"]).withColumnRenamed("loc_id", "li")
+    return found.unionByName(nowhere.withColumn("li", F.lit(0).cast(found.schema["li"].dataType)))
 
 
 def within(places: DataFrame, locs: DataFrame, radius: float) -> DataFrame:
@@ -81,17 +104,15 @@ def within(places: DataFrame, locs: DataFrame, radius: float) -> DataFrame:
 
 
 def visible_nearest(positions: DataFrame, locs: DataFrame, visible: DataFrame) -> DataFrame:
-    """``positions`` (with leaf_id) with li: the nearest among the points visible from the leaf, or among all if none is.
+    """``positions`` (with leaf_id) with li: the nearest among the points visible from the leaf, or, if none is, what
+    ``locate`` gives.
 
-    ``visible``: (map, leaf_id, loc_id).
+    ``visible``: (map, leaf_id, loc_id).  The points of a leaf are searched as those of a map are.
     """
-    places = positions.select(*PLACE, "leaf_id").distinct()
-    key = F.struct(_distance2("", "_").alias("d2"), "loc_id")
-    seen = visible.join(_points(locs, SIDE), ["map", "loc_id"])
-    seen = places.join(seen, ["map", "leaf_id"]).groupBy(*PLACE, "leaf_id").agg(F.min(key)["loc_id"].alias("_li"))
-    plain = nearest_point(places, locs)
-    both = places.join(seen, [*PLACE, "leaf_id"], "left").join(plain, PLACE).select(*PLACE, "leaf_id", F.coalesce("_li", "loc_id").alias("li"))
-    return positions.join(both, [*PLACE, "leaf_id"])
+    keys = ["map", "leaf_id"]
+    seen = visible.select(*keys, "loc_id").join(locs.select("map", "loc_id", "x", "y", "z"), ["map", "loc_id"])
+    blind = positions.join(seen.select(*keys).distinct(), keys, "left_anti")
+    return _searched(positions, seen, keys).withColumnRenamed("loc_id", "li").unionByName(locate(blind, locs))
 
 
 def smooth(located: DataFrame, boundaries: DataFrame, threshold_ms: int = 250) -> DataFrame:
@@ -137,7 +158,11 @@ def bounds(positions: DataFrame, locs: DataFrame | None = None) -> DataFrame:
     """Smallest and largest x and y of each match: of its positions, without the origin, and of its map's points."""
     rows = positions.filter("x <> 0 or y <> 0 or z <> 0").select("match_id", "x", "y")
     if locs is not None:
-        rows = rows.unionByName(positions.select("match_id", "map").distinct().join(locs.select("map", "x", "y"), "map").select("match_id", "x", "y"))
+        ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("x", "y") for f in (F.min, F.max)]
+        # two corners stand for all points of a map
+        corners = F.explode(F.array(*[F.struct(F.col(f"{n}_x").alias("x"), F.col(f"{n}_y").alias("y")) for n in ("min", "max")]))
+        boxes = locs.groupBy("map").agg(*ends).select("map", corners.alias("p"))
+        rows = rows.unionByName(positions.select("match_id", "map").distinct().join(boxes, "map").select("match_id", "p.x", "p.y"))
     return rows.groupBy("match_id").agg(*[f(c).cast("double").alias(f"{f.__name__}_{c}") for c in ("x", "y") for f in (F.min, F.max)])
 
 
