@@ -70,8 +70,11 @@ def loc_name_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def loc_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     lens = Lens(spark, sf_dir)
-    table = lens.locs.join(lens.matches, "map").filter("loc_id % 3 <> 0").select("match_id", F.col("loc_id").alias("li"), "name")
-    return V.loc_names(_located(lens).select(*KEYS, "seq", "li"), table)
+    rows = _located(lens).select(*KEYS, "seq", "map", "li")
+    # a match's table holds the points that its rows name, not all of its map
+    named = lens.locs.filter("loc_id % 3 <> 0").select("map", F.col("loc_id").alias("li"), "name")
+    table = rows.select("match_id", "map", "li").distinct().join(named, ["map", "li"]).select("match_id", "li", "name")
+    return V.loc_names(rows.drop("map"), table)
 
 
 def powerup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

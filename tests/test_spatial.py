@@ -49,3 +49,13 @@ def test_a_row_is_settled_once_a_search(spark, world, monkeypatch):
     monkeypatch.setattr(S, "settled", lambda df, real=S.settled: sizes.append((out := real(df)).count()) or out)
     S.locate(world[3], world[2]).count()
     assert max(sizes[2:]) <= 304 and sizes[0] <= 200  # equal points are one
+
+
+def test_names_are_of_points_in_use(spark, monkeypatch):
+    """loc_names' table is no larger than its rows, however many matches share a map."""
+    from arenalake.operators import filters as V
+    from arenalake.plans import views
+
+    seen = {}
+    monkeypatch.setattr(V, "loc_names", lambda rows, table, real=V.loc_names: seen.update(rows=rows.count(), table=table.count()) or real(rows, table))
+    assert views.loc_names(spark, "/root/testdata/sf0.1").count() == seen["rows"] >= seen["table"] > 0
