@@ -14,9 +14,9 @@ from arenalake.sources.shared import shared_dir
 
 def _killers(events: DataFrame) -> DataFrame:
     """Fails on a match that has an event of this value."""
-    k = F.try_variant_get("data", "$.k", "int")
-    checked = F.when((F.col("kind") == "click") & (F.try_variant_get("data", "$.value", "int") > 150), F.raise_error(F.lit("value out of range"))).otherwise(k)
-    return events.groupBy("match_id").agg(F.sum(checked).alias("total"))
+    at = lambda field: F.try_variant_get("data", f"$.{field}", "int")
+    wrong = (F.col("kind") == "click") & (at("value") > 150)
+    return events.groupBy("match_id").agg(F.sum(at("k")).alias("total"), F.max(F.when(wrong, "value out of range")).alias("error"))
 
 
 def _kinds(events: DataFrame) -> DataFrame:

@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from arenalake.sources.shared import settled
 
+#: Rows with match_id of the events given.  An optional column ``error`` is null, or says why a match fails: then none of
+#: the match's rows are kept.
 Analyzer = Callable[[DataFrame], DataFrame]
+ERRORS = "match_id string, analyzer string, reason string"
 
 
 class Counts(NamedTuple):
@@ -66,16 +69,37 @@ def _write(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("match_id").json(path)
 
 
-def _analyzed(good: DataFrame, matches: list[str], name: str, analyzer: Analyzer, path: str) -> list[tuple[str, str, str]]:
-    """Writes an analyzer's results; a match that it fails on is found by halving, and the others keep theirs."""
+def _analyzed(good: DataFrame, name: str, analyzer: Analyzer, path: str) -> DataFrame:
+    """Writes an analyzer's results; its errors as (match_id, analyzer, reason).
+
+    Matches for which it gives an error are told from its rows, all at once.  Where it raises instead, Spark says for no row
+    why, and the matches that it raises on are found by halving, at some jobs for each; the others keep theirs.
+    """
+    spark = good.sparkSession
+
+    def attempt(rows: DataFrame) -> DataFrame:
+        out = analyzer(rows)
+        if "error" not in out.columns:
+            _write(out, path)
+            return spark.createDataFrame([], ERRORS)
+        out = settled(out)
+        failed = out.filter("error is not null").groupBy("match_id").agg(F.min("error").alias("reason"))
+        _write(out.join(failed, "match_id", "left_anti").drop("error"), path)
+        return failed.select("match_id", F.lit(name).alias("analyzer"), "reason")
+
+    def halved(matches: list[str]) -> DataFrame:
+        try:
+            return attempt(good.filter(F.col("match_id").isin(matches)))
+        except Exception as e:  # noqa: BLE001 - whatever an analyzer does is kept as its error
+            if len(matches) == 1:
+                return spark.createDataFrame([(matches[0], name, str(e).strip().splitlines()[0][:500])], ERRORS)
+            half = len(matches) // 2
+            return halved(matches[:half]).unionByName(halved(matches[half:]))
+
     try:
-        _write(analyzer(good.filter(F.col("match_id").isin(matches))), path)
-        return []
-    except Exception as e:  # noqa: BLE001 - whatever an analyzer does is kept as its error
-        if len(matches) == 1:
-            return [(matches[0], name, str(e).strip().splitlines()[0][:500])]
-        half = len(matches) // 2
-        return [x for part in (matches[:half], matches[half:]) for x in _analyzed(good, part, name, analyzer, path)]
+        return attempt(good)
+    except Exception:  # noqa: BLE001
+        return halved(sorted(r[0] for r in good.select("match_id").distinct().collect()))
 
 
 def run_folder(spark: SparkSession, source: str, target: str, analyzers: dict[str, Analyzer], files_per_batch: int = 500) -> Counts:
@@ -83,7 +107,8 @@ def run_folder(spark: SparkSession, source: str, target: str, analyzers: dict[st
 
     Writes JSON by match: ``target/<analyzer>`` (its rows, with match_id), ``target/errors`` (match_id, analyzer, line, reason,
     payload) and ``target/files`` (see ``outcomes``).  A file without events fails, and the run goes on; so it does when an
-    analyzer fails on a match.  A batch's match names pass through the driver, ``files_per_batch`` files at a time.
+    analyzer fails on a match.  Where an analyzer raises, the batch's match names pass through the driver,
+    ``files_per_batch`` files at a time.
     """
     for name in (*analyzers, "errors", "files"):  # readers find a table, if an empty one, where all fails
         place = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{name}")
@@ -96,9 +121,10 @@ def run_folder(spark: SparkSession, source: str, target: str, analyzers: dict[st
         seen = Observation()
         found = outcomes(files, events, good).observe(seen, F.count_if(F.col("status") == "processed").alias("processed"), F.count_if(F.col("status") == "failed").alias("failed"))
         _write(found, f"{target}/files")
-        matches = sorted(r[0] for r in good.select("match_id").distinct().collect())
-        raised = [x for name, analyzer in analyzers.items() for x in _analyzed(good, matches, name, analyzer, f"{target}/{name}")]
-        own = spark.createDataFrame(raised, "match_id string, analyzer string, reason string").select("match_id", "analyzer", F.lit(None).cast("int").alias("line"), "reason", F.lit(None).cast("string").alias("payload"))
+        own = spark.createDataFrame([], ERRORS)
+        for name, analyzer in analyzers.items():
+            own = own.unionByName(_analyzed(good, name, analyzer, f"{target}/{name}"))
+        own = own.select("match_id", "analyzer", F.lit(None).cast("int").alias("line"), "reason", F.lit(None).cast("string").alias("payload"))
         noted = Observation()
         bad = events.filter("reason is not null").select("match_id", F.lit("reader").alias("analyzer"), "line", "reason", "payload")
         _write(bad.unionByName(own).observe(noted, F.count("*").alias("errors")), f"{target}/errors")

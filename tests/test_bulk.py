@@ -67,3 +67,20 @@ def test_all_fail(spark, tmp_path):
     (src / "b.jsonl").write_text("nothing")
     assert bulk.run_folder(spark, str(src), out, {"killers": killers}) == bulk.Counts(1, 1, 2)
     assert spark.read.schema("match_id string, killers string").json(f"{out}/killers").count() == 0
+
+
+def test_errors_as_rows(spark, tmp_path):
+    """An analyzer that gives its errors as rows runs once, however many matches fail; their other rows are not kept."""
+    src, out, calls = tmp_path / "in", str(tmp_path / "out"), []
+    src.mkdir()
+    for i in range(20):
+        (src / f"m{i}.jsonl").write_text("\n".join([line("frag", 1, killer="x")] + [line("bad", 2)] * (i % 4 > 0)))
+
+    def by_kind(events):
+        calls.append(1)
+        return events.groupBy("match_id", "kind").agg(F.count("*").alias("n")).withColumn("error", F.when(F.col("kind") == "bad", "no such kind"))
+
+    assert bulk.run_folder(spark, str(src), out, {"by_kind": by_kind}) == bulk.Counts(20, 0, 15)
+    assert sorted(r.match_id for r in read(spark, f"{out}/by_kind").collect()) == ["m0", "m12", "m16", "m4", "m8"] and len(calls) == 1
+    assert "error" not in read(spark, f"{out}/by_kind").columns
+    assert {(r.analyzer, r.reason) for r in read(spark, f"{out}/errors").collect()} == {("by_kind", "no such kind")}
