@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arenalake.functions import text as X
 from arenalake.functions.temporal import KEYS
 from arenalake.operators.kills import GENERIC
 
@@ -145,7 +146,7 @@ def markdown(matches: DataFrame, players: DataFrame, streaks: DataFrame, powerup
     timelimit and matchtag, each of which may be null.
     """
     side = players.select(*KEYS, F.coalesce("team", F.lit("")).alias("_team"))
-    seconds = F.format_string("%.1fs", F.col("duration_ms") / 1000)
+    seconds = X.seconds(F.col("duration_ms"))
 
     def section(rows: DataFrame, order: list, head: str, names: str, rule: str, line: Column, name: str, least: int = 1) -> DataFrame:
         ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("match_id").orderBy(*order))).withColumn("_line", line)
