@@ -14,7 +14,7 @@ DEFAULT_EVENTS = ["frag", "powerup", "streak", "spawn", "death", "weapon", "item
 
 def state_at(probes: DataFrame, numbers: dict[str, DataFrame], intervals: dict[str, DataFrame], positions: DataFrame | None = None) -> DataFrame:
     """State at each probe (match_id, player, t_ms): latest values, held items, and the position nearest in time (the earlier
-    one on a tie).  All streams and the probes are merged in one sorted stream a player."""
+    one on a tie, by time and then by sequence).  All streams and the probes are merged in one sorted stream a player."""
     rows = probes.select(*KEYS, "t_ms", F.lit(None).cast("long").alias("seq"), F.lit(1).alias("_probe"), F.struct(*probes.columns).alias("_row"))
 
     def merge(stream: DataFrame, time: str, value: Column, name: str) -> None:
@@ -30,6 +30,9 @@ def state_at(probes: DataFrame, numbers: dict[str, DataFrame], intervals: dict[s
         merge(positions, "t_ms", F.struct(F.col("t_ms").alias("at"), "x", "y", "z"), "_place")
     track = Window.partitionBy(*KEYS).orderBy("t_ms", "_probe", "seq")
     past = track.rowsBetween(Window.unboundedPreceding, 0)
+    if positions is not None:  # of several positions of one time the first by sequence counts
+        last = F.max(F.when(F.col("_place").isNotNull(), F.col("t_ms"))).over(track.rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumn("_place", F.when(last.isNull() | (last < F.col("t_ms")), F.col("_place")))
     seen = {field: F.last(f"_{field}", ignorenulls=True).over(past) for field in numbers}
     seen |= {field: F.coalesce(F.max(f"_{field}").over(past) > F.col("t_ms"), F.lit(False)) for field in intervals}
     if positions is None:

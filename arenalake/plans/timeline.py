@@ -157,7 +157,7 @@ SELECT match_id, team, bucket, field, (hi - v)::BIGINT AS low, hi::BIGINT AS hig
 SELECT p.match_id, p.player, p.t_ms::INT AS t_ms,
   (SELECT arg_max(v, (t_ms, seq)) FROM changes x WHERE field = 'h' AND x.match_id = p.match_id AND x.player = p.player AND x.t_ms <= p.t_ms) AS h,
   (SELECT arg_max(v, (t_ms, seq)) FROM changes x WHERE field = 'a' AND x.match_id = p.match_id AND x.player = p.player AND x.t_ms <= p.t_ms) AS a,
-""" + ", ".join(f"EXISTS (SELECT 1 FROM intervals i WHERE field = '{f}' AND i.match_id = p.match_id AND i.player = p.player AND i.start_ms <= p.t_ms AND p.t_ms < i.end_ms) AS {f}" for f in ("rl", "lg", "q")) + "".join(f", (SELECT arg_min({c}, (abs(x.t_ms - p.t_ms), x.t_ms)) FROM positions x WHERE x.match_id = p.match_id AND x.player = p.player) AS {c}" for c in "xyz") + " FROM probe p",
+""" + ", ".join(f"EXISTS (SELECT 1 FROM intervals i WHERE field = '{f}' AND i.match_id = p.match_id AND i.player = p.player AND i.start_ms <= p.t_ms AND p.t_ms < i.end_ms) AS {f}" for f in ("rl", "lg", "q")) + "".join(f", (SELECT arg_min({c}, (abs(x.t_ms - p.t_ms), x.t_ms, x.seq)) FROM positions x WHERE x.match_id = p.match_id AND x.player = p.player) AS {c}" for c in "xyz") + " FROM probe p",
     "stream_slice": SQL + """, rows AS (SELECT match_id, player, 600000 AS t_ms, -1 AS seq, arg_max(v, (t_ms, seq)) AS v FROM changes WHERE field = 'h' AND t_ms < 600000 GROUP BY match_id, player
   UNION ALL SELECT match_id, player, t_ms, seq, v FROM changes WHERE field = 'h' AND t_ms >= 600000 AND t_ms < 1800000)
 SELECT match_id, player, t_ms, v FROM (SELECT *, lag(v) OVER (PARTITION BY match_id, player ORDER BY t_ms, seq) AS was FROM rows) WHERE was IS DISTINCT FROM v""",
