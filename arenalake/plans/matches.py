@@ -19,7 +19,7 @@ from arenalake.plans.frags import _LIFE
 from arenalake.plans.movement import _CTL, _GRAPH, STEP, _graph_input, _located, _marks
 from arenalake.sources import sections
 from arenalake.sources.lens import MATCH_END, SQL, Lens
-from arenalake.sources.shared import shared_dir
+from arenalake.sources.shared import settled, shared_dir
 
 
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,8 +115,10 @@ def region_control_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes and edges as sections: post-processed, written in order, and one match of them read back as written."""
     lens = Lens(spark, sf_dir)
-    nodes = R.graph_nodes(_graph_input(lens), _marks(lens), STEP).groupBy("match_id", F.col("loc").alias("name")).agg(F.sum("ms").alias("n"))
-    edges = R.graph_edges(_graph_input(lens), _marks(lens), 500.0).groupBy("match_id", "from_loc", "to_loc").agg(F.sum("n").alias("n"))
+    rows = _graph_input(lens)  # one search for both
+    nodes = R.graph_nodes(rows, _marks(lens), STEP).groupBy("match_id", F.col("loc").alias("name")).agg(F.sum("ms").alias("n"))
+    edges = R.graph_edges(rows, _marks(lens), 500.0).groupBy("match_id", "from_loc", "to_loc").agg(F.sum("n").alias("n"))
+    edges = settled(edges)  # nodes count them, and they are a section themselves
     counted = lambda t: {"nodes": t["nodes"].join(t["edges"].groupBy("match_id", F.col("from_loc").alias("name")).agg(F.sum("n").alias("out")), ["match_id", "name"], "left").na.fill(0, ["out"])}
     tables = sections.processed({"nodes": nodes, "edges": edges}, [counted, lambda t: {"edges": t["edges"].filter("n > 1")}])
     path = f"{shared_dir(spark)}/sections-{uuid.uuid4().hex}"

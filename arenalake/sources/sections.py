@@ -29,13 +29,24 @@ def processed(tables: Tables, steps: Iterable[Callable[[Tables], Tables]]) -> Ta
 
 
 def write(tables: Tables, path: str, orders: dict[str, list[str]] = ORDERS) -> None:
-    """Each table as ``path/<name>/match_id=...``: a file a match and task, its rows in the section's order."""
+    """Each table as ``path/<name>/match_id=...``: a file a match and task, its rows in the section's order.
+
+    Folders cost more than rows, so all tasks share them, and each task puts its own in place: a folder that holds an
+    earlier result is emptied first, and is whole again when the call returns.
+    """
     for name, rows in tables.items():
         order = [*orders.get(name, []), *[c for c in ("side",) if c in rows.columns]]
-        rows.repartition("match_id").sortWithinPartitions("match_id", *order).write.mode("overwrite").partitionBy("match_id").parquet(f"{path}/{name}")
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        writer = rows.repartition(tasks, "match_id").sortWithinPartitions("match_id", *order).write.mode("overwrite")
+        writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("match_id").parquet(f"{path}/{name}")
 
 
 def read(spark: SparkSession, path: str, name: str, match_id: int | None = None) -> DataFrame:
-    """A section as it was written, of all matches or of one: only that match's folder is read."""
-    rows = spark.read.parquet(f"{path}/{name}")
-    return rows if match_id is None else rows.filter(F.col("match_id") == match_id)
+    """A section as it was written, of all matches or of one: only that match's folder is listed and read."""
+    if match_id is None:
+        return spark.read.parquet(f"{path}/{name}")
+    own = f"{path}/{name}/match_id={match_id}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(own)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):  # a match without rows
+        return spark.read.parquet(f"{path}/{name}").filter(F.col("match_id") == match_id)
+    return spark.read.option("basePath", f"{path}/{name}").parquet(own).filter(F.col("match_id") == match_id)

@@ -28,3 +28,12 @@ def test_post_processors_see_what_came_before(spark):
     steps = [lambda x: {"a": x["a"].filter("id > 0")}, lambda x: {"c": x["a"].selectExpr("id * 10 AS id")}]
     out = sections.processed(t, steps)
     assert {k: sorted(r.id for r in v.collect()) for k, v in out.items()} == {"a": [1, 2], "b": [0], "c": [10, 20]} and set(t) == {"a", "b"}
+
+
+def test_other_matches_are_not_listed(spark, tmp_path):
+    rows = spark.createDataFrame([(m, "n", m) for m in range(6)], "match_id int, name string, v int")
+    sections.write({"nodes": rows}, str(tmp_path))
+    assert sections.read(spark, str(tmp_path), "nodes", 9).count() == 0
+    (tmp_path / "nodes" / "stray").mkdir()
+    (tmp_path / "nodes" / "stray" / "x.parquet").write_text("no section: who lists the whole folder fails")
+    assert [r.v for r in sections.read(spark, str(tmp_path), "nodes", 4).collect()] == [4]
