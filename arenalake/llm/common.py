@@ -41,12 +41,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def materialize_by(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
-    """``materialize`` into ``n`` buckets by ``key``: later joins on the key move only their other side."""
+def materialize_by(df: DataFrame, name: str, key: str, n: int, dealt: bool = False) -> DataFrame:
+    """``materialize`` into ``n`` buckets by ``key``: later joins on the key move only their other side.
+
+    ``dealt``: the rows are in ``n`` parts by the key already.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/arenalake-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     table = f"arenalake_{name}_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
+    (df if dealt else df.repartition(n, key)).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
     _path(spark, path, lambda fs, p: fs.deleteOnExit(p))
     _written.append(path)
     out = spark.table(table)

@@ -117,11 +117,13 @@ def _settled(source: DataFrame, kind: Kind, level: int, n_buckets: int) -> DataF
                 got.append((key, code, np.full(len(key), LAST if doc is None else doc), np.full(len(key), row), first, n))
             columns = [np.concatenate(c) for c in zip(*got, strict=True)]
             if len(columns[0]):
-                order, gone, _ = settle(columns, kind.within)
-                columns = [c[order] for c in columns]
-                # what is settled here passes through by a bucket below zero
+                order, settled, _ = settle(columns, kind.within)
+                gone = np.empty(len(order), bool)
+                gone[order] = settled
+                # what is settled here passes through by a bucket below zero, where hashes count no more; places stay in the
+                # order of the texts, in which they take least room
                 bucket = np.where(gone, -1 - columns[3] % n_buckets, columns[0] % n_buckets)
-                yield deal(bucket, columns)
+                yield deal(bucket, [np.where(gone, 0, c) if i < 2 else c for i, c in enumerate(columns)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, columns, _ in buckets(batches, 6):
@@ -142,8 +144,14 @@ def _settled(source: DataFrame, kind: Kind, level: int, n_buckets: int) -> DataF
     return dealt.mapInArrow(count, "kind int, key long, doc long, row long, first int, n int")
 
 
-def _compared(read: DataFrame, apart: DataFrame, kind: Kind) -> DataFrame:
-    """(row, lo, hi): the repeated windows of the strings that are apart."""
+def _by_row(found: DataFrame, names: list[str], to: str, n: int) -> DataFrame:
+    """(row, ``to``): the structs of each row, in the ``n`` parts that the texts' buckets are, so that a join moves no text
+    (in more parts, as ``spark.sql.shuffle.partitions`` may ask for, Spark would rather move the texts)."""
+    return found.select("row", *names).repartition(n, "row").groupBy("row").agg(F.collect_list(F.struct(*names)).alias(to))
+
+
+def _compared(read: DataFrame, apart: DataFrame, kind: Kind, n: int) -> DataFrame:
+    """(row, lo, hi): the repeated windows of the strings that are apart; ``read`` has ``n`` buckets."""
     total = apart.agg(F.sum(F.col("n") + kind.width)).first()[0] or 0
     n_buckets = max(read.sparkSession.sparkContext.defaultParallelism, -(-total * kind.size // TEXTS))
 
@@ -163,7 +171,7 @@ def _compared(read: DataFrame, apart: DataFrame, kind: Kind) -> DataFrame:
             for row, lo, hi in kind.compare(columns, text):
                 yield pa.RecordBatch.from_pydict({"row": row.astype(np.int64), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)})
 
-    places = apart.groupBy("row").agg(F.collect_list(F.struct("key", "doc", "first", "n")).alias("places"))
+    places = _by_row(apart, ["key", "doc", "first", "n"], "places", n)
     dealt = read.join(places.hint("merge"), "row").select("row", "packed", "places").mapInArrow(out, "bucket long, payload binary")
     return dealt.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, "row long, lo int, hi int")
 
@@ -202,11 +210,11 @@ def repeats(docs: DataFrame, text: str, kind: Kind, plain: Callable[[str], bytes
         crowded = found.filter(f"kind = {CROWDED}")
         if not crowded.head(1):
             break
-        ranges = crowded.groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("ranges"))
+        ranges = _by_row(crowded, ["first", "n"], "ranges", n_buckets)
         source = read.join(ranges.hint("merge"), "row").select("row", "doc", "packed", "ranges")
     apart = apart[0] if len(apart) == 1 else materialize(_union(apart), "apart")
-    found = _union([*gone, _compared(read, apart, kind)])
-    return read, materialize(found.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "runs")
+    found = _union([*gone, _compared(read, apart, kind, n_buckets)])
+    return read, materialize_by(_by_row(found, ["lo", "hi"], "runs", n_buckets), "runs", "row", n_buckets, dealt=True)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

@@ -550,3 +550,29 @@ def test_most_frequent(spark):
     assert {r.n for r in common.most_frequent(df, "n", 20).collect()} == {31, 41}
     once = spark.range(4000).withColumn("n", F.lit(1))
     assert 700 < common.most_frequent(once, "n", 1000).count() < 1000 and common.most_frequent(once, "n", 5000).count() == 4000
+
+
+def test_texts_stay_where_they_are(spark):
+    """op4 and op7: with more shuffle partitions than buckets of texts, joins by row still move no text."""
+    from arenalake.llm import superkmer, windows
+
+    rows = [(i, " ".join(f"w{(i * 7 + j * j) % 50}" for j in range(60 + i))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plans, compared = [], windows._compared
+
+    def spy(*a):
+        plans.append((out := compared(*a))._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1])
+        return out
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    want = {tuple(r) for r in superkmer.digest(docs).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    windows._compared = spy
+    try:
+        last = superkmer.digest(docs)
+        assert {tuple(r) for r in last.collect()} == want
+        plan = last._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    finally:
+        windows._compared = compared
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert plans[0].count("Exchange hashpartitioning(row") == 1 and "Exchange" not in plan
