@@ -15,14 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, let, materialize, words
+from .common import BROADCAST_BYTES, few, let, materialize, words
 
 MIN_DOCS = 10  #: a line is never boilerplate in fewer documents of its host
 DOC_SHARE = 0.01  #: ... or in a smaller share of the host's documents
 MIN_WORDS = 50  #: base rule: fewer words fail
 MAX_REPEAT = 50  #: base rule: per cent of words in repeated three-word windows
 MIN_KEPT = 0.3  #: a document that keeps a smaller share of its words is depleted
-SPREAD = 1024  #: lists of a document's boilerplate lines are looked up in so many parts
+SPREAD = 1024  #: lists of a document's or host's boilerplate lines are looked up in so many parts
+LISTED = 1 << 13  #: hosts without longer lists are looked up themselves, otherwise each document gets a list of its own
 
 
 def _hash(line: Column) -> Column:
@@ -103,14 +104,19 @@ def clean(docs: DataFrame, text: str = "text", host: str = "source") -> DataFram
     A line goes with its line break; a document that loses none keeps its text unchanged.
     """
     measured = materialize(measure(docs, text, host), "quality")
-    common = few(materialize(boilerplate(measured), "boilerplate"))
-    lines = measured.select("doc_id", "host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    hits = lines.join(common, ["host", "h"]).groupBy("doc_id", "host").agg(F.collect_set("h").alias("common"))
+    common = materialize(boilerplate(measured), "boilerplate")
+    n_hosts, most = common.groupBy("host").count().agg(F.count("*"), F.max("count")).first()
+    by_host = (most or 0) <= LISTED and n_hosts * 8 * (SPREAD + (most or 0)) <= BROADCAST_BYTES
+    if by_host:  # the texts stay where they are
+        hits = common.groupBy("host").agg(F.collect_set("h").alias("common"))
+    else:
+        lines = measured.select("doc_id", "host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+        hits = lines.join(few(common), ["host", "h"]).groupBy("doc_id", "host").agg(F.collect_set("h").alias("common"))
     # in parts by the hash, so that many lines against many lines stay cheap
     part = lambda h: F.pmod(h, F.lit(SPREAD)).cast("int")
     parts = F.transform(F.sequence(F.lit(0), F.lit(SPREAD - 1)), lambda i: F.filter("common", lambda h: part(h) == i))
-    hits = hits.select("doc_id", "host", F.when(F.size("common") > SPREAD // 16, parts).otherwise(F.array("common")).alias("common"))
-    hits = materialize(hits, "lines")  # Spark broadcasts it where it is below its own threshold
+    hits = hits.withColumn("common", F.when(F.size("common") > SPREAD // 16, parts).otherwise(F.array("common")))
+    hits = materialize(hits, "lines")  # by document, Spark broadcasts it where it is below its own threshold
     own = docs.select(F.struct("*").alias("row"), "doc_id", F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("-")).alias("host"), F.col(text).alias("t"))
 
     def known(h: Column) -> Column:
@@ -123,7 +129,8 @@ def clean(docs: DataFrame, text: str = "text", host: str = "source") -> DataFram
         return (F.size(w) >= MIN_WORDS) & (100 * _repeat_words(w) <= MAX_REPEAT * F.size(w)) & (F.size(words(rest)) >= MIN_KEPT * F.size(w))
 
     # let() keeps the words of a text evaluated once, also where the filter is pushed below the projection
-    out = _joined(own, hits).filter(let(words(F.col("t")), enough))
+    both = own.join(F.broadcast(hits), "host", "left") if by_host else _joined(own, hits)
+    out = both.filter(let(words(F.col("t")), enough))
     return out.select(*(rest.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
 
 

@@ -576,3 +576,25 @@ def test_texts_stay_where_they_are(spark):
         windows._compared = compared
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert plans[0].count("Exchange hashpartitioning(row") == 1 and "Exchange" not in plan
+
+
+def test_quality_leaves_texts_where_they_are(spark, monkeypatch):
+    """Boilerplate lines are looked up by host, and no text is moved; lists by document, for hosts with very many lines, agree."""
+    from arenalake.llm import quality
+
+    rnd = random.Random(6)
+    line = lambda: " ".join("".join(rnd.choices("abcdef", k=6)) for _ in range(12))
+    rows = [(i if i % 7 else None, f"h{i % 2}" if i % 3 else None, "\n".join([f"same line {i % 2} of all the texts here", *(line() for _ in range(6)), ""])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16")
+    try:
+        out = quality.clean(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        got = sorted(map(str, out.collect()))
+        monkeypatch.setattr(quality, "LISTED", 0)
+        want = sorted(map(str, quality.clean(docs).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange hashpartitioning" not in plan and got == want
+    assert len(got) > 0 and not any("same line" in r for r in got)
