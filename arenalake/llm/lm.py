@@ -17,13 +17,16 @@ id counts as an empty one when training documents are chosen.
 
 from __future__ import annotations
 
+import itertools
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from math import isqrt
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,39 +44,45 @@ BATCH = 1 << 13  #: tokens of a minibatch
 LEARNER = 1 << 20  #: tokens that a learner gets in a round, about
 LEAST = 500_000  #: ... and goes through again until it has taken so many
 PART = 1 << 15  #: parameters that are averaged together
-SCORED = 1 << 13  #: tokens that are scored together
+SCORED = 1 << 18  #: tokens that are scored together
+BLOCK = 1 << 10  #: rows whose scores are in memory together
 END = b"\n"  #: no word holds it
 _CACHE = 200_000
 
 
-def _hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
-
-
-class _Words(dict):
-    """Word -> number in this task, with the arrays of hashes and shared units by number."""
+class _Words(defaultdict):
+    """Word -> number in this task, with the lists of hashes and shared units by number, which ``note`` completes."""
 
     def __init__(self) -> None:
-        super().__init__()
+        super().__init__(itertools.count().__next__)
         self.h: list[int] = []
         self.unit: list[int] = []
 
-    def __missing__(self, word: bytes) -> int:
-        self.h.append(_hash(word))
-        self.unit.append(SINGLE + zlib.crc32(word[-2:]) % SHARED)
-        self[word] = n = len(self.h) - 1
-        return n
+    def note(self) -> None:
+        fresh = list(itertools.islice(self, len(self.h), None))
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), np.uint64, len(fresh)) ^ np.uint64(1 << 63)
+        self.h += h.view(np.int64).tolist()
+        last = np.fromiter(map(zlib.crc32, [word[-2:] for word in fresh]), np.int64, len(fresh))
+        self.unit += (SINGLE + last % SHARED).tolist()
 
 
 def _tokens(batch: pa.RecordBatch, column: int, words: _Words) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all tokens of a batch, and the offset of each text among them (one more than texts)."""
-    flat: list[bytes] = []
-    offsets = [0]
-    for t in batch.column(column).to_pylist():
-        flat += (t or "").encode().lower().split()
-        flat.append(END)
-        offsets.append(len(flat))
-    return np.fromiter(map(words.__getitem__, flat), np.int64, len(flat)), np.array(offsets)
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(batch.column(column), "")))
+    wordy = pc.not_equal(texts, "")
+    split = pc.ascii_split_whitespace(texts.filter(wordy))
+    sizes = np.ones(len(texts), np.int64)
+    sizes[wordy.to_numpy(zero_copy_only=False)] += pc.list_value_length(split).to_numpy()
+    offsets = np.append(0, np.cumsum(sizes))
+    # a word is looked up once for all its places
+    coded = split.flatten().dictionary_encode()
+    distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    numbers = np.full(offsets[-1], words[END])
+    inner = np.ones(len(numbers), bool)
+    inner[offsets[1:] - 1] = False
+    numbers[inner] = np.fromiter(map(words.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+    words.note()
+    return numbers, offsets
 
 
 def held_out(doc_id: Column) -> Column:
@@ -104,11 +113,7 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 def _units(words: _Words, single: dict[int, int]) -> np.ndarray:
-    unit = np.array(words.unit, np.int64)
-    for i, h in enumerate(words.h):
-        if h in single:
-            unit[i] = single[h]
-    return unit
+    return np.fromiter(map(single.get, words.h, words.unit), np.int64, len(words.h))
 
 
 def _contexts(units: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,72 +142,117 @@ def start(mass: np.ndarray) -> np.ndarray:
     return np.concatenate([rng.normal(0, 0.1, n), matrices, np.log(mass / np.repeat(by_class, SIZE)), np.log(by_class / by_class.sum())]).astype(np.float32)
 
 
-def _add(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """to[at] += rows, for places that repeat."""
-    order = np.argsort(at, kind="stable")
+def _summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places of ``at``, which may repeat, and the sum of the rows of each."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # no place is above UNITS
     at = at[order]
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    to[at[first]] += np.add.reduceat(rows[order], first, axis=0)
-
-
-def _contrast(r: np.ndarray, target: np.ndarray, out: np.ndarray, bias: np.ndarray, q: np.ndarray, d_out: np.ndarray, d_bias: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Slopes of the noise-contrastive objective: each target against NOISE samples of ``q``, shared by the rows; gives dr."""
-    noise = np.minimum(np.searchsorted(np.cumsum(q), rng.random(NOISE)), len(q) - 1)
-    shift = np.log(NOISE * q).astype(np.float32)
-    right = 1 / (1 + np.exp(np.clip((r * out[target]).sum(axis=1) + bias[target] - shift[target], -30, 30)))
-    wrong = -1 / (1 + np.exp(-np.clip(r @ out[noise].T + bias[noise] - shift[noise], -30, 30)))
-    _add(d_out, target, right[:, None] * r)
-    np.add.at(d_out, noise, wrong.T @ r)
-    np.add.at(d_bias, target, right)
-    np.add.at(d_bias, noise, wrong.sum(axis=0))
-    return right[:, None] * out[target] + wrong @ out[noise]
+    return at[first], np.add.reduceat(np.take(rows, order, axis=0), first, axis=0)
+
+
+def _contrast(r: np.ndarray, target: np.ndarray, out: np.ndarray, bias: np.ndarray, q: np.ndarray, noise: np.ndarray, cuts: np.ndarray) -> tuple:
+    """Slopes of the noise-contrastive objective: rows from ``cuts[i]`` to the next cut have the samples ``noise[i]`` of ``q``
+    beside their targets.  Gives dr, (places, slopes) of ``out``, and those of ``bias``."""
+    shift = (bias - np.log(NOISE * q)).astype(np.float32)
+    dr = np.take(out, target, axis=0)
+    right = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", r, dr) + shift[target], -30, 30)))
+    dr *= right[:, None]
+    parts = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    vectors = out[noise]
+    wrong = np.repeat(shift[noise], np.diff(cuts), axis=0)
+    for rows, v in zip(parts, vectors, strict=True):
+        wrong[rows] += r[rows] @ v.T
+    np.exp(np.negative(np.clip(wrong, -30, 30, out=wrong), out=wrong), out=wrong)
+    wrong += 1
+    np.divide(-1, wrong, out=wrong)
+    slopes = np.empty_like(vectors)
+    for i, rows in enumerate(parts):
+        dr[rows] += wrong[rows] @ vectors[i]
+        slopes[i] = wrong[rows].T @ r[rows]
+    d_out = _summed(np.concatenate([target, noise.ravel()]), np.concatenate([right[:, None] * r, slopes.reshape(-1, WIDTH)]))
+    d_bias = np.bincount(target, right, len(bias)) + np.bincount(noise.ravel(), np.add.reduceat(wrong, cuts[:-1], axis=0).ravel(), len(bias))
+    return dr, d_out, d_bias
 
 
 def learn(p: np.ndarray, squares: np.ndarray, unit: np.ndarray, one: np.ndarray, two: np.ndarray, mass: np.ndarray, rng: np.random.Generator) -> None:
-    """One minibatch of NCE, for classes and for units inside each class, by AdaGrad in place."""
+    """One minibatch of NCE, for classes and for units inside each class, by AdaGrad in place.
+
+    Vectors that the minibatch doesn't meet have no slope, and are not touched.
+    """
     before, out, by_class, near, far, bias, class_bias = _split(p)
-    slope = np.zeros_like(p)
-    d_before, d_out, d_class, d_near, d_far, d_bias, d_class_bias = _split(slope)
-    order = np.argsort(unit, kind="stable")
+    order = np.argsort(unit.astype(np.uint16), kind="stable")
     unit, one, two = unit[order], one[order], two[order]
-    q = mass.reshape(CLASSES, SIZE)
-    totals = q.sum(axis=1)
-    r = before[one] @ near + before[two] @ far
     group = unit // SIZE
-    dr = _contrast(r, group, by_class, class_bias, totals / totals.sum(), d_class, d_class_bias, rng)
-    cuts = np.searchsorted(group, np.arange(CLASSES + 1))
-    for c in np.flatnonzero(np.diff(cuts)):
-        rows, own = slice(cuts[c], cuts[c + 1]), slice(c * SIZE, (c + 1) * SIZE)
-        dr[rows] += _contrast(r[rows], unit[rows] - c * SIZE, out[own], bias[own], q[c] / totals[c], d_out[own], d_bias[own], rng)
-    d_near += before[one].T @ dr
-    d_far += before[two].T @ dr
-    _add(d_before, one, dr @ near.T)
-    _add(d_before, two, dr @ far.T)
-    slope /= len(unit)
-    squares += slope**2
-    p += RATE * slope / np.sqrt(squares + 1e-8)
+    met, begun = np.unique(group, return_index=True)
+    by = mass.reshape(CLASSES, SIZE)
+    totals = by.sum(axis=1)
+    draw = lambda q: np.minimum((np.cumsum(q, axis=1)[:, None] < rng.random((len(q), NOISE))[..., None]).sum(axis=2), q.shape[1] - 1)
+    of_classes, of_units = (totals / totals.sum())[None], by / totals[:, None]
+    first, second = np.take(before, one, axis=0), np.take(before, two, axis=0)
+    r = first @ near + second @ far
+    dr, d_class, d_class_bias = _contrast(r, group, by_class, class_bias, of_classes[0], draw(of_classes), np.array([0, len(r)]))
+    more, d_out, d_bias = _contrast(r, unit, out, bias, of_units.ravel(), met[:, None] * SIZE + draw(of_units[met]), np.append(begun, len(r)))
+    dr += more
+    d_before = _summed(np.concatenate([one, two]), np.concatenate([dr @ near.T, dr @ far.T]))
+    d_near, d_far = first.T @ dr, second.T @ dr
+    every = slice(None)
+    slopes = (d_before, d_out, d_class, (every, d_near), (every, d_far), (every, d_bias), (every, d_class_bias))
+    for values, past, (at, slope) in zip(_split(p), _split(squares), slopes, strict=True):
+        slope = (slope / len(unit)).astype(np.float32)
+        now = past[at] + slope**2
+        past[at] = now
+        values[at] += RATE * slope / np.sqrt(now + 1e-8)
+
+
+def _blocks(n: int) -> Iterator[slice]:
+    return (slice(at, at + BLOCK) for at in range(0, n, BLOCK))
+
+
+def _scores(r: np.ndarray, row: np.ndarray, vectors: np.ndarray, biases: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The score of vector ``at`` in each ``row`` of r."""
+    found = biases[at]
+    for x in _blocks(len(row)):
+        found[x] += np.einsum("ij,ij->i", np.take(r, row[x], axis=0), np.take(vectors, at[x], axis=0))
+    return found
+
+
+def _log_sums(r: np.ndarray, vectors: np.ndarray, biases: np.ndarray, row: np.ndarray | None = None) -> np.ndarray:
+    """log of the sum of exp(score) over all vectors, for each ``row`` of r (all, unless given)."""
+    longest = np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max())
+    to, ones, highest = vectors.T.copy(), np.ones(len(vectors), np.float32), np.abs(biases).max()
+    found = np.empty(len(r) if row is None else len(row), np.float32)
+    for x in _blocks(len(found)):
+        some = r[x] if row is None else np.take(r, row[x], axis=0)
+        s = some @ to
+        s += biases
+        # no score is larger than the product of lengths, and the bias; beyond 60 single precision needs a shift
+        if longest * np.sqrt(np.einsum("ij,ij->i", some, some).max()) + highest < 60:
+            found[x] = np.log(np.exp(s, out=s) @ ones)
+        else:
+            top = s.max(axis=1)
+            s -= top[:, None]
+            found[x] = np.log(np.exp(s, out=s) @ ones) + top
+    return found
 
 
 def log_probability(p: np.ndarray, unit: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """log10 P(unit | the two units before), normalised."""
-    before, out, by_class, near, far, bias, class_bias = _split(p)
-    r = before[one] @ near + before[two] @ far
-
-    def logs(s: np.ndarray, target: np.ndarray) -> np.ndarray:
-        own = s[np.arange(len(s)), target]
-        if s.max() > 60 or s.min() < -60:  # beyond single precision without a shift
-            top = s.max(axis=1)
-            return own - top - np.log(np.exp(s - top[:, None]).sum(axis=1))
-        return own - np.log(np.exp(s, out=s).sum(axis=1))
+    """log10 P(unit | the two units before), normalised.
 
-    order = np.argsort(unit, kind="stable")
-    group = unit // SIZE
-    found = logs(r @ by_class.T + class_bias, group).astype(np.float64)
+    Sums over classes are taken once for each distinct pair of units before, and those over a class's units once for each
+    pair and class.
+    """
+    before, out, by_class, near, far, bias, class_bias = _split(p)
+    pair, pairs = pd.factorize(two * (UNITS + 1) + one)
+    r = np.take(before, pairs % (UNITS + 1), axis=0) @ near + np.take(before, pairs // (UNITS + 1), axis=0) @ far
+    case, cases = pd.factorize(pair * CLASSES + unit // SIZE)
+    of, group = cases // CLASSES, cases % CLASSES
+    sums = (_scores(r, of, by_class, class_bias, group) - _log_sums(r, by_class, class_bias)[of]).astype(np.float64)
+    order = np.argsort(group.astype(np.uint16), kind="stable")
     cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
     for c in np.flatnonzero(np.diff(cuts)):
         rows, own = order[cuts[c] : cuts[c + 1]], slice(c * SIZE, (c + 1) * SIZE)
-        found[rows] += logs(r[rows] @ out[own].T + bias[own], unit[rows] - c * SIZE)
-    return found / np.log(10)
+        sums[rows] -= _log_sums(r, out[own], bias[own], of[rows])
+    return (sums[case] + _scores(r, pair, out, bias, unit)) / np.log(10)
 
 
 def _averaged(parts: DataFrame, key: str) -> DataFrame:

@@ -8,7 +8,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from arenalake.llm import common, decontaminate, jaccard, lm, mixing, pii, quality, secrets, suffix, superkmer, urls
@@ -477,6 +479,53 @@ def test_lm_is_normalised_and_learns():
     assert abs((10.0 ** lm.log_probability(p, every, np.full(lm.UNITS, 5), np.full(lm.UNITS, 9))).sum() - 1) < 1e-3
 
 
+def test_lm_scores_are_those_of_a_plain_softmax_and_sums_are_taken_once(monkeypatch):
+    rng = np.random.default_rng(1)
+    mass = np.ones(lm.UNITS)
+    p = lm.start(mass)
+    p += rng.normal(0, 0.3, len(p)).astype(np.float32)
+    before, out, by_class, near, far, bias, class_bias = (x.astype(np.float64) for x in lm._split(p))
+    unit, one, two = (rng.integers(0, n, 40) for n in (lm.UNITS, lm.UNITS + 1, lm.UNITS + 1))
+    r = before[one] @ near + before[two] @ far
+    log_softmax = lambda s: s - np.log(np.exp(s).sum())
+    want = []
+    for v, u in zip(r, unit, strict=True):
+        own = slice(u // lm.SIZE * lm.SIZE, (u // lm.SIZE + 1) * lm.SIZE)
+        want.append(log_softmax(by_class @ v + class_bias)[u // lm.SIZE] + log_softmax(out[own] @ v + bias[own])[u % lm.SIZE])
+    sums, rows = lm._log_sums, []
+
+    def counted(r, vectors, biases, row=None):
+        rows.append(len(r) if row is None else len(row))
+        return sums(r, vectors, biases, row)
+
+    monkeypatch.setattr(lm, "_log_sums", counted)
+    got = lm.log_probability(p, *(np.tile(x, 500) for x in (unit, one, two)))
+    assert np.allclose(got, np.tile(want, 500) / np.log(10), rtol=1e-4)
+    assert sum(rows) <= 80  # for 40 pairs, and 40 pairs with a class, of 20,000 tokens
+
+
+def test_lm_minibatch_leaves_what_it_does_not_meet():
+    mass = np.ones(lm.UNITS)
+    p = lm.start(mass)
+    was, squares = p.copy(), np.zeros_like(p)
+    lm.learn(p, squares, np.full(50, 300), np.full(50, 7), np.full(50, lm.UNITS), mass, np.random.default_rng(0))
+    moved, (before, out, *_) = p != was, lm._split(squares)
+    assert set(np.flatnonzero(before.any(axis=1))) == {7, lm.UNITS} and np.array_equal(moved, squares > 0)
+    met = np.flatnonzero(out.any(axis=1))
+    assert 300 in met and len(met) <= lm.NOISE + 1 and set(met // lm.SIZE) == {300 // lm.SIZE}
+
+
+def test_lm_tokens_are_those_of_split():
+    texts = [None, "", " \n", "".join(map(chr, range(300))), "a\x1cB\x85C D \x1fe", " \u00c9 A  b\r\x0b\x0cc\n"]
+    batch, words = pa.record_batch({"text": ["cut off", *texts]}).slice(1), lm._Words()
+    numbers, offsets = lm._tokens(batch, 0, words)
+    want = [[*(t or "").encode().lower().split(), lm.END] for t in texts]
+    names = list(words)
+    assert [[names[i] for i in numbers[a:b]] for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == want
+    assert words.h == [xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in names] and len(words.unit) == len(names)
+    assert len(lm._tokens(batch.slice(0, 0), 0, words)[0]) == 0
+
+
 def test_lm_beats_unigrams_on_held_out_texts(spark):
     rnd = random.Random(1)
     after = {f"w{i}": [f"w{(i * 5 + k) % 150}" for k in range(3)] for i in range(150)}  # a word limits the next
