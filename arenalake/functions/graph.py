@@ -11,15 +11,18 @@ from arenalake.sources.shared import settled
 def components(links: DataFrame, keys: list[str], node: str, other: str, to: str) -> DataFrame:
     """(keys, node, ``to``) for every node of symmetric ``links`` (keys, node, other): the smallest node reachable.
 
-    A round takes the smallest label among the neighbours and then that label's own label, until nothing changes, so the
-    number of rounds grows with the logarithm of the longest chain.
+    A round gives a node the smallest label among its neighbours, a label's own node the smallest that any node of that
+    label has met, and then every node its label's own label, until nothing changes.  By the second step, rounds grow with
+    the logarithm of the longest chain in whatever order its nodes are (15 for a shuffled chain of 100,000 nodes).
     """
     both = links.select(*keys, node, other).filter(F.col(node) != F.col(other))
     own = links.select(*keys, node).distinct().withColumn(to, F.col(node))
     labels = own
     while True:
         near = both.join(labels.withColumnRenamed(node, other), [*keys, other]).groupBy(*keys, node).agg(F.min(to).alias("_near"))
-        fresh = labels.join(near, [*keys, node], "left").withColumn("_was", F.col(to)).withColumn(to, F.least(to, F.coalesce("_near", to))).drop("_near")
+        fresh = labels.join(near, [*keys, node], "left")
+        met = fresh.groupBy(*keys, F.col(to).alias(node)).agg(F.min("_near").alias("_met"))
+        fresh = fresh.join(met, [*keys, node], "left").withColumn("_was", F.col(to)).withColumn(to, F.least(to, "_near", "_met")).drop("_near", "_met")
         top = fresh.select(*keys, F.col(node).alias(to), F.col(to).alias("_top"))
         fresh = settled(fresh.join(top, [*keys, to]).select(*keys, node, F.least(to, "_top").alias(to), "_was"))
         labels = fresh.drop("_was")

@@ -12,6 +12,9 @@ from arenalake.sources.shared import settled
 SIDE = 256.0  #: side of grid cells in radius joins
 PER_CELL = 3  #: points that a cell of the first search holds on average
 PLACE = ["map", "x", "y", "z"]
+SNUG = 0.7  #: side of the cells of clusters as a part of the reach: a cell's points are all within it
+FEW = 256  #: pairs of places up to which two boxes are compared place by place
+LAST = 40  #: halvings of a cell after which they are in any case
 
 
 def _distance2(p: str, q: str) -> Column:
@@ -179,18 +182,85 @@ def centroids(locs: DataFrame, regions: DataFrame) -> DataFrame:
     return locs.join(regions, ["map", "loc_id"]).groupBy("map", "region").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
 
 
+def _linked(places: DataFrame, reach: float) -> DataFrame:
+    """(map, loc_id, other): pairs of cells, by their smallest ids, of which two places are nearer than ``reach``.
+
+    Cells two steps apart at most meet as boxes of their places: a pair is linked where the farthest sides are near enough,
+    and left where the nearest ones are not.  Two boxes of few places are compared place by place, others by their
+    quarters, until their cells are linked or nothing is open.  Rounding keeps differences in order, so what holds for the
+    sides of boxes holds for all that lies between.
+    """
+    cell, far = ["map", "_cx", "_cy"], ["map", "_ox", "_oy"]
+    pair = [*cell, "_ox", "_oy", "loc_id", "other"]
+    turned = {"_cx": "_ox", "_cy": "_oy", "loc_id": "other", "_a": "_b", "_x": "_x2", "_y": "_y2"}
+    near = lambda dx, dy: dx.cast("double") * dx.cast("double") + dy.cast("double") * dy.cast("double") < reach * reach
+    part = lambda level: [F.floor(F.col(c) * 2.0**level).alias(to) for c, to in (("_u", "_i"), ("_v", "_j"))]
+
+    def boxes(level: int) -> DataFrame:
+        """(cell, loc_id, _i, _j, _a): boxes of the cells' parts, with the parts that hold them one level before."""
+        ends = [f(f"_{c}").alias(f"{c}{n}") for c in "xy" for n, f in enumerate((F.min, F.max))]
+        box = F.struct(F.col("_i").alias("i"), F.col("_j").alias("j"), "n", "x0", "x1", "y0", "y1").alias("_a")
+        sums = places.groupBy(*cell, *part(level)).agg(F.min("loc_id").alias("loc_id"), F.count("*").alias("n"), *ends)
+        return sums.select(*cell, "loc_id", *[F.shiftright(c, 1).alias(c) for c in ("_i", "_j")], box)
+
+    def met(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+        """``pairs`` with what their boxes hold (parts: cell, _i, _j, values) for the boxes, each with each."""
+        for box, keys in (("_a", cell), ("_b", far)):
+            held = parts if box == "_a" else parts.withColumnsRenamed(turned)
+            pairs = pairs.withColumns({"_i": F.col(f"{box}.i"), "_j": F.col(f"{box}.j")}).drop(box).join(held, [*keys, "_i", "_j"]).drop("_i", "_j")
+        return pairs
+
+    def ends(c: str, f: str, g: str) -> list[Column]:
+        return [F.col(f"_a.{c}{f}") - F.col(f"_b.{c}{g}"), F.col(f"_b.{c}{f}") - F.col(f"_a.{c}{g}")]
+
+    gaps = [F.greatest(*ends(c, "0", "1"), F.lit(0)) for c in "xy"]
+    spans = [F.greatest(*ends(c, "1", "0")) for c in "xy"]
+    whole = boxes(0).drop("_i", "_j")
+    steps = F.array(*[F.struct(F.lit(float(i)).alias("i"), F.lit(float(j)).alias("j")) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)])
+    around = whole.withColumn("_step", F.explode(steps)).withColumns({"_ox": F.col("_cx") + F.col("_step.i"), "_oy": F.col("_cy") + F.col("_step.j")})
+    pairs = around.join(whole.withColumnsRenamed(turned), far)
+    out, level = None, 0
+    while True:
+        pairs = settled(pairs.filter(near(*gaps)).select(*pair, "_a", "_b", near(*spans).alias("_sure")))
+        sure = pairs.filter("_sure").select(*pair).distinct()
+        few = (F.col("_a.n") * F.col("_b.n") <= FEW) | F.lit(level == LAST)
+        asked = pairs.filter(few).join(sure, pair, "left_anti").select(*pair, "_a", "_b")
+        places_met = met(asked, places.select(*cell, *part(level), "_x", "_y"))
+        found = places_met.filter(near(F.col("_x") - F.col("_x2"), F.col("_y") - F.col("_y2"))).select(*pair)
+        found = settled(sure.unionByName(found).distinct())
+        out = found if out is None else out.unionByName(found)
+        rest = pairs.filter(~few).join(found, pair, "left_anti").select(*pair, "_a", "_b")
+        if not rest.head(1):
+            return out.select("map", "loc_id", "other")
+        level += 1
+        pairs = met(rest, boxes(level).drop("loc_id"))
+
+
 def clusters(points: DataFrame, reach: float = 800.0) -> DataFrame:
     """(map, loc_id, cluster): single-linkage clusters of a map's points by xy-distance below ``reach``; the cluster is the
-    smallest id in it.
+    smallest id in it.  A point without a finite place is a cluster of its own.
 
-    Cells of side ``reach`` give the candidate pairs; the smallest label spreads, by neighbours and by its own label, until
-    nothing changes.  Every round's labels are cut from their lineage by ``settled``.
+    Points of a cell of side 0.7 ``reach`` are linked by that, whatever their number, so only cells are joined in pairs and
+    only their links spread labels (``components``).  Work grows with the points, and with the pairs of cells' parts whose
+    distance is close to ``reach``.
     """
-    a = points.select("map", "loc_id", "x", "y", _cell("x", reach).alias("cx"), _cell("y", reach).alias("cy"))
-    b = _around(points.select("map", F.col("loc_id").alias("other"), "x", "y"), 1, reach).select("map", "other", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("_cx").alias("cx"), F.col("_cy").alias("cy"))
-    near = (F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2 < reach * reach
-    links = settled(a.join(b, ["map", "cx", "cy"]).filter(near).select("map", "loc_id", "other"))
-    return components(links, ["map"], "loc_id", "other", "cluster")
+    cell = ["map", "_cx", "_cy"]
+    spots = points.select("map", "loc_id", F.col("x").alias("_x"), F.col("y").alias("_y"))
+    finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    at = {c: F.col(f"_{c}") / F.lit(SNUG * reach) for c in "xy"}
+    known = spots.filter(finite("_x") & finite("_y")).withColumns({f"_c{c}": F.rint(at[c]) for c in "xy"})
+    # below 1 on the border between two cells too: a cell is one box before it is halved
+    inner = {to: F.least(at[c] - F.col(f"_c{c}") + 0.5, F.lit(1 - 2.0**-53)) for to, c in (("_u", "x"), ("_v", "y"))}
+    places = settled(known.groupBy(*cell, "_x", "_y").agg(F.min("loc_id").alias("loc_id")).withColumns(inner))
+    heads = places.groupBy(*cell).agg(F.min("loc_id").alias("_head"))
+    lost = spots.filter(~(finite("_x") & finite("_y"))).select("map", "loc_id", F.col("loc_id").alias("_head"))
+    placed = known.join(heads, cell).select("map", "loc_id", "_head").unionByName(lost)
+    # an id that has several places links their cells
+    owned = settled(placed.groupBy("map", "loc_id").agg(F.collect_set("_head").alias("_heads")).withColumn("_head", F.array_min("_heads")))
+    links = _linked(places, reach).unionByName(owned.select("map", F.col("_head").alias("loc_id"), F.explode("_heads").alias("other")))
+    links = links.unionByName(links.select("map", F.col("other").alias("loc_id"), F.col("loc_id").alias("other")))
+    labels = components(settled(links.distinct()), ["map"], "loc_id", "other", "cluster").withColumnRenamed("loc_id", "_head")
+    return owned.join(labels, ["map", "_head"]).select("map", "loc_id", "cluster")
 
 
 #: Words of a point's name that mark a region, and the same in the order in which they are tried.  Fixed values.
@@ -206,8 +276,9 @@ def detect_regions(locs: DataFrame, curated: DataFrame | None = None, reach: flo
     """
     words = F.filter(F.split(F.upper("name"), "[^A-Z0-9]+"), lambda w: w != "")
     named = locs.withColumn("words", words)
-    red = F.max(F.array_contains("words", KEYWORDS[0]).cast("int")).over(Window.partitionBy("map")) == 1
-    keys = F.when(red, F.array(*map(F.lit, KEYWORDS))).otherwise(F.array(F.lit(SPARE), *map(F.lit, KEYWORDS[1:])))
+    armored = named.filter(F.array_contains("words", KEYWORDS[0])).select(F.col("map").alias("_armored"), F.lit(True).alias("_red")).distinct()
+    named = named.join(armored, F.col("map").eqNullSafe(F.col("_armored")), "left").drop("_armored")
+    keys = F.when(F.col("_red"), F.array(*map(F.lit, KEYWORDS))).otherwise(F.array(F.lit(SPARE), *map(F.lit, KEYWORDS[1:])))
     marked = named.withColumn("keys", F.array_intersect(keys, "words")).withColumn("key", F.explode("keys"))
     by_key = marked.withColumns({"place": F.col("map"), "map": F.concat_ws(":", "map", "key")})
     grouped = clusters(by_key, reach).join(by_key.select("map", "loc_id", "place", "key", "words"), ["map", "loc_id"])

@@ -59,3 +59,55 @@ def test_names_are_of_points_in_use(spark, monkeypatch):
     seen = {}
     monkeypatch.setattr(V, "loc_names", lambda rows, table, real=V.loc_names: seen.update(rows=rows.count(), table=table.count()) or real(rows, table))
     assert views.loc_names(spark, "/root/testdata/sf0.1").count() == seen["rows"] >= seen["table"] > 0
+
+
+def single_linkage(points, reach):
+    """The smallest id of each id's cluster, all places compared with all; differences are of single precision."""
+    top, xy = {i: i for i, _, _ in points}, [(None if None in p[1:] else np.float32(p[1:])) for p in points]
+    links = [(p[0], q[0]) for i, p in enumerate(points) for j, q in enumerate(points) if p[0] != q[0] and xy[i] is not None and xy[j] is not None and float(np.sum(np.float64(xy[i] - xy[j]) ** 2)) < reach * reach]
+    while lower := {b: top[a] for a, b in sorted(links, key=lambda e: -top[e[0]]) if top[a] < top[b]}:
+        top |= lower
+    return top
+
+
+@pytest.mark.filterwarnings("ignore:invalid value")
+@pytest.mark.parametrize("few", [1, S.FEW])
+def test_clusters_are_brute_force(spark, monkeypatch, few):
+    """A crowd, chains, distances of exactly the reach, equal places, far places, places on borders of cells, one id at two places, places that are none."""
+    monkeypatch.setattr(S, "FEW", few)
+    rng = np.random.default_rng(11)
+    spots = [*rng.uniform(0, 1500, (60, 2)), *rng.uniform(-20_000, 9000, (120, 2)), *(rng.integers(0, 40, (60, 2)) * 300 + [50_000, -3000])]
+    spots += [(90_000 + i * 899.5, i % 2) for i in range(12)] + [(120_000 + i * 900, 0) for i in range(6)] + [spots[0], spots[70]]
+    spots += [(-40_000, 0), (-40_000 + 636.3, 636.3), (-40_000, 5000), (-40_000 + 636.5, 5636.5), (3e30, 5), (3e30, 800), (2e30, 5), (1e-40, 70_000), (2e-40, 70_899)]
+    spots += [(630 * (2 * k + 400.5) + x, 40_000 + y) for k in range(0, 80, 10) for x, y in ((0, 0), (-183, -320), (603, 320))]
+    spots += [(None, 3), (float("nan"), 3), (float("nan"), 3), (float("inf"), 3), (float("inf"), 3)]
+    ids = rng.permutation(len(spots)) + 1
+    points = [(int(i), *[None if v is None else float(v) for v in xy]) for i, xy in zip(ids, spots, strict=True)] + [(int(ids[0]), 90_000.0, 5.0), (int(ids[0]), None, 5.0)]
+    rows = spark.createDataFrame([("a", *p) for p in points] + [("b", 1, 0.0, 0.0), ("b", 2, 900.0, 0.0)], "map string, loc_id int, x float, y float")
+    got = S.clusters(rows, 900.0).collect()
+    assert len(got) == len(ids) + 2
+    assert {r.loc_id: r.cluster for r in got if r.map == "a"} == single_linkage(points, 900.0)
+    assert {(r.loc_id, r.cluster) for r in got if r.map == "b"} == {(1, 1), (2, 2)}
+
+
+def test_crowds_do_not_meet_in_pairs(spark, monkeypatch):
+    """3,000 places within reach of most others: nothing larger than them is settled."""
+    sizes = []
+    monkeypatch.setattr(S, "settled", lambda df, real=S.settled: sizes.append((out := real(df)).count()) or out)
+    rows = spark.range(3000).selectExpr("'a' AS map", "cast(id as int) AS loc_id", "cast(rand(5) * 2000 as float) AS x", "cast(rand(6) * 1000 as float) AS y")
+    found = S.clusters(rows, 900.0)
+    assert found.count() == 3000 and found.select("cluster").distinct().count() == 1
+    assert max(sizes) <= 3000
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A chain whose ids are in no order: labels cross it in rounds by the logarithm of its length."""
+    from arenalake.functions import graph
+
+    rounds = []
+    monkeypatch.setattr(graph, "settled", lambda df, real=graph.settled: rounds.append(1) or real(df))
+    ids = [int(i) for i in np.random.default_rng(3).permutation(300)]
+    links = [("a", *p) for a, b in zip(ids, ids[1:], strict=False) for p in ((a, b), (b, a))] + [("b", 7, 9), ("b", 9, 7), ("b", 5, 5)]
+    got = graph.components(spark.createDataFrame(links, "map string, a int, b int"), ["map"], "a", "b", "top").collect()
+    assert {(r.map, r.a): r.top for r in got} == {("a", i): 0 for i in ids} | {("b", 7): 7, ("b", 9): 7, ("b", 5): 5}
+    assert len(rounds) <= 12
